@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,12 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None)
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+def _first_rule(rows: tuple[tuple, ...], names: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
+    """The first row of a rule table that passes, as a struct: one small expression however long the table."""
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
+    return F.get(F.filter(table, test), F.lit(0))
+
+
 def _any_word(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
@@ -219,8 +226,8 @@ def version_in_range(v: Column, low: Column, high: Column) -> Column:
 
 def ns_operator(host: Column) -> Column:
     h = F.lower(F.regexp_replace(host, r"\.+$", ""))
-    cases = [(F.endswith(h, F.lit(s)), F.lit(n)) for s, n in rules.OPERATORS] + [(F.contains(h, F.lit("awsdns")), F.lit("AWS Route53"))]
-    return _first(cases, registrable_domain(h))
+    known = _first_rule(rules.OPERATORS, ("suffix", "name"), lambda r: F.endswith(h, r["suffix"]))["name"]
+    return F.coalesce(known, F.when(F.contains(h, F.lit("awsdns")), "AWS Route53"), registrable_domain(h))
 
 
 def registrable_domain(host: Column) -> Column:
@@ -248,4 +255,5 @@ def sector(domain: Column, title: Column) -> Column:
     both = F.concat(d, F.lit(" "), F.lower(F.coalesce(title, F.lit(""))))
     value = lambda s, sub, c: F.struct(F.lit(s).alias("sector"), F.lit(sub).alias("subsector"), F.lit(c).alias("confidence"))
     cases = [((d == "admin.ch") | F.endswith(d, F.lit(".admin.ch")), value("government", "", 0.95)), (d.rlike(rf"(^|\.)({'|'.join(rules.CANTONS)})\.ch$"), value("government", "", 0.9))]
-    return _first(cases + [(F.contains(both, F.lit(w)), value(s, sub, c)) for w, s, sub, c in rules.SECTORS])
+    rule = _first_rule(rules.SECTORS, ("word", "sector", "subsector", "confidence"), lambda r: F.contains(both, r["word"]))
+    return _first(cases, F.when(rule.isNotNull(), F.struct(rule["sector"].alias("sector"), rule["subsector"].alias("subsector"), rule["confidence"].alias("confidence"))))

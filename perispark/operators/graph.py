@@ -22,13 +22,14 @@ def ns_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.min("type").alias("type")).select("id", F.col("id").alias("label"), "type")
 
 
-def index_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes with a dense idx from 0 in order of id: ranks within range partitions, plus the rows before each."""
-    parts = nodes.repartitionByRange("id").withColumn("_p", F.spark_partition_id())
+def index_nodes(nodes: DataFrame, prefix: int = 4) -> DataFrame:
+    """Nodes with a dense idx from 0 in order of id: the rank among ids of one prefix, plus the ids
+    of smaller prefixes. The same on every run, so a task that runs again gives the same numbers."""
+    parts = nodes.withColumn("_p", F.substring("id", 1, prefix))
     local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    before = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    offset = before.select("_p", (F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_o"))
-    return local.join(F.broadcast(offset), "_p").select("id", "label", "type", (F.col("_i") - 1 + F.col("_o")).cast("long").alias("idx"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return local.join(offset, "_p").select("id", "label", "type", (F.col("_i") - 1 + F.col("_o")).cast("long").alias("idx"))
 
 
 def index_edges(edges: DataFrame, indexed: DataFrame) -> DataFrame:

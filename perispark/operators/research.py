@@ -101,9 +101,9 @@ def alerts(log: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def trend(snapshots: DataFrame, key: str = KEY) -> DataFrame:
-    """Score changes and the mean of up to three snapshots, for rows (key, at, score)."""
-    w = Window.partitionBy(key).orderBy("at")
-    return snapshots.select(key, "at", "score", (F.col("score") - F.lag("score").over(w)).alias("change"), F.round(F.avg("score").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
+    """Score changes and the mean of up to three snapshots, for rows (key, seen, score)."""
+    w = Window.partitionBy(key).orderBy("seen")
+    return snapshots.select(key, "seen", "score", (F.col("score") - F.lag("score").over(w)).alias("change"), F.round(F.avg("score").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 def deletions(name: str = "name"):  # noqa: ANN201

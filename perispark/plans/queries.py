@@ -57,10 +57,11 @@ def register(name: str, run: Callable[[Tables], DataFrame], sql: str | None = No
 
 def on(source: str, name: str, make: Callable[[], list], sql: str) -> None:
     """A scalar rule over a source: a derived table, or SQL over the given tables. sql: select list."""
+    end = ")" * (sql.count("FROM (SELECT") - sql.count("FROM (SELECT DISTINCT"))
     if source in FIXTURES:
-        register(name, lambda t: t[source[3:]].select(*make()), f"SELECT {sql} FROM {source}")
+        register(name, lambda t: t[source[3:]].select(*make()), f"SELECT {sql} FROM {source}{end}")
     else:
-        register(name, lambda t: derived(t.spark, t.sf_dir, source).select(*make()), f"SELECT {sql} FROM ({source})")
+        register(name, lambda t: derived(t.spark, t.sf_dir, source).select(*make()), f"SELECT {sql} FROM ({source}){end}")
 
 
 # ---- D: scalar rules
@@ -279,8 +280,8 @@ register("h10_cascade", lambda t: research.cascade(t["staging"], t["staging"].fi
 _log = "SELECT coalesce(o.k, n.k) AS k, unnest(list_filter([CASE WHEN o.k IS NULL THEN {'change': 'added', 'column': NULL, 'before': NULL, 'after': NULL} END, CASE WHEN n.k IS NULL THEN {'change': 'removed', 'column': NULL, 'before': NULL, 'after': NULL} END, CASE WHEN o.k = n.k AND o.status IS DISTINCT FROM n.status THEN {'change': 'changed', 'column': 'status', 'before': o.status, 'after': n.status} END, CASE WHEN o.k = n.k AND o.server IS DISTINCT FROM n.server THEN {'change': 'changed', 'column': 'server', 'before': o.server, 'after': n.server} END], lambda x: x IS NOT NULL)) AS e FROM fx_domains o FULL JOIN fx_snapshot_2 n ON o.k = n.k"
 register("h11_change_log", lambda t: research.change_log(_cur(t), t["snapshot_2"], ["status", "server"]), f"SELECT k, e.change, e.column, e.before, e.after FROM ({_log})")
 register("h12_alerts", lambda t: research.alerts(research.change_log(_cur(t), t["snapshot_2"], ["status", "server"])), f"SELECT k, change, severity FROM (SELECT k, e.change AS change, CASE WHEN e.change = 'removed' OR e.after = 'error' THEN 'high' WHEN e.column = 'status' THEN 'medium' END AS severity FROM ({_log})) WHERE severity IS NOT NULL")
-SNAPS = "SELECT o_custkey AS k, o_orderkey AS at, o_orderkey * 7919 % 101 AS score FROM orders"
-register("h13_trend", lambda t: research.trend(derived(t.spark, t.sf_dir, SNAPS)), f"SELECT k, at, score, score - lag(score) OVER w AS change, round(avg(score) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM ({SNAPS}) WINDOW w AS (PARTITION BY k ORDER BY at)".replace("round(avg(score) OVER (w ROWS", "round(avg(score) OVER (PARTITION BY k ORDER BY at ROWS"))
+SNAPS = "SELECT o_custkey AS k, o_orderkey AS seen, o_orderkey * 7919 % 101 AS score FROM orders"
+register("h13_trend", lambda t: research.trend(derived(t.spark, t.sf_dir, SNAPS)), f"SELECT k, seen, score, score - lag(score) OVER (PARTITION BY k ORDER BY seen) AS change, round(avg(score) OVER (PARTITION BY k ORDER BY seen ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM ({SNAPS})")
 SQUATS = "SELECT DISTINCT 'z' || CAST(o_orderkey % 400 AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'bnak' WHEN 2 THEN 'poo1' ELSE 'pool' END AS name FROM orders"
 register("h14_typosquats", lambda t: research.typosquats(derived(t.spark, t.sf_dir, SQUATS)), f"WITH n AS ({SQUATS}) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND (levenshtein(a.name, b.name) <= 1 OR translate(a.name, '10', 'lo') = translate(b.name, '10', 'lo') OR (len(a.name) = len(b.name) AND levenshtein(a.name, b.name) = 2 AND damerau_levenshtein(a.name, b.name) = 1))")
 register("h15_homoglyphs", lambda t: research.homoglyphs(derived(t.spark, t.sf_dir, SQUATS).unionByName(t["lookalikes"])), f"WITH n AS (SELECT name, translate(name, '{research.CONFUSABLE[0]}', '{research.CONFUSABLE[1]}') AS s FROM ({SQUATS} UNION ALL SELECT name FROM fx_lookalikes)) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.s = b.s AND a.name < b.name")
@@ -319,7 +320,7 @@ register("i14_compliance", lambda t: module_risk.compliance(t["raw_flags"]), " U
 register("j1_edges", lambda t: t["edges"], "SELECT * FROM v_edges")
 register("j2_nodes", lambda t: t["nodes"], "SELECT * FROM v_nodes")
 register("j3_index", lambda t: t["indexed"], "SELECT * FROM v_indexed")
-register("j4_cap", lambda t: graph.cap_graph(t["index"], t["indexed"], 5000)[1], "SELECT * FROM v_indexed WHERE sourceidx < 5000 AND targetidx < 5000")
+register("j4_cap", lambda t: graph.cap_graph(t["index"], t["indexed"], 5000)[1], "SELECT * FROM v_indexed WHERE greatest(sourceidx, targetidx) < 5000")
 register("j5_degrees", lambda t: graph.degrees(t["index"], t["indexed"]), "SELECT idx, n AS degree, CASE WHEN n > 100 THEN 2 WHEN n > 2 THEN 1 ELSE 0 END AS hub FROM (SELECT i.idx, count(e.x) AS n FROM v_index i LEFT JOIN (SELECT unnest([sourceidx, targetidx]) AS x FROM v_indexed) e ON e.x = i.idx GROUP BY i.idx)")
 register("j6_neighbours", lambda t: graph.neighbours(t["indexed"], 3), "SELECT DISTINCT CASE WHEN sourceidx = 3 THEN targetidx ELSE sourceidx END AS idx FROM v_indexed WHERE sourceidx = 3 OR targetidx = 3")
 
