@@ -34,34 +34,44 @@ def shingles(tokens: list[bytes], k: int) -> list[bytes]:
 
 
 class Hasher:
-    """64-bit hashes of shingles from hashes of words, the same in all tasks."""
+    """64-bit hashes of shingles from hashes of words, the same in all tasks: a polynomial in the
+    words' hashes, put together from runs of one, two, four ... words, then mixed."""
 
     def __init__(self, k: int):
         self.k, self.cache = k, {}
-        self.factors = [np.uint64(xxhash.xxh64_intdigest(b"factor", seed=i) | 1) for i in range(k)]
+        self.factor = xxhash.xxh64_intdigest(b"factor") | 1
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        out = []
-        for w in tokens:
-            if (h := cache.get(w)) is None:
-                h = cache[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        try:
+            return np.array([cache[w] for w in tokens], np.uint64)
+        except KeyError:
+            for w in tokens:
+                if w not in cache:
+                    cache[w] = xxhash.xxh64_intdigest(w)
+            return np.array([cache[w] for w in tokens], np.uint64)
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
         if not tokens:
             return np.zeros(0, np.uint64)
-        h = self.words(tokens)
-        k = min(self.k, len(h))
-        x = np.full(len(h) - k + 1, len(tokens) if k < self.k else 0, np.uint64)
-        for i in range(k):
-            x ^= (h[i : len(h) - k + 1 + i] * self.factors[i]) + np.uint64(i)
-            x *= np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-        return x
+        run, width = self.words(tokens), 1
+        k = min(self.k, len(tokens))
+        n = len(tokens) - k + 1
+        x, done, rest = np.full(n, len(tokens) if k < self.k else 0, np.uint64), 0, k
+        while rest:
+            power = np.uint64(pow(self.factor, width, 1 << 64))
+            if rest & 1:
+                x = x * power + run[done : done + n]
+                done += width
+            rest >>= 1
+            if rest:
+                run = run[:-width] * power + run[width:]
+                width *= 2
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(32))
 
 
 def size_class(n: int) -> int:

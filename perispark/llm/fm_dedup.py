@@ -96,11 +96,14 @@ def repeated(symbols: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.nda
 
 def _anchors(tokens: list[bytes], hasher: Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, the run's first and last window."""
-    grams = hasher(tokens)
-    reach = window - hasher.k + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, reach).argmin(axis=1) + np.arange(len(grams) - reach + 1)
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[starts]].view(np.int64), starts, np.append(starts[1:], len(at)) - 1
+    least, width = hasher(tokens), 1
+    reach = window - hasher.k + 1  # sequences in a window; their minimum from runs of 1, 2, 4 ...
+    while width < reach:
+        step = min(width, reach - width)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        width += step
+    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    return least[starts].view(np.int64), starts, np.append(starts[1:], len(least)) - 1
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,27 +119,43 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """For each text of a window or more a row with its id and no anchor, and a row for each run of windows."""
     hasher = Hasher(gram)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        keys, ids, anchors, starts = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens = words(text)
             if len(tokens) >= window:
-                anchor, starts, _ = _anchors(tokens, hasher, window)
-                key = xxhash.xxh64_intdigest(b" ".join(tokens)) - 2**63
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(anchor), key)), pa.array(starts.astype(np.int32))], ["anchor", "text_key", "start"])
+                anchor, first, _ = _anchors(tokens, hasher, window)
+                keys.append(xxhash.xxh64_intdigest(b" ".join(tokens)) - 2**63)
+                ids.append(doc_id)
+                anchors.append(anchor)
+                starts.append(first.astype(np.int32))
+        names = ["anchor", "text_key", "start", "doc_id"]
+        n = len(keys)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.array(ids, pa.int64())], names)
+        if n:
+            whole = np.concatenate(anchors)
+            repeated_keys = np.repeat(np.array(keys, np.int64), [len(x) for x in anchors])
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(repeated_keys), pa.array(np.concatenate(starts)), pa.nulls(len(whole), pa.int64())], names)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     hasher, unpack = Hasher(gram), zstandard.ZstdDecompressor().decompress
     names = ["anchor", "text_key", "doc_id", "start", "words"]
     for batch in batches:
+        anchors, keys, ids, starts, parts = [], [], [], [], []
         for key, doc_id, packed, wanted in zip(batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("starts"), strict=True):
             tokens = unpack(packed).split()
             anchor, first, last = _anchors(tokens, hasher, window)
             keep = np.flatnonzero(np.isin(first, wanted.values.to_numpy()))
-            n = len(keep)
-            parts = [b" ".join(tokens[first[i] : last[i] + window]) for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(np.full(n, key)), pa.array(np.full(n, doc_id)), pa.array(first[keep].astype(np.int32)), pa.array(parts, pa.binary())], names)
+            anchors.append(anchor[keep])
+            starts.append(first[keep].astype(np.int32))
+            keys += [key] * len(keep)
+            ids += [doc_id] * len(keep)
+            parts += [b" ".join(tokens[s : e + window]) for s, e in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts)), pa.array(parts, pa.binary())], names)
 
 
 FIRST_PLACES = "anchor bigint, words_key bigint, skip int, docs array<bigint>, starts array<int>"
@@ -282,11 +301,12 @@ def remove_repeats(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.mapInArrow(_packed_texts, TEXT)
-    anchors = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int")
+    noted = written(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors")
+    anchors = noted.filter("anchor IS NOT NULL").select("anchor", "text_key", "start")
     place = F.xxhash64("text_key", "start")
     more = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor")
     wanted = anchors.join(more, "anchor").groupBy("text_key").agg(F.collect_set("start").alias("starts"))
-    firsts = written(texts.filter(f"doc_id IS NOT NULL AND n_words >= {window}").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
+    firsts = written(noted.filter("anchor IS NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
     owners = wanted.join(firsts, "text_key").withColumnRenamed("first_doc", "doc_id")
     segments = written(texts.join(owners, ["text_key", "doc_id"]).select("text_key", "doc_id", "packed", "starts").mapInArrow(lambda it: _segments(it, window, gram), "anchor bigint, text_key bigint, doc_id bigint, start int, words binary").withColumn("words_key", F.xxhash64("words")), "fm-segments")
 
