@@ -96,13 +96,15 @@ def repeated(symbols: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.nda
 
 def _anchors(tokens: list[bytes], hasher: Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, the run's first and last window."""
-    least, width = hasher(tokens), 1
+    grams, width = hasher(tokens), 1
+    least = grams
     reach = window - hasher.k + 1  # sequences in a window; their minimum from runs of 1, 2, 4 ...
     while width < reach:
         step = min(width, reach - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    # the first place of the least value changes with the value, or where that place is left behind
+    starts = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1]))))
     return least[starts].view(np.int64), starts, np.append(starts[1:], len(least)) - 1
 
 
