@@ -9,12 +9,12 @@ First each class is compared with its nearest leader: the leaders of its regions
 three depths, are the ends of the longest common prefixes, and the signatures pick one.
 That joins nearly all copies of a text at a cost linear in the classes. Then in each
 region where different components meet, the classes outside the region's largest
-component are compared with all classes of other components, but for pairs whose sizes
-or signatures rule a link out. Links are confirmed on full shingle sets.
+component are compared with all classes of other components, block by block: a tile of
+two blocks gives only the links. Links are confirmed on full shingle sets.
 
 Recall: a pair at the threshold 0.85 shares a region in one of 16 orders of depth 4
 with probability 1 - 7e-6, in regions taken to depth 6 with 1 - 6e-4 (more alike, more
-likely), and passes the signature test with 1 - 5e-6.
+likely).
 """
 
 from __future__ import annotations
@@ -108,9 +108,45 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between the outside classes of the left block and the right block's classes of other components."""
+    for batch in batches:
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            x, y = left.values, right.values
+            take = lambda part, name: part.field(name).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(take(x, "outside"))
+            own_a, own_b = (p.field("own").to_pylist() for p in (x, y))
+            sets_a, sets_b = [np.frombuffer(own_a[i], np.uint64) for i in keep], [np.frombuffer(o, np.uint64) for o in own_b]
+            size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
+            fits = 100 * np.minimum(size_a[:, None], size_b[None, :]) >= percent * np.maximum(size_a[:, None], size_b[None, :])
+            ids_a, ids_b = take(x, "class")[keep], take(y, "class")
+            fits &= take(x, "component")[keep][:, None] != take(y, "component")[None, :]
+            fits &= ~take(y, "outside").astype(bool)[None, :] | (ids_a[:, None] < ids_b[None, :])
+            a, b = np.nonzero(fits)
+            if not len(a):
+                continue
+            # shared shingles by a product of membership tables, a slice of the shingles at a time
+            every, at = np.unique(np.concatenate(sets_a), return_inverse=True)
+            rows = np.repeat(np.arange(len(sets_a)), size_a)
+            where = np.concatenate(sets_b)
+            found = np.minimum(np.searchsorted(every, where), len(every) - 1)
+            hit = every[found] == where
+            cols, other = found[hit], np.repeat(np.arange(len(sets_b)), size_b)[hit]
+            shared = np.zeros((len(sets_a), len(sets_b)), np.int64)
+            for lo in range(0, len(every), 4096):
+                p, q = (at >= lo) & (at < lo + 4096), (cols >= lo) & (cols < lo + 4096)
+                left_table, right_table = np.zeros((len(sets_a), 4096), np.float32), np.zeros((len(sets_b), 4096), np.float32)
+                left_table[rows[p], at[p] - lo] = 1
+                right_table[other[q], cols[q] - lo] = 1
+                shared += (left_table @ right_table.T).astype(np.int64)
+            k = shared[a, b]
+            linked = 100 * k >= percent * (size_a[a] + size_b[b] - k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_a[a[linked]]), pa.array(ids_b[b[linked]])], ["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85,
-    orders: int = 16, depth: int = 4, step: int = 2, region: int = 256,
+    orders: int = 16, depth: int = 4, step: int = 2, region: int = 256, block: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row.
 
@@ -155,13 +191,12 @@ def near_duplicates(
     named = met.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = written(named.select("class", "component", F.when(F.col("members") > region, F.col("key1")).otherwise(F.col("key0")).alias("key")), "near-named")
     counted = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").select("key", "largest")
-    mixed = named.join(largest, "key")
-    outside = mixed.filter("component != largest").select("key", F.col("class").alias("a"), F.col("component").alias("ca"))
-    others = mixed.select("key", F.col("class").alias("b"), F.col("component").alias("cb"), (F.col("component") != F.col("largest")).alias("outside"))
-    cross = outside.join(others, "key").filter("ca != cb AND (NOT outside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = written(_with_agreement(cross, signs, percent).filter(F.col("agree") >= alike).select("a", "b"), "near-second")
-    links = written(links.unionByName(_verified(second, sets, percent)), "near-all-links")
+    largest = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).filter("parts > 1").select("key", "largest", "members")
+    block_of = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / block)).alias("block")
+    mixed = named.join(largest, "key").join(sets, "class").select("key", block_of, F.struct("class", "component", (F.col("component") != F.col("largest")).alias("outside"), "own").alias("one"))
+    blocks = written(mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some")), "near-blocks")
+    tiles = blocks.filter("some").select("key", F.col("part").alias("left")).join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
+    links = written(links.unionByName(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint")), "near-all-links")
 
     whole = components(links).withColumnRenamed("node", "class")
     ids = classes.select("class", "doc_id").join(whole, "class", "left").withColumn("component", F.coalesce("component", "class"))
