@@ -161,10 +161,10 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3
     pairs = np.zeros(SIZE * SIZE)
     for r in text.mapInArrow(_pair_counts, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r.pair] = r.n
-    pairs = pairs.reshape(SIZE, SIZE) + 1.0
-    pairs[:, 0] = 0
+    pairs = pairs.reshape(SIZE, SIZE)[:, 1:]
+    alone = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * len(LETTERS))
     logs = np.zeros((SIZE, SIZE))
-    logs[:, 1:] = np.log(pairs[:, 1:] / pairs[:, 1:].sum(axis=1, keepdims=True))
+    logs[:, 1:] = np.log((pairs + 10 * alone) / (pairs.sum(axis=1, keepdims=True) + 10))  # rare letters' rows lean on all
     bins = {r.bin: r.n for r in text.mapInArrow(lambda it: _bins(it, logs, alpha), "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     least = threshold(bins, fdr)
 
