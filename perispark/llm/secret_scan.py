@@ -7,7 +7,7 @@ uniform use, runs above and below the median, serial correlation at lag one; Fis
 method joins their p-values, and a run that isn't uniform fails.
 
 What passes is weighed against text: e = P(run | uniform) / P(run | letters of the
-corpus), with the corpus's pair frequencies. By Markov's inequality 1/e is a p-value
+corpus), with the corpus's pair frequencies outside candidates. By Markov's inequality 1/e is a p-value
 under "this is text", which falls with length as it should; the e-values of all
 candidates of all documents go through Benjamini and Hochberg's rule, so the share of
 text among what is reported stays below ``fdr``.
@@ -111,7 +111,9 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE * SIZE, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            raw = (text or "").encode("utf-8", "surrogatepass")
+            # what may be encoded doesn't belong to the model of text
+            plain = RUN.sub(lambda m: " " if encoding(m.group()) else m.group(), text or "")
+            raw = plain.encode("utf-8", "surrogatepass")
             for lo in range(0, len(raw), 1 << 20):
                 codes = CODE[np.frombuffer(raw[max(0, lo - 1) : lo + (1 << 20)], np.uint8)]
                 total += np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE)

@@ -56,7 +56,7 @@ def test_suffix_tree_sums_to_one():
 
 
 def test_secrets(spark):
-    secret = "q7RtZ9xKpL2vB8nW4mYc6HdJ0sFg3Ta5"
+    secret = "NqVwYS81VP7Hb1DX8pPd5khxE3pyIgKp"
     text = f'note password = "hunter2hunter2" AKIA{"A1B2" * 4} {"0f" * 20} plain words {secret} end'
     d = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "ſecret: abcdefghi"), (5, "the quick brown fox jumps over the lazy dog and sleeps " * 400)], "doc_id long, text string")
     rows = {r.doc_id: r for r in secret_scan.digest(secret_scan.find_secrets(d)).collect()}
