@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from perispark.llm.common import lower_words, written
 
 CACHE = 500_000
+#: Items of up to so many shingles are looked up by all of them.
+SMALL = 8
 
 
 def shingles(tokens: list[bytes], k: int) -> list[bytes]:
@@ -75,8 +77,8 @@ class Hasher:
 
 
 def size_class(n: int) -> int:
-    """The least power of two, 8 at least, that isn't below n."""
-    return max(8, 1 << (n - 1).bit_length())
+    """The least power of two, SMALL at least, that isn't below n."""
+    return max(SMALL, 1 << (n - 1).bit_length())
 
 
 class Items:
@@ -91,8 +93,9 @@ class Items:
             own = np.unique(hasher(lower_words(text)))
             if len(own):
                 self.sets[item] = own
-                for value in {int(v) for v in self.signature(own)}:
-                    found.setdefault(size_class(len(own)), []).append((value, item))
+                size = size_class(len(own))
+                for value in own.tolist() if size == SMALL else {int(v) for v in self.signature(own)}:
+                    found.setdefault(size, []).append((value, item))
         self.classes = {}
         for size, pairs in found.items():
             pairs.sort()
@@ -106,18 +109,27 @@ class Items:
     def candidates(self, h: np.ndarray) -> set[int]:
         """Items whose signature shares a value with that of a window of their class."""
         out: set[int] = set()
-        for size, (values, items) in self.classes.items():
+        for size in self.classes:
+            if size == SMALL:
+                out.update(self.named(size, h))
+                continue
             last = max(0, (len(h) - 1) // size - 1)
             block = np.arange(len(h)) // size
             at = (h % np.uint64(self.bins)).astype(np.int64)
             least = np.full((last + 2, self.bins), np.iinfo(np.uint64).max)
             np.minimum.at(least.ravel(), block * self.bins + at, h)  # blocks of the size
             windows = np.minimum(least[:-1], least[1:]) if last + 2 > 1 else least  # two blocks make a window
-            flat = windows.ravel()
-            i = np.minimum(np.searchsorted(values, flat), len(values) - 1)
-            for v in np.unique(flat[values[i] == flat]):
-                lo, hi = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
-                out.update(items[lo:hi].tolist())
+            out.update(self.named(size, windows[windows != np.iinfo(np.uint64).max]))
+        return out
+
+    def named(self, size: int, wanted: np.ndarray) -> set[int]:
+        """The class's items that have one of the wanted values."""
+        values, items = self.classes[size]
+        i = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        out: set[int] = set()
+        for v in np.unique(wanted[values[i] == wanted]):
+            lo, hi = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
+            out.update(items[lo:hi].tolist())
         return out
 
     def search(self, h: np.ndarray, least: float) -> list[tuple[int, int, int]]:
