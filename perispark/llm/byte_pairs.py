@@ -9,6 +9,7 @@ over the ranks encodes every piece. No model is trained.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -44,41 +45,54 @@ class Vocabulary:
         ids = file["model"]["vocab"]
         self.bytes_of = {i: bytes(byte_of[c] for c in name) for name, i in ids.items()}
         self.first = np.array([ids[c] for c in byte_letters()], np.int64)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.size = max(ids.values()) + 1
+        #: first id * size + second id -> rank; rank -> first id, second id, merged id
+        self.ranks: dict[int, int] = {}
+        self.pairs: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(file["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        self.pairs = {rank: (pair, new) for pair, (rank, new) in self.merges.items()}
+            self.ranks[ids[a] * self.size + ids[b]] = rank
+            self.pairs.append((ids[a], ids[b], ids[a + b]))
+        #: ranks of pairs of single bytes
+        self.byte_ranks = np.array([[self.ranks.get(a * self.size + b, -1) for b in self.first.tolist()] for a in self.first.tolist()])
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", ())}
         self.bytes_of |= {i: name.encode() for name, i in self.added.items()}
         self.split = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.find = PIECE.findall
+        self.cache: dict[str, bytes] = {}
+        self.forget()
 
-    def merge(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each piece."""
+    def forget(self) -> None:
+        """Empty the cache of pieces but for the added tokens, which are never split."""
+        self.cache.clear()
+        self.cache.update((name, np.int32(i).tobytes()) for name, i in self.added.items())
+
+    def merge(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes of int32."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        ids = self.first[np.frombuffer(b"".join(raw), np.uint8)].tolist()
+        symbols = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.first[symbols].tolist()
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).tolist()
-        for s in starts:
-            if s < n:
-                before[s] = -1
-            if s:
-                after[s - 1] = -1
-        where: dict[int, list[int]] = {}
-        merges = self.merges
-        for i in range(n):
-            if (j := after[i]) >= 0 and (m := merges.get((ids[i], ids[j]))):
-                where.setdefault(m[0], []).append(i)
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        before[starts[starts < n]] = -1
+        after[starts[1:] - 1] = -1
+        ranks = np.where(after[:-1] >= 0, self.byte_ranks[symbols[:-1], symbols[1:]], -1) if n else np.zeros(0, np.int64)
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        active, first = np.unique(ranks[order], return_index=True)
+        where = dict(zip(active.tolist(), (x.tolist() for x in np.split(order, first[1:])), strict=False))
+        after, before, starts = after.tolist(), before.tolist(), starts.tolist()
+        rank_of, size, pairs = self.ranks.get, self.size, self.pairs
         heap = list(where)
         heapq.heapify(heap)
         while heap:
             rank = heapq.heappop(heap)
-            (a, b), new = self.pairs[rank]
+            a, b, new = pairs[rank]
             positions = where.pop(rank)
             if a == b:
                 positions.sort()
+            row = new * size
             for i in positions:
                 j = after[i]
                 if ids[i] != a or j < 0 or ids[j] != b:
@@ -87,45 +101,59 @@ class Vocabulary:
                 k = after[i] = after[j]
                 if k >= 0:
                     before[k] = i
-                    if m := merges.get((new, ids[k])):
-                        if m[0] not in where:
-                            heapq.heappush(heap, m[0])
-                        where.setdefault(m[0], []).append(i)
-                if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                    if m[0] not in where:
-                        heapq.heappush(heap, m[0])
-                    where.setdefault(m[0], []).append(h)
-        out = []
-        for s, e in zip(starts, starts[1:], strict=False):
-            out.append(tuple(x for x in ids[s:e] if x >= 0))
-        return out
-
-    def pieces(self, text: str) -> list[str | int]:
-        """Pieces in order; ids of added tokens as numbers."""
+                    if (r := rank_of(row + ids[k])) is not None:
+                        if r in where:
+                            where[r].append(i)
+                        else:
+                            where[r] = [i]
+                            heapq.heappush(heap, r)
+                if (h := before[i]) >= 0 and (r := rank_of(ids[h] * size + new)) is not None:
+                    if r in where:
+                        where[r].append(h)
+                    else:
+                        where[r] = [h]
+                        heapq.heappush(heap, r)
+        merged = np.array(ids, np.int32)
+        left = merged >= 0
+        ends = (4 * np.concatenate(([0], np.cumsum(left)))[starts]).tolist()
+        kept = merged[left].tobytes()
+        return [kept[s:e] for s, e in zip(ends, ends[1:], strict=False)]
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces in order; added tokens as one piece."""
         if self.split is None or not self.split.search(text):
-            return PIECE.findall(text)
-        out: list[str | int] = []
+            return self.find(text)
+        out: list[str] = []
         at = 0
         for m in self.split.finditer(text):
-            out += PIECE.findall(text[at : m.start()])
-            out.append(self.added[m.group()])
+            out += self.find(text[at : m.start()])
+            out.append(m.group())
             at = m.end()
-        return out + PIECE.findall(text[at:])
+        return out + self.find(text[at:])
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that the cache lacks, together."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.forget()
         new = [p for p in pieces if p not in self.cache]
         self.cache.update(zip(new, self.merge(new), strict=True))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown ids give nothing, broken UTF-8 replacement characters."""
-        return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+        try:
+            return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        except KeyError:
+            return b"".join(self.bytes_of.get(i, b"") for i in ids).decode("utf-8", "replace")
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(text: str) -> Vocabulary:
+    """A worker's tasks share what they read of the same file."""
+    return Vocabulary(text)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[pa.RecordBatch]:
-    vocabulary = Vocabulary(text)
+    vocabulary = vocabulary_of(text)
     for batch in batches:
         texts = batch.column(at).to_pylist()
         lo = 0
@@ -137,17 +165,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[
             split = [vocabulary.pieces(t or "") for t in texts[lo:hi]]
             pieces: set[str] = set()
             for x in split:
-                pieces.update(p for p in x if type(p) is str)
+                pieces.update(x)
             vocabulary.learn(pieces)
-            lists: list[np.ndarray] = []
-            for x in split:
-                flat: list[int] = []
-                for p in x:
-                    if type(p) is str:
-                        flat += vocabulary.cache[p]
-                    else:
-                        flat.append(p)
-                lists.append(np.array(flat, np.int32))
+            lists = [np.frombuffer(b"".join(map(vocabulary.cache.__getitem__, x)), np.int32) for x in split]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
             part = batch.slice(lo, hi - lo)
@@ -182,7 +202,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Vocabulary(sent.value)
+        words = vocabulary_of(sent.value)
         for ids in batches:
             yield ids.map(lambda x: None if x is None else words.decode(x.tolist()))
 
