@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 #: The pieces that byte-level vocabularies of this family merge within.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces kept from one batch for the next ones of a task.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -159,7 +159,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < 8_000_000):
+            while hi < len(texts) and (hi == lo or size < 4_000_000):
                 size += len(texts[hi] or "")
                 hi += 1
             split = [vocabulary.pieces(t or "") for t in texts[lo:hi]]
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text") -> DataF
     Null and empty texts have no ids. Rows are encoded alone: repeated rows give repeated
     results, an empty table none. An existing column named ids is replaced.
 
-    Scale: one scan, no shuffle; a task holds about 8 MB of text and its distinct pieces.
+    Scale: one scan, no shuffle; a task holds about 4 MB of text and its distinct pieces.
     """
     docs = docs.drop("ids").withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
