@@ -10,7 +10,8 @@ three depths, are the ends of the longest common prefixes, and the signatures pi
 That joins nearly all copies of a text at a cost linear in the classes. Then in each
 region where different components meet, the classes outside the region's largest
 component are compared with all classes of other components, block by block: a tile of
-two blocks gives only the links. Links are confirmed on full shingle sets.
+two blocks gives a spanning forest of the components that its links join. Links are
+confirmed on full shingle sets.
 
 Recall: a pair at the threshold 0.85 shares a region in one of 16 orders of depth 4
 with probability 1 - 7e-6, in regions taken to depth 6 with 1 - 6e-4 (more alike, more
@@ -108,8 +109,27 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
 
 
+def spanning(pairs: np.ndarray) -> list[list[int]]:
+    """Those of the pairs that join what earlier ones don't."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append([a, b])
+    return out
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between the outside classes of the left block and the right block's classes of other components."""
+    """Components that links between the outside classes of the left block and the right
+    block's classes of other components join: no more pairs than components in the tile."""
     for batch in batches:
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
             x, y = left.values, right.values
@@ -120,7 +140,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
             fits = 100 * np.minimum(size_a[:, None], size_b[None, :]) >= percent * np.maximum(size_a[:, None], size_b[None, :])
             ids_a, ids_b = take(x, "class")[keep], take(y, "class")
-            fits &= take(x, "component")[keep][:, None] != take(y, "component")[None, :]
+            of_a, of_b = take(x, "component")[keep], take(y, "component")
+            fits &= of_a[:, None] != of_b[None, :]
             fits &= ~take(y, "outside").astype(bool)[None, :] | (ids_a[:, None] < ids_b[None, :])
             a, b = np.nonzero(fits)
             if not len(a):
@@ -141,7 +162,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 shared += (left_table @ right_table.T).astype(np.int64)
             k = shared[a, b]
             linked = 100 * k >= percent * (size_a[a] + size_b[b] - k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_a[a[linked]]), pa.array(ids_b[b[linked]])], ["a", "b"])
+            joins = np.array(spanning(np.unique(np.stack([of_a[a[linked]], of_b[b[linked]]], axis=1), axis=0)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(joins[:, 0]), pa.array(joins[:, 1])], ["a", "b"])
 
 
 def near_duplicates(
@@ -196,10 +218,11 @@ def near_duplicates(
     mixed = named.join(largest, "key").join(sets, "class").select("key", block_of, F.struct("class", "component", (F.col("component") != F.col("largest")).alias("outside"), "own").alias("one"))
     blocks = written(mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some")), "near-blocks")
     tiles = blocks.filter("some").select("key", F.col("part").alias("left")).join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
-    links = written(links.unionByName(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint")), "near-all-links")
+    meetings = written(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint"), "near-meetings")
 
-    whole = components(links).withColumnRenamed("node", "class")
-    ids = classes.select("class", "doc_id").join(whole, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    whole = components(meetings).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    ids = classes.select("class", "doc_id").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    ids = ids.join(whole, "component", "left").select("class", "doc_id", F.coalesce("whole", "component").alias("component"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = ids.join(least, "component").select("class", "component_id")
     out = sketch.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
