@@ -8,9 +8,9 @@ one with their first place. Texts of equal words are one from the start.
 
 A shard (bounded words) has an FM-index: suffixes sorted as deep as a window, the
 Burrows-Wheeler transform in a wavelet matrix of packed bits with block counts. All
-segments of the shard are streamed through it by backward search, from each window's
-last word to its first; a match that shrinks to one place stops there, and a window that
-still has several has its first place looked up in the suffix interval.
+segments of the shard are streamed through it by backward search, from their last words to
+their first, with the match cut to less than a window before it is extended; a window
+that has several places has its first one looked up in the suffix interval.
 """
 
 from __future__ import annotations
@@ -36,18 +36,21 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         n = len(symbols)
-        rank, k = symbols.astype(np.int64), 1
+        rank, k, part = symbols.astype(np.int64), 1, (symbols, 1)
         while True:
             shifted = np.zeros(n, np.int64)
             shifted[: n - k] = rank[k:] + 1
             key = rank * (n + 2) + shifted
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # the order of suffixes that are equal up to depth is of no account
             new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
             rank = np.empty(n, np.int64)
             rank[order] = new
             k *= 2
+            if k < depth:
+                part = (rank, k)
             if k >= depth or (n and new[-1] == n - 1):
                 break
+        self.low, self.high = self._groups(order, *part, depth - 1)
         self.suffixes = order
         self.size = int(symbols.max()) + 1 if n else 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=self.size))))
@@ -64,6 +67,21 @@ class FMIndex:
             bwt = np.concatenate((bwt[bits == 0], bwt[bits == 1]))
         self.base = self._descend(np.arange(self.size), np.zeros(self.size, np.int64))
 
+    @staticmethod
+    def _groups(order: np.ndarray, rank: np.ndarray, covered: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix in order, the interval of those that begin with the same ``depth`` symbols;
+        rank tells suffixes apart by their first ``covered`` symbols, at least half of depth."""
+        n = len(order)
+        padded = np.concatenate((rank, np.full(depth, -1)))
+        new = np.ones(n, bool)
+        for shift in {0, max(0, depth - covered)}:
+            here = padded[order + shift]
+            new[1:] &= here[1:] == here[:-1]
+        new[1:] = ~new[1:]
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        return starts[group], np.append(starts[1:], n)[group]
+
     def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, blocks, before, zeros in self.levels:
             block, inside = i >> 6, (i & 63).astype(np.uint64)
@@ -78,20 +96,26 @@ class FMIndex:
         return at + both[: len(low)], at + both[len(low) :]
 
 
-def repeated(symbols: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which windows (by their last positions) stand more than once: their indices, suffix
-    intervals, and the suffixes."""
+def repeated(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of the pieces stand more than once: their first positions, suffix intervals, and the suffixes.
+
+    All pieces are searched backward side by side from their last symbols. A match is cut to
+    window - 1 symbols before each further step, so each step past these ends in a window."""
     index = FMIndex(symbols, window)
-    which = np.arange(len(ends))
-    low, high = index.first[symbols[ends]], index.first[symbols[ends] + 1]
-    for t in range(1, window):
-        alive = high - low > 1
-        which, low, high = which[alive], low[alive], high[alive]
-        if not len(which):
-            break
-        low, high = index.step(symbols[ends[which] - t], low, high)
-    alive = high - low > 1
-    return which[alive], low[alive], high[alive], index.suffixes
+    last = begin + length - 1
+    low, high = index.first[symbols[last]], index.first[symbols[last] + 1]
+    out = []
+    for t in range(1, int(length.max())):
+        more = length > t
+        begin, length, last, low, high = begin[more], length[more], last[more], low[more], high[more]
+        if t >= window:
+            low, high = index.low[low], index.high[low]
+        low, high = index.step(symbols[last - t], low, high)
+        if t >= window - 1:
+            several = high - low > 1
+            out.append((last[several] - t, low[several], high[several]))
+    at, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
+    return at, low, high, index.suffixes
 
 
 def _anchors(tokens: list[bytes], hasher: Hasher, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +204,8 @@ def _shard(rows: list[tuple], window: int) -> pa.RecordBatch | None:
     of = np.repeat(np.arange(len(rows)), windows)
     offset = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = begin[of] + offset
-    which, low, high, suffixes = repeated(symbols, start + window - 1, window)
+    at, low, high, suffixes = repeated(symbols, begin, length, window)
+    which = np.searchsorted(start, at)
     doc = np.array([r[3] for r in rows], np.int64)[of]
     place = np.array([r[4] for r in rows], np.int64)[of] + offset
     order = np.lexsort((place, doc))
