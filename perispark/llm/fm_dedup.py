@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -274,19 +275,19 @@ def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
 
 def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """text_key and the word spans covered by windows that aren't the first of their kind."""
+    names = ["text_key", "begin", "end"]
     for batch in batches:
-        keys, begins, ends = [], [], []
-        for key, doc, start, skip, docs, starts in zip(batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("start").to_pylist(), batch.column("skip").to_pylist(), batch.column("docs"), batch.column("starts"), strict=True):
-            d, s = docs.values.to_numpy(), starts.values.to_numpy()
-            here = start + skip + np.arange(len(d))
-            later = np.flatnonzero((d < doc) | ((d == doc) & (s < here)))
-            if len(later):
-                cut = np.flatnonzero(np.diff(later) > window)
-                lo, hi = here[later[np.append(0, cut + 1)]], here[later[np.append(cut, len(later) - 1)]] + window
-                keys += [key] * len(lo)
-                begins += lo.tolist()
-                ends += hi.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["text_key", "begin", "end"])
+        key, doc, start, skip = (batch.column(c).to_numpy() for c in ("text_key", "doc_id", "start", "skip"))
+        lengths = pc.list_value_length(batch.column("docs")).to_numpy()
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        here = (start + skip)[row] + np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first_doc, first_start = batch.column("docs").flatten().to_numpy(), batch.column("starts").flatten().to_numpy()
+        later = (first_doc < doc[row]) | ((first_doc == doc[row]) & (first_start < here))
+        row, here = row[later], here[later]
+        if len(row):
+            cut = np.flatnonzero((row[1:] != row[:-1]) | (here[1:] - here[:-1] > window))
+            begins, ends = np.append(0, cut + 1), np.append(cut, len(row) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row[begins]]), pa.array(here[begins].astype(np.int32)), pa.array((here[ends] + window).astype(np.int32))], names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
