@@ -332,7 +332,7 @@ def remove_repeats(
     noted = written(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors")
     anchors = noted.filter("anchor IS NOT NULL").select("anchor", "text_key", "start")
     place = F.xxhash64("text_key", "start")
-    more = anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor")
+    more = written(anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor"), "fm-repeated")  # as a table, so that a skewed join with it can be split
     wanted = anchors.join(more, "anchor").groupBy("text_key").agg(F.collect_set("start").alias("starts"))
     firsts = written(noted.filter("anchor IS NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
     owners = wanted.join(firsts, "text_key").withColumnRenamed("first_doc", "doc_id")
