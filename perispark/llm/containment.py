@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from perispark.llm.common import lower_words, written
 
-CACHE = 500_000
+#: Words hashed at a time.
+TOGETHER = 50_000
 #: Items of up to so many shingles are looked up by all of them.
 SMALL = 8
 
@@ -36,24 +37,37 @@ def shingles(tokens: list[bytes], k: int) -> list[bytes]:
 
 
 class Hasher:
-    """64-bit hashes of shingles from hashes of words, the same in all tasks: a polynomial in the
-    words' hashes, put together from runs of one, two, four ... words, then mixed."""
+    """64-bit hashes of shingles, the same in all tasks. A word's hash is a polynomial in numbers drawn
+    for its bytes, a shingle's one in its words' hashes, put together from runs of one, two, four
+    ... words; both are mixed."""
 
     def __init__(self, k: int):
-        self.k, self.cache = k, {}
+        self.k = k
+        self.numbers = np.random.default_rng(20_240_602).integers(0, 2**64, 256, dtype=np.uint64)
         self.factor = xxhash.xxh64_intdigest(b"factor") | 1
+        self._powers(1 << 12)
+
+    def _powers(self, n: int) -> None:
+        """The factor's powers and those of its inverse, for so many bytes."""
+        down = pow(self.factor, -1, 1 << 64)
+        self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))) for x in (self.factor, down))
 
     def words(self, tokens: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        try:
-            return np.array([cache[w] for w in tokens], np.uint64)
-        except KeyError:
-            for w in tokens:
-                if w not in cache:
-                    cache[w] = xxhash.xxh64_intdigest(w)
-            return np.array([cache[w] for w in tokens], np.uint64)
+        if len(tokens) > TOGETHER:
+            return np.concatenate([self.words(tokens[lo : lo + TOGETHER]) for lo in range(0, len(tokens), TOGETHER)])
+        symbols = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+        n = len(symbols)
+        if n > len(self.up):
+            self._powers(2 * n)
+        sums = np.cumsum(self.numbers[symbols] * self.up[:n])
+        ends = np.flatnonzero(symbols == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        before = sums[starts - 1]
+        before[0] = 0
+        x = (sums[ends - 1] - before) * self.down[starts]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
         if not tokens:
