@@ -36,7 +36,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and the text decoded from them."""
     vocabulary = byte_pairs.read_vocabulary(tokenizer_path())
-    return byte_pairs.decode(byte_pairs.encode(docs.select(*COLUMNS), vocabulary), vocabulary)
+    return byte_pairs.encode(docs.select(*COLUMNS), vocabulary, decoded_col="decoded")
 
 
 STAGES = [

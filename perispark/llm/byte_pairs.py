@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 #: The pieces that byte-level vocabularies of this family merge within.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Pieces kept from one batch for the next ones of a task.
-CACHE = 200_000
+#: Pieces kept from one batch for the next ones of a task, and the characters taken together.
+CACHE, TOGETHER = 200_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -152,14 +152,14 @@ def vocabulary_of(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int, decoded: str | None) -> Iterator[pa.RecordBatch]:
     vocabulary = vocabulary_of(text)
     for batch in batches:
         texts = batch.column(at).to_pylist()
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < 4_000_000):
+            while hi < len(texts) and (hi == lo or size < TOGETHER):
                 size += len(texts[hi] or "")
                 hi += 1
             split = [vocabulary.pieces(t or "") for t in texts[lo:hi]]
@@ -171,7 +171,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], text: str, at: int) -> Iterator[
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*batch.schema.names, "ids"])
+            arrays, names = [*part.columns, ids], [*batch.schema.names, "ids"]
+            if decoded is not None:
+                arrays.append(pa.array([vocabulary.decode(x.tolist()) for x in lists], pa.string()))
+                names.append(decoded)
+            yield pa.RecordBatch.from_arrays(arrays, names)
             lo = hi
 
 
@@ -180,20 +184,27 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """docs with the added column ``ids`` (array<int>); vocabulary: the tokenizer file's text.
 
+    With decoded_col, the ids are decoded into that column in the same task, which needs one
+    Python worker where encode() and decode() need two.
+
     Strings of added tokens in a text become those tokens, as with the library's default.
     Null and empty texts have no ids. Rows are encoded alone: repeated rows give repeated
-    results, an empty table none. An existing column named ids is replaced.
+    results, an empty table none. Existing columns named ids or as decoded_col are replaced.
 
-    Scale: one scan, no shuffle; a task holds about 4 MB of text and its distinct pieces.
+    Scale: one scan, no shuffle; a task takes the pieces of TOGETHER characters of texts, one text at least, at a time.
     """
-    docs = docs.drop("ids").withColumn(text_col, F.col(text_col).cast("string"))
+    if decoded_col in (text_col, "ids"):
+        raise ValueError(f"decoded_col can't be {decoded_col}")
+    docs = docs.drop("ids", *[decoded_col] * (decoded_col is not None)).withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decoded_col is not None:
+        schema = schema.add(decoded_col, "string")
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _encoded(it, sent.value, at), schema)
+    return docs.mapInArrow(lambda it: _encoded(it, sent.value, at, decoded_col), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

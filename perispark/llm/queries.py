@@ -54,8 +54,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_pairs.read_vocabulary(tokenizer_path())
-    encoded = byte_pairs.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return byte_pairs.digest(byte_pairs.decode(encoded, vocabulary))
+    return byte_pairs.digest(byte_pairs.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded_col="decoded"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
