@@ -133,6 +133,33 @@ def test_main_text():
     assert text_density.extract("") == "" and text_density.extract("<p>just a line of text</p>") == "just a line of text"
 
 
+def test_backward_search():
+    rng = np.random.default_rng(1)
+    for window, letters in ((2, 1), (3, 2), (5, 2), (8, 3), (20, 1), (20, 2)):
+        symbols, begin, length = [], [], []
+        for _ in range(20):
+            begin.append(len(symbols))
+            length.append(window + int(rng.integers(0, 14)))
+            symbols += [*(rng.integers(1, letters + 1, length[-1]) if rng.random() < 0.6 else [1] * length[-1]), 0]
+        symbols = np.array(symbols, np.int64)
+        places = {}
+        for b, n in zip(begin, length, strict=True):
+            for i in range(b, b + n - window + 1):
+                places.setdefault(tuple(symbols[i : i + window]), []).append(i)
+        want = {i: p for p in places.values() if len(p) > 1 for i in p}
+        at, low, high, suffixes = fm_dedup.repeated(symbols, np.array(begin), np.array(length), window)
+        assert {i: sorted(suffixes[x:y].tolist()) for i, x, y in zip(at.tolist(), low, high, strict=True)} == want
+
+
+def test_word_hashes(monkeypatch):
+    words = list(dict.fromkeys(w.encode() for t in texts() for w in t.split())) + [b"x" * 20_000]
+    hasher = containment.Hasher(1)
+    together = hasher.words(words)
+    assert len(np.unique(together)) == len(words) and [int(hasher.words([w])[0]) for w in words] == together.tolist()
+    monkeypatch.setattr(containment, "TOGETHER", 7)
+    assert hasher.words(words).tolist() == together.tolist()
+
+
 def test_repeats(spark, docs):
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None})
     seen, want = set(), {}
@@ -175,9 +202,10 @@ def test_byte_pairs(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, v = tokenizers.Tokenizer.from_file(path), byte_pairs.read_vocabulary(path)
     odd = spark.createDataFrame([(300, "a <|endoftext|>  b\n\n'll 🙂 aaaaaaa"), (301, None)], "doc_id long, text string")
-    for r in byte_pairs.decode(byte_pairs.encode(docs.select("doc_id", "text").unionByName(odd), v), v).collect():
+    rows = byte_pairs.encode(docs.select("doc_id", "text").unionByName(odd), v, decoded_col="together")
+    for r in byte_pairs.decode(rows, v).collect():
         want = t.encode(r.text or "", add_special_tokens=False).ids
-        assert r.ids == want and r.decoded == t.decode(want, skip_special_tokens=False)
+        assert r.ids == want and r.decoded == r.together == t.decode(want, skip_special_tokens=False)
 
 
 def test_containment(spark, docs):
