@@ -4,7 +4,8 @@ A window is ``window`` consecutive words. Each window's anchor is its least hash
 ``gram``-word sequence, so equal windows have equal anchors, and a run of windows with
 one anchor is a segment. Only segments whose anchor stands at two places of different
 texts or positions can repeat; they are sent to the shard of their anchor, equal ones as
-one with their first place. Texts of equal words are one from the start.
+one with their first place. Texts of equal words are one from the start. An anchor of
+very many different segments goes to no shard: its windows are counted one by one.
 
 A shard (bounded words) has an FM-index: suffixes sorted as deep as a window, the
 Burrows-Wheeler transform in a wavelet matrix of packed bits with block counts. All
@@ -241,38 +242,49 @@ def _shard(rows: list[tuple], window: int) -> pa.RecordBatch | None:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a shard ends at a group's end."""
+    """Rows come sorted by anchor; a shard ends at an anchor's end."""
     rows: list[tuple] = []
     size, last = 0, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("anchor", "words_key", "words", "doc_id", "start", "places", "skip", "group")]
+        cols = [batch.column(c).to_pylist() for c in ("anchor", "words_key", "words", "doc_id", "start", "places", "skip")]
         for row in zip(*cols, strict=True):
-            if size >= shard_words and row[7] != last:
+            if size >= shard_words and row[0] != last:
                 if (out := _shard(rows, window)) is not None:
                     yield out
                 rows, size = [], 0
             rows.append(row)
             size += row[2].count(b" ") + 1
-            last = row[7]
+            last = row[0]
     if rows and (out := _shard(rows, window)) is not None:
         yield out
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Segments of a hot anchor window by window, each in the group of its words."""
-    names = ["anchor", "words_key", "words", "doc_id", "start", "places", "skip", "group"]
+    """Segments of a hot anchor window by window."""
+    names = ["anchor", "words_key", "words", "doc_id", "start", "places", "skip"]
     for batch in batches:
         out = []
         for anchor, key, text, doc, start, places in zip(*(batch.column(c).to_pylist() for c in names[:6]), strict=True):
             tokens = text.split()
             for i in range(len(tokens) - window + 1):
-                part = b" ".join(tokens[i : i + window])
-                out.append((anchor, key, part, doc, start + i, places, i, xxhash.xxh64_intdigest(part) - 2**63))
-        cols = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                out.append((anchor, key, b" ".join(tokens[i : i + window]), doc, start + i, places, i))
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
+def _window_places(segments: DataFrame, window: int) -> DataFrame:
+    """As a shard gives them, the first places of the repeated windows of hot anchors' segments.
+
+    Equal windows are counted before they meet, and the first place is joined back: no task
+    holds all of a window that stands in many different segments."""
+    single = segments.mapInArrow(lambda it: _single_windows(it, window), "anchor bigint, words_key bigint, words binary, doc_id bigint, start int, places bigint, skip int")
+    firsts = single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.sum("places").alias("places")).filter("places > 1")
+    firsts = written(firsts.select("words", "first"), "fm-windows")  # as a table, so that a skewed join with it can be split
+    found = single.select("anchor", "words_key", "words", "skip").join(firsts, "words")
+    return found.select("anchor", "words_key", "skip", F.array("first.doc_id").alias("docs"), F.array("first.start").alias("starts"))
+
+
 def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """text_key and the word spans covered by windows that aren't the first of their kind."""
     names = ["text_key", "begin", "end"]
@@ -325,7 +337,8 @@ def remove_repeats(
     nothing. Rows of one id and the same words are at one place and lose alike; rows of
     one id and other words are compared by their starts. An empty table gives no rows;
     other columns aren't read. An anchor with more than hot_segments different segments
-    is dealt out window by window, so no shard grows with one phrase.
+    goes window by window to an aggregation of equal windows instead of to a shard, so no
+    shard grows with one phrase.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.mapInArrow(_packed_texts, TEXT)
@@ -341,13 +354,11 @@ def remove_repeats(
     first = F.min(F.struct("doc_id", "start")).alias("first")
     distinct = written(segments.groupBy("anchor", "words_key", "words").agg(first, F.count("*").alias("places")).select("anchor", "words_key", "words", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "places"), "fm-distinct")
     hot = written(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "fm-hot")
-    usual = distinct.join(hot, "anchor", "left_anti").withColumns({"skip": F.lit(0), "group": F.col("anchor")})
-    grouped = usual
-    if not hot.isEmpty():
-        single = distinct.join(hot, "anchor", "left_semi").select("anchor", "words_key", "words", "doc_id", "start", "places")
-        grouped = usual.unionByName(single.mapInArrow(lambda it: _single_windows(it, window), usual.schema))
-    shards = grouped.repartition("group").sortWithinPartitions("group")
+    usual = distinct.join(hot, "anchor", "left_anti").withColumn("skip", F.lit(0))
+    shards = usual.repartition("anchor").sortWithinPartitions("anchor")
     places = shards.mapInArrow(lambda it: _shards(it, window, shard_words), FIRST_PLACES)
+    if not hot.isEmpty():
+        places = places.unionByName(_window_places(distinct.join(hot, "anchor", "left_semi"), window))
     found = segments.select("anchor", "words_key", "text_key", "doc_id", "start").join(places, ["anchor", "words_key"])
     spans = found.select("text_key", "doc_id", "start", "skip", "docs", "starts").mapInArrow(lambda it: _covered(it, window), "text_key bigint, begin int, end int")
     covered = spans.groupBy("text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))

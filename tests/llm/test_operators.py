@@ -181,6 +181,29 @@ def test_repeats(spark, docs):
     assert fm_dedup.remove_repeats(empty(spark)).collect() == []
 
 
+def test_hot_passage(spark, monkeypatch, tmp_path):
+    passage = [f"p{i}" for i in range(24)]
+    rows = [(i, " ".join([f"a{i}", f"b{i}", *passage, f"c{i}", f"d{i}"])) for i in range(150)] + [(i, " ".join([*passage[:21], f"e{i}"])) for i in range(150, 160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    usual, folder = fm_dedup._shards, str(tmp_path)
+
+    def noted(batches, window, shard_words):
+        import os
+        from collections import Counter
+
+        batches = list(batches)
+        groups = Counter(x for b in batches for x in b.column("group" if "group" in b.schema.names else "anchor").to_pylist())
+        if groups:
+            open(f"{folder}/{max(groups.values())}-{os.urandom(8).hex()}", "w").close()
+        return usual(iter(batches), window, shard_words)
+
+    whole = {r.doc_id: r.n_removed for r in fm_dedup.remove_repeats(d).collect()}
+    monkeypatch.setattr(fm_dedup, "_shards", noted)
+    out = {r.doc_id: r.n_removed for r in fm_dedup.remove_repeats(d, hot_segments=20).collect()}
+    assert out == whole == {i: 0 if i == 0 else 24 if i < 150 else 21 for i in range(160)}
+    assert max((int(f.name.split("-")[0]) for f in tmp_path.iterdir()), default=0) <= 20
+
+
 def test_fm_index():
     rng = np.random.default_rng(2)
     s = rng.integers(1, 5, 400)
