@@ -1,21 +1,20 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 Texts with the same shingle set are one class from the start. Each class has a
-signature; each of several orders of its columns is a tree in which classes lie sorted,
-and classes that share a prefix of ``depth`` columns are a region. A region of more
-than ``region`` classes is taken ``step`` columns deeper, so the depth follows the data.
-
-First each class is compared with its nearest leader: the leaders of its regions, at
-three depths, are the ends of the longest common prefixes, and the signatures pick one.
-That joins nearly all copies of a text at a cost linear in the classes. Then in each
-region where different components meet, the classes outside the region's largest
-component are compared with all classes of other components, block by block: a tile of
-two blocks gives a spanning forest of the components that its links join. Links are
-confirmed on full shingle sets.
-
-Recall: a pair at the threshold 0.85 shares a region in one of 16 orders of depth 4
-with probability 1 - 7e-6, in regions taken to depth 6 with 1 - 6e-4 (more alike, more
-likely).
+signature; each of several orders of its columns is a tree, held as the keys of its
+prefixes at three depths instead of as a sorted sequence. Classes that share a prefix of
+``depth`` columns are a region. The orders' prefixes of that depth have no column in common.
+
+First each class is compared with its nearest leader: the leaders of its regions and of
+those ``step`` and 3 ``step`` columns deeper stand for the neighbours of longest common
+prefix, and the signatures pick one. That joins nearly all copies of a text at a cost
+linear in the classes. Then in each region, however large, where different components
+meet, the classes outside the region's largest component are compared with all classes of
+other components, block by block: a tile of two blocks gives a spanning forest of the
+components that its links join. Links are confirmed on full shingle sets.
+
+Recall: a pair shares a region in one of 16 orders of depth 4 with probability 1 - 7e-6
+at the threshold 0.85 and 1 - 2.2e-4 at 0.8 (more alike, more likely).
 """
 
 from __future__ import annotations
@@ -168,7 +167,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85,
-    orders: int = 16, depth: int = 4, step: int = 2, region: int = 256, block: int = 256,
+    orders: int = 16, depth: int = 4, step: int = 2, block: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row.
 
@@ -188,8 +187,8 @@ def near_duplicates(
     classes = written(sketch.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-classes")
     depths = (depth, depth + step, depth + 3 * step)
     places = classes.select("class", "signature").mapInArrow(lambda it: _places(it, orders, depths), "class bigint, key0 bigint, key1 bigint, key2 bigint")
-    sizes = places.groupBy("key0").agg(F.count("*").alias("members")).filter("members > 1")
-    met = written(places.join(sizes, "key0"), "near-places")
+    shared = places.groupBy("key0").agg(F.count("*").alias("members")).filter("members > 1").select("key0")
+    met = written(places.join(shared, "key0"), "near-places")
 
     # the nearest leader of each class
     pairs = None
@@ -211,7 +210,7 @@ def near_duplicates(
 
     # where components meet: those outside a region's largest component with all others
     named = met.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = written(named.select("class", "component", F.when(F.col("members") > region, F.col("key1")).otherwise(F.col("key0")).alias("key")), "near-named")
+    named = written(named.select("class", "component", F.col("key0").alias("key")), "near-named")
     counted = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).filter("parts > 1").select("key", "largest", "members")
     block_of = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / block)).alias("block")

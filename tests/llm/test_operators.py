@@ -100,6 +100,31 @@ def test_near_duplicates(spark, docs, k, percent):
     assert lsh_forest.near_duplicates(empty(spark)).collect() == []
 
 
+def test_link_in_a_large_region(spark):
+    rng, hasher = random.Random(11), containment.Hasher(3)
+    sign = lambda words: lsh_forest.signature(np.unique(hasher([w.encode() for w in words])))
+    one = [f"w{i}" for i in range(60)]
+    of_one, own = sign(one), hasher([w.encode() for w in one])
+    prefixes = lambda sig, depth: [np.array_equal(sig[(4 * t + np.arange(depth)) % 64], of_one[(4 * t + np.arange(depth)) % 64]) for t in range(16)]
+    while True:  # alike, but their signatures share four columns of a single order and no deeper prefix
+        other = list(one)
+        for i in rng.sample(range(60), 4):
+            other[i] = f"x{rng.random()}"
+        shares = prefixes(sign(other), 4)
+        if sum(shares) == 1 and not any(prefixes(sign(other), 6)):
+            break
+    cols = 4 * shares.index(True) + np.arange(4)
+    least = (own[None] * lsh_forest.FACTORS[cols, None] + lsh_forest.SHIFTS[cols, None]).argmin(axis=1).tolist()
+    rows = [one, other]
+    while len(rows) < 302:  # texts of the same region that are like nothing
+        words = [w for at in least for w in [*one[at : at + 3], *(f"u{rng.random()}" for _ in range(3))]]
+        if np.array_equal(sign(words)[cols], of_one[cols]):
+            rows.append(words)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(d, percent=60).collect()}
+    assert out == {i: i if i != 1 else 0 for i in range(302)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype(np.float32)
