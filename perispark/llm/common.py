@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,22 +23,57 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir); a
-    temporary one is set only where none is named, as in tests."""
+    """The folder that the driver and all executors see (spark.checkpoint.dir). Where none is
+    named, a temporary one is set on a local master, as in tests; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="perispark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, so
-    that a lost executor costs no more than the tasks it ran, and runs the plan once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that an operator writes in the shared folder on the way to its result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """Write df as a table and read it again: cuts the lineage, so that a lost executor
+        costs no more than the tasks it ran, and runs the plan once."""
+        path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """Write df, then delete all tables written before: only the result's stays."""
+        before, self.paths = self.paths, []
+        out = self.written(df, label)
+        self.delete(before)
+        return out
+
+    def delete(self, paths: list[str]) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about so many bytes of a string column, one row at least,
+    so that what a task builds for them in Python is bounded."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import lower_words, written
+from perispark.llm.common import Scratch, lower_words
 
 #: Words hashed at a time.
 TOGETHER = 50_000
@@ -217,5 +217,5 @@ def find_items(
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003
     """docs without the documents that hold an item; documents with a null id stay."""
-    hits = written(find_items(docs, items, id_col=id_col, **how).select("doc_id").distinct(), "contaminated")
+    hits = Scratch(docs.sparkSession).written(find_items(docs, items, id_col=id_col, **how).select("doc_id").distinct(), "contaminated")
     return docs.join(hits.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)

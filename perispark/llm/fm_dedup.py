@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import list_array, words, written
+from perispark.llm.common import Scratch, list_array, words
 from perispark.llm.containment import Hasher
 
 TEXT = "text_key bigint, doc_id bigint, n_words bigint, packed binary"
@@ -273,14 +273,14 @@ def _single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-def _window_places(segments: DataFrame, window: int) -> DataFrame:
+def _window_places(segments: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """As a shard gives them, the first places of the repeated windows of hot anchors' segments.
 
     Equal windows are counted before they meet, and the first place is joined back: no task
     holds all of a window that stands in many different segments."""
     single = segments.mapInArrow(lambda it: _single_windows(it, window), "anchor bigint, words_key bigint, words binary, doc_id bigint, start int, places bigint, skip int")
     firsts = single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.sum("places").alias("places")).filter("places > 1")
-    firsts = written(firsts.select("words", "first"), "fm-windows")  # as a table, so that a skewed join with it can be split
+    firsts = scratch.written(firsts.select("words", "first"), "fm-windows")  # as a table, so that a skewed join with it can be split
     found = single.select("anchor", "words_key", "words", "skip").join(firsts, "words")
     return found.select("anchor", "words_key", "skip", F.array("first.doc_id").alias("docs"), F.array("first.start").alias("starts"))
 
@@ -342,26 +342,27 @@ def remove_repeats(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.mapInArrow(_packed_texts, TEXT)
-    noted = written(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors")
+    scratch = Scratch(docs.sparkSession)
+    noted = scratch.written(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors")
     anchors = noted.filter("anchor IS NOT NULL").select("anchor", "text_key", "start")
     place = F.xxhash64("text_key", "start")
-    more = written(anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor"), "fm-repeated")  # as a table, so that a skewed join with it can be split
+    more = scratch.written(anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor"), "fm-repeated")  # as a table, so that a skewed join with it can be split
     wanted = anchors.join(more, "anchor").groupBy("text_key").agg(F.collect_set("start").alias("starts"))
-    firsts = written(noted.filter("anchor IS NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
+    firsts = scratch.written(noted.filter("anchor IS NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
     owners = wanted.join(firsts, "text_key").withColumnRenamed("first_doc", "doc_id")
-    segments = written(texts.join(owners, ["text_key", "doc_id"]).select("text_key", "doc_id", "packed", "starts").mapInArrow(lambda it: _segments(it, window, gram), "anchor bigint, text_key bigint, doc_id bigint, start int, words binary").withColumn("words_key", F.xxhash64("words")), "fm-segments")
+    segments = scratch.written(texts.join(owners, ["text_key", "doc_id"]).select("text_key", "doc_id", "packed", "starts").mapInArrow(lambda it: _segments(it, window, gram), "anchor bigint, text_key bigint, doc_id bigint, start int, words binary").withColumn("words_key", F.xxhash64("words")), "fm-segments")
 
     first = F.min(F.struct("doc_id", "start")).alias("first")
-    distinct = written(segments.groupBy("anchor", "words_key", "words").agg(first, F.count("*").alias("places")).select("anchor", "words_key", "words", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "places"), "fm-distinct")
-    hot = written(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "fm-hot")
+    distinct = scratch.written(segments.groupBy("anchor", "words_key", "words").agg(first, F.count("*").alias("places")).select("anchor", "words_key", "words", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "places"), "fm-distinct")
+    hot = scratch.written(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "fm-hot")
     usual = distinct.join(hot, "anchor", "left_anti").withColumn("skip", F.lit(0))
     shards = usual.repartition("anchor").sortWithinPartitions("anchor")
     places = shards.mapInArrow(lambda it: _shards(it, window, shard_words), FIRST_PLACES)
     if not hot.isEmpty():
-        places = places.unionByName(_window_places(distinct.join(hot, "anchor", "left_semi"), window))
+        places = places.unionByName(_window_places(distinct.join(hot, "anchor", "left_semi"), window, scratch))
     found = segments.select("anchor", "words_key", "text_key", "doc_id", "start").join(places, ["anchor", "words_key"])
     spans = found.select("text_key", "doc_id", "start", "skip", "docs", "starts").mapInArrow(lambda it: _covered(it, window), "text_key bigint, begin int, end int")
     covered = spans.groupBy("text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    notes = firsts.join(covered, "text_key", "left")
+    notes = scratch.result(firsts.join(covered, "text_key", "left"), "fm-notes")
     whole = texts.join(notes, "text_key", "left").select("doc_id", "n_words", "packed", "first_doc", "spans")
     return whole.mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import lower_words, written
+from perispark.llm.common import Scratch, lower_words
 from perispark.llm.components import components
 from perispark.llm.containment import Hasher
 
@@ -180,15 +180,16 @@ def near_duplicates(
     component is null and they are kept. Repeated rows share a component, and each row of
     the smallest id is kept. An empty table gives no rows; other columns aren't read.
     """
+    scratch = Scratch(docs.sparkSession)
     spread = math.sqrt(64 * percent / 100 * (1 - percent / 100))
     alike = max(1, int(64 * percent / 100 - 4.6 * spread))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(rows.mapInArrow(lambda it: _sketches(it, k), SKETCH), "near-sketch")
-    classes = written(sketch.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-classes")
+    sketch = scratch.written(rows.mapInArrow(lambda it: _sketches(it, k), SKETCH), "near-sketch")
+    classes = scratch.written(sketch.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-classes")
     depths = (depth, depth + step, depth + 3 * step)
     places = classes.select("class", "signature").mapInArrow(lambda it: _places(it, orders, depths), "class bigint, key0 bigint, key1 bigint, key2 bigint")
     shared = places.groupBy("key0").agg(F.count("*").alias("members")).filter("members > 1").select("key0")
-    met = written(places.join(shared, "key0"), "near-places")
+    met = scratch.written(places.join(shared, "key0"), "near-places")
 
     # the nearest leader of each class
     pairs = None
@@ -200,33 +201,34 @@ def near_duplicates(
     signs = classes.select("class", "signature", "n")
     scored = _with_agreement(pairs.distinct(), signs, percent).filter(F.col("agree") >= alike)
     nearest = scored.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    first = written(nearest, "near-first")
+    first = scratch.written(nearest, "near-first")
 
     needed = met.select("class").distinct().join(classes.select("class", "doc_id"), "class").select("doc_id").distinct()
     texts = rows.filter("doc_id IS NOT NULL").join(needed, "doc_id", "left_semi").select("text")
-    sets = written(texts.mapInArrow(lambda it: _sets(it, k), "class bigint, own binary").groupBy("class").agg(F.min("own").alias("own")), "near-sets")
-    links = written(_verified(first, sets, percent), "near-links")
-    joined = components(links)
+    sets = scratch.written(texts.mapInArrow(lambda it: _sets(it, k), "class bigint, own binary").groupBy("class").agg(F.min("own").alias("own")), "near-sets")
+    links = scratch.written(_verified(first, sets, percent), "near-links")
+    joined = components(links, scratch)
 
     # where components meet: those outside a region's largest component with all others
     named = met.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = written(named.select("class", "component", F.col("key0").alias("key")), "near-named")
+    named = scratch.written(named.select("class", "component", F.col("key0").alias("key")), "near-named")
     counted = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).filter("parts > 1").select("key", "largest", "members")
     block_of = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / block)).alias("block")
     mixed = named.join(largest, "key").join(sets, "class").select("key", block_of, F.struct("class", "component", (F.col("component") != F.col("largest")).alias("outside"), "own").alias("one"))
-    blocks = written(mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some")), "near-blocks")
+    blocks = scratch.written(mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some")), "near-blocks")
     tiles = blocks.filter("some").select("key", F.col("part").alias("left")).join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
-    meetings = written(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint"), "near-meetings")
+    meetings = scratch.written(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint"), "near-meetings")
 
-    whole = components(meetings).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    whole = components(meetings, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = classes.select("class", "doc_id").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = ids.join(whole, "component", "left").select("class", "doc_id", F.coalesce("whole", "component").alias("component"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = ids.join(least, "component").select("class", "component_id")
     out = sketch.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    return scratch.result(out.select("doc_id", "n_shingles", component.alias("component_id"), kept), "near-result")
 
 
 def _with_agreement(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -245,5 +247,5 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003
     """docs without the documents that near_duplicates() doesn't keep. Of repeated rows of
     a kept id each stays; rows with a null id stay."""
-    gone = written(near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    gone = near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)

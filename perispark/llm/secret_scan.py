@@ -1,30 +1,34 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over other strings.
 
-A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` whose letters show an encoding
-(hex, base32, base62, base64): runs of one letter case alone are words, runs of digits
-alone numbers. Against the encoding's alphabet it takes three tests: chi-squared for
-uniform use, runs above and below the median, serial correlation at lag one; Fisher's
-method joins their p-values, and a run that isn't uniform fails.
-
-What passes is weighed against text: e = P(run | uniform) / P(run | letters of the
-corpus), with the corpus's pair frequencies outside candidates. By Markov's inequality 1/e is a p-value
-under "this is text", which falls with length as it should; the e-values of all
-candidates of all documents go through Benjamini and Hochberg's rule, so the share of
-text among what is reported stays below ``fdr``.
+A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-``. Its encoding is the smallest
+alphabet that holds its letters: digits, hex, one letter case, base32, base36, base62,
+base64; dashes and underscores between letters of one case are layout, as in a UUID.
+Against the alphabet it takes three tests: chi-squared for uniform use, runs above and
+below the median, serial correlation at lag one; Fisher's method joins their p-values,
+and a run that isn't uniform fails.
+
+What passes is weighed against text: e = P(run | uniform over a random encoding) / P(run |
+letters of the corpus), with the corpus's pair frequencies outside candidates. By Markov's
+inequality 1/e is a p-value under "this is text", which falls with length as it should;
+words, numbers and paths get an e below one. The e-values of all candidates of all
+documents go through Benjamini and Hochberg's rule, so the share of text among what is
+reported stays below ``fdr``. A run of e below one can't be reported at any threshold, so
+it counts as a candidate but doesn't take the battery.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from perispark.llm.common import list_array, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -36,16 +40,29 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.zeros(256, np.int64)
 CODE[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(1, len(LETTERS) + 1)
 SIZE = len(LETTERS) + 1
+UPPER_CASE, LOWER_CASE, DIGITS = LETTERS[:26], LETTERS[26:52], LETTERS[52:62]
+#: Alphabets from the smallest; the first that holds all letters of a run is its encoding.
 ENCODINGS = (
-    ("hex", re.compile(r"(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)"), "0123456789abcdef"),
-    ("base32", re.compile(r"(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base62", re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+"), LETTERS[:62]),
-    ("base64", re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+=*"), LETTERS[:64]),
+    ("digits", DIGITS),
+    ("hex", DIGITS + "abcdef"),
+    ("hex", DIGITS + "ABCDEF"),
+    ("lower", LOWER_CASE),
+    ("upper", UPPER_CASE),
+    ("base32", UPPER_CASE + "234567"),
+    ("base32", LOWER_CASE + "234567"),
+    ("base36", LOWER_CASE + DIGITS),
+    ("base36", UPPER_CASE + DIGITS),
+    ("base62", LETTERS[:62]),
+    ("base64", LETTERS[:64]),
+    ("base64", LETTERS[:62] + "_-"),
 )
+ALPHABETS = tuple((name, letters, frozenset(letters)) for name, letters in ENCODINGS)
+LAYOUT = str.maketrans("", "", "-_=")
 #: Bins of ln e in the histogram that sets the false-discovery threshold.
 TOP = 4096
 
 Span = tuple[int, int, str]
+SPANS = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
 def base_spans(text: str) -> list[Span]:
@@ -60,9 +77,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def encoding(run: str) -> tuple[str, str] | None:
-    """The first encoding whose letters the run shows, and its alphabet."""
-    return next(((name, letters) for name, pattern, letters in ENCODINGS if pattern.fullmatch(run)), None)
+def encoding(run: str) -> tuple[str, str, str] | None:
+    """The run's encoding, its alphabet, and the letters to test: without padding, and
+    without dashes and underscores where the others are of one case."""
+    shown = frozenset(run) - {"="}
+    plain = shown - {"-", "_"}
+    for name, letters, every in ALPHABETS[:9]:
+        if plain <= every:
+            return name, letters, run.translate(LAYOUT)
+    for name, letters, every in ALPHABETS[9:]:
+        if shown <= every:
+            return name, letters, run.rstrip("=")
+    return None
 
 
 def _upper_tail(chi2: float, df: float) -> float:
@@ -73,8 +99,7 @@ def _upper_tail(chi2: float, df: float) -> float:
 
 def battery(run: str, letters: str) -> float:
     """Fisher's joint p-value of the three tests, under "letters drawn uniformly"."""
-    run = run.rstrip("=")
-    x = np.array([letters.find(c) for c in (run.lower() if len(letters) == 16 else run)])
+    x = np.array([letters.find(c) for c in run])
     x = x[x >= 0]
     n, size = len(x), len(letters)
     if n < 8:
@@ -95,16 +120,28 @@ def battery(run: str, letters: str) -> float:
     return _upper_tail(-2 * sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial)), 6)
 
 
-def candidates(text: str, logs: np.ndarray, alpha: float) -> list[tuple[int, int, float]]:
-    """Start, end and ln e of the runs that pass the battery; logs: ln P(letter | letter before)."""
-    found = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        if (kind := encoding(run)) and battery(run, kind[1]) >= alpha:
-            codes = CODE[np.frombuffer(run.encode(), np.uint8)]
-            before = np.concatenate(([0], codes[:-1]))
-            found.append((m.start(), m.end(), -len(codes) * math.log(len(kind[1])) - float(logs[before, codes].sum())))
-    return found
+def weights(runs: list[str], kinds: list[tuple[str, str, str] | None], logs: np.ndarray) -> np.ndarray:
+    """ln e of each run; logs: ln P(letter | letter before), over CODE. The uniform side draws an
+    encoding, then each character from its alphabet and one more for layout."""
+    codes = CODE[np.frombuffer(" ".join(runs).encode(), np.uint8)]
+    text = logs[np.concatenate(([0], codes[:-1])), codes]
+    lengths = np.array([len(r) for r in runs])
+    starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
+    sums = np.concatenate(([0.0], np.cumsum(np.where(codes > 0, text, 0.0))))
+    sizes = np.array([len(k[1]) + 1 if k else 1 << 20 for k in kinds])
+    return -lengths * np.log(sizes) - math.log(len(ENCODINGS)) - (sums[starts + lengths] - sums[starts])
+
+
+def candidates(text: str, logs: np.ndarray, alpha: float) -> tuple[int, list[tuple[int, int, float]]]:
+    """The number of candidates, and start, end and ln e of those with e above one that pass the battery."""
+    places = [m.span() for m in RUN.finditer(text)]
+    if not places:
+        return 0, []
+    runs = [text[s:e] for s, e in places]
+    kinds = [encoding(r) for r in runs]
+    e = weights(runs, kinds, logs)
+    found = [(*places[i], float(e[i])) for i in np.flatnonzero(e > 0) if kinds[i] and battery(kinds[i][2], kinds[i][1]) >= alpha]
+    return sum(k is not None for k in kinds), found
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +149,7 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             # what may be encoded doesn't belong to the model of text
-            plain = RUN.sub(lambda m: " " if encoding(m.group()) else m.group(), text or "")
-            raw = plain.encode("utf-8", "surrogatepass")
+            raw = RUN.sub(" ", text or "").encode("utf-8", "surrogatepass")
             for lo in range(0, len(raw), 1 << 20):
                 codes = CODE[np.frombuffer(raw[max(0, lo - 1) : lo + (1 << 20)], np.uint8)]
                 total += np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE)
@@ -122,11 +158,14 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bins(batches: Iterator[pa.RecordBatch], logs: np.ndarray, alpha: float) -> Iterator[pa.RecordBatch]:
+    """How many candidates have each ln e; bin 0 holds those that can't be reported."""
     total = np.zeros(TOP + 1, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for _, _, e in candidates(text or "", logs, alpha):
-                total[min(TOP, max(0, int(e * 8)))] += 1
+            n, found = candidates(text or "", logs, alpha)
+            total[0] += n - len(found)
+            for _, _, e in found:
+                total[min(TOP, int(e * 8))] += 1
     keys = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total[keys])], ["bin", "n"])
 
@@ -134,20 +173,47 @@ def _bins(batches: Iterator[pa.RecordBatch], logs: np.ndarray, alpha: float) ->
 def threshold(bins: dict[int, int], fdr: float) -> float:
     """Least ln e to report: the largest k with e(k) >= m / (k fdr)."""
     m, k, least = sum(bins.values()), 0, math.inf
-    for b in sorted(bins, reverse=True):
+    for b in sorted((b for b in bins if b), reverse=True):
         k += bins[b]
         if b / 8 >= math.log(m / (k * fdr)):
             least = b / 8
     return least
 
 
+def outside(start: int, end: int, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of start to end that the taken spans, in order of their starts, leave."""
+    for s, e, _ in taken:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def spans(text: str, logs: np.ndarray, alpha: float, least: float) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans in order: the method adds those outside base spans."""
+    """Base spans, and all spans in order: the method adds what base spans leave of its runs."""
     base = base_spans(text)
-    more = [(s, e, "random") for s, e, x in candidates(text, logs, alpha) if x >= least and not any(a < e and s < b for a, b, _ in base)]
+    more = [(s, e, "random") for lo, hi, x in candidates(text, logs, alpha)[1] if x >= least for s, e in outside(lo, hi, base)]
     return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _span_lists(rows: list[list[Span]]) -> pa.Array:
+    flat = [x for r in rows for x in r]
+    kinds = (pa.int64(), pa.int64(), pa.string())
+    struct = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate(kinds)], ["start", "end", "kind"])
+    return list_array(struct, np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
+
+
+def _found(batches: Iterator[pa.RecordBatch], text_col: str, logs: np.ndarray, alpha: float, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, text_col):
+            rows = [spans(t or "", logs, alpha, least) for t in part.column(text_col).to_pylist()]
+            both = pa.StructArray.from_arrays([_span_lists([r[i] for r in rows]) for i in (0, 1)], ["base", "spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, both], [*part.schema.names, "secrets"])
+
+
 def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3, fdr: float = 0.01) -> DataFrame:
     """docs with the added column ``secrets``: struct(base, spans), arrays of struct(start, end, kind).
 
@@ -167,45 +233,46 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3
     alone = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * len(LETTERS))
     logs = np.zeros((SIZE, SIZE))
     logs[:, 1:] = np.log((pairs + 10 * alone) / (pairs.sum(axis=1, keepdims=True) + 10))  # rare letters' rows lean on all
-    bins = {r.bin: r.n for r in text.mapInArrow(lambda it: _bins(it, logs, alpha), "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    binned = text.mapInArrow(lambda it: _bins(it, logs, alpha), "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n"))
+    bins = {r.bin: r.n for r in binned.collect()}
     least = threshold(bins, fdr)
 
-    @F.pandas_udf("base array<struct<start:bigint,end:bigint,kind:string>>, spans array<struct<start:bigint,end:bigint,kind:string>>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [spans(t or "", logs, alpha, least) for t in texts]
-        as_dicts = lambda xs: [{"start": s, "end": e, "kind": k} for s, e, k in xs]
-        return pd.DataFrame({"base": [as_dicts(b) for b, _ in rows], "spans": [as_dicts(a) for _, a in rows]})
-
-    return docs.withColumn("secrets", found(F.col(text_col).cast("string")))
+    docs = docs.drop("secrets").withColumn(text_col, F.col(text_col).cast("string"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("secrets", T.StructType.fromDDL(f"base {SPANS}, spans {SPANS}"))])
+    return docs.mapInArrow(lambda it: _found(it, text_col, logs, alpha, least), schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per row of find_secrets(): counts by kind, the base's hash, all spans as text."""
-    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    shown = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    joined = lambda c: F.array_join(F.transform(c, shown), ",")
     count = lambda k: F.size(F.filter("secrets.base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col(id_col), count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("secrets.base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets.spans")).alias("spans"))
+    return found.select(
+        F.col(id_col), count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.col("secrets.base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets.spans")).alias("spans"),
+    )
+
+
+def cut(text: str | None, found: list[dict] | None, mark: str) -> str | None:
+    if text is None or not found:
+        return text
+    parts, at = [], 0
+    for s, e in sorted((x["start"], x["end"]) for x in found):
+        if s >= at:
+            parts += [text[at:s], mark]
+        at = max(at, e)
+    return "".join(parts) + text[at:]
+
+
+def _redacted(batches: Iterator[pa.RecordBatch], text_col: str, mark: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, text_col):
+            texts, every = part.column(text_col).to_pylist(), part.column("secrets").to_pylist()
+            new = pa.array([cut(t, x and x["spans"], mark) for t, x in zip(texts, every, strict=True)], pa.string())
+            names = [n for n in part.schema.names if n != "secrets"]
+            yield pa.RecordBatch.from_arrays([new if n == text_col else part.column(n) for n in names], names)
 
 
 def redact(found: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """find_secrets() rows with each run of overlapping spans replaced by the mark; drops the spans."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, every: pd.Series) -> pd.Series:
-        out = []
-        for text, found_spans in zip(texts, every, strict=True):
-            if text is None or not len(found_spans):
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for s, e in sorted((x["start"], x["end"]) for x in found_spans):
-                if s >= at:
-                    parts += [text[at:s], mark]
-                at = max(at, e)
-            out.append("".join(parts) + text[at:])
-        return pd.Series(out, dtype=object)
-
-    return found.withColumn(text_col, cut(F.col(text_col).cast("string"), F.col("secrets.spans"))).drop("secrets")
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    return found.mapInArrow(lambda it: _redacted(it, text_col, mark), found.drop("secrets").schema)

@@ -20,19 +20,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from perispark.llm.common import held_out, list_array, written
+from perispark.llm.common import Scratch, held_out, list_array, slices
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 WORD = re.compile(r"[^\W_]+")
 DIM = 1 << 18
 PREFIXES = (4, 5, 6)
 #: Words kept in a task's cache before it is emptied.
-CACHE = 300_000
+CACHE = 100_000
+OFFENDING = "array<struct<start:bigint,end:bigint,score:double>>"
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -117,12 +118,19 @@ class Model:
             x = self.cache[w] = float(self.weights[list(features(w))].sum())
         return x
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's score and each sentence's span and score; an empty text is one empty sentence."""
-        where = sentences(text)
-        z = np.array([sum(map(self.word, WORD.findall(text[s:e].lower()))) for s, e in where] or [0.0]) + self.bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return float(-np.expm1(np.log1p(-p).sum())), [(s, e, float(x)) for (s, e), x in zip(where, p, strict=False)]
+    def instances(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Each sentence's span and score; an empty text is one empty sentence."""
+        where = sentences(text) or [(0, 0)]
+        z = np.array([sum(map(self.word, WORD.findall(text[s:e].lower()))) for s, e in where]) + self.bias
+        return where, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def score(self, text: str) -> float:
+        """The document's score: the noisy-or of its sentences'."""
+        return noisy_or(self.instances(text)[1])
+
+
+def noisy_or(p: np.ndarray) -> float:
+    return float(-np.expm1(np.log1p(-p).sum()))
 
 
 def train(
@@ -142,10 +150,12 @@ def train(
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(chosen.select("_id", "_y")), "_id")  # max_rows ids of each class
-    bags = written(rows.select("_text", "_y").repartition(12).mapInArrow(_bags, "label double, features array<int>, starts array<int>"), "toxicity-bags")
+    scratch = Scratch(docs.sparkSession)
+    bags = scratch.written(rows.repartition("_id").select("_text", "_y").mapInArrow(_bags, "label double, features array<int>, starts array<int>"), "toxicity-bags")
     counts = bags.agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     weights, bias = np.zeros(DIM), -5.0
     if not counts.clean or not counts.toxic:
+        scratch.delete(scratch.paths)
         return Model(weights, 30.0 if counts.toxic else -30.0)
     seen = bags.mapInArrow(_frequencies, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     both, here = F.col("clean") + F.col("toxic"), lambda n, share: F.when(n > 0, n * F.log(n / share)).otherwise(0.0)
@@ -154,7 +164,7 @@ def train(
     chosen = np.array(sorted(r.feature for r in seen.filter(g >= least_g).select("feature").collect()), np.int64)  # at most DIM
     send = docs.sparkSession.sparkContext.broadcast
     sent = send(chosen)
-    small = written(bags.mapInArrow(lambda it: _kept(it, sent.value), "label double, features array<int>, starts array<int>, empty bigint"), "toxicity-kept")
+    small = scratch.written(bags.mapInArrow(lambda it: _kept(it, sent.value), "label double, features array<int>, starts array<int>, empty bigint"), "toxicity-kept")
     m = v = np.zeros(len(chosen) + 1)
     x = np.append(np.zeros(len(chosen)), bias)
     for t in range(1, steps + 1):
@@ -162,27 +172,50 @@ def train(
         grad = sum(np.frombuffer(r.grad) for r in parts) / max(1, sum(r.rows for r in parts)) - decay * np.append(x[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         x = x + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    scratch.delete(scratch.paths)
     weights[chosen] = x[:-1]
     return Model(weights, float(x[-1]))
 
 
-def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def _scored(batches: Iterator[pa.RecordBatch], text_col: str, model: Model, least: float | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, text_col):
+            scores, starts, ends, each, offsets = [], [], [], [], [0]
+            for text in part.column(text_col).to_pylist():
+                where, p = model.instances(text or "")
+                scores.append(noisy_or(p))
+                if least is not None:
+                    for i in np.flatnonzero(p >= least):
+                        starts.append(where[i][0])
+                        ends.append(where[i][1])
+                        each.append(float(p[i]))
+                    offsets.append(len(starts))
+            score = pa.array(scores, pa.float64())
+            columns = [score, pa.array([int(x >= 0.5) for x in scores], pa.int32())]
+            names = ["score", "predicted"]
+            if least is not None:
+                spans = pa.StructArray.from_arrays(
+                    [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(each, pa.float64())], ["start", "end", "score"]
+                )
+                columns.append(list_array(spans, offsets))
+                names.append("offending")
+            struct = pa.StructArray.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, "toxicity"])
+
+
+def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float | None = 0.5) -> DataFrame:
     """docs with the added column ``toxicity``: struct(score, predicted, offending), where
-    offending lists struct(start, end, score) of the sentences of ``least`` and above.
+    offending lists struct(start, end, score) of the sentences of ``least`` and above; with
+    least None the struct has no such field.
 
     Null texts count as empty, and an empty text as one sentence without words. Rows are
     scored alone: repeated rows give repeated results, an empty table none. An existing
     column named toxicity is replaced; other columns stay.
+
+    Scale: one scan, no shuffle; a task holds the results of about 1 MB of text at a time.
     """
+    docs = docs.drop("toxicity").withColumn(text_col, F.col(text_col).cast("string"))
+    kind = "score double, predicted int" + (f", offending {OFFENDING}" if least is not None else "")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.StructType.fromDDL(kind))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("score double, predicted int, offending array<struct<start:bigint,end:bigint,score:double>>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        rows = [sent.value.score(t or "") for t in texts]
-        return pd.DataFrame({
-            "score": [p for p, _ in rows],
-            "predicted": np.array([p >= 0.5 for p, _ in rows], np.int32),
-            "offending": [[{"start": s, "end": e, "score": x} for s, e, x in each if x >= least] for _, each in rows],
-        })
-
-    return docs.withColumn("toxicity", scored(F.col(text_col).cast("string")))
+    return docs.mapInArrow(lambda it: _scored(it, text_col, sent.value, least), schema)
