@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perispark.llm import byte_pairs, containment, lsh_forest, secret_scan, toxicity
-from perispark.llm.common import read, written
+from perispark.llm.common import Scratch, read
 from perispark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).filter("toxicity.predicted = 0").select(*COLUMNS)
+    return toxicity.score_documents(docs, model, least=None).filter("toxicity.predicted = 0").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark; n_chars follows; all documents stay."""
-    return secret_scan.redact(secret_scan.find_secrets(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    redacted = secret_scan.redact(secret_scan.find_secrets(docs))
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each stage's result written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.result(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
