@@ -1,20 +1,25 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
-Texts with the same shingle set are one class from the start. Each class has a
-signature; each of several orders of its columns is a tree, held as the keys of its
-prefixes at three depths instead of as a sorted sequence. Classes that share a prefix of
-``depth`` columns are a region. The orders' prefixes of that depth have no column in common.
-
-First each class is compared with its nearest leader: the leaders of its regions and of
-those ``step`` and 3 ``step`` columns deeper stand for the neighbours of longest common
-prefix, and the signatures pick one. That joins nearly all copies of a text at a cost
-linear in the classes. Then in each region, however large, where different components
-meet, the classes outside the region's largest component are compared with all classes of
-other components, block by block: a tile of two blocks gives a spanning forest of the
-components that its links join. Links are confirmed on full shingle sets.
-
-Recall: a pair shares a region in one of 16 orders of depth 4 with probability 1 - 7e-6
-at the threshold 0.85 and 1 - 2.2e-4 at 0.8 (more alike, more likely).
+Texts with the same shingle set are one class from the start. Each class has a signature;
+each of several orders of its columns is a tree, held as a sorted sequence: Spark sorts the
+classes by a number for their first ``depth`` columns and then by the following ones, so
+classes with a common prefix stand together. Those that share ``depth`` columns are a
+region. The orders' prefixes of that depth have no column in common.
+
+First, in each sorted order, a class meets its neighbours of longest common prefix: the one
+before it, and the first that shares as long a prefix. So the depth of a comparison follows
+the region: where many are alike it is deep, elsewhere shallow. Sorting is split into
+ranges, so a region may be cut; its first class by a hash stands for the whole of it. The
+signatures then pick one partner for each class. That joins nearly all copies of a text at
+a cost linear in the classes. Then in each region, however large, where different
+components meet, the classes outside the region's largest component are compared with all
+classes of other components, block by block: a tile of two blocks drops the pairs whose
+signatures are too unlike, and gives a spanning forest of the components that the others'
+links join. Links are confirmed on full shingle sets.
+
+Recall: a pair shares a region in one of 16 orders of depth 4 with probability 1 - 7e-6 at
+the threshold 0.85 and 1 - 2.2e-4 at 0.8 (more alike, more likely), in regions of every
+size; its signatures then agree enough with probability 1 - 9e-6 and 1 - 5e-6.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ _RANDOM = np.random.default_rng(20_240_601)
 FACTORS = (_RANDOM.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64)
 SKETCH = "doc_id bigint, n_shingles bigint, class bigint, signature binary"
+PLACES = "class bigint, key bigint, upper bigint, lower bigint"
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -60,7 +66,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             out.append((doc_id, len(own), class_of(own) if some else None, signature(own).tobytes() if some else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_shingles", "class", "signature"])
+        columns = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "signature"])
 
 
 def _mixed(columns: np.ndarray, seed: int) -> np.ndarray:
@@ -71,24 +78,74 @@ def _mixed(columns: np.ndarray, seed: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _places(batches: Iterator[pa.RecordBatch], orders: int, depths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and order: the keys of its prefixes at the given depths."""
+#: Columns by which a sorted order goes on below its regions, of 16 bits each in two longs.
+DEEPER = 8
+
+
+def _places(batches: Iterator[pa.RecordBatch], orders: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """A row for each class and order: the region's number, then the columns below."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, 64).astype(np.uint64)
         for t in range(orders):
-            start = 64 * t // orders
-            keys = [pa.array(_mixed(sig[:, (start + np.arange(d)) % 64], t)) for d in depths]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *keys], ["class", *(f"key{i}" for i in range(len(depths)))])
+            at = (64 * t // orders + np.arange(depth + DEEPER)) % 64
+            low = sig[:, at[depth:]] & np.uint64(0xFFFF)
+            halves = [low[:, h : h + 4] << np.uint64(16) * np.arange(4, dtype=np.uint64)[::-1] for h in (0, 4)]
+            below = [pa.array(np.bitwise_or.reduce(h, axis=1).view(np.int64)) for h in halves]
+            columns = [batch.column(0), pa.array(_mixed(sig[:, at[:depth]], t)), *below]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "key", "upper", "lower"])
+
+
+def common_prefix(key: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """For each row but the first, how many columns below the region it shares with the one before; -1 in another region."""
+    columns = [(x >> np.int64(s)) & 0xFFFF for x in (upper, lower) for s in (48, 32, 16, 0)]
+    same = np.cumprod([(x[1:] == x[:-1]) for x in columns], axis=0).sum(axis=0)
+    return np.where(key[1:] == key[:-1], same, -1)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted places, (a, b, first): each class with the one before it and with the first
+    one of the longest prefix it shares with that, which is marked."""
+    last: tuple | None = None
+    for batch in batches:
+        names, *where = (batch.column(c).to_numpy() for c in ("class", "key", "upper", "lower"))
+        if not len(names):
+            continue
+        if last is None:
+            leaders = np.full(DEEPER + 1, names[0])
+            before = [names[:1], *(x[:1] for x in where)]
+            skip = 1
+        else:
+            before, leaders, skip = last[0], last[1], 0
+        names = np.concatenate((before[0], names[skip:]))
+        where = [np.concatenate((x, y[skip:])) for x, y in zip(before[1:], where, strict=True)]
+        shared = common_prefix(*where)
+        index = np.arange(1, len(names))
+        firsts = []
+        for d in range(DEEPER + 1):  # the first class of the run that shares d columns below the region
+            start = np.maximum.accumulate(np.where(shared < d, index, 0))
+            firsts.append(np.where(start > 0, names[start], leaders[d]))
+        firsts = np.array(firsts)
+        met = np.flatnonzero(shared >= 0)
+        first = firsts[shared[met], met]
+        a = np.concatenate((names[1:][met], names[1:][met]))
+        b = np.concatenate((names[:-1][met], first))
+        marked = np.repeat([False, True], len(met))
+        keep = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(marked[keep])], ["a", "b", "first"])
+        if len(names) > 1:
+            leaders = firsts[:, -1]
+        last = [names[-1:], *(x[-1:] for x in where)], leaders
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(k)
     for batch in batches:
         sets = [np.unique(hasher(lower_words(t))) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["class", "own"])
+        columns = [pa.array([class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["class", "own"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -101,11 +158,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), 64)
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = batch.num_rows
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, 64) for c in ("sig_a", "sig_b"))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
+        agree = (_signatures(batch.column("sig_a")) == _signatures(batch.column("sig_b"))).sum(axis=1)
+        columns = [batch.column("a"), batch.column("b"), batch.column("first"), pa.array(agree.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "first", "agree"])
 
 
 def spanning(pairs: np.ndarray) -> list[list[int]]:
@@ -126,25 +187,34 @@ def spanning(pairs: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int, alike: int) -> Iterator[pa.RecordBatch]:
     """Components that links between the outside classes of the left block and the right
-    block's classes of other components join: no more pairs than components in the tile."""
+    block's classes of other components join: no more pairs than components in the tile.
+    Sets are looked at only of classes that some pair of ``alike`` agreeing columns needs."""
     for batch in batches:
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
             x, y = left.values, right.values
             take = lambda part, name: part.field(name).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(take(x, "outside"))
-            own_a, own_b = (p.field("own").to_pylist() for p in (x, y))
-            sets_a, sets_b = [np.frombuffer(own_a[i], np.uint64) for i in keep], [np.frombuffer(o, np.uint64) for o in own_b]
-            size_a, size_b = (np.array([len(s) for s in sets]) for sets in (sets_a, sets_b))
-            fits = 100 * np.minimum(size_a[:, None], size_b[None, :]) >= percent * np.maximum(size_a[:, None], size_b[None, :])
-            ids_a, ids_b = take(x, "class")[keep], take(y, "class")
-            of_a, of_b = take(x, "component")[keep], take(y, "component")
+            outer = np.flatnonzero(take(x, "outside"))
+            sig_a, sig_b = _signatures(x.field("signature"))[outer], _signatures(y.field("signature"))
+            fits = np.zeros((len(outer), len(y)), np.int16)
+            for j in range(64):
+                fits += sig_a[:, j][:, None] == sig_b[:, j][None, :]
+            fits = fits >= alike
+            n_a, n_b = take(x, "n")[outer], take(y, "n")
+            fits &= 100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :])
+            ids_a, ids_b = take(x, "class")[outer], take(y, "class")
+            of_a, of_b = take(x, "component")[outer], take(y, "component")
             fits &= of_a[:, None] != of_b[None, :]
             fits &= ~take(y, "outside").astype(bool)[None, :] | (ids_a[:, None] < ids_b[None, :])
-            a, b = np.nonzero(fits)
-            if not len(a):
+            some_a, some_b = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+            if not len(some_a):
                 continue
+            fits, of_a, of_b = fits[np.ix_(some_a, some_b)], of_a[some_a], of_b[some_b]
+            own_a, own_b = x.field("own").take(pa.array(outer[some_a])), y.field("own").take(pa.array(some_b))
+            sets_a, sets_b = ([np.frombuffer(o, np.uint64) for o in own.to_pylist()] for own in (own_a, own_b))
+            size_a, size_b = (np.array([len(v) for v in sets]) for sets in (sets_a, sets_b))
+            a, b = np.nonzero(fits)
             # shared shingles by a product of membership tables, a slice of the shingles at a time
             every, at = np.unique(np.concatenate(sets_a), return_inverse=True)
             rows = np.repeat(np.arange(len(sets_a)), size_a)
@@ -161,13 +231,14 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
                 shared += (left_table @ right_table.T).astype(np.int64)
             k = shared[a, b]
             linked = 100 * k >= percent * (size_a[a] + size_b[b] - k)
-            joins = np.array(spanning(np.unique(np.stack([of_a[a[linked]], of_b[b[linked]]], axis=1), axis=0)), np.int64).reshape(-1, 2)
+            meet = np.unique(np.stack([of_a[a[linked]], of_b[b[linked]]], axis=1), axis=0)
+            joins = np.array(spanning(meet), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(joins[:, 0]), pa.array(joins[:, 1])], ["a", "b"])
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85,
-    orders: int = 16, depth: int = 4, step: int = 2, block: int = 256,
+    orders: int = 16, depth: int = 4, block: int = 256,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row.
 
@@ -185,43 +256,51 @@ def near_duplicates(
     alike = max(1, int(64 * percent / 100 - 4.6 * spread))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch.written(rows.mapInArrow(lambda it: _sketches(it, k), SKETCH), "near-sketch")
-    classes = scratch.written(sketch.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-classes")
-    depths = (depth, depth + step, depth + 3 * step)
-    places = classes.select("class", "signature").mapInArrow(lambda it: _places(it, orders, depths), "class bigint, key0 bigint, key1 bigint, key2 bigint")
-    shared = places.groupBy("key0").agg(F.count("*").alias("members")).filter("members > 1").select("key0")
-    met = scratch.written(places.join(shared, "key0"), "near-places")
-
-    # the nearest leader of each class
-    pairs = None
-    for key in ("key0", "key1", "key2"):
-        # a leader by a hash with the key, so that orders have different ones
-        leader = met.groupBy(key).agg(F.min_by("class", F.xxhash64("class", key)).alias("b"))
-        part = met.select(key, F.col("class").alias("a")).join(leader, key).filter("a != b").select("a", "b")
-        pairs = part if pairs is None else pairs.union(part)
+    least = (F.min(x).alias(y) for x, y in (("doc_id", "doc_id"), ("n_shingles", "n"), ("signature", "signature")))
+    classes = scratch.written(sketch.filter("class IS NOT NULL").groupBy("class").agg(*least), "near-classes")
     signs = classes.select("class", "signature", "n")
-    scored = _with_agreement(pairs.distinct(), signs, percent).filter(F.col("agree") >= alike)
-    nearest = scored.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    first = scratch.written(nearest, "near-first")
+    places = classes.select("class", "signature").mapInArrow(lambda it: _places(it, orders, depth), PLACES)
+    shared = places.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    met = scratch.written(places.join(shared, "key").select("class", "key", "upper", "lower"), "near-places")
+
+    # neighbours of longest common prefix in the sorted orders, and a region's first class by a hash
+    # with the region, so that orders have different ones
+    order = ("key", "upper", "lower")
+    placed = met.repartitionByRange(*order).sortWithinPartitions(*order, "class")
+    pairs = placed.mapInArrow(_neighbours, "a bigint, b bigint, first boolean")
+    leader = met.groupBy("key").agg(F.min_by("class", F.xxhash64("class", "key")).alias("b"))
+    led = met.select("key", F.col("class").alias("a")).join(leader, "key").filter("a != b").select("a", "b", F.lit(True).alias("first"))
+    pairs = pairs.union(led).groupBy("a", "b").agg(F.max("first").alias("first"))
+    scored = _with_agreement(pairs, signs, percent).filter(F.col("agree") >= alike)
+    # the first ones of prefixes before the class next to it, so that groups hang on one class instead of falling into pairs
+    first = scratch.written(scored.groupBy("a").agg(F.max_by("b", F.struct("first", "agree", "b")).alias("b")), "near-first")
 
     needed = met.select("class").distinct().join(classes.select("class", "doc_id"), "class").select("doc_id").distinct()
     texts = rows.filter("doc_id IS NOT NULL").join(needed, "doc_id", "left_semi").select("text")
-    sets = scratch.written(texts.mapInArrow(lambda it: _sets(it, k), "class bigint, own binary").groupBy("class").agg(F.min("own").alias("own")), "near-sets")
+    sets = texts.mapInArrow(lambda it: _sets(it, k), "class bigint, own binary").groupBy("class").agg(F.min("own").alias("own"))
+    sets = scratch.written(sets, "near-sets")
     links = scratch.written(_verified(first, sets, percent), "near-links")
-    joined = components(links, scratch)
+    joined = components(links, scratch).withColumnRenamed("node", "class")
 
     # where components meet: those outside a region's largest component with all others
-    named = met.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = scratch.written(named.select("class", "component", F.col("key0").alias("key")), "near-named")
+    named = met.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = scratch.written(named.select("class", "component", "key"), "near-named")
     counted = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.count("*").alias("parts")).filter("parts > 1").select("key", "largest", "members")
+    biggest = F.max_by("component", F.struct("n", "component")).alias("largest")
+    largest = counted.groupBy("key").agg(biggest, F.sum("n").alias("members"), F.count("*").alias("parts"))
+    largest = largest.filter("parts > 1").select("key", "largest", "members")
     block_of = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / block)).alias("block")
-    mixed = named.join(largest, "key").join(sets, "class").select("key", block_of, F.struct("class", "component", (F.col("component") != F.col("largest")).alias("outside"), "own").alias("one"))
-    blocks = scratch.written(mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some")), "near-blocks")
-    tiles = blocks.filter("some").select("key", F.col("part").alias("left")).join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
-    meetings = scratch.written(tiles.mapInArrow(lambda it: _tiles(it, percent), "a bigint, b bigint"), "near-meetings")
+    outside = (F.col("component") != F.col("largest")).alias("outside")
+    one = F.struct("class", "component", outside, "n", "signature", "own").alias("one")
+    mixed = named.join(largest, "key").join(sets.join(signs, "class"), "class").select("key", block_of, one)
+    parts = mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some"))
+    blocks = scratch.written(parts, "near-blocks")
+    left = blocks.filter("some").select("key", F.col("part").alias("left"))
+    tiles = left.join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
+    meetings = scratch.written(tiles.mapInArrow(lambda it: _tiles(it, percent, alike), "a bigint, b bigint"), "near-meetings")
 
     whole = components(meetings, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    ids = classes.select("class", "doc_id").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    ids = classes.select("class", "doc_id").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     ids = ids.join(whole, "component", "left").select("class", "doc_id", F.coalesce("whole", "component").alias("component"))
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = ids.join(least, "component").select("class", "component_id")
@@ -232,11 +311,11 @@ def near_duplicates(
 
 
 def _with_agreement(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree) of the pairs whose sizes allow a link; agree: equal signature values."""
+    """(a, b, first, agree) of the pairs whose sizes allow a link; agree: equal signature values."""
     side = lambda x: signs.select(F.col("class").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     fits: Column = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(fits)
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a bigint, b bigint, agree int")
+    return both.select("a", "b", "first", "sig_a", "sig_b").mapInArrow(_agreeing, "a bigint, b bigint, first boolean, agree int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
