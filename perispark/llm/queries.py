@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,33 @@ def _sets(k: int, table: str, key: str) -> str:
     FROM (SELECT {key}, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table} WHERE text IS NOT NULL)"""
 
 
+def _licenses(containment: float = 0.85) -> str:
+    """SQL of the license scan: every run of words is held against every template."""
+    templates = []
+    for label, text in license_join.TEMPLATES:
+        own = sorted(set(text.lower().split()))
+        width, need = math.ceil(len(text.split()) / containment), math.ceil(containment * len(own) - 1e-9)
+        templates.append(f"('{label}', {own}, {width}, {need})")
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS place, '{label}' AS label FROM d"
+        for p, label in license_join.PHRASES
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(label, own, width, need) AS (VALUES {", ".join(templates)}),
+near AS (SELECT doc_id, label, own, width, need, w, unnest(range(1, len(w) + 1)) AS i FROM d JOIN t ON len(list_intersect(own, w)) >= need),
+found AS (SELECT doc_id, label, max(len(list_intersect(own, w[i:i + width - 1]))) AS k, any_value(need) AS need, any_value(len(own)) AS n
+  FROM near GROUP BY doc_id, label HAVING k >= any_value(need)),
+m AS (SELECT doc_id, list(label) AS labels, max(k / CAST(n AS DOUBLE)) AS score FROM found GROUP BY doc_id),
+b AS ({base}),
+s AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(label) AS labels FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(list_distinct(s.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(s.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(m.score, 0) END AS score
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
 ORACLE_SQL = {
     "op4_near_dedup": f"""
 WITH RECURSIVE sets AS ({_sets(3, "documents", "doc_id")}),
@@ -92,6 +121,16 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_z
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
+    "op6_license_scan": _licenses(),
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+firsts AS (SELECT g, min({'d': doc_id, 'i': i}) AS f FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS p FROM win JOIN firsts USING (g)
+  WHERE {'d': doc_id, 'i': i} > f GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, j: p IS NULL OR NOT list_contains(p, j)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
     "op10_decontamination": f"""
 WITH sets AS ({_sets(5, "documents", "doc_id")}), items AS ({_sets(5, "benchmark", "item_id")}),
 sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
