@@ -27,7 +27,10 @@ OPERATORS = (
     ("verisigndns.com", "Verisign"), ("akamaiedge.net", "Akamai"), ("akam.net", "Akamai"),
 )
 
-CANTONS = tuple("bs zh be ag sg lu ti vd ge vs fr so tg gr ne sz zg gl nw ow ur ai ar sh bl ju".split())
+CANTONS = (
+    "bs", "zh", "be", "ag", "sg", "lu", "ti", "vd", "ge", "vs", "fr", "so", "tg", "gr", "ne", "sz", "zg", "gl", "nw", "ow", "ur", "ai",
+    "ar", "sh", "bl", "ju",
+)
 # keyword -> sector, subsector, confidence, in order
 SECTORS = (
     ("kantonalbank", "finance", "banking", 0.9), ("sparkasse", "finance", "banking", 0.8), ("bank", "finance", "banking", 0.7),

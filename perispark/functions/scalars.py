@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -225,13 +226,21 @@ def version_in_range(v: Column, low: Column, high: Column) -> Column:
 
 
 def ns_operator(host: Column) -> Column:
-    h = F.lower(F.regexp_replace(host, r"\.+$", ""))
-    known = _first_rule(rules.OPERATORS, ("suffix", "name"), lambda r: F.endswith(h, r["suffix"]))["name"]
+    """The operator of a nameserver host: of the first suffix it ends in, else its registrable domain.
+
+    The suffix is found by one pattern and named by a map, so a host is gone through once. The pattern
+    takes the longest suffix; where two rules fit a host, they name the same operator (a test holds that).
+    """
+    h = F.lower(F.rtrim(host, F.lit(".")))
+    names = dict(reversed(rules.OPERATORS))
+    suffix = F.regexp_extract(h, f"(?:{'|'.join(re.escape(s) for s in names)})$", 0)
+    name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    known = F.when(suffix != "", F.try_element_at(name, suffix))
     return F.coalesce(known, F.when(F.contains(h, F.lit("awsdns")), "AWS Route53"), registrable_domain(h))
 
 
 def registrable_domain(host: Column) -> Column:
-    parts = F.split(F.regexp_replace(host, r"\.+$", ""), r"\.")
+    parts = F.split(F.rtrim(host, F.lit(".")), r"\.")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".")
 
 

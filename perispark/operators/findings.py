@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perispark.functions import scalars as S
+from perispark.operators.ordering import numbered
 from perispark.operators.risk import ns_concentration
 
 Tables = dict[str, DataFrame]
@@ -21,7 +22,8 @@ KEY = "k"
 RISK_PORTS = {445: "critical", 3389: "critical", 23: "critical", 2375: "critical", 3306: "high", 5432: "high", 6379: "high", 9200: "high", 27017: "high", 11211: "high", 1433: "high", 21: "medium", 5900: "high"}
 WEAK_COUNTRIES = ("RU", "BY", "IR", "CN", "SY")
 CONTINENTS = {"CH": "Europe", "DE": "Europe", "FR": "Europe", "GB": "Europe", "AT": "Europe", "IT": "Europe", "NL": "Europe", "RU": "Europe", "US": "North America", "CA": "North America", "SG": "Asia", "CN": "Asia", "JP": "Asia", "AU": "Oceania", "BR": "South America", "ZA": "Africa"}
-GENERIC_TITLES = ("willkommen 0", "index of /", "home", "domain parking", "spital portal")
+#: Titles, in lower case, of pages that nobody has written; callers name their own.
+GENERIC_TITLES = ("index of /", "home", "domain parking", "coming soon", "under construction", "default web page", "welcome")
 CLOUD_MARKS = (("cloudflare", "cloudflare"), ("microsoft", "microsoft"), ("pepyaka", "wix"), ("awselb", "aws"), ("google", "google"))
 
 
@@ -72,12 +74,17 @@ def g0(t: Tables) -> DataFrame:
     )
 
 
-def g6(t: Tables) -> DataFrame:
+def g6(t: Tables, n: int = 10) -> DataFrame:
+    """(kind, value, n): PHP by branch with their total, and the n most frequent versions."""
     p = F.col("powered_by")
     major, minor = F.regexp_extract(p, r"PHP/(\d+)", 1).try_cast("int"), F.regexp_extract(p, r"PHP/\d+\.(\d+)", 1).try_cast("int")
     branch = F.when(major == 5, "5.x").when((major == 7) & (minor <= 3), "7.0-7.3").when((major == 7) & (minor == 4), "7.4").when(major == 8, "8.x")
     php = t["domains"].select(branch.alias("branch")).filter("branch IS NOT NULL")
-    return php.rollup("branch").agg(F.count("*").alias("n")).select(F.coalesce("branch", F.lit("total")).alias("branch"), "n")
+    branches = php.rollup("branch").agg(F.count("*").alias("n"))
+    versions = top(t["domains"].filter("powered_by IS NOT NULL").groupBy("powered_by").agg(F.count("*").alias("n")), n, "powered_by")
+    return branches.select(F.lit("branch").alias("kind"), F.coalesce("branch", F.lit("total")).alias("value"), "n").unionByName(
+        versions.select(F.lit("version").alias("kind"), F.col("powered_by").alias("value"), "n")
+    )
 
 
 def g7(t: Tables) -> DataFrame:
@@ -90,6 +97,10 @@ def g8(t: Tables) -> DataFrame:
     return flags(live(t), cross_domain=host != F.col("domain"))
 
 
+def g9(t: Tables, titles: tuple[str, ...] = GENERIC_TITLES) -> DataFrame:
+    return flags(live(t), no_title=c("title").isNull(), generic=F.lower("title").isin(*titles))
+
+
 def g11(t: Tables) -> DataFrame:
     n = live(t).filter("ip IS NOT NULL").groupBy("ip").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
@@ -98,10 +109,19 @@ def g11(t: Tables) -> DataFrame:
     return best.select("ip", "n", pct(F.sum("n").over(w), F.col("total")).alias("cumulative"))
 
 
-def g12(t: Tables) -> DataFrame:
-    groups = live(t).filter("body_hash IS NOT NULL").groupBy("body_hash").agg(F.count("*").alias("n"))
-    one = F.col("n") == 1
-    return groups.agg(F.sum("n").alias("with_hash"), F.count("*").alias("distinct_bodies"), F.count_if(one).alias("singletons"), F.sum(F.when(~one, F.col("n")).otherwise(0)).alias("sharing"), F.count_if(~one).alias("groups"))
+def g12(t: Tables, n: int = 10) -> DataFrame:
+    """(kind, title, n): how many pages have a hash or none, how many bodies they are, and the n largest
+    groups of one body with the least of their titles."""
+    groups = live(t).groupBy("body_hash").agg(F.count("*").alias("n"), F.min("title").alias("title"))
+    known, one = F.col("body_hash").isNotNull(), F.col("n") == 1
+    many, rows = known & ~one, lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = groups.agg(
+        rows(known).alias("with_hash"), rows(~known).alias("no_hash"), F.count_if(known).alias("distinct_bodies"),
+        F.count_if(known & one).alias("singletons"), rows(many).alias("sharing"), F.count_if(many).alias("groups"),
+    )
+    long = sums.unpivot([], sums.columns, "kind", "n").select("kind", F.lit(None).cast("string").alias("title"), "n")
+    largest = top(groups.filter(many), n, "body_hash").select(F.lit("group").alias("kind"), "title", "n")
+    return long.unionByName(largest)
 
 
 def g14(t: Tables) -> DataFrame:
@@ -115,12 +135,23 @@ def g20(t: Tables) -> DataFrame:
     return c.rollup("continent", "country_code").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
+def g29(t: Tables, n: int = 10) -> DataFrame:
+    """(kind, name, n, parents): subdomains by source, those that zone transfers leak, and the n parents that leak most."""
+    s, leaked = t["subdomains"], F.col("source") == "axfr"
+    parents = F.countDistinct(KEY).alias("parents")
+    by_source = s.groupBy("source").agg(F.count("*").alias("n"), parents).select(F.lit("source").alias("kind"), F.col("source").alias("name"), "n", "parents")
+    leaks = s.filter(leaked).agg(F.count("*").alias("n"), parents).select(F.lit("leaking").alias("kind"), F.lit("axfr").alias("name"), "n", "parents")
+    most = top(s.filter(leaked).groupBy(KEY).agg(F.countDistinct("subdomain").alias("n")), n, KEY)
+    one = most.select(F.lit("leak").alias("kind"), F.col(KEY).cast("string").alias("name"), "n", F.lit(1).cast("long").alias("parents"))
+    return by_source.unionByName(leaks).unionByName(one)
+
+
 def g31(t: Tables) -> DataFrame:
-    """Version bands of a product from its versions (here the Server header's nginx)."""
-    v = live(t).select(S.server_version(F.col("server"), F.lit("nginx")).alias("v")).filter("v != ''")
-    key = S.version_key(F.col("v"))
+    """WordPress by currency of its version."""
+    key = S.version_key(F.col("cms_version"))
     at = lambda s: S.version_key(F.lit(s))
-    return shares(v.select(F.when(key >= at("1.20"), "current").when(key >= at("1.10"), "older").otherwise("outdated").alias("band")), "band")
+    band = F.when(key >= at("6.8"), "current").when(key >= at("6.0"), "older").otherwise("outdated")
+    return shares(live(t).filter("cms = 'WordPress' AND cms_version IS NOT NULL").select(band.alias("band")), "band")
 
 
 def by_technology(m: DataFrame) -> DataFrame:
@@ -133,9 +164,16 @@ def g32(t: Tables) -> DataFrame:
 
 
 def g34(t: Tables) -> DataFrame:
+    """Operators by domains, with the cumulative share. Operators of one count are numbered in order of their
+    names, so the long tail of operators of a single domain isn't one task's."""
     n = t["staging"].groupBy("operator").agg(F.count("*").alias("pairs"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("pairs").desc(), "operator")
-    return n.select("operator", "pairs", pct(F.sum("pairs").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("pairs").over(Window.partitionBy(F.lit(1)))).alias("cumulative"))
+    counts = n.groupBy("pairs").agg(F.count("*").alias("operators"))
+    more = Window.partitionBy(F.lit(1)).orderBy(F.col("pairs").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = F.sum(F.col("pairs") * F.col("operators"))
+    before = counts.select("pairs", F.coalesce(sums.over(more), F.lit(0)).alias("before"), sums.over(Window.partitionBy(F.lit(1))).alias("total"))
+    placed = numbered(n, "operator", ["pairs"]).join(before, "pairs")
+    up_to = F.col("before") + (F.col("idx") + 1) * F.col("pairs")
+    return placed.select("operator", "pairs", pct(up_to, F.col("total")).alias("cumulative"))
 
 
 def g35(t: Tables) -> DataFrame:
@@ -187,7 +225,9 @@ def weak_email(t: Tables) -> DataFrame:
     c = F.col
     no = F.lit(False)
     spf, dmarc = F.coalesce("spf_present", no), F.coalesce("dmarc_present", no)
-    return flags(t["email"], neither=~spf & ~dmarc, spoofable=(~spf | c("spf_too_permissive")) & (~dmarc | F.coalesce(c("dmarc_policy") == "none", no)))
+    spoofable = (~spf | c("spf_too_permissive")) & (~dmarc | F.coalesce(c("dmarc_policy") == "none", no))
+    over = t["dns"].agg(F.count_if(S.parse_spf(c("txt_spf"))["over_limit"]).alias("over_limit"))
+    return flags(t["email"], neither=~spf & ~dmarc, spoofable=spoofable).crossJoin(over)  # one row each
 
 
 c = F.col
@@ -202,7 +242,7 @@ FINDINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "g6_php_branches": g6,
     "g7_response_times": g7,
     "g8_cross_domain": g8,
-    "g9_parked": lambda t: flags(live(t), no_title=c("title").isNull(), generic=F.lower("title").isin(*GENERIC_TITLES)),
+    "g9_parked": g9,
     "g10_addresses": lambda t: live(t).agg(F.countDistinct("ip").alias("ips"), F.count("ip").alias("domains"), F.round(F.count("ip") / F.countDistinct("ip").cast("double"), 4).alias("per_ip")),
     "g11_top_ips": g11,
     "g12_clones": g12,
@@ -222,7 +262,7 @@ FINDINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "g26_spoofable": weak_email,
     "g27_open_cors": lambda t: flags(t["headers"], open=c("cors_origin") == "*"),
     "g28_dns_hygiene": lambda t: flags(t["dns"], wildcard=c("wildcard"), no_caa=empty_list("caa"), spf_without_mx=has("txt_spf") & empty_list("mx")),
-    "g29_subdomains": lambda t: t["subdomains"].groupBy("source").agg(F.count("*").alias("n"), F.countDistinct(KEY).alias("parents")),
+    "g29_subdomains": g29,
     "g30_other_ports": lambda t: t["ports"].filter("port NOT IN (80, 443)").groupBy("port").agg(F.count("*").alias("n")),
     "g31_version_bands": g31,
     "g32_exposure": g32,

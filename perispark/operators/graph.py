@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perispark.functions.scalars import registrable_domain
+from perispark.operators.ordering import numbered
 
 NO_NS = "(no-ns)"
 
@@ -13,7 +14,8 @@ NO_NS = "(no-ns)"
 def ns_edges(pairs: DataFrame) -> DataFrame:
     """(source, target, type) for each (domain, host) pair, repeated ones kept."""
     host = F.trim(F.coalesce("host", F.lit("")))
-    return pairs.select(F.col("domain").alias("source"), F.when(host == "", NO_NS).otherwise(registrable_domain(F.lower(host))).alias("target"), F.lit("uses_ns").alias("type"))
+    target = F.when(host == "", NO_NS).otherwise(registrable_domain(F.lower(host)))
+    return pairs.select(F.col("domain").alias("source"), target.alias("target"), F.lit("uses_ns").alias("type"))
 
 
 def ns_nodes(edges: DataFrame) -> DataFrame:
@@ -22,14 +24,9 @@ def ns_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.min("type").alias("type")).select("id", F.col("id").alias("label"), "type")
 
 
-def index_nodes(nodes: DataFrame, prefix: int = 4) -> DataFrame:
-    """Nodes with a dense idx from 0 in order of id: the rank among ids of one prefix, plus the ids
-    of smaller prefixes. The same on every run, so a task that runs again gives the same numbers."""
-    parts = nodes.withColumn("_p", F.substring("id", 1, prefix))
-    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offset = parts.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return local.join(offset, "_p").select("id", "label", "type", (F.col("_i") - 1 + F.col("_o")).cast("long").alias("idx"))
+def index_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with a dense idx from 0 in order of id."""
+    return numbered(nodes.select("id", "label", "type"), "id")
 
 
 def index_edges(edges: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from perispark.functions import rules
 from perispark.functions import scalars as S
+from perispark.operators.merge import merge_replace
 
 MATCH = ("technology", "version", "cve_id", "severity", "cvss_score", "in_kev")
 
@@ -131,6 +132,29 @@ def enrich_operators(samples: DataFrame, host_ips: DataFrame, ranges: DataFrame)
     return placed.withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit(""))))
 
 
+def upsert_operators(current: DataFrame, enriched: DataFrame) -> DataFrame:
+    """The operator table with the enriched rows in place of those of their operators."""
+    return merge_replace(current, enriched, ["operator"])
+
+
+def registrable(df: DataFrame, host: str, suffixes: DataFrame, out: str = "registrable") -> DataFrame:
+    """df with the host's registrable domain: the longest public suffix (column ``suffix``) it ends in and one label
+    more; without a suffix its last two labels, and null where the host is a suffix itself.
+
+    Each host is joined with the list by equality on its own endings, so no rule is tried in turn.
+    """
+    labels = F.split(F.lower(F.rtrim(F.col(host), F.lit("."))), r"\.")
+    n = F.size("_labels")
+    ending = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("from"), F.array_join(F.slice("_labels", i, n - i + 1), ".").alias("suffix")))
+    hosts = df.select(host).filter(F.col(host).isNotNull()).distinct().withColumn("_labels", labels)
+    found = hosts.select(host, "_labels", F.inline(ending)).join(suffixes.select("suffix").distinct(), "suffix")
+    longest = found.groupBy(host).agg(F.min("from").alias("_from"))
+    first = F.coalesce(F.col("_from") - 1, F.greatest(n - 1, F.lit(1)))
+    name = F.when(first >= 1, F.array_join(F.slice("_labels", F.greatest(first, F.lit(1)), n - first + 1), "."))
+    named = hosts.join(longest, host, "left").select(host, name.alias(out))
+    return df.join(named, host, "left").select(*df.columns, out)
+
+
 def harvest_subdomains(dns: DataFrame) -> DataFrame:
     """Nameserver and mail hosts below the domain itself: domain, subdomain, source."""
     host = F.lower(F.regexp_replace(F.col("host"), r"\.+$", ""))

@@ -13,7 +13,7 @@ KEY = "k"
 c = F.col
 
 
-def points(*terms: tuple[Column, int], base: int, cap: int) -> Column:
+def points(*terms: tuple[Column, int | Column], base: int, cap: int) -> Column:
     """The base and each term's points where it holds (null doesn't), between 0 and the cap."""
     total = reduce(lambda a, t: a + F.when(t[0], t[1]).otherwise(0), terms, F.lit(base))
     return F.greatest(F.lit(0), F.least(F.lit(cap), total))
@@ -22,15 +22,23 @@ def points(*terms: tuple[Column, int], base: int, cap: int) -> Column:
 def tls_risk(tls: DataFrame, as_of: str) -> DataFrame:
     left = F.datediff("valid_to", F.lit(as_of).cast("date"))
     version, rsa = F.replace("tls_version", F.lit("_"), F.lit(".")), c("key_oid") == "1.2.840.113549.1.1.1"
+    weak = F.upper("cipher").rlike("DES|RC4|NULL")
     return tls.select(KEY, points(
         (left < 7, 30), (left.between(7, 29), 15), (left.between(30, 89), 5), (rsa & (c("key_size") < 2048), 20), ((rsa & (c("key_size") >= 4096)) | ~rsa, -5),
-        (version.isin("TLSv1.0", "TLSv1.1"), 25), (version == "TLSv1.3", -10), (~c("ct_logged"), 10), (c("cert_issuer") == c("cert_subject"), 25), base=10, cap=100,
+        (version.isin("TLSv1.0", "TLSv1.1"), 25), (version == "TLSv1.3", -10), (~c("ct_logged"), 10), (c("cert_issuer") == c("cert_subject"), 25),
+        (F.startswith(F.upper("signature"), F.lit("SHA1")), 20), (~c("stapled"), 5), (weak, 20), base=10, cap=100,
     ).alias("points"))
 
 
-def dns_risk(dns: DataFrame) -> DataFrame:
+def dns_risk(dns: DataFrame, orphans: DataFrame) -> DataFrame:
+    """orphans: a row for each alias of a key whose target is gone."""
     caa, ns = F.size(S.parse_json_array(c("caa"))), F.size(S.parse_json_array(c("ns")))
-    return dns.select(KEY, points((~F.coalesce("dnssec_signed", F.lit(False)), 25), (caa == 0, 15), (caa > 1, 8), (caa == 1, -5), (ns < 2, 10), (c("wildcard"), 12), base=15, cap=100).alias("points"))
+    lost = orphans.groupBy(KEY).agg((F.count("*") * 15).cast("int").alias("lost"))
+    signed = F.coalesce("dnssec_signed", F.lit(False))
+    return dns.join(lost, KEY, "left").select(KEY, points(
+        (~signed, 25), (signed & ~c("dnssec_valid"), 35), (caa == 0, 15), (caa > 1, 8), (caa == 1, -5), (c("axfr_open"), 20), (ns < 2, 10),
+        (c("wildcard"), 12), (c("lost").isNotNull(), c("lost")), (c("ttl") < 300, 5), (c("ttl") > 86400, 3), base=15, cap=100,
+    ).alias("points"))
 
 
 def csp_directives(csp: Column) -> Column:
@@ -70,24 +78,35 @@ def port_risk(ports: DataFrame, matches: DataFrame) -> DataFrame:
     return open_.join(critical, KEY, "left").select(KEY, F.least(F.lit(150), 25 + c("open") + F.coalesce("critical", F.lit(0))).cast("int").alias("points"))
 
 
-def email_risk(dns: DataFrame) -> DataFrame:
+def email_risk(dns: DataFrame, email: DataFrame) -> DataFrame:
     spf, dmarc = S.parse_spf(c("txt_spf")), S.parse_dmarc(c("txt_dmarc"))
-    parsed = dns.select(KEY, "mx", spf.alias("s"), dmarc.alias("d"))
+    parsed = dns.select(KEY, "mx", spf.alias("s"), dmarc.alias("d")).join(email.select(KEY, "dkim_found"), KEY, "left")
     return parsed.select(KEY, points(
+        (~F.coalesce("dkim_found", F.lit(False)), 15),
         (~c("s.present"), 20), (c("s.policy") == "~all", 8), (~c("d.present"), 20), (c("d.policy") == "none", 15), (c("d.policy") == "quarantine", 5),
         (c("d.subdomain_policy") == "none", 8), (c("d.has_reporting"), -2), (F.size(S.parse_json_array(c("mx"))) == 0, 10), base=25, cap=100,
     ).alias("points"))
 
 
-def technology_risk(matches: DataFrame) -> DataFrame:
-    s = F.col("cvss_score")
-    each = F.when(s >= 9, 30).when(s >= 7, 20).when(s >= 4, 10).when(s.isNotNull(), 3).otherwise(0) + F.when(c("in_kev"), 20).otherwise(0) + F.when(c("version").isNotNull(), 5).otherwise(0)
-    return matches.groupBy(KEY).agg(F.least(F.lit(150), 10 + F.sum(each)).cast("int").alias("points"))
+def technology_risk(matches: DataFrame, supported: DataFrame) -> DataFrame:
+    """supported: (technology, least), the least version that still gets fixes; older ones count as ended."""
+    s, n = F.col("cvss_score"), lambda when, k: F.when(when, k).otherwise(0)
+    band = F.when(s >= 9, 30).when(s >= 7, 20).when(s >= 4, 10).when(s.isNotNull(), 3).otherwise(0)
+    ended = S.version_key(c("version")) < S.version_key(c("least"))
+    each = band + n(c("in_kev"), 20) + n(c("version").isNotNull(), 5) + n(ended, 10)
+    known = matches.join(supported.select("technology", "least"), "technology", "left")
+    return known.groupBy(KEY).agg(F.least(F.lit(150), 10 + F.sum(each)).cast("int").alias("points"))
 
 
-def domain_risk(whois: DataFrame, as_of: str) -> DataFrame:
+def domain_risk(whois: DataFrame, as_of: str, orphans: DataFrame, lookalikes: DataFrame) -> DataFrame:
+    """orphans: a row for each alias of a key whose target is gone; lookalikes: keys whose name another one imitates."""
     left = F.datediff("expires_at", F.lit(as_of).cast("date"))
-    return whois.select(KEY, points((left.between(0, 6), 25), (left.between(7, 29), 15), (left.between(30, 89), 5), (left.between(-30, -1), 20), (left < -30, 35), base=12, cap=100).alias("points"))
+    lost = orphans.groupBy(KEY).agg(F.least(F.lit(30), F.count("*") * 12).cast("int").alias("lost"))
+    like = lookalikes.select(KEY).distinct().withColumn("like", F.lit(True))
+    return whois.join(lost, KEY, "left").join(like, KEY, "left").select(KEY, points(
+        (left.between(0, 6), 25), (left.between(7, 29), 15), (left.between(30, 89), 5), (left.between(-30, -1), 20), (left < -30, 35),
+        (c("lost").isNotNull(), c("lost")), (c("like"), 15), base=12, cap=100,
+    ).alias("points"))
 
 
 def overall(parts: dict[str, DataFrame], domains: DataFrame) -> DataFrame:

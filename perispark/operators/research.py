@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perispark.operators.findings import pct
@@ -36,7 +36,12 @@ def registrar_share(whois: DataFrame) -> DataFrame:
 
 
 def registrar_posture(whois: DataFrame, scores: DataFrame) -> DataFrame:
-    return whois.join(scores.select(KEY, "score"), KEY).groupBy("registrar").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+    """Mean score by registrar, and how the score goes with delegated signatures among its domains."""
+    signed = F.col("dnssec_delegated").cast("int").cast("double")
+    both = whois.join(scores.select(KEY, F.col("score").cast("double").alias("score")), KEY)
+    return both.groupBy("registrar").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.corr("score", signed), 4).alias("corr")
+    )
 
 
 def registrar_dnssec(whois: DataFrame) -> DataFrame:
@@ -59,45 +64,66 @@ def cascade(staging: DataFrame, down: DataFrame, classes: DataFrame) -> DataFram
     return fallen.join(classes.select(KEY, "sector"), KEY, "left").groupBy("sector").agg(F.count("*").alias("n"))
 
 
-def hub_removal(staging: DataFrame, share: float, most: int = 50) -> list[str]:
-    """Operators, taken one by one, until the share of domains has none left up. Each step takes
-    the operator that is the last one up for most domains, ties by reach and then name. At most
-    ``most`` steps; each is one aggregation over what is left, written to the checkpoint folder."""
+def hub_removal(staging: DataFrame, share: float, most: int = 50) -> DataFrame:
+    """(step, operator, fallen, reached): operators, taken one by one, until the share of domains has none left up.
+
+    Each step takes the operator that is the last one up for most domains, ties by reach and then name, which
+    is greedy, not the smallest set. fallen counts the domains down after the step, reached says whether they are
+    the share. Ends after ``most`` steps even if no step reached it. Each step is one aggregation over what is
+    left; every few steps that is written to the checkpoint folder, if one is set.
+    """
     spark = staging.sparkSession
     total = staging.select(KEY).distinct().count()
     left, gone, taken = staging, 0, []
-    for step in range(most):
+    for step in range(1, most + 1):
         alone = left.groupBy(KEY).agg(F.count("*").alias("n"))
-        best = left.join(alone, KEY).groupBy("operator").agg(F.count_if(F.col("n") == 1).alias("fall"), F.count("*").alias("reach")).orderBy(F.col("fall").desc(), F.col("reach").desc(), "operator").first()
+        sums = left.join(alone, KEY).groupBy("operator").agg(F.count_if(F.col("n") == 1).alias("fall"), F.count("*").alias("reach"))
+        best = sums.orderBy(F.col("fall").desc(), F.col("reach").desc(), "operator").first()
         if best is None:
             break
-        taken.append(best.operator)
         gone += best.fall
+        taken.append((step, best.operator, gone, gone >= share * total))
         if gone >= share * total:
             break
         left = left.filter(F.col("operator") != best.operator)
-        if step % 5 == 4 and (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if step % 5 == 0 and (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
             left = left.checkpoint()
-    return taken
+    return spark.createDataFrame(taken, "step int, operator string, fallen long, reached boolean")
 
 
 def change_log(old: DataFrame, new: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:
-    """(key, change, column, before, after) between two snapshots; added and removed rows have no column."""
+    """(key, change, column, before, after, severity) between two snapshots; added and removed rows have no column.
+
+    Removed domains and turns to error are high, other changes of status medium, the rest low.
+    """
     o = old.select(key, F.lit(1).alias("_o"), *[F.col(c).cast("string").alias(f"o_{c}") for c in cols])
     n = new.select(key, F.lit(1).alias("_n"), *[F.col(c).cast("string").alias(f"n_{c}") for c in cols])
     both = o.join(n, key, "full_outer")
     none = F.lit(None).cast("string")
-    entry = lambda when, what, name, a, b: F.when(when, F.struct(F.lit(what).alias("change"), name.alias("column"), a.alias("before"), b.alias("after")))
+
+    def entry(when: Column, what: str, name: Column, a: Column, b: Column) -> Column:
+        return F.when(when, F.struct(F.lit(what).alias("change"), name.alias("column"), a.alias("before"), b.alias("after")))
+
     same = F.col("_o").isNotNull() & F.col("_n").isNotNull()
     entries = [entry(F.col("_o").isNull(), "added", none, none, none), entry(F.col("_n").isNull(), "removed", none, none, none)]
-    entries += [entry(same & ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), "changed", F.lit(c), F.col(f"o_{c}"), F.col(f"n_{c}")) for c in cols]
-    return both.select(key, F.inline(F.array_compact(F.array(*entries))))
+    for c in cols:
+        a, b = F.col(f"o_{c}"), F.col(f"n_{c}")
+        entries.append(entry(same & ~a.eqNullSafe(b), "changed", F.lit(c), a, b))
+    log = both.select(key, F.inline(F.array_compact(F.array(*entries))))
+    high = (F.col("change") == "removed") | ((F.col("column") == "status") & (F.col("after") == "error"))
+    return log.withColumn("severity", F.when(high, "high").when(F.col("column") == "status", "medium").otherwise("low"))
 
 
 def alerts(log: DataFrame, key: str = KEY) -> DataFrame:
-    """Changes that need a look, with a severity: losses of a domain or a turn to error are high, other status changes medium."""
-    severity = F.when((F.col("change") == "removed") | (F.col("after") == "error"), "high").when(F.col("column") == "status", "medium")
-    return log.withColumn("severity", severity).filter("severity IS NOT NULL").select(key, "change", "severity")
+    """The changes of a change_log() that need a look: all but the low ones."""
+    return log.filter("severity != 'low'").select(key, "change", "severity")
+
+
+def risk_alerts(snapshots: DataFrame, key: str = KEY, high: int = 20) -> DataFrame:
+    """(key, seen, before, score, severity) where a domain's score falls from one snapshot (key, seen, score) to the next."""
+    last = F.lag("score").over(Window.partitionBy(key).orderBy("seen"))
+    fell = snapshots.select(key, "seen", last.alias("before"), "score").filter("score < before")
+    return fell.withColumn("severity", F.when(F.col("before") - F.col("score") >= high, "high").otherwise("medium"))
 
 
 def trend(snapshots: DataFrame, key: str = KEY) -> DataFrame:
@@ -127,9 +153,13 @@ CONFUSABLE = ("асеорхуі01", "aceopxyiol")
 
 
 def homoglyphs(names: DataFrame) -> DataFrame:
-    """Pairs of different names with one skeleton: look-alike letters folded."""
-    s = names.select("name", F.translate(F.col("name"), *CONFUSABLE).alias("skeleton"))
-    return s.select("skeleton", F.col("name").alias("a")).join(s.select("skeleton", F.col("name").alias("b")), "skeleton").filter("a < b").select("a", "b")
+    """(name, skeleton, like, members) of the names that share a skeleton, look-alike letters folded, with others.
+
+    like is the least name of the skeleton; a row for each name, so a skeleton of many names isn't squared.
+    """
+    s = names.select("name").distinct().withColumn("skeleton", F.translate(F.col("name"), *CONFUSABLE))
+    groups = s.groupBy("skeleton").agg(F.min("name").alias("like"), F.count("*").alias("members")).filter("members > 1")
+    return s.join(groups, "skeleton").select("name", "skeleton", "like", "members")
 
 
 def blocklisted(domains: DataFrame, feed: DataFrame, key: str = KEY) -> DataFrame:

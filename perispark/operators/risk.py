@@ -19,7 +19,7 @@ def classify(domains: DataFrame, key: str = "domain") -> DataFrame:
 
 
 def classify_incremental(domains: DataFrame, classes: DataFrame, key: str = "domain") -> DataFrame:
-    return merge_replace(classes, classify(unclassified(domains, classes), key).select(*classes.columns), [key])
+    return merge_replace(classes, classify(unclassified(domains, classes, key), key).select(*classes.columns), [key])
 
 
 def sector_counts(classes: DataFrame) -> DataFrame:
@@ -108,16 +108,37 @@ def benchmark_summary(b: DataFrame) -> DataFrame:
     return b.orderBy("sector", "metric")
 
 
-def domain_percentile(scores: DataFrame, classes: DataFrame, bench: DataFrame, key: str = "domain") -> DataFrame:
-    medians = bench.filter("metric = 'risk_score'").select("sector", F.col("median").alias("sector_median"))
-    w = Window.partitionBy("sector").orderBy(F.col("score").asc_nulls_first())
-    return scores.join(classes.select(key, "sector"), key).join(medians, "sector").select(key, "sector", "score", F.percent_rank().over(w).alias("percentile"), "sector_median")
+def score_ranks(scored: DataFrame) -> DataFrame:
+    """(sector, score, percentile, sector_median) for each score that occurs in a sector.
+
+    Scores are whole numbers from 0 to 100, so a sector is a table of 101 counts at most: ranks and
+    medians are read off the counts, and no task sorts all domains of a sector.
+    """
+    counts = scored.groupBy("sector", "score").agg(F.count("*").alias("n"))
+    by_score = Window.partitionBy("sector").orderBy("score")
+    up_to, every = F.sum("n").over(by_score), F.sum("n").over(Window.partitionBy("sector"))
+    placed = counts.select("sector", "score", (up_to - F.col("n")).alias("before"), up_to.alias("upto"), every.alias("all"))
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("score"))).over(Window.partitionBy("sector"))
+    middle = (F.col("all") - 1) / 2
+    median = (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+    rank = F.when(F.col("all") > 1, F.col("before") / (F.col("all") - 1)).otherwise(0.0)
+    return placed.select("sector", "score", rank.alias("percentile"), median.alias("sector_median"))
+
+
+def domain_percentile(scores: DataFrame, classes: DataFrame, key: str = "domain") -> DataFrame:
+    """Each domain's percent rank among its sector's scores, and the sector's median."""
+    scored = scores.select(key, "score").join(classes.select(key, "sector"), key)
+    ranks = score_ranks(scored)
+    return scored.join(ranks, ["sector", "score"]).select(key, "sector", "score", "percentile", "sector_median")
 
 
 def sovereignty_score(domains: DataFrame, staging: DataFrame, operators: DataFrame, key: str = "domain") -> DataFrame:
-    """domains with sovereignty_score: US 3, OTHER 2, EU 1, else 0; the worst of a domain's operators."""
-    points = F.when(F.col("jurisdiction") == "US", 3).when(F.col("jurisdiction") == "OTHER", 2).when(F.col("jurisdiction") == "EU", 1).otherwise(0)
-    worst = staging.join(operators.select("operator", "jurisdiction"), "operator").groupBy(key).agg(F.max(points).alias("sovereignty_score"))
+    """domains with sovereignty_score: US 3, OTHER 2, EU 1, else 0; the worst of a domain's operators.
+    An operator that the table lacks counts as OTHER."""
+    where = F.coalesce("jurisdiction", F.lit("OTHER"))
+    points = F.when(where == "US", 3).when(where == "OTHER", 2).when(where == "EU", 1).otherwise(0)
+    placed = staging.join(operators.select("operator", "jurisdiction"), "operator", "left")
+    worst = placed.groupBy(key).agg(F.max(points).alias("sovereignty_score"))
     return domains.drop("sovereignty_score").join(worst, key, "left")
 
 

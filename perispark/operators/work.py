@@ -32,8 +32,8 @@ def banner_backlog(ports: DataFrame, key: str = "domain") -> DataFrame:
     return todo.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("port", "ip"))).alias("targets"))
 
 
-def unclassified(domains: DataFrame, classes: DataFrame) -> DataFrame:
-    return pending(domains, classes)
+def unclassified(domains: DataFrame, classes: DataFrame, key: str = "domain") -> DataFrame:
+    return pending(domains, classes, None, key)
 
 
 def geocode_backlog(domains: DataFrame) -> DataFrame:

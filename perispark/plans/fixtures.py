@@ -6,8 +6,25 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perispark.functions import catalogue
+
 AS_OF = "2001-08-01"
 
+
+def _quoted(v: str | float | None) -> str:
+    if v is None:
+        return "NULL"
+    return str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+
+def _catalogue_rows() -> str:
+    """The built-in catalogue as SQL rows; ids that end in an odd digit stand for known exploited ones. One row
+    has no range and no score."""
+    rows = [(cve, t, low, high, sev, cvss) for t, cve, sev, cvss, low, high, _ in catalogue.SEED]
+    rows.append(("CVE-0000-0001", "apache", None, None, "CRITICAL", None))
+    return ", ".join(f"({', '.join(map(_quoted, r))}, {'true' if int(r[0][-1]) % 2 else 'false'})" for r in rows)
+
+
 FIXTURES = {
     "fx_domains": r"""
 SELECT d.*, CASE WHEN k % 4 = 0 THEN 'http://' ELSE 'https://' END || CASE WHEN k % 5 = 0 THEN 'parking.example.net' WHEN k % 2 = 0 THEN 'www.' || domain ELSE domain END || '/' AS final_url FROM (
@@ -23,6 +40,7 @@ SELECT o_orderkey AS k,
  CASE o_orderkey % 6 WHEN 0 THEN 'Apache/2.4.' || CAST(o_orderkey % 60 AS STRING) || ' (Unix)' WHEN 1 THEN 'nginx/1.' || CAST(o_orderkey % 27 AS STRING) || '.0' WHEN 2 THEN 'cloudflare' WHEN 3 THEN 'Pepyaka' WHEN 4 THEN 'Microsoft-IIS/' || CAST(6 + o_orderkey % 5 AS STRING) || '.0' END AS server,
  CASE o_orderkey % 10 WHEN 0 THEN 'PHP/7.4.33' WHEN 1 THEN 'PHP/8.2.30' WHEN 2 THEN 'PHP/5.6.40' WHEN 3 THEN 'ASP.NET' END AS powered_by,
  CASE o_orderkey % 8 WHEN 0 THEN 'WordPress' WHEN 1 THEN 'TYPO3' WHEN 2 THEN 'Joomla' WHEN 3 THEN 'Drupal' WHEN 4 THEN 'apache' END AS cms,
+ CASE WHEN o_orderkey % 8 = 0 AND o_orderkey % 7 <> 3 THEN CASE o_orderkey % 3 WHEN 0 THEN '6.' || CAST(o_orderkey % 11 AS STRING) || '.1' WHEN 1 THEN '5.9' ELSE '6.8' END END AS cms_version,
  CASE o_orderkey % 20 WHEN 0 THEN 'US' WHEN 1 THEN 'US' WHEN 2 THEN 'DE' WHEN 3 THEN 'DE' WHEN 4 THEN 'FR' WHEN 5 THEN 'RU' WHEN 6 THEN 'SG' WHEN 7 THEN NULL ELSE 'CH' END AS country_code,
  CASE WHEN o_orderkey % 23 = 22 THEN NULL ELSE o_orderdate END AS updated_at
 FROM orders) d
@@ -46,6 +64,9 @@ SELECT o_orderkey AS k,
  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'v=spf1 include:a.ch include:b.ch mx -all' WHEN 2 THEN 'v=spf1 +all' WHEN 3 THEN 'v=spf1 a ~all' WHEN 4 THEN 'v=spf1 ?all' ELSE 'v=spf1 include:a include:b include:c include:d include:e include:f include:g include:h include:i include:j include:k -all' END AS txt_spf,
  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'v=DMARC1; p=none' WHEN 2 THEN 'v=DMARC1; p=reject; rua=mailto:x@y.ch' WHEN 3 THEN 'v=DMARC1; p=quarantine; sp=reject; pct=50' ELSE 'not a policy' END AS txt_dmarc,
  CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_orderkey % 12 < 5 END AS dnssec_signed,
+ o_orderkey % 13 <> 0 AS dnssec_valid,
+ CASE WHEN o_orderkey % 46 = 0 THEN NULL ELSE o_orderkey % 47 = 0 END AS axfr_open,
+ CASE o_orderkey % 8 WHEN 0 THEN 60 WHEN 1 THEN 172800 WHEN 2 THEN NULL ELSE 3600 END AS ttl,
  o_orderkey % 10 < 3 AS wildcard,
  CASE WHEN o_orderkey % 33 = 0 THEN 'old' || CAST(o_orderkey % 50 AS STRING) || '.app.example.com' END AS cname,
  o_orderdate AS resolved_at
@@ -59,6 +80,9 @@ SELECT o_orderkey AS k, 'ok' AS status,
  CASE o_orderkey % 14 WHEN 0 THEN 'TLSv1_2' WHEN 1 THEN 'TLSv1.1' ELSE 'TLSv1_3' END AS tls_version,
  CASE o_orderkey % 10 WHEN 0 THEN '1.2.840.10045.2.1' WHEN 1 THEN '1.3.101.112' ELSE '1.2.840.113549.1.1.1' END AS key_oid,
  CASE o_orderkey % 10 WHEN 0 THEN 256 WHEN 1 THEN 256 WHEN 2 THEN 4096 WHEN 3 THEN 1024 ELSE 2048 END AS key_size,
+ CASE o_orderkey % 15 WHEN 0 THEN 'SHA1withRSA' WHEN 1 THEN 'SHA384withECDSA' ELSE 'SHA256withRSA' END AS signature,
+ CASE WHEN o_orderkey % 25 <> 0 THEN o_orderkey % 4 <> 0 END AS stapled,
+ CASE o_orderkey % 18 WHEN 0 THEN 'TLS_RSA_WITH_RC4_128_SHA' WHEN 1 THEN 'TLS_RSA_WITH_3DES_EDE_CBC_SHA' WHEN 2 THEN NULL ELSE 'TLS_AES_128_GCM_SHA256' END AS cipher,
  o_orderkey % 6 <> 0 AS ct_logged
 FROM orders WHERE o_orderkey % 5 < 3
 """,
@@ -90,8 +114,15 @@ SELECT DISTINCT l_orderkey AS k, 'h' || CAST(l_linenumber AS STRING) || '.site-'
  CASE l_orderkey % 10 WHEN 0 THEN 'axfr' WHEN 1 THEN 'ct' ELSE 'mx_ns' END AS source
 FROM lineitem
 """,
-    "fx_cve_catalog": r"""
-SELECT * FROM (VALUES ('CVE-2021-41773','apache','2.4.49','2.4.49','CRITICAL',9.8,true), ('CVE-2022-31813','apache','2.4.0','2.4.53','HIGH',7.5,false), ('CVE-2021-23017','nginx','0.6.18','1.20.0','HIGH',7.7,false), ('CVE-2017-7269','iis','6.0','6.0','CRITICAL',9.8,false), ('CVE-2018-7600','drupal','7.0','8.5.1','CRITICAL',9.8,true), ('CVE-2022-21661','wordpress','5.6','5.8.3','HIGH',8.8,false), ('CVE-2016-6662','mysql','0','5.7.15','CRITICAL',9.8,false), ('CVE-2023-21980','mysql','8.0.0','8.0.32','CRITICAL',9.8,false), ('CVE-2024-6387','openssh','8.5p1','9.7p1','HIGH',8.1,true), ('CVE-2019-0708','rdp','0','999','CRITICAL',9.8,true), ('CVE-2019-11043','php','7.1.0','7.3.10','CRITICAL',9.8,true), ('CVE-2021-40438','apache',NULL,NULL,'CRITICAL',NULL,true)) AS t(cve_id, technology, affected_from, affected_to, severity, cvss_score, in_kev)
+    "fx_cve_catalog": f"""
+SELECT cve_id, technology, affected_from, affected_to, severity, CAST(cvss_score AS DOUBLE) AS cvss_score, in_kev
+FROM (VALUES {_catalogue_rows()}) AS t(cve_id, technology, affected_from, affected_to, severity, cvss_score, in_kev)
+""",
+    "fx_supported": r"""
+SELECT * FROM (VALUES ('php', '8.1'), ('apache', '2.4.50'), ('nginx', '1.20'), ('mysql', '8.0.0'), ('openssh', '9.0'), ('iis', '10.0')) AS t(technology, least)
+""",
+    "fx_suffixes": r"""
+SELECT * FROM (VALUES ('ch'), ('net'), ('com'), ('admin.ch'), ('zh.ch')) AS t(suffix)
 """,
     "fx_ip_ranges": r"""
 SELECT * FROM (VALUES (11,40,'CH',65001,'Org A'), (41,80,'DE',65002,'Org B'), (81,110,'US',65003,'Org C'), (111,140,'FR',65004,'Org D'), (141,160,'GB',65005,'Org E'), (161,185,'CH',65006,'Org F')) AS t(lo_octet, hi_octet, country_code, asn, asn_org)
@@ -105,8 +136,11 @@ SELECT o_orderkey AS k, CAST(o_orderkey % 2 AS INT) AS p80, 1 AS p443, CAST(o_or
     "fx_snapshot_2": r"""
 SELECT o_orderkey + 500 AS k, CASE WHEN o_orderkey % 6 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'srv' || CAST(o_orderkey % 3 AS STRING) END AS server FROM orders WHERE o_orderkey % 20 <> 19
 """,
-    "fx_lookalikes": r"""
-SELECT * FROM (VALUES ('zurichbank'), ('zurichbamk'), ('zurihcbank'), ('globalpool'), ('globa1poo1'), ('gl0balp00l'), ('unrelated'), ('zuriсhbank')) AS t(name)
+    "fx_names": r"""
+SELECT o_orderkey AS k, substr(md5(CAST(o_custkey AS STRING)), 1, 7) || CASE o_orderkey % 6 WHEN 0 THEN 'bank' WHEN 1 THEN 'bnak' WHEN 2 THEN 'poo1' WHEN 3 THEN 'p0ol' WHEN 4 THEN 'bonk' ELSE 'pool' END AS name FROM orders
+""",
+    "fx_glyphs": r"""
+SELECT o_orderkey AS k, substr(md5(CAST(o_custkey AS STRING)), 1, 7) || CASE o_orderkey % 5 WHEN 0 THEN 'bank' WHEN 1 THEN 'bаnk' WHEN 2 THEN 'poo1' WHEN 3 THEN 'рool' ELSE 'other' END AS name FROM orders
 """,
     "fx_blocklist": r"""
 SELECT o_orderkey AS k, 'feed' || CAST(o_orderkey % 2 AS STRING) AS feed FROM orders WHERE o_orderkey % 50 = 7

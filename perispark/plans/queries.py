@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perispark.functions import scalars as S
-from perispark.functions.rules import BANNER_PORTS, SERVICES
+from perispark.functions.catalogue import SEED
+from perispark.functions.rules import BANNER_PORTS, KEV_VENDORS, SERVICES
 from perispark.operators import findings, graph, matching, merge, module_risk, research, risk, work
 from perispark.plans.fixtures import AS_OF, FIXTURES, derived, fixture
 from perispark.plans.views import JURISDICTION, KEY_OF, LIST, with_views
@@ -36,10 +37,12 @@ class Tables(dict):
             "whois": lambda: fx("whois_info"), "email": lambda: fx("email_security"), "catalog": lambda: fx("cve_catalog"),
             "as_of": lambda: F.lit(AS_OF).cast("date"),
             "classes": lambda: risk.classify(self["domains"], K), "staging": lambda: matching.ns_staging(self["dns"], K),
-            "operators": lambda: self["staging"].select("operator").distinct().join(fx("operator_country"), "operator", "left").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))),
-            "sovereign": lambda: risk.sovereignty_score(self["domains"], self["staging"], self["operators"], K),
+            "operators": lambda: matching.operator_samples(self["dns"], K).select("operator").join(fx("operator_country"), "operator", "left").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))),
+            "sovereign": lambda: risk.sovereignty_score(self["domains"], self["staging"], fx("operator_country").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))), K),
             "matches": lambda: matching.match_cves(self["domains"], self["ports"], self["catalog"], K),
             "raw_flags": lambda: risk.risk_flags({"domains": self["sovereign"], "headers": self["headers"], "dns": self["dns"], "tls": self["tls"], "whois": self["whois"], "email": self["email"], "ports": self["ports"], "matches": self["matches"]}, AS_OF, K),
+            "orphans": lambda: research.orphans(self["dns"], derived(self.spark, self.sf_dir, NAMES)),
+            "lookalikes": lambda: (lambda names, pairs: names.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi"))(self["names"], research.typosquats(self["names"].select("name").distinct())),
             "flags": lambda: risk.risk_score(self["raw_flags"]), "bench": lambda: risk.sector_benchmarks(self["flags"], self["classes"], K),
             "pairs": lambda: self["dns"].join(self["domains"].select(K, "domain"), K).join(matching.ns_hosts(self["dns"], K).select(K, "host"), K, "left").select("domain", "host"),
             "edges": lambda: graph.ns_edges(self["pairs"]), "nodes": lambda: graph.ns_nodes(self["edges"]),
@@ -116,6 +119,7 @@ register("d30_ns_operator", lambda t: matching.ns_hosts(t["dns"], K), "SELECT k,
 on("fx_domains", "d31_jurisdiction", lambda: [K, S.jurisdiction(F.coalesce("country_code", F.lit(""))).alias("jurisdiction")], f"k, {JURISDICTION} AS jurisdiction FROM (SELECT k, country_code AS cc")
 on("fx_dns_info", "d32_json_array", lambda: [K, F.size(S.parse_json_array(F.when(c("k") % 17 == 0, "no json").otherwise(c("ns")))).alias("n")], "k, CASE WHEN k % 17 = 0 OR ns = '[]' THEN 0 ELSE 2 END AS n")
 register("d33_registrable", lambda t: matching.ns_hosts(t["dns"], K).select(K, "host", S.registrable_domain(c("host")).alias("registrable")), "SELECT k, host, array_to_string(string_split(regexp_replace(host, '\\.+$', ''), '.')[-2:], '.') AS registrable FROM v_hosts")
+register("d33_public_suffix", lambda t: matching.registrable(t["domains"].select(K, F.concat(F.lit("a.b."), F.col("domain"), F.lit(".")).alias("host")), "host", t["suffixes"]).select(K, "registrable"), "SELECT k, domain AS registrable FROM fx_domains")
 register("d34_technology", lambda t: t["ports"].select(K, "port", S.banner_technology(c("port"), c("banner")).alias("technology")), "SELECT k, port, technology FROM v_services")
 OWN = "SELECT 'op' || CAST(o_orderkey % 37 AS STRING) || '.net' AS domain, '[\"ns1.op' || CAST(o_orderkey % 37 AS STRING) || '.net.\",\"ns2.hostpoint.ch\"]' AS ns, '[\"MX.op' || CAST(o_orderkey % 37 AS STRING) || '.net\"]' AS mx FROM orders"
 register("d35_harvest", lambda t: matching.harvest_subdomains(derived(t.spark, t.sf_dir, OWN)), "SELECT DISTINCT 'op' || CAST(o_orderkey % 37 AS STRING) || '.net' AS domain, unnest(['ns1.op' || CAST(o_orderkey % 37 AS STRING) || '.net', 'mx.op' || CAST(o_orderkey % 37 AS STRING) || '.net']) AS subdomain, 'mx_ns' AS source FROM orders")
@@ -127,9 +131,11 @@ register("b2_pending_dns", lambda t: work.pending(t["domains"], t["dns"].withCol
 register("b3_retry", lambda t: work.retry_targets(t["domains"], "timeout").select(K), "SELECT k FROM fx_domains WHERE error_kind = 'timeout'")
 register("b4_pending_whois", lambda t: work.pending(t["domains"], t["whois"], None, K).select(K), "SELECT k FROM fx_domains WHERE k NOT IN (SELECT k FROM fx_whois_info)")
 register("b5_pending_subdomains", lambda t: work.pending(t["domains"], t["subdomains"], None, K).select(K), "SELECT k FROM fx_domains d WHERE NOT EXISTS (SELECT 1 FROM fx_subdomains s WHERE s.k = d.k)")
-register("b6_pending_ports", lambda t: work.pending_ports(t["domains"].withColumns({"ports_scanned_at": F.when(c(K) % 3 > 0, c("updated_at")), "ports_targeted_at": F.lit(None)})).select(K), "SELECT k FROM fx_domains WHERE k % 3 = 0 OR updated_at IS NULL")
+_scanned = lambda t: t["domains"].withColumns({"ports_scanned_at": F.when(c(K) % 3 > 0, c("updated_at")), "ports_targeted_at": F.when(c(K) % 5 > 1, c("updated_at"))})
+register("b6_pending_ports", lambda t: work.pending_ports(_scanned(t)).select(K), "SELECT k FROM fx_domains WHERE k % 3 = 0 OR updated_at IS NULL")
+register("b6_pending_targeted", lambda t: work.pending_ports(_scanned(t), targeted=True).select(K), "SELECT k FROM fx_domains WHERE k % 5 <= 1 OR updated_at IS NULL")
 register("b7_banner_backlog", lambda t: work.banner_backlog(t["ports"], K).select(K, F.array_join(F.transform("targets", lambda x: F.concat_ws("@", x["port"].cast("string"), x["ip"])), ",").alias("targets")), f"SELECT k, string_agg(port || '@' || ip, ',' ORDER BY port, ip) AS targets FROM fx_ports_info WHERE banner IS NULL AND ip <> '127.0.0.1' AND port IN {BANNER_PORTS} GROUP BY k")
-register("b8_unclassified", lambda t: t["domains"].join(t["classes"].select(K), K, "left_anti").select(K), "SELECT k FROM fx_domains WHERE k NOT IN (SELECT k FROM v_classes)")
+register("b8_unclassified", lambda t: work.unclassified(t["domains"], t["classes"], K).select(K), "SELECT k FROM fx_domains WHERE k NOT IN (SELECT k FROM v_classes)")
 register("b9_geocode_backlog", lambda t: work.geocode_backlog(t["domains"]).select(K), "SELECT k FROM fx_domains WHERE ip IS NOT NULL AND country_code IS NULL")
 register("b10_unresolved", lambda t: work.unresolved_operators(matching.operator_samples(t["dns"], K), t["operator_country"]), "SELECT operator, min(host) AS sample_ns FROM v_hosts WHERE operator NOT IN (SELECT operator FROM fx_operator_country) GROUP BY operator")
 
@@ -146,8 +152,52 @@ register("c8_open_only", lambda t: merge.open_only(t["ports"].withColumn("open",
 register("c9_denormalise", lambda t: merge.denormalise_whois(t["domains"], t["whois"], K).select(K, "whois_registrar", "whois_created"), "SELECT k, registrar AS whois_registrar, whois_created FROM fx_domains LEFT JOIN fx_whois_info USING (k)")
 
 # ---- A: sources that SQL can state
-register("a3_import", lambda t: (lambda d, n: merge.merge_replace(d, n, ["o_orderkey"]))(t.spark.read.parquet(f"{t.sf_dir}/orders.parquet").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("old").alias("origin")), t.spark.read.parquet(f"{t.sf_dir}/orders.parquet").filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("new").alias("origin"))), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
-register("a8_show", lambda t: sources.show_domain({"domains": t["domains"]}, "kantonalbank-12.ch")["domains"].select(K, "domain", "status", "server"), "SELECT k, domain, status, server FROM fx_domains WHERE domain = 'kantonalbank-12.ch'")
+def _imported(t: Tables, on_conflict: str) -> DataFrame:
+    """Every second order with another status, and the orders file imported over it."""
+    old = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet").filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("old"))
+    now = sources.import_tables(t.spark, t.sf_dir, {"orders": old, "nothing": old}, {"orders": ["o_orderkey"]}, (), on_conflict)
+    return now["orders"].select("o_orderkey", "o_orderstatus", "o_custkey")
+
+
+register("a3_import", lambda t: _imported(t, "replace"), "SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
+register("a3_import_ignore", lambda t: _imported(t, "ignore"), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders")
+FEED = """SELECT array(named_struct('cveID', CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'CVE-' || CAST(o_orderkey AS STRING) END,
+ 'vendorProject', CASE o_orderkey % 6 WHEN 0 THEN 'Microsoft' WHEN 1 THEN 'Apache' WHEN 2 THEN NULL WHEN 3 THEN 'Nobody' WHEN 4 THEN 'Craft CMS' ELSE 'Oracle' END,
+ 'product', CASE o_orderkey % 4 WHEN 0 THEN 'SQL Server' WHEN 1 THEN 'Tomcat' WHEN 2 THEN 'MySQL' ELSE NULL END,
+ 'shortDescription', 'text ' || CAST(o_orderkey AS STRING), 'dateAdded', '2021-01-02')) AS vulnerabilities FROM orders"""
+_kev_tech = " ".join(f"WHEN contains(b, '{n}') THEN '{'mssql' if n == 'sql server' else n}'" for n in KEV_VENDORS)
+register(
+    "a4_kev_feed", lambda t: sources.ingest_kev(derived(t.spark, t.sf_dir, FEED)),
+    f"""SELECT * FROM (SELECT cve_id, CASE {_kev_tech} END AS technology, 'CRITICAL' AS severity, true AS in_kev, summary, '2021-01-02' AS published_at FROM (
+ SELECT CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'CVE-' || o_orderkey END AS cve_id, 'text ' || o_orderkey AS summary,
+ lower(coalesce(CASE o_orderkey % 6 WHEN 0 THEN 'Microsoft' WHEN 1 THEN 'Apache' WHEN 3 THEN 'Nobody' WHEN 4 THEN 'Craft CMS' WHEN 5 THEN 'Oracle' END, '') || ' '
+ || coalesce(CASE o_orderkey % 4 WHEN 0 THEN 'SQL Server' WHEN 1 THEN 'Tomcat' WHEN 2 THEN 'MySQL' END, '')) AS b FROM orders)) WHERE technology IS NOT NULL AND cve_id <> ''""",
+)
+LOG = "SELECT 'op' || CAST(o_orderkey % 37 AS STRING) || '.net' AS apex, ' A' || CAST(o_orderkey AS STRING) || '.op' || CAST(o_orderkey % 37 AS STRING) || '.net' || chr(10) || '*.OP' || CAST(o_orderkey % 37 AS STRING) || '.net ' || chr(10) || 'op' || CAST(o_orderkey % 37 AS STRING) || '.net' || chr(10) || 'x.other.net' AS name_value FROM orders"
+register("a5_certificate_log", lambda t: sources.ingest_ct(derived(t.spark, t.sf_dir, LOG)), "SELECT DISTINCT 'op' || o_orderkey % 37 || '.net' AS domain, unnest(['a' || o_orderkey || '.op' || o_orderkey % 37 || '.net', '*.op' || o_orderkey % 37 || '.net']) AS subdomain, 'ct' AS source FROM orders")
+HAVE = "SELECT c.technology, c.cve_id, 'LOW' AS severity, 1.0D AS cvss_score, '0' AS affected_from, '1' AS affected_to, 'old' AS summary, true AS in_kev, '2020-02-02' AS published_at FROM (SELECT DISTINCT CAST(o_orderkey % 90 AS INT) AS i FROM orders) o JOIN (SELECT technology, cve_id, row_number() OVER (ORDER BY cve_id, technology) AS i FROM (" + FIXTURES["fx_cve_catalog"].strip() + ") x WHERE cvss_score IS NOT NULL) c ON c.i = o.i AND c.i % 2 = 0 UNION ALL SELECT 'own', 'OWN-' || CAST(o_orderkey AS STRING), 'LOW', 1.0D, '0', '1', 'own', false, NULL FROM orders"
+_seed = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'" for v in r) + ")" for r in SEED)
+register("a7_seed_catalog", lambda t: sources.seed_catalog(t.spark, derived(t.spark, t.sf_dir, HAVE)), f"""
+WITH have AS ({HAVE.replace("1.0D", "CAST(1 AS DOUBLE)")}), seed(technology, cve_id, severity, cvss_score, affected_from, affected_to, summary) AS (VALUES {_seed})
+SELECT s.technology, s.cve_id, s.severity, CAST(s.cvss_score AS DOUBLE) AS cvss_score, s.affected_from, s.affected_to, s.summary, coalesce(h.in_kev, false) AS in_kev, h.published_at
+FROM seed s LEFT JOIN have h USING (cve_id) UNION ALL SELECT technology, cve_id, severity, cvss_score, affected_from, affected_to, summary, in_kev, published_at FROM have WHERE cve_id NOT IN (SELECT cve_id FROM seed)""")
+SHOWN = ("domains", "headers", "dns", "tls", "ports", "whois", "email", "subdomains", "classes", "scores")
+
+
+def _shown(t: Tables) -> DataFrame:
+    """How many rows each of the ten tables has of one domain."""
+    names = t["domains"].select(K, F.col("domain"))
+    tables = {n: t["flags" if n == "scores" else n].drop("domain").join(names, K) for n in SHOWN}
+    out = None
+    for name, df in sources.show_domain(tables, "kantonalbank-12.ch").items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_k12 = "(SELECT k FROM fx_domains WHERE domain = 'kantonalbank-12.ch')"
+_of = {"domains": "fx_domains", "headers": "fx_http_headers", "dns": "fx_dns_info", "tls": "fx_tls_info", "ports": "fx_ports_info", "whois": "fx_whois_info", "email": "fx_email_security", "subdomains": "fx_subdomains", "classes": "v_classes", "scores": "v_flags"}
+register("a8_show", _shown, " UNION ALL ".join(f"SELECT '{n}' AS table, count(*) AS n FROM {v} WHERE k IN {_k12}" for n, v in _of.items()))
 register("a10_markdown", lambda t: sources.pages_to_markdown(t["pages"]))
 
 # ---- E: matching
@@ -165,11 +215,20 @@ CAT = "SELECT 'CVE-' || CAST(o_orderkey AS STRING) AS cve_id, 'nginx' AS technol
 register("e9_merge_kev", lambda t: matching.merge_kev(derived(t.spark, t.sf_dir, CAT), derived(t.spark, t.sf_dir, KEV)), "SELECT 'CVE-' || o_orderkey AS cve_id, CASE WHEN s THEN 'nginx' ELSE 'php' END AS technology, CASE WHEN s THEN '1.0' END AS affected_from, CASE WHEN s THEN '2.0' END AS affected_to, CASE WHEN x THEN 'CRITICAL' ELSE 'LOW' END AS severity, CASE WHEN s THEN CAST(5.5 AS DOUBLE) END AS cvss_score, x AS in_kev, CASE WHEN x THEN 'kev' ELSE 'seed' END AS summary, CASE WHEN x THEN '2001-01-01' END AS published_at FROM (SELECT o_orderkey, o_orderkey % 3 = 0 AS s, o_orderkey % 2 = 0 AS x FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0)")
 register("e10_staging", lambda t: t["staging"], "SELECT * FROM v_staging")
 register("e11_samples", lambda t: matching.operator_samples(t["dns"], K), "SELECT operator, min(host) AS sample_ns FROM v_hosts GROUP BY operator")
-register("e12_enrich", lambda t: (lambda s: matching.enrich_operators(s, s.select(F.col("sample_ns").alias("host"), F.concat((F.length("operator") * 9 + 5).cast("string"), F.lit(".0.0.1")).alias("ip")), matching.octet_ranges(t["ip_ranges"])))(matching.operator_samples(t["dns"], K)), f"SELECT operator, sample_ns, ip AS resolved_ip, 'AS' || asn AS asn, asn_org, country_code, {JURISDICTION.replace('cc', 'country_code')} AS jurisdiction FROM (SELECT operator, min(host) AS sample_ns, (length(operator) * 9 + 5) || '.0.0.1' AS ip FROM v_hosts GROUP BY operator) LEFT JOIN fx_ip_ranges ON CAST(split_part(ip, '.', 1) AS INT) BETWEEN lo_octet AND hi_octet")
+def _enriched(t: Tables) -> DataFrame:
+    samples = matching.operator_samples(t["dns"], K)
+    ips = samples.select(F.col("sample_ns").alias("host"), F.concat((F.length("operator") * 9 + 5).cast("string"), F.lit(".0.0.1")).alias("ip"))
+    return matching.enrich_operators(samples, ips, matching.octet_ranges(t["ip_ranges"]))
+
+
+_enrich = f"SELECT operator, sample_ns, ip AS resolved_ip, 'AS' || asn AS asn, asn_org, country_code, {JURISDICTION.replace('cc', 'country_code')} AS jurisdiction FROM (SELECT operator, min(host) AS sample_ns, (length(operator) * 9 + 5) || '.0.0.1' AS ip FROM v_hosts GROUP BY operator) LEFT JOIN fx_ip_ranges ON CAST(split_part(ip, '.', 1) AS INT) BETWEEN lo_octet AND hi_octet"
+register("e12_enrich", _enriched, _enrich)
+OLD_OPERATORS = "SELECT operator, 'old' AS sample_ns, NULL AS resolved_ip, NULL AS asn, NULL AS asn_org, country_code, 'CH' AS jurisdiction FROM (SELECT DISTINCT 'Hostpoint' AS operator, 'CH' AS country_code FROM orders UNION ALL SELECT DISTINCT 'gone' || CAST(o_custkey AS STRING), NULL FROM orders) o"
+register("e12_upsert", lambda t: matching.upsert_operators(derived(t.spark, t.sf_dir, OLD_OPERATORS).withColumns({n: c(n).cast("string") for n in ("resolved_ip", "asn", "asn_org")}), _enriched(t)), f"WITH e AS ({_enrich}) SELECT * FROM e UNION ALL SELECT operator, sample_ns, resolved_ip, asn, asn_org, country_code, jurisdiction FROM ({OLD_OPERATORS}) WHERE operator NOT IN (SELECT operator FROM e)")
 
 # ---- F: classes, risk, benchmarks, sovereignty
 register("f1_classify", lambda t: t["classes"], "SELECT * FROM v_classes")
-register("f2_incremental", lambda t: (lambda old: risk.sector_counts(merge.merge_replace(old, risk.classify(work.pending(t["domains"], old, None, K), K), [K])))(t["classes"].filter("k % 2 = 0")), "SELECT sector, count(*) AS n FROM v_classes GROUP BY sector")
+register("f2_incremental", lambda t: risk.sector_counts(risk.classify_incremental(t["domains"], t["classes"].filter("k % 2 = 0"), K)), "SELECT sector, count(*) AS n FROM v_classes GROUP BY sector")
 register("f3_risk_flags", lambda t: t["raw_flags"], "SELECT * FROM v_raw_flags")
 register("f4_risk_score", lambda t: t["flags"].select(K, "score"), "SELECT k, score FROM v_flags")
 register("f5_penalty", lambda t: t["sovereign"].select(K, risk.sovereignty_penalty(c("sovereignty_score")).alias("penalty")), "SELECT k, CASE sovereignty_score WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS penalty FROM v_sovereign")
@@ -178,7 +237,7 @@ register("f6_benchmark", lambda t: risk.benchmark(t["domains"].join(t["classes"]
 register("f7_benchmark_pct", lambda t: risk.benchmark_pct(t["email"].join(t["classes"], K), "sector", "dkim", "dkim_found"), f"SELECT sector, 'dkim' AS metric, {_q} FROM (SELECT sector, CASE WHEN dkim_found THEN CAST(100 AS DOUBLE) ELSE 0 END AS v FROM fx_email_security JOIN v_classes USING (k)) GROUP BY sector")
 register("f8_sector_benchmarks", lambda t: t["bench"], "SELECT * FROM v_bench")
 register("f9_summary", lambda t: risk.benchmark_summary(t["bench"]).select("sector", "metric", "domain_count"), "SELECT sector, metric, domain_count FROM v_bench")
-register("f10_percentile", lambda t: risk.domain_percentile(t["flags"], t["classes"], t["bench"], K), "SELECT k, sector, score, percent_rank() OVER (PARTITION BY sector ORDER BY score NULLS FIRST) AS percentile, median AS sector_median FROM v_flags JOIN v_classes USING (k) JOIN (SELECT sector, median FROM v_bench WHERE metric = 'risk_score') USING (sector)")
+register("f10_percentile", lambda t: risk.domain_percentile(t["flags"], t["classes"], K), "SELECT k, sector, score, percent_rank() OVER (PARTITION BY sector ORDER BY score NULLS FIRST) AS percentile, median AS sector_median FROM v_flags JOIN v_classes USING (k) JOIN (SELECT sector, median FROM v_bench WHERE metric = 'risk_score') USING (sector)")
 register("f11_sovereignty", lambda t: t["sovereign"].select(K, "sovereignty_score"), "SELECT k, sovereignty_score FROM v_sovereign")
 register("f12_jurisdictions", lambda t: risk.jurisdiction_distribution(t["domains"], t["staging"], t["operators"], K), "SELECT jurisdiction, count(DISTINCT k) AS domains, count(DISTINCT k) * 100 // (SELECT count(*) FROM fx_domains) AS percent FROM v_staging JOIN v_operators USING (operator) GROUP BY jurisdiction")
 register("f13_top_operators", lambda t: risk.top_operators(t["staging"], 20, K), "SELECT operator, count(DISTINCT k) AS domains FROM v_staging GROUP BY operator ORDER BY domains DESC, operator LIMIT 20")
@@ -191,6 +250,8 @@ register("f17_error_guard", lambda t: risk.error_rate_guard(t["scan_results"]),
 # ---- G: findings
 for _name, _f in findings.FINDINGS.items():
     register(_name, _f)
+TITLES = (*findings.GENERIC_TITLES, "willkommen 0", "spital portal")
+register("g9_parked", lambda t: findings.g9(t, TITLES))
 LIVE = "(SELECT * FROM fx_domains WHERE status = 'ok')"
 _share = lambda by, source, where="true": f"SELECT {by}, count(*) AS n, round(count(*) * 100.0 / CAST(sum(count(*)) OVER () AS DOUBLE), 1) AS share FROM {source} WHERE {where} GROUP BY ALL"
 _case = lambda col, marks, other: f"CASE {' '.join(f'WHEN contains(lower(coalesce({col}, {chr(39)}{chr(39)})), {chr(39)}{m.replace(chr(39), chr(39) * 2)}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for m, n in marks)} ELSE '{other}' END"
@@ -208,13 +269,13 @@ _gsql = {
     "g3_status_codes": _share("status_code", LIVE),
     "g4_servers": _share(_case("server", findings.SERVERS, "other") + " AS family", LIVE),
     "g5_cms": _share("cms", LIVE, "cms IS NOT NULL AND lower(cms) NOT IN ('apache', 'nginx', 'php')"),
-    "g6_php_branches": "SELECT coalesce(branch, 'total') AS branch, count(*) AS n FROM (SELECT CASE powered_by WHEN 'PHP/7.4.33' THEN '7.4' WHEN 'PHP/8.2.30' THEN '8.x' WHEN 'PHP/5.6.40' THEN '5.x' END AS branch FROM fx_domains) WHERE branch IS NOT NULL GROUP BY ROLLUP (branch)",
+    "g6_php_branches": "SELECT 'branch' AS kind, coalesce(branch, 'total') AS value, count(*) AS n FROM (SELECT CASE powered_by WHEN 'PHP/7.4.33' THEN '7.4' WHEN 'PHP/8.2.30' THEN '8.x' WHEN 'PHP/5.6.40' THEN '5.x' END AS branch FROM fx_domains) WHERE branch IS NOT NULL GROUP BY ROLLUP (branch) UNION ALL SELECT * FROM (SELECT 'version', powered_by, count(*) AS n FROM fx_domains WHERE powered_by IS NOT NULL GROUP BY powered_by ORDER BY n DESC, powered_by LIMIT 10)",
     "g7_response_times": f"SELECT min(elapsed_ms) AS min, max(elapsed_ms) AS max, round(avg(elapsed_ms), 4) AS mean, {', '.join(f'quantile_cont(CAST(elapsed_ms AS DOUBLE), {q}) AS {n}' for q, n in ((0.25, 'p25'), (0.5, 'p50'), (0.75, 'p75'), (0.95, 'p95'), (0.99, 'p99')))} FROM {LIVE}",
     "g8_cross_domain": _flags(LIVE, cross_domain="regexp_replace(regexp_extract(final_url, '^https?://([^/]*)', 1), '^www\\.', '') <> domain"),
-    "g9_parked": _flags(LIVE, no_title="title IS NULL", generic=f"lower(title) IN {findings.GENERIC_TITLES}"),
+    "g9_parked": _flags(LIVE, no_title="title IS NULL", generic=f"lower(title) IN {TITLES}"),
     "g10_addresses": f"SELECT count(DISTINCT ip) AS ips, count(ip) AS domains, round(count(ip) / CAST(count(DISTINCT ip) AS DOUBLE), 4) AS per_ip FROM {LIVE}",
     "g11_top_ips": f"SELECT ip, n, round(sum(n) OVER (ORDER BY n DESC, ip) * 100.0 / CAST(total AS DOUBLE), 1) AS cumulative FROM (SELECT ip, count(*) AS n, sum(count(*)) OVER () AS total FROM {LIVE} WHERE ip IS NOT NULL GROUP BY ip ORDER BY n DESC, ip LIMIT 10)",
-    "g12_clones": f"SELECT CAST(sum(n) AS BIGINT) AS with_hash, count(*) AS distinct_bodies, count(*) FILTER (WHERE n = 1) AS singletons, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS sharing, count(*) FILTER (WHERE n > 1) AS groups FROM (SELECT body_hash, count(*) AS n FROM {LIVE} WHERE body_hash IS NOT NULL GROUP BY body_hash)",
+    "g12_clones": f"WITH g AS (SELECT body_hash, count(*) AS n, min(title) AS title FROM {LIVE} GROUP BY body_hash) SELECT kind, NULL AS title, n FROM (SELECT unnest([{{'kind': 'with_hash', 'n': coalesce(sum(n) FILTER (WHERE body_hash IS NOT NULL), 0)}}, {{'kind': 'no_hash', 'n': coalesce(sum(n) FILTER (WHERE body_hash IS NULL), 0)}}, {{'kind': 'distinct_bodies', 'n': count(body_hash)}}, {{'kind': 'singletons', 'n': count(body_hash) FILTER (WHERE n = 1)}}, {{'kind': 'sharing', 'n': coalesce(sum(n) FILTER (WHERE n > 1 AND body_hash IS NOT NULL), 0)}}, {{'kind': 'groups', 'n': count(body_hash) FILTER (WHERE n > 1)}}], recursive := true) FROM g) UNION ALL SELECT * FROM (SELECT 'group', title, n FROM g WHERE n > 1 AND body_hash IS NOT NULL ORDER BY n DESC, body_hash LIMIT 10)",
     "g13_schemes": _flags(LIVE, https="starts_with(final_url, 'https://')", http="starts_with(final_url, 'http://')"),
     "g14_countries": f"SELECT CASE WHEN share < 0.4 THEN 'other' ELSE country_code END AS country, CAST(sum(n) AS BIGINT) AS n FROM ({_share('country_code', LIVE, 'country_code IS NOT NULL')}) GROUP BY 1",
     "g15_headers": _flags("fx_http_headers", hsts="hsts IS NOT NULL", csp="csp IS NOT NULL", frame="x_frame_options IS NOT NULL", sniff="x_content_type_options IS NOT NULL", none="coalesce(hsts, csp, x_frame_options, x_content_type_options) IS NULL"),
@@ -228,12 +289,12 @@ _gsql = {
     "g23_weak_countries": f"SELECT coalesce(country_code, 'total') AS country, count(*) AS n FROM {LIVE} WHERE country_code IN {findings.WEAK_COUNTRIES} GROUP BY ROLLUP (country_code)",
     "g24_clouds": f"SELECT coalesce(cloud, 'total') AS cloud, count(*) AS n FROM (SELECT {_cloud} AS cloud FROM {LIVE}) WHERE cloud <> 'none' GROUP BY ROLLUP (cloud)",
     "g25_keys": f"SELECT key_oid, key_size, count(*) AS n, count(*) FILTER (WHERE valid_to - DATE '{AS_OF}' BETWEEN 0 AND 6) AS within_week FROM fx_tls_info GROUP BY 1, 2",
-    "g26_spoofable": _flags("fx_email_security", neither="NOT spf_present AND NOT dmarc_present", spoofable="(NOT spf_present OR spf_too_permissive) AND (NOT dmarc_present OR coalesce(dmarc_policy = 'none', false))"),
+    "g26_spoofable": f"SELECT * FROM ({_flags("fx_email_security", neither="NOT spf_present AND NOT dmarc_present", spoofable="(NOT spf_present OR spf_too_permissive) AND (NOT dmarc_present OR coalesce(dmarc_policy = 'none', false))")}) CROSS JOIN (SELECT count(*) FILTER (WHERE {_look} > 10) AS over_limit FROM fx_dns_info)",
     "g27_open_cors": _flags("fx_http_headers", open="cors_origin = '*'"),
     "g28_dns_hygiene": _flags("fx_dns_info", wildcard="wildcard", no_caa=_caa0, spf_without_mx=f"txt_spf IS NOT NULL AND len({LIST.format('mx')}) = 0"),
-    "g29_subdomains": "SELECT source, count(*) AS n, count(DISTINCT k) AS parents FROM fx_subdomains GROUP BY source",
+    "g29_subdomains": "SELECT 'source' AS kind, source AS name, count(*) AS n, count(DISTINCT k) AS parents FROM fx_subdomains GROUP BY source UNION ALL SELECT 'leaking', 'axfr', count(*), count(DISTINCT k) FROM fx_subdomains WHERE source = 'axfr' UNION ALL SELECT * FROM (SELECT 'leak', CAST(k AS VARCHAR), count(DISTINCT subdomain) AS n, 1 FROM fx_subdomains WHERE source = 'axfr' GROUP BY k ORDER BY n DESC, k LIMIT 10)",
     "g30_other_ports": "SELECT port, count(*) AS n FROM fx_ports_info WHERE port NOT IN (80, 443) GROUP BY port",
-    "g31_version_bands": _share("CASE WHEN m >= 20 THEN 'current' WHEN m >= 10 THEN 'older' ELSE 'outdated' END AS band", f"(SELECT CAST(split_part(server, '.', 2) AS INT) AS m FROM {LIVE} WHERE server LIKE 'nginx/%')"),
+    "g31_version_bands": _share("CASE WHEN a > 6 OR (a = 6 AND b >= 8) THEN 'current' WHEN a = 6 THEN 'older' ELSE 'outdated' END AS band", f"(SELECT CAST(split_part(cms_version, '.', 1) AS INT) AS a, CAST(split_part(cms_version, '.', 2) AS INT) AS b FROM {LIVE} WHERE cms = 'WordPress' AND cms_version IS NOT NULL)"),
     "g32_exposure": "SELECT technology, count(DISTINCT k) AS domains, count(DISTINCT cve_id) FILTER (WHERE severity = 'CRITICAL') AS critical, count(DISTINCT cve_id) FILTER (WHERE severity = 'HIGH') AS high FROM v_matches GROUP BY 1",
     "g33_sector_metrics": "SELECT sector, " + ", ".join(f"round(max(mean) FILTER (WHERE metric = '{m}'), 2) AS {m}" for m in ("dmarc_weak_pct", "dnssec_adoption", "hsts_adoption", "risk_score")) + " FROM v_bench GROUP BY sector",
     "g34_operator_pairs": "SELECT operator, n AS pairs, round(sum(n) OVER (ORDER BY n DESC, operator) * 100.0 / CAST(sum(n) OVER () AS DOUBLE), 1) AS cumulative FROM (SELECT operator, count(*) AS n FROM v_staging GROUP BY operator)",
@@ -270,21 +331,22 @@ register("h2_registrars", lambda t: research.registrars_expiring(t["whois"], AS_
 register("h3_valuable", lambda t: research.valuable_expiring(t["whois"], t["subdomains"], t["classes"], AS_OF), f"SELECT w.k, expires_at, s.n AS subdomains, sector FROM fx_whois_info w JOIN (SELECT k, count(DISTINCT subdomain) AS n FROM fx_subdomains GROUP BY k) s USING (k) LEFT JOIN v_classes USING (k) WHERE {_left} BETWEEN 0 AND 90")
 register("h4_age", lambda t: research.registrar_age(t["whois"], AS_OF), f"SELECT registrar, round(avg(DATE '{AS_OF}' - whois_created), 4) AS mean_days FROM fx_whois_info GROUP BY 1")
 register("h5_share", lambda t: research.registrar_share(t["whois"]), _share("registrar", "fx_whois_info"))
-register("h6_posture", lambda t: research.registrar_posture(t["whois"], t["flags"]), "SELECT registrar, count(*) AS n, round(avg(score), 4) AS mean_score FROM fx_whois_info JOIN v_flags USING (k) GROUP BY 1")
+register("h6_posture", lambda t: research.registrar_posture(t["whois"], t["flags"]), "SELECT registrar, count(*) AS n, round(avg(score), 4) AS mean_score, round(corr(CAST(score AS DOUBLE), CAST(CAST(dnssec_delegated AS INT) AS DOUBLE)), 4) AS corr FROM fx_whois_info JOIN v_flags USING (k) GROUP BY 1")
 register("h7_dnssec", lambda t: research.registrar_dnssec(t["whois"]), "SELECT registrar, count(*) AS n, count(*) FILTER (WHERE dnssec_delegated) AS delegated FROM fx_whois_info GROUP BY 1")
 NAMES = "SELECT DISTINCT 'old' || CAST(o_orderkey % 40 AS STRING) || '.app.example.com' AS name FROM orders"
-register("h8_orphans", lambda t: research.orphans(t["dns"], derived(t.spark, t.sf_dir, NAMES)).select(K, "cname"), f"SELECT k, cname FROM fx_dns_info WHERE cname IS NOT NULL AND cname NOT IN ({NAMES})")
-register("h9_hub_removal", lambda t: (lambda ops: derived(t.spark, t.sf_dir, "SELECT DISTINCT o_orderkey % 1 AS z FROM orders").select(F.explode(F.array(*map(F.lit, ops))).alias("operator")))(research.hub_removal(t["staging"], 0.25)))
+register("h8_orphans", lambda t: t["orphans"].select(K, "cname"), "SELECT k, cname FROM v_orphans")
+register("h9_hub_removal", lambda t: research.hub_removal(t["staging"], 0.25))
 _down = "('Hostpoint', 'Cloudflare', 'UltraDNS')"
 register("h10_cascade", lambda t: research.cascade(t["staging"], t["staging"].filter(f"operator IN {_down}").select("operator").distinct(), t["classes"]), f"SELECT sector, count(*) AS n FROM (SELECT k FROM v_staging GROUP BY k HAVING bool_and(operator IN {_down})) LEFT JOIN v_classes USING (k) GROUP BY sector")
 _log = "SELECT coalesce(o.k, n.k) AS k, unnest(list_filter([CASE WHEN o.k IS NULL THEN {'change': 'added', 'column': NULL, 'before': NULL, 'after': NULL} END, CASE WHEN n.k IS NULL THEN {'change': 'removed', 'column': NULL, 'before': NULL, 'after': NULL} END, CASE WHEN o.k = n.k AND o.status IS DISTINCT FROM n.status THEN {'change': 'changed', 'column': 'status', 'before': o.status, 'after': n.status} END, CASE WHEN o.k = n.k AND o.server IS DISTINCT FROM n.server THEN {'change': 'changed', 'column': 'server', 'before': o.server, 'after': n.server} END], lambda x: x IS NOT NULL)) AS e FROM fx_domains o FULL JOIN fx_snapshot_2 n ON o.k = n.k"
-register("h11_change_log", lambda t: research.change_log(_cur(t), t["snapshot_2"], ["status", "server"]), f"SELECT k, e.change, e.column, e.before, e.after FROM ({_log})")
-register("h12_alerts", lambda t: research.alerts(research.change_log(_cur(t), t["snapshot_2"], ["status", "server"])), f"SELECT k, change, severity FROM (SELECT k, e.change AS change, CASE WHEN e.change = 'removed' OR e.after = 'error' THEN 'high' WHEN e.column = 'status' THEN 'medium' END AS severity FROM ({_log})) WHERE severity IS NOT NULL")
+_severity = "CASE WHEN e.change = 'removed' OR (e.column = 'status' AND e.after = 'error') THEN 'high' WHEN e.column = 'status' THEN 'medium' ELSE 'low' END AS severity"
+register("h11_change_log", lambda t: research.change_log(_cur(t), t["snapshot_2"], ["status", "server"]), f"SELECT k, e.change, e.column, e.before, e.after, {_severity} FROM ({_log})")
+register("h12_alerts", lambda t: research.alerts(research.change_log(_cur(t), t["snapshot_2"], ["status", "server"])), f"SELECT * FROM (SELECT k, e.change AS change, {_severity} FROM ({_log})) WHERE severity <> 'low'")
 SNAPS = "SELECT o_custkey AS k, o_orderkey AS seen, o_orderkey * 7919 % 101 AS score FROM orders"
 register("h13_trend", lambda t: research.trend(derived(t.spark, t.sf_dir, SNAPS)), f"SELECT k, seen, score, score - lag(score) OVER (PARTITION BY k ORDER BY seen) AS change, round(avg(score) OVER (PARTITION BY k ORDER BY seen ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM ({SNAPS})")
-SQUATS = "SELECT DISTINCT 'z' || CAST(o_orderkey % 400 AS STRING) || CASE o_orderkey % 4 WHEN 0 THEN 'bank' WHEN 1 THEN 'bnak' WHEN 2 THEN 'poo1' ELSE 'pool' END AS name FROM orders"
-register("h14_typosquats", lambda t: research.typosquats(derived(t.spark, t.sf_dir, SQUATS)), f"WITH n AS ({SQUATS}) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.name < b.name AND (levenshtein(a.name, b.name) <= 1 OR translate(a.name, '10', 'lo') = translate(b.name, '10', 'lo') OR (len(a.name) = len(b.name) AND levenshtein(a.name, b.name) = 2 AND damerau_levenshtein(a.name, b.name) = 1))")
-register("h15_homoglyphs", lambda t: research.homoglyphs(derived(t.spark, t.sf_dir, SQUATS).unionByName(t["lookalikes"])), f"WITH n AS (SELECT name, translate(name, '{research.CONFUSABLE[0]}', '{research.CONFUSABLE[1]}') AS s FROM ({SQUATS} UNION ALL SELECT name FROM fx_lookalikes)) SELECT a.name AS a, b.name AS b FROM n a JOIN n b ON a.s = b.s AND a.name < b.name")
+register("h12_risk_alerts", lambda t: research.risk_alerts(derived(t.spark, t.sf_dir, SNAPS)), f"SELECT k, seen, before, score, CASE WHEN before - score >= 20 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT k, seen, score, lag(score) OVER (PARTITION BY k ORDER BY seen) AS before FROM ({SNAPS})) WHERE score < before")
+register("h14_typosquats", lambda t: research.typosquats(t["names"].select("name").distinct()), "SELECT a, b FROM v_squats")
+register("h15_homoglyphs", lambda t: research.homoglyphs(t["glyphs"]), f"SELECT name, skeleton, min(name) OVER s AS like, count(*) OVER s AS members FROM (SELECT DISTINCT name, translate(name, '{research.CONFUSABLE[0]}', '{research.CONFUSABLE[1]}') AS skeleton FROM fx_glyphs) WINDOW s AS (PARTITION BY skeleton) QUALIFY members > 1")
 register("h16_blocklist", lambda t: research.blocklisted(t["domains"], t["blocklist"]).select(K, "domain"), "SELECT k, domain FROM fx_domains WHERE k IN (SELECT k FROM fx_blocklist)")
 
 # ---- I: module models
@@ -292,18 +354,18 @@ _sum = lambda base, cap, *terms: f"CAST(greatest(0, least({cap}, {base} + {' + '
 _rsa = "key_oid = '1.2.840.113549.1.1.1'"
 _d = f"(valid_to - DATE '{AS_OF}')"
 _isql = {
-    "i1": "SELECT k, " + _sum(10, 100, (f"{_d} < 7", 30), (f"{_d} BETWEEN 7 AND 29", 15), (f"{_d} BETWEEN 30 AND 89", 5), (f"{_rsa} AND key_size < 2048", 20), (f"NOT {_rsa} OR key_size >= 4096", -5), ("tls_version IN ('TLSv1.0', 'TLSv1.1')", 25), ("tls_version = 'TLSv1_3'", -10), ("NOT ct_logged", 10), ("cert_issuer = cert_subject", 25)) + " FROM fx_tls_info",
-    "i2": "SELECT k, " + _sum(15, 100, ("NOT coalesce(dnssec_signed, false)", 25), (_caa0, 15), (f"len({LIST.format('caa')}) = 1", -5), (f"len({LIST.format('ns')}) < 2", 10), ("wildcard", 12)) + " FROM fx_dns_info",
+    "i1": "SELECT k, " + _sum(10, 100, (f"{_d} < 7", 30), (f"{_d} BETWEEN 7 AND 29", 15), (f"{_d} BETWEEN 30 AND 89", 5), (f"{_rsa} AND key_size < 2048", 20), (f"NOT {_rsa} OR key_size >= 4096", -5), ("tls_version IN ('TLSv1.0', 'TLSv1.1')", 25), ("tls_version = 'TLSv1_3'", -10), ("NOT ct_logged", 10), ("cert_issuer = cert_subject", 25), ("signature LIKE 'SHA1%'", 20), ("NOT stapled", 5), ("regexp_matches(cipher, 'DES|RC4|NULL')", 20)) + " FROM fx_tls_info",
+    "i2": "SELECT k, " + _sum(15, 100, ("NOT coalesce(dnssec_signed, false)", 25), (_caa0, 15), (f"len({LIST.format('caa')}) = 1", -5), (f"len({LIST.format('ns')}) < 2", 10), ("wildcard", 12), ("coalesce(dnssec_signed, false) AND NOT dnssec_valid", 35), ("axfr_open", 20), ("k IN (SELECT k FROM v_orphans)", 15), ("ttl < 300", 5), ("ttl > 86400", 3)) + " FROM fx_dns_info",
     "i3": "SELECT k, " + _sum(10, 75, ("hsts IS NULL", 20), ("hsts = 'max-age=3600'", 10), ("contains(hsts, 'includeSub')", -3), ("contains(hsts, 'preload')", -5), ("csp IS NULL", 15), ("contains(csp, 'unsafe-inline')", 12), ("csp = 'script-src *'", 8), ("x_frame_options IS NULL", 12), ("x_frame_options = 'SAMEORIGIN'", 5), ("x_content_type_options IS NULL", 8), ("referrer_policy IS NULL", 5), ("referrer_policy = 'unsafe-url'", 8), ("permissions_policy IS NULL", 3)) + " FROM fx_http_headers",
     "i4": "SELECT p.k, CAST(least(150, 25 + p.n + CASE WHEN critical THEN 10 ELSE 0 END) AS INT) AS points FROM (SELECT k, sum(CASE WHEN port IN (3306, 5432, 6379, 9200, 27017, 11211, 1433, 22, 3389, 445, 23) THEN 30 WHEN port = 21 THEN 25 WHEN port = 8080 THEN 15 ELSE 0 END) AS n FROM fx_ports_info GROUP BY k) p LEFT JOIN v_critical c USING (k)",
-    "i5": "SELECT k, " + _sum(25, 100, ("txt_spf IS NULL", 20), ("txt_spf LIKE '%~all'", 8), ("coalesce(txt_dmarc, '') NOT LIKE 'v=DMARC1%'", 20), ("txt_dmarc = 'v=DMARC1; p=none'", 15), ("txt_dmarc LIKE '%p=quarantine%'", 5), ("txt_dmarc LIKE '%rua=%'", -2), (f"len({LIST.format('mx')}) = 0", 10)) + " FROM fx_dns_info",
-    "i6": "SELECT k, CAST(least(150, 10 + sum(CASE WHEN cvss_score >= 9 THEN 30 WHEN cvss_score >= 7 THEN 20 WHEN cvss_score >= 4 THEN 10 WHEN cvss_score IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN in_kev THEN 20 ELSE 0 END + CASE WHEN version IS NOT NULL THEN 5 ELSE 0 END)) AS INT) AS points FROM v_matches GROUP BY k",
-    "i7": "SELECT k, " + _sum(12, 100, (f"{_left} BETWEEN 0 AND 6", 25), (f"{_left} BETWEEN 7 AND 29", 15), (f"{_left} BETWEEN 30 AND 89", 5), (f"{_left} BETWEEN -30 AND -1", 20), (f"{_left} < -30", 35)) + " FROM fx_whois_info",
+    "i5": "SELECT k, " + _sum(25, 100, ("txt_spf IS NULL", 20), ("txt_spf LIKE '%~all'", 8), ("coalesce(txt_dmarc, '') NOT LIKE 'v=DMARC1%'", 20), ("txt_dmarc = 'v=DMARC1; p=none'", 15), ("txt_dmarc LIKE '%p=quarantine%'", 5), ("txt_dmarc LIKE '%rua=%'", -2), (f"len({LIST.format('mx')}) = 0", 10), ("k NOT IN (SELECT k FROM fx_email_security WHERE dkim_found)", 15)) + " FROM fx_dns_info",
+    "i6": "SELECT k, CAST(least(150, 10 + sum(CASE WHEN cvss_score >= 9 THEN 30 WHEN cvss_score >= 7 THEN 20 WHEN cvss_score >= 4 THEN 10 WHEN cvss_score IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN in_kev THEN 20 ELSE 0 END + CASE WHEN version IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN " + KEY_OF.format("version") + " < " + KEY_OF.format("least") + " THEN 10 ELSE 0 END)) AS INT) AS points FROM v_matches LEFT JOIN fx_supported USING (technology) GROUP BY k",
+    "i7": "SELECT k, " + _sum(12, 100, (f"{_left} BETWEEN 0 AND 6", 25), (f"{_left} BETWEEN 7 AND 29", 15), (f"{_left} BETWEEN 30 AND 89", 5), (f"{_left} BETWEEN -30 AND -1", 20), (f"{_left} < -30", 35), ("k IN (SELECT k FROM v_orphans)", 12), ("k IN (SELECT k FROM v_lookalikes)", 15)) + " FROM fx_whois_info",
 }
 _models = {
-    "i1": lambda t: module_risk.tls_risk(t["tls"], AS_OF), "i2": lambda t: module_risk.dns_risk(t["dns"]), "i3": lambda t: module_risk.header_risk(t["headers"]),
-    "i4": lambda t: module_risk.port_risk(t["ports"], t["matches"]), "i5": lambda t: module_risk.email_risk(t["dns"]),
-    "i6": lambda t: module_risk.technology_risk(t["matches"]), "i7": lambda t: module_risk.domain_risk(t["whois"], AS_OF),
+    "i1": lambda t: module_risk.tls_risk(t["tls"], AS_OF), "i2": lambda t: module_risk.dns_risk(t["dns"], t["orphans"]), "i3": lambda t: module_risk.header_risk(t["headers"]),
+    "i4": lambda t: module_risk.port_risk(t["ports"], t["matches"]), "i5": lambda t: module_risk.email_risk(t["dns"], t["email"]),
+    "i6": lambda t: module_risk.technology_risk(t["matches"], t["supported"]), "i7": lambda t: module_risk.domain_risk(t["whois"], AS_OF, t["orphans"], t["lookalikes"]),
 }
 for _n, _label in (("i1", "tls"), ("i2", "dns"), ("i3", "headers"), ("i4", "ports"), ("i5", "email"), ("i6", "technology"), ("i7", "domain")):
     register(f"{_n}_{_label}_risk", _models[_n], _isql[_n])
@@ -320,6 +382,7 @@ register("i14_compliance", lambda t: module_risk.compliance(t["raw_flags"]), " U
 register("j1_edges", lambda t: t["edges"], "SELECT * FROM v_edges")
 register("j2_nodes", lambda t: t["nodes"], "SELECT * FROM v_nodes")
 register("j3_index", lambda t: t["indexed"], "SELECT * FROM v_indexed")
+register("j3_dropped", lambda t: graph.dropped_edges(t["edges"], t["nodes"].filter("length(id) % 5 > 0")), "SELECT count(*) AS dropped FROM v_edges WHERE len(source) % 5 = 0 OR len(target) % 5 = 0")
 register("j4_cap", lambda t: graph.cap_graph(t["index"], t["indexed"], 5000)[1], "SELECT * FROM v_indexed WHERE greatest(sourceidx, targetidx) < 5000")
 register("j5_degrees", lambda t: graph.degrees(t["index"], t["indexed"]), "SELECT idx, n AS degree, CASE WHEN n > 100 THEN 2 WHEN n > 2 THEN 1 ELSE 0 END AS hub FROM (SELECT i.idx, count(e.x) AS n FROM v_index i LEFT JOIN (SELECT unnest([sourceidx, targetidx]) AS x FROM v_indexed) e ON e.x = i.idx GROUP BY i.idx)")
 register("j6_neighbours", lambda t: graph.neighbours(t["indexed"], 3), "SELECT DISTINCT CASE WHEN sourceidx = 3 THEN targetidx ELSE sourceidx END AS idx FROM v_indexed WHERE sourceidx = 3 OR targetidx = 3")

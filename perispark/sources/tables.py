@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perispark.functions import catalogue, rules
 from perispark.functions import scalars as S
 from perispark.operators import merge
 
-CATALOG = "technology string, cve_id string, severity string, cvss_score double, affected_from string, affected_to string, summary string"
-
 
 def load_domain_list(spark: SparkSession, path: str, current: DataFrame | None = None) -> DataFrame:
     """One name a line, cleaned; with a current table that has rows, that table."""
@@ -35,9 +36,22 @@ def import_table(spark: SparkSession, path: str, current: DataFrame, keys: Seque
     return how(current, spark.read.parquet(path), list(keys))
 
 
-def import_tables(spark: SparkSession, folder: str, current: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], exclude: Sequence[str] = (), on_conflict: str = "replace") -> dict[str, DataFrame]:
-    """import_table() for each table of current that folder has."""
-    return {n: import_table(spark, f"{folder}/{n}.parquet", df, keys[n], on_conflict) for n, df in current.items() if n not in exclude}
+def has_table(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def import_tables(
+    spark: SparkSession, folder: str, current: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]],
+    exclude: Sequence[str] = (), on_conflict: str = "replace",
+) -> dict[str, DataFrame]:
+    """import_table() for each table of current that folder has; the others stay as they are."""
+    out = dict(current)
+    for name, df in current.items():
+        path = f"{folder}/{name}.parquet"
+        if name not in exclude and has_table(spark, path):
+            out[name] = import_table(spark, path, df, keys[name], on_conflict)
+    return out
 
 
 def ingest_kev(feed: DataFrame) -> DataFrame:
@@ -47,7 +61,10 @@ def ingest_kev(feed: DataFrame) -> DataFrame:
     tech = None
     for name in rules.KEV_VENDORS:
         tech = (F if tech is None else tech).when(F.contains(both, F.lit(name)), F.lit("mssql" if name == "sql server" else name))
-    rows = v.select(F.col("cveID").alias("cve_id"), tech.alias("technology"), F.lit("CRITICAL").alias("severity"), F.lit(True).alias("in_kev"), F.col("shortDescription").alias("summary"), F.col("dateAdded").alias("published_at"))
+    rows = v.select(
+        F.col("cveID").alias("cve_id"), tech.alias("technology"), F.lit("CRITICAL").alias("severity"), F.lit(True).alias("in_kev"),
+        F.col("shortDescription").alias("summary"), F.col("dateAdded").alias("published_at"),
+    )
     return rows.filter("technology IS NOT NULL AND coalesce(cve_id, '') != ''")
 
 
@@ -66,11 +83,14 @@ def read_ns_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def seed_catalog(spark: SparkSession, current: DataFrame | None = None) -> DataFrame:
     """The built-in catalogue; over a current one, in_kev and published_at stay."""
-    seed = spark.createDataFrame(list(catalogue.SEED), CATALOG).withColumns({"in_kev": F.lit(False), "published_at": F.lit(None).cast("string")})
+    kinds = "technology string, cve_id string, severity string, cvss_score double, affected_from string, affected_to string, summary string"
+    seed = spark.createDataFrame(list(catalogue.SEED), kinds)
+    seed = seed.withColumns({"in_kev": F.lit(False), "published_at": F.lit(None).cast("string")})
     if current is None:
         return seed
     old = current.select("cve_id", F.col("in_kev").alias("_k"), F.col("published_at").alias("_p"))
-    kept = seed.join(old, "cve_id", "left").withColumns({"in_kev": F.coalesce("_k", "in_kev"), "published_at": F.coalesce("_p", "published_at")}).select(*seed.columns)
+    stay = {"in_kev": F.coalesce("_k", "in_kev"), "published_at": F.coalesce("_p", "published_at")}
+    kept = seed.join(old, "cve_id", "left").withColumns(stay).select(*seed.columns)
     return merge.merge_replace(current.select(*seed.columns), kept, ["cve_id"])
 
 
@@ -84,20 +104,59 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def to_markdown(html: Column) -> Column:
+class Markdown(HTMLParser):
     """Headings, paragraphs, list items and links of a page as Markdown-like text."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    for level in range(1, 7):
-        t = F.regexp_replace(t, rf"(?i)\s*<h{level}\b[^>]*>\s*", "\n\n" + "#" * level + " ")
-    t = F.regexp_replace(t, r"(?i)\s*<li\b[^>]*>\s*", "\n- ")
-    t = F.regexp_replace(t, r"(?i)<a\b[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", "[$2]($1)")
-    t = F.regexp_replace(t, r"(?i)\s*<br\b[^>]*>\s*", "\n")
-    t = F.regexp_replace(t, r"(?i)\s*</?(p|div|ul|ol|article|section|footer|header|nav|h[1-6]|table|tr)\b[^>]*>\s*", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\n\s*\n\s*", "\n\n"))
+
+    HIDDEN = ("script", "style", "head", "noscript", "template")
+    BLOCKS = ("p", "div", "ul", "ol", "article", "section", "header", "footer", "nav", "table", "tr", "blockquote", "main")
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden, self.lists = 0, 0
+        self.links: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.parts.append("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag == "li":
+            self.parts.append("\n" + "  " * max(0, self.lists - 1) + "- ")
+        elif tag == "br":
+            self.parts.append("\n")
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+            self.parts.append("[")
+        elif tag in self.BLOCKS and not (tag in ("ul", "ol") and self.lists):
+            self.parts.append("\n\n")
+        self.lists += tag in ("ul", "ol")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.lists = max(0, self.lists - (tag in ("ul", "ol")))
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "a" and self.links:
+            self.parts.append(f"]({self.links.pop()})")
+        elif tag in self.BLOCKS or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.parts.append("\n" if tag in ("ul", "ol") and self.lists else "\n\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.parts.append(re.sub(r"\s+", " ", data))
+
+    def text(self) -> str:
+        lines = "".join(self.parts).split("\n")
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() if x.lstrip().startswith("- ") else x.strip() for x in lines)).strip()
+
+
+def markdown_of(page: str | None) -> str | None:
+    if page is None:
+        return None
+    writer = Markdown()
+    writer.feed(page)
+    writer.close()
+    return writer.text()
 
 
 def pages_to_markdown(pages: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -107,4 +166,9 @@ def pages_to_markdown(pages: DataFrame, done: DataFrame | None = None) -> DataFr
         todo = todo.filter("status_code BETWEEN 200 AND 299")
     if done is not None:
         todo = todo.join(done.select("page_id"), "page_id", "left_anti")
-    return todo.select("page_id", to_markdown(F.col("html")).alias("markdown"))
+
+    @F.pandas_udf("string")
+    def markdown(html: pd.Series) -> pd.Series:
+        return html.map(markdown_of)
+
+    return todo.select("page_id", markdown("html").alias("markdown"))
