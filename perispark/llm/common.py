@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Stands for a null id inside arrays of ids, and is turned back at the end.
-NULL_ID = -(2**63)
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,16 +60,16 @@ class Scratch:
             where.getFileSystem(conf).delete(where, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about so many bytes of a string column, one row at least,
-    so that what a task builds for them in Python is bounded."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[slice]:
+    """Runs of about so many bytes of an array of strings, one at least, so that what a task
+    builds for them in Python is bounded."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes.astype(np.int64))
     lo = 0
-    while lo < batch.num_rows:
+    while lo < len(texts):
         before = int(ends[lo - 1]) if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, before + most)))
-        yield batch.slice(lo, hi - lo)
+        yield slice(lo, hi)
         lo = hi
 
 

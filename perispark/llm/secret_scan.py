@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from perispark.llm.common import list_array, slices
 
@@ -116,7 +115,8 @@ def battery(run: str, letters: str) -> float:
     else:
         runs = 2.0 ** (1 - n)
     spread = float(((x - x.mean()) ** 2).sum())
-    serial = math.erfc(abs(float(((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum()) / spread * math.sqrt(n)) / math.sqrt(2)) if spread else 0.0
+    serial = (math.erfc(abs(float(((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum()) / spread * math.sqrt(n)) / math.sqrt(2)) if spread
+        else 0.0)
     return _upper_tail(-2 * sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial)), 6)
 
 
@@ -206,14 +206,6 @@ def _span_lists(rows: list[list[Span]]) -> pa.Array:
     return list_array(struct, np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
 
 
-def _found(batches: Iterator[pa.RecordBatch], text_col: str, logs: np.ndarray, alpha: float, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, text_col):
-            rows = [spans(t or "", logs, alpha, least) for t in part.column(text_col).to_pylist()]
-            both = pa.StructArray.from_arrays([_span_lists([r[i] for r in rows]) for i in (0, 1)], ["base", "spans"])
-            yield pa.RecordBatch.from_arrays([*part.columns, both], [*part.schema.names, "secrets"])
-
-
 def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3, fdr: float = 0.01) -> DataFrame:
     """docs with the added column ``secrets``: struct(base, spans), arrays of struct(start, end, kind).
 
@@ -237,9 +229,13 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3
     bins = {r.bin: r.n for r in binned.collect()}
     least = threshold(bins, fdr)
 
-    docs = docs.drop("secrets").withColumn(text_col, F.col(text_col).cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("secrets", T.StructType.fromDDL(f"base {SPANS}, spans {SPANS}"))])
-    return docs.mapInArrow(lambda it: _found(it, text_col, logs, alpha, least), schema)
+
+    @F.arrow_udf(f"base {SPANS}, spans {SPANS}")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = [spans(t or "", logs, alpha, least) for part in slices(texts) for t in texts[part].to_pylist()]
+        return pa.StructArray.from_arrays([_span_lists([r[i] for r in rows]) for i in (0, 1)], ["base", "spans"])
+
+    return docs.withColumn("secrets", found(F.col(text_col).cast("string")))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -264,15 +260,17 @@ def cut(text: str | None, found: list[dict] | None, mark: str) -> str | None:
     return "".join(parts) + text[at:]
 
 
-def _redacted(batches: Iterator[pa.RecordBatch], text_col: str, mark: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, text_col):
-            texts, every = part.column(text_col).to_pylist(), part.column("secrets").to_pylist()
-            new = pa.array([cut(t, x and x["spans"], mark) for t, x in zip(texts, every, strict=True)], pa.string())
-            names = [n for n in part.schema.names if n != "secrets"]
-            yield pa.RecordBatch.from_arrays([new if n == text_col else part.column(n) for n in names], names)
-
-
 def redact(found: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """find_secrets() rows with each run of overlapping spans replaced by the mark; drops the spans."""
-    return found.mapInArrow(lambda it: _redacted(it, text_col, mark), found.drop("secrets").schema)
+
+    @F.arrow_udf("string")
+    def redacted(texts: pa.Array, every: pa.Array) -> pa.Array:
+        return pa.chunked_array(
+            [
+                pa.array([cut(t, x, mark) for t, x in zip(texts[part].to_pylist(), every[part].to_pylist(), strict=True)], pa.string())
+                for part in slices(texts)
+            ],
+            pa.string(),
+        ).combine_chunks()
+
+    return found.withColumn(text_col, redacted(F.col(text_col).cast("string"), F.col("secrets.spans"))).drop("secrets")

@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from perispark.llm.common import Scratch, held_out, list_array, slices
 
@@ -72,7 +71,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, flat in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
             counts[int(label), np.unique(flat.values.to_numpy())] += 1
     keys = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0, keys]), pa.array(counts[1, keys])], ["feature", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0, keys]), pa.array(counts[1, keys])],
+        ["feature", "clean", "toxic"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -85,14 +85,16 @@ def _kept(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.
             sentence = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))[ids >= 0]
             some, first = np.unique(sentence, return_index=True)
             one = lambda x: list_array(pa.array(x.astype(np.int32)), [0, len(x)])
-            yield pa.RecordBatch.from_arrays([pa.array([label]), one(ids[ids >= 0]), one(first), pa.array([len(at) - len(some)])], ["label", "features", "starts", "empty"])
+            yield pa.RecordBatch.from_arrays([pa.array([label]), one(ids[ids >= 0]), one(first), pa.array([len(at) - len(some)])],
+                ["label", "features", "starts", "empty"])
 
 
 def _gradient(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     """Sums over bags of the log-likelihood's gradient; the last is the bias's."""
     grad, rows = np.zeros(len(weights) + 1), 0
     for batch in batches:
-        for label, flat, starts, empty in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2), batch.column(3).to_numpy(), strict=True):
+        for label, flat, starts, empty in zip(batch.column(0).to_numpy(), batch.column(1), batch.column(2), batch.column(3).to_numpy(),
+            strict=True):
             ids, at = flat.values.to_numpy(), starts.values.to_numpy()
             sums = np.concatenate(([0.0], np.cumsum(weights[ids])))
             ends = np.append(at[1:], len(ids)) if len(at) else at
@@ -143,7 +145,9 @@ def train(
     Rows with a null id or label are left out, of several labels of one id the largest counts.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
-    known = known.filter(~held_out(F.col("_id"), modulus, remainder)).groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_id"))
+    known = (
+        known.filter(~held_out(F.col("_id"), modulus, remainder)).groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h",
+        F.xxhash64("_id")))
     chosen = None
     for y in (0, 1):
         part = known.filter(F.col("_y") == y).orderBy("_h", "_id").limit(max_rows)
@@ -151,20 +155,26 @@ def train(
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = texts.join(F.broadcast(chosen.select("_id", "_y")), "_id")  # max_rows ids of each class
     scratch = Scratch(docs.sparkSession)
-    bags = scratch.written(rows.repartition("_id").select("_text", "_y").mapInArrow(_bags, "label double, features array<int>, starts array<int>"), "toxicity-bags")
+    bags = (
+        scratch.written(
+        rows.repartition("_id").select("_text", "_y").mapInArrow(_bags, "label double, features array<int>, starts array<int>"),
+        "toxicity-bags"))
     counts = bags.agg(F.count_if(F.col("label") == 0).alias("clean"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     weights, bias = np.zeros(DIM), -5.0
     if not counts.clean or not counts.toxic:
         scratch.delete(scratch.paths)
         return Model(weights, 30.0 if counts.toxic else -30.0)
-    seen = bags.mapInArrow(_frequencies, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    seen = (
+        bags.mapInArrow(_frequencies, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"),
+        F.sum("toxic").alias("toxic")))
     both, here = F.col("clean") + F.col("toxic"), lambda n, share: F.when(n > 0, n * F.log(n / share)).otherwise(0.0)
     part = counts.toxic / (counts.toxic + counts.clean)
     g = 2 * (here(F.col("toxic"), both * part) + here(F.col("clean"), both * (1 - part)))
     chosen = np.array(sorted(r.feature for r in seen.filter(g >= least_g).select("feature").collect()), np.int64)  # at most DIM
     send = docs.sparkSession.sparkContext.broadcast
     sent = send(chosen)
-    small = scratch.written(bags.mapInArrow(lambda it: _kept(it, sent.value), "label double, features array<int>, starts array<int>, empty bigint"), "toxicity-kept")
+    small = (scratch.written(bags.mapInArrow(lambda it: _kept(it, sent.value), "label double, features array<int>, starts array<int>, "
+        "empty bigint"), "toxicity-kept"))
     m = v = np.zeros(len(chosen) + 1)
     x = np.append(np.zeros(len(chosen)), bias)
     for t in range(1, steps + 1):
@@ -177,30 +187,25 @@ def train(
     return Model(weights, float(x[-1]))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], text_col: str, model: Model, least: float | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, text_col):
-            scores, starts, ends, each, offsets = [], [], [], [], [0]
-            for text in part.column(text_col).to_pylist():
-                where, p = model.instances(text or "")
-                scores.append(noisy_or(p))
-                if least is not None:
-                    for i in np.flatnonzero(p >= least):
-                        starts.append(where[i][0])
-                        ends.append(where[i][1])
-                        each.append(float(p[i]))
-                    offsets.append(len(starts))
-            score = pa.array(scores, pa.float64())
-            columns = [score, pa.array([int(x >= 0.5) for x in scores], pa.int32())]
-            names = ["score", "predicted"]
+def _scored(texts: pa.Array, model: Model, least: float | None) -> pa.Array:
+    scores, starts, ends, each, offsets = [], [], [], [], [0]
+    for part in slices(texts):
+        for text in texts[part].to_pylist():
+            where, p = model.instances(text or "")
+            scores.append(noisy_or(p))
             if least is not None:
-                spans = pa.StructArray.from_arrays(
-                    [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(each, pa.float64())], ["start", "end", "score"]
-                )
-                columns.append(list_array(spans, offsets))
-                names.append("offending")
-            struct = pa.StructArray.from_arrays(columns, names)
-            yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, "toxicity"])
+                for i in np.flatnonzero(p >= least):
+                    starts.append(where[i][0])
+                    ends.append(where[i][1])
+                    each.append(float(p[i]))
+                offsets.append(len(starts))
+    columns = [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
+    names = ["score", "predicted"]
+    if least is not None:
+        spans = [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(each, pa.float64())]
+        columns.append(list_array(pa.StructArray.from_arrays(spans, ["start", "end", "score"]), offsets))
+        names.append("offending")
+    return pa.StructArray.from_arrays(columns, names)
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float | None = 0.5) -> DataFrame:
@@ -212,10 +217,14 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", le
     scored alone: repeated rows give repeated results, an empty table none. An existing
     column named toxicity is replaced; other columns stay.
 
-    Scale: one scan, no shuffle; a task holds the results of about 1 MB of text at a time.
+    Scale: one scan, no shuffle; only the text goes to Python, about 1 MB of it at a time
+    as strings, and only results come back.
     """
-    docs = docs.drop("toxicity").withColumn(text_col, F.col(text_col).cast("string"))
-    kind = "score double, predicted int" + (f", offending {OFFENDING}" if least is not None else "")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.StructType.fromDDL(kind))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _scored(it, text_col, sent.value, least), schema)
+    kind = "score double, predicted int" + (f", offending {OFFENDING}" if least is not None else "")
+
+    @F.arrow_udf(kind)
+    def scored(texts: pa.Array) -> pa.Array:
+        return _scored(texts, sent.value, least)
+
+    return docs.withColumn("toxicity", scored(F.col(text_col).cast("string")))
