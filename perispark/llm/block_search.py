@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares of the vector blocks; each gets a copy of every query block.
-SALTS = 32
-BLOCK = "ids binary, vectors binary, n int"
+BLOCK = "dim int, ids binary, vectors binary, n int"
+#: Vector blocks of one share; each share gets a copy of every query block.
+SHARE = 16
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +31,10 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tile_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of squared distances between the rows of a and of b."""
+    """Lower and upper bounds of squared distances between the rows of a and of b, in units of a power
+    of four that all pairs share, so that neither huge nor tiny numbers leave the range."""
+    unit = 2.0 ** -np.frexp(max(np.abs(a).max(), np.abs(b).max()))[1]
+    a, b = a * unit, b * unit
     (qa, sa, ea), (qb, sb, eb) = quantised(a), quantised(b)
     # products of int8 are whole numbers below 2**24 for up to 1,040 dimensions: exact in float32
     kind = np.float32 if a.shape[1] <= 1040 else np.float64
@@ -44,11 +47,18 @@ def tile_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows pair by pair, summed one dimension after another."""
+    """Euclidean distances of rows pair by pair, summed one dimension after another; where the
+    squares leave the range of doubles, in units of the largest difference."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for j in range(a.shape[1]):
+            total += (a[:, j] - b[:, j]) ** 2
+    out = np.sqrt(total)
+    for i in np.flatnonzero(~((total > 1e-290) & (total < np.inf))):
+        largest = np.abs(a[i] / 2 - b[i] / 2).max()
+        if largest > 0:
+            out[i] = 2 * largest * np.sqrt((((a[i] / 2 - b[i] / 2) / largest) ** 2).sum())
+    return out
 
 
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -71,8 +81,9 @@ def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
     held: dict[int, list[tuple[int, np.ndarray]]] = {}
 
     def out(part: list[tuple[int, np.ndarray]], dim: int) -> pa.RecordBatch:
-        ids = np.array([i for i, _ in part], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.stack([v for _, v in part]).tobytes()], pa.binary()), pa.array([len(part)], pa.int32())], ["dim", "ids", "vectors", "n"])
+        ids, vectors = np.array([i for i, _ in part], np.int64), np.stack([v for _, v in part])
+        values = ((dim, pa.int32()), (ids.tobytes(), pa.binary()), (vectors.tobytes(), pa.binary()), (len(part), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in values], ["dim", "ids", "vectors", "n"])
 
     for batch in batches:
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -100,26 +111,36 @@ def nearest(
     give no rows; other columns aren't read.
 
     Scale: every tile is one unit of work of bounded memory; query blocks are copied to
-    the vector blocks by a join on the block numbers, so neither side must fit a task.
+    the vector blocks by a join on the numbers of shares, so neither side must fit a task.
+    There are as many shares as cores, and more where a share would have over SHARE blocks.
     """
+    spark = queries.sparkSession
     numbers = F.col(vector_col)
-    fit = F.col(id_col).isNotNull() & numbers.isNotNull() & ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(numbers, lambda x: x != 0)
-    blocks = lambda df, n: df.filter(fit).select(F.col(id_col).cast("long").alias("id"), numbers.cast("array<double>").alias("x")).mapInArrow(lambda it: _packed(it, n), "dim int, " + BLOCK)
+    finite = ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fit = F.col(id_col).isNotNull() & numbers.isNotNull() & finite & F.exists(numbers, lambda x: x != 0)
+
+    def blocks(df: DataFrame, rows: int) -> DataFrame:
+        plain = df.filter(fit).select(F.col(id_col).cast("long").alias("id"), numbers.cast("array<double>").alias("x"))
+        return plain.mapInArrow(lambda it: _packed(it, rows), BLOCK)
+
+    n_blocks = -(-vectors.count() // vector_block)
+    salts = max(1, min(n_blocks, max(spark.sparkContext.defaultParallelism, -(-n_blocks // SHARE))))
     asked = queries.filter(fit).select(F.col(id_col), numbers).distinct()
     left = blocks(asked, query_block).select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    right = blocks(vectors, vector_block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    right = blocks(vectors, vector_block).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, query_ids, q, ids, v in zip(*(batch.column(c).to_pylist() for c in ("dim", "query_ids", "queries", "ids", "vectors")), strict=True):
+            names = ("dim", "query_ids", "queries", "ids", "vectors")
+            for dim, query_ids, q, ids, v in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 a, b = np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64)
                 rows = tile(a, np.frombuffer(q).reshape(-1, dim), b, np.frombuffer(v).reshape(-1, dim), k)
                 cols = list(zip(*rows, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                columns = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     near = left.join(right, ["dim", "salt"]).mapInArrow(tiles, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
