@@ -174,7 +174,8 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]
 
 
 def find_items(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+        item_text_col: str = "text",
     k: int = 5, containment: float = 0.8, bins: int = 64, block_bytes: int = 16_000_000,
 ) -> DataFrame:
     """Rows (doc_id, item_id, n_shared, n_shingles, containment): items whose distinct k-word
@@ -190,13 +191,20 @@ def find_items(
     of the documents for each block); documents are never shuffled.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND text != ''")
-    wanted = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
+    rows = (
+        docs.select(F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND text != ''"))
+    wanted = (
+        items.select(F.col(item_col).cast("long").alias("item_id"),
+        F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy(
+        "item_id", "text"))
     schema = "doc_id bigint, item_id bigint, n_shared bigint, n_shingles bigint"
     found = None
     for block in _blocks(wanted, block_bytes):
         texts = dict(enumerate(block))
-        sent = spark.sparkContext.broadcast((Items([(i, text) for i, (_, text) in texts.items()], k, bins), {i: item for i, (item, _) in texts.items()}))
+        sent = (
+            spark.sparkContext.broadcast(
+            (Items([(i, text) for i, (_, text) in texts.items()], k, bins), {i: item for i, (item, _) in texts.items()})))
 
         def search(batches, sent=sent):  # noqa: ANN001, ANN202
             index, names = sent.value
