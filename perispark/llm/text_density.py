@@ -7,6 +7,8 @@ sum over its children. The subtree of the largest sum is text, and the least den
 path to the body is the threshold: from the body down, each child that reaches it marks the
 subtree of the largest sum inside it too, so that an article in several parts is whole.
 
+Where the largest sum is the body's own, its children that reach the threshold are marked.
+
 The answer is the smallest subtree that holds all marked ones, and the heading before it
 where it has none. Marked subtrees are taken whole; beside them go containers below the
 threshold and what is mostly links, other lines of text stay.
@@ -71,7 +73,7 @@ CONTAINERS = frozenset("address article body center details div figure header ma
 
 class Node:
     __slots__ = (
-        "name", "parent", "children", "depth", "scope", "dropped", "named", "inside", "out",
+        "name", "parent", "children", "depth", "scope", "dropped", "named", "inside", "linked", "out",
         "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks",
     )
 
@@ -82,6 +84,7 @@ class Node:
         #: the depth of the nearest element, itself included, that keeps list items and cells in
         self.scope = self.depth if name in SCOPE or parent is None else parent.scope
         self.inside = name in ("article", "main") or (parent is not None and parent.inside)
+        self.linked = name == "a" or (parent is not None and parent.linked)
         self.dropped = name in DROPPED or (name == "header" and not self.inside) or (parent is not None and parent.dropped)
 
 
@@ -161,13 +164,13 @@ def measure(nodes: list[Node], spared: set[Node], names_weigh: bool = True) -> t
                     lost += n
                     continue
                 node.chars += n
-                if node.name == "a":
+                if node.linked:
                     node.link_chars += n
             elif not child.out:
                 node.chars += child.chars
                 node.tags += child.tags + 1
                 node.link_tags += child.link_tags + (child.name == "a")
-                node.link_chars += child.chars if child.name == "a" else child.link_chars
+                node.link_chars += child.link_chars
     body = next((n for n in nodes if n.name == "body" and n.chars), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
@@ -195,6 +198,8 @@ def mark(nodes: list[Node], body: Node) -> float:
     """Count in each node the marked subtrees it holds; the body path's threshold."""
     threshold = min(n.density for n in path(body.best, body))
     reached, marked = {body}, {body.best}
+    if body.best is body:  # the whole page: its parts are judged each
+        marked = {n for n in body.children if isinstance(n, Node) and not n.out and n.chars and n.density >= threshold}
     for node in nodes:
         if node.parent in reached and not node.out and node.chars and node.density >= threshold:
             reached.add(node)
