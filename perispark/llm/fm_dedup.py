@@ -98,7 +98,8 @@ class FMIndex:
         return at + both[: len(low)], at + both[len(low) :]
 
 
-def repeated(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeated(symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
+    np.ndarray]:
     """Which windows of the pieces stand more than once: their first positions, suffix intervals, and the suffixes.
 
     All pieces are searched backward side by side from their last symbols. A match is cut to
@@ -143,7 +144,9 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             whole = b" ".join(tokens)
             out.append((xxhash.xxh64_intdigest(whole) - 2**63, doc_id, len(tokens), pack(whole)))
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["text_key", "doc_id", "n_words", "packed"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+            ["text_key", "doc_id", "n_words", "packed"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -161,11 +164,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> I
                 starts.append(first.astype(np.int32))
         names = ["anchor", "text_key", "start", "doc_id"]
         n = len(keys)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.array(ids, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(n, pa.int32()), pa.array(ids, pa.int64())], names)
         if n:
             whole = np.concatenate(anchors)
             repeated_keys = np.repeat(np.array(keys, np.int64), [len(x) for x in anchors])
-            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(repeated_keys), pa.array(np.concatenate(starts)), pa.nulls(len(whole), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole), pa.array(repeated_keys), pa.array(np.concatenate(starts)), pa.nulls(len(whole), pa.int64())], names)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,8 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iter
     names = ["anchor", "text_key", "doc_id", "start", "words"]
     for batch in batches:
         anchors, keys, ids, starts, parts = [], [], [], [], []
-        for key, doc_id, packed, wanted in zip(batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("starts"), strict=True):
+        for key, doc_id, packed, wanted in zip(batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist(),
+            batch.column("packed").to_pylist(), batch.column("starts"), strict=True):
             tokens = unpack(packed).split()
             anchor, first, last = _anchors(tokens, hasher, window)
             keep = np.flatnonzero(np.isin(first, wanted.values.to_numpy()))
@@ -183,7 +189,9 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iter
             ids += [doc_id] * len(keep)
             parts += [b" ".join(tokens[s : e + window]) for s, e in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors)), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.concatenate(starts)), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(anchors)), pa.array(keys, pa.int64()), pa.array(ids, pa.int64()),
+                pa.array(np.concatenate(starts)), pa.array(parts, pa.binary())], names)
 
 
 FIRST_PLACES = "anchor bigint, words_key bigint, skip int, docs array<bigint>, starts array<int>"
@@ -236,7 +244,8 @@ def _shard(rows: list[tuple], window: int) -> pa.RecordBatch | None:
     offsets = np.concatenate(([0], np.cumsum(windows[some])))
     take = lambda i, t: pa.array([rows[j][i] for j in some], t)
     return pa.RecordBatch.from_arrays(
-        [take(0, pa.int64()), take(1, pa.int64()), take(6, pa.int32()), list_array(pa.array(doc[firsts]), offsets), list_array(pa.array(place[firsts].astype(np.int32)), offsets)],
+        [take(0, pa.int64()), take(1, pa.int64()), take(6, pa.int32()), list_array(pa.array(doc[firsts]), offsets),
+            list_array(pa.array(place[firsts].astype(np.int32)), offsets)],
         ["anchor", "words_key", "skip", "docs", "starts"],
     )
 
@@ -278,8 +287,11 @@ def _window_places(segments: DataFrame, window: int, scratch: Scratch) -> DataFr
 
     Equal windows are counted before they meet, and the first place is joined back: no task
     holds all of a window that stands in many different segments."""
-    single = segments.mapInArrow(lambda it: _single_windows(it, window), "anchor bigint, words_key bigint, words binary, doc_id bigint, start int, places bigint, skip int")
-    firsts = single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.sum("places").alias("places")).filter("places > 1")
+    single = (segments.mapInArrow(lambda it: _single_windows(it, window), "anchor bigint, words_key bigint, words binary, doc_id bigint, "
+        "start int, places bigint, skip int"))
+    firsts = (
+        single.groupBy("words").agg(F.min(F.struct("doc_id", "start")).alias("first"),
+        F.sum("places").alias("places")).filter("places > 1"))
     firsts = scratch.written(firsts.select("words", "first"), "fm-windows")  # as a table, so that a skewed join with it can be split
     found = single.select("anchor", "words_key", "words", "skip").join(firsts, "words")
     return found.select("anchor", "words_key", "skip", F.array("first.doc_id").alias("docs"), F.array("first.start").alias("starts"))
@@ -299,14 +311,17 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         if len(row):
             cut = np.flatnonzero((row[1:] != row[:-1]) | (here[1:] - here[:-1] > window))
             begins, ends = np.append(0, cut + 1), np.append(cut, len(row) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row[begins]]), pa.array(here[begins].astype(np.int32)), pa.array((here[ends] + window).astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[row[begins]]), pa.array(here[begins].astype(np.int32)), pa.array((here[ends] + window).astype(np.int32))],
+                names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for doc_id, n, packed, first, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "packed", "first_doc", "spans")), strict=True):
+        for doc_id, n, packed, first, spans in zip(
+            *(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "packed", "first_doc", "spans")), strict=True):
             text = unpack(packed)
             kept = np.ones(n, bool)
             if n >= window and doc_id is not None:
@@ -321,7 +336,8 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Ite
             out.append((doc_id, n, removed, hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if keep_text else None))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
 
 
 def remove_repeats(
@@ -343,17 +359,30 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = rows.mapInArrow(_packed_texts, TEXT)
     scratch = Scratch(docs.sparkSession)
-    noted = scratch.written(rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram), "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors")
+    noted = (
+        scratch.written(
+        rows.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda it: _anchor_rows(it, window, gram),
+        "anchor bigint, text_key bigint, start int, doc_id bigint"), "fm-anchors"))
     anchors = noted.filter("anchor IS NOT NULL").select("anchor", "text_key", "start")
     place = F.xxhash64("text_key", "start")
-    more = scratch.written(anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor"), "fm-repeated")  # as a table, so that a skewed join with it can be split
+    more = (
+        scratch.written(
+        anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("anchor"),
+        "fm-repeated"))  # as a table, so that a skewed join with it can be split
     wanted = anchors.join(more, "anchor").groupBy("text_key").agg(F.collect_set("start").alias("starts"))
     firsts = scratch.written(noted.filter("anchor IS NULL").groupBy("text_key").agg(F.min("doc_id").alias("first_doc")), "fm-firsts")
     owners = wanted.join(firsts, "text_key").withColumnRenamed("first_doc", "doc_id")
-    segments = scratch.written(texts.join(owners, ["text_key", "doc_id"]).select("text_key", "doc_id", "packed", "starts").mapInArrow(lambda it: _segments(it, window, gram), "anchor bigint, text_key bigint, doc_id bigint, start int, words binary").withColumn("words_key", F.xxhash64("words")), "fm-segments")
+    segments = (
+        scratch.written(
+        texts.join(owners, ["text_key", "doc_id"]).select("text_key", "doc_id", "packed",
+        "starts").mapInArrow(lambda it: _segments(it, window, gram), "anchor bigint, text_key bigint, doc_id bigint, start int, words "
+        "binary").withColumn("words_key", F.xxhash64("words")), "fm-segments"))
 
     first = F.min(F.struct("doc_id", "start")).alias("first")
-    distinct = scratch.written(segments.groupBy("anchor", "words_key", "words").agg(first, F.count("*").alias("places")).select("anchor", "words_key", "words", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "places"), "fm-distinct")
+    distinct = (
+        scratch.written(
+        segments.groupBy("anchor", "words_key", "words").agg(first, F.count("*").alias("places")).select("anchor", "words_key", "words",
+        F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "places"), "fm-distinct"))
     hot = scratch.written(distinct.groupBy("anchor").count().filter(F.col("count") > hot_segments).select("anchor"), "fm-hot")
     usual = distinct.join(hot, "anchor", "left_anti").withColumn("skip", F.lit(0))
     shards = usual.repartition("anchor").sortWithinPartitions("anchor")
@@ -361,8 +390,11 @@ def remove_repeats(
     if not hot.isEmpty():
         places = places.unionByName(_window_places(distinct.join(hot, "anchor", "left_semi"), window, scratch))
     found = segments.select("anchor", "words_key", "text_key", "doc_id", "start").join(places, ["anchor", "words_key"])
-    spans = found.select("text_key", "doc_id", "start", "skip", "docs", "starts").mapInArrow(lambda it: _covered(it, window), "text_key bigint, begin int, end int")
+    spans = (
+        found.select("text_key", "doc_id", "start", "skip", "docs", "starts").mapInArrow(lambda it: _covered(it, window),
+        "text_key bigint, begin int, end int"))
     covered = spans.groupBy("text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     notes = scratch.result(firsts.join(covered, "text_key", "left"), "fm-notes")
     whole = texts.join(notes, "text_key", "left").select("doc_id", "n_words", "packed", "first_doc", "spans")
-    return whole.mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, text string")
+    return (whole.mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 "
+        "string, text string"))

@@ -153,12 +153,17 @@ def scan_licenses(
 
     # left side: prefix tokens of the texts, each with the words around it
     prefixes = sorted({r[0] for r in index})
-    near = lambda x: F.slice("_words", F.greatest(x["at"] - around + 2, F.lit(1)), around + F.least(x["at"], F.lit(around - 1)))
-    hits = F.transform(_hits(F.col("_words"), prefixes), lambda x: F.struct(x["word"].alias("token"), x["at"].alias("at"), near(x).alias("near")))
-    text = docs.select(F.col(id_col).alias("_id"), words.alias("_words"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("_key"))
+    near = (lambda x: F.slice("_words", F.greatest(x["at"] - around + 2, F.lit(1)), around + F.least(x["at"], F.lit(around - 1))))
+    hits = (
+        F.transform(_hits(F.col("_words"), prefixes),
+        lambda x: F.struct(x["word"].alias("token"), x["at"].alias("at"), near(x).alias("near"))))
+    text = (
+        docs.select(F.col(id_col).alias("_id"), words.alias("_words"),
+        F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("_key")))
     scratch = Scratch(spark)
     staged = scratch.written(
-        text.select("_id", "_key", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words")).alias("_places"), hits.alias("_hits")),
+        text.select("_id", "_key", F.size("_words").cast("long").alias("n_words"), phrase_places(F.col("_words")).alias("_places"),
+            hits.alias("_hits")),
         "license-words",
     )
     left = staged.filter(F.size("_hits") > 0).select("_id", "_key", F.inline("_hits"))
@@ -172,7 +177,9 @@ def scan_licenses(
     begins = F.sequence(F.greatest(F.col("at") - F.col("width") + 1, F.lit(0)), F.col("at"))
     shared = lambda b: F.size(F.array_intersect("own", F.slice("near", b - start + 1, F.col("width"))))
     counted = F.transform(begins, lambda b: F.struct(shared(b).alias("shared"), (-b).alias("back")))
-    best = pairs.select("_id", "_key", "label", "need", "size", F.array_max(counted).alias("best")).filter(F.col("best.shared") >= F.col("need"))
+    best = (
+        pairs.select("_id", "_key", "label", "need", "size",
+        F.array_max(counted).alias("best")).filter(F.col("best.shared") >= F.col("need")))
     share = F.struct((F.col("best.shared") / F.col("size")).alias("share"), F.col("best.back").alias("back"))
     rows = best.groupBy("_id", "_key", "label").agg(F.max(share).alias("m"))
     one = F.struct((-F.col("m.back")).alias("word"), "label", F.col("m.share").alias("containment"))

@@ -320,7 +320,9 @@ def _with_agreement(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFra
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     side = lambda x: sets.select(F.col("class").alias(x), F.col("own").alias(f"own_{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _confirmed(it, percent), "a bigint, b bigint")
+    return (
+        pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: _confirmed(it, percent),
+        "a bigint, b bigint"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003

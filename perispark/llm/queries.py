@@ -29,7 +29,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "toxicity.score", "toxicity.predicted", "toxicity.offending")
+    return (
+        scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "toxicity.score", "toxicity.predicted",
+        "toxicity.offending"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_pairs.read_vocabulary(tokenizer_path())
-    return byte_pairs.digest(byte_pairs.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded_col="decoded"))
+    return (
+        byte_pairs.digest(
+        byte_pairs.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded_col="decoded")))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,8 @@ def _licenses(containment: float = 0.85) -> str:
         width, need = math.ceil(len(text.split()) / containment), math.ceil(containment * len(own) - 1e-9)
         templates.append(f"('{label}', {own}, {width}, {need})")
     base = " UNION ALL ".join(
-        f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS place, '{label}' AS label FROM d"
+        f"SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS place, '{label}' "
+            f"AS label FROM d"
         for p, label in license_join.PHRASES
     )
     return rf"""

@@ -1,14 +1,29 @@
 """Operators against brute force on small tables with nulls, empty and repeated rows and odd columns."""
 
 import hashlib
+import math
 import random
 import re
+import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from perispark.llm import block_search, byte_pairs, containment, fm_dedup, license_join, lsh_forest, secret_scan, suffix_tree, text_density, toxicity
+from perispark.llm import (
+    block_search,
+    byte_pairs,
+    containment,
+    fm_dedup,
+    license_join,
+    lsh_forest,
+    secret_scan,
+    suffix_tree,
+    text_density,
+    toxicity,
+)
 from perispark.llm.common import lower_words
 
 SCHEMA = "doc_id long, text string, n long, class long, component long, secrets string"
@@ -23,7 +38,8 @@ def texts():
     near = base.split()
     near[60] = "changed"
     rows = [make(rng.randint(1, 80)) for _ in range(25)]
-    rows += [shared + " " + make(10), make(5) + " " + shared, base, " ".join(near), base.upper(), base.replace(" ", "\n"), "a b " * 40, "", " \t\n", "x", "é ü ß"]
+    rows += [shared + " " + make(10), make(5) + " " + shared, base, " ".join(near), base.upper(), base.replace(" ", "\n"), "a b " * 40,
+        "", " \t\n", "x", "é ü ß"]
     return rows
 
 
@@ -38,10 +54,22 @@ def empty(spark):
 
 
 def test_suffix_tree(spark, docs):
-    out = suffix_tree.score_documents(docs, depth=2, p_min=1e-3, divergence=1.0)
-    rows = {r.doc_id: r for r in out.collect()}
-    assert len(rows) == docs.select("doc_id").distinct().count() and all(r.score <= 0 and r.base_score <= 0 for r in rows.values())
-    assert rows[90].n_tokens == 1 and rows[3].n_tokens == 2 * (len(lower_words(texts()[3])) + 1)
+    """The base columns by brute force; the tree's score is a log probability that beats it on its own texts."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter()
+    for i, t in rows:
+        if not held(i):
+            count.update([*lower_words(t), None])
+    total, kinds = sum(count.values()), len(count)
+    base = lambda w: math.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1)))
+    want = []
+    for i, t in rows:
+        tokens = [*lower_words(t), None]
+        want.append((str(i), held(i), len(tokens), sum(count[w] > 0 for w in tokens), total, round(sum(map(base, tokens)), 6)))
+    out = suffix_tree.score_documents(docs, depth=2, p_min=1e-3, divergence=1.0).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == sorted(want)
+    assert all(r.score <= 0 for r in out) and sum(r.score for r in out) > sum(r.base_score for r in out)
     assert suffix_tree.score_documents(empty(spark)).collect() == []
 
 
@@ -55,18 +83,60 @@ def test_suffix_tree_sums_to_one():
     assert abs(total - 1) < 1e-9
 
 
-def test_secrets(spark):
+def brute_spans(text):
+    found = [(m.start(), m.end(), "assign") for m in secret_scan.ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    found += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda x: (x[0], secret_scan.KINDS.index(x[2])))
+
+
+def test_secrets(spark, docs):
     secret = "NqVwYS81VP7Hb1DX8pPd5khxE3pyIgKp"
-    text = f'note password = "hunter2hunter2" AKIA{"A1B2" * 4} {"0f" * 20} plain words {secret} end'
-    d = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "ſecret: abcdefghi"), (5, "the quick brown fox jumps over the lazy dog and sleeps " * 400)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in secret_scan.digest(secret_scan.find_secrets(d)).collect()}
-    assert (rows[1].n_assign, rows[1].n_access, rows[1].n_hex) == (1, 1, 1) and "random" in rows[1].spans
-    assert rows[2].spans == "" and rows[4].n_assign == 0 and rows[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    hexes = "0f3a9c4e" * 4 + "7d"
+    text = f'note password = "hunter2hunter2" AKIA{"A1B2" * 4} {hexes} plain words {secret} end'
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "ſecret: abcdefghi"),
+        (None, "the quick brown fox jumps over the lazy dog and sleeps " * 400)]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, secrets string")
+    found = secret_scan.digest(secret_scan.find_secrets(d)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        t = dict((i, x) for i, x in rows)[r.doc_id] or ""
+        base = brute_spans(t)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for *_, k in base) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert all(f"{k}:{s}:{e}" in r.spans.split(",") for s, e, k in base)
+        assert ("random" in r.spans) == (r.doc_id == 1)
     red = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(d)).collect()}
-    assert "hunter2" not in red[1] and secret not in red[1] and red[2] is None
+    assert "hunter2" not in red[1] and secret not in red[1] and hexes not in red[1] and red[2] is None and red[None] == rows[-1][1]
     assert secret_scan.find_secrets(empty(spark)).collect() == []
 
 
+def test_planted_secrets(spark):
+    """Random strings of every encoding are found among prose, and prose isn't."""
+    rng = random.Random(5)
+    sounds = "an en in ber lich keit sch tion ment que ciu dad los ver ge".split()
+    prose = lambda: " ".join("".join(rng.choice(sounds) for _ in range(rng.randint(1, 8))) for _ in range(150))
+    letters = {n: a for n, a in secret_scan.ENCODINGS if n != "digits"}
+    rows, planted = [], {}
+    for name, alphabet in letters.items():
+        for size in (24, 32, 40):
+            for _ in range(4):
+                secret = "".join(rng.choice(alphabet) for _ in range(size))
+                planted[len(rows)] = (name, secret)
+                rows.append((len(rows), f"{prose()} {secret} {prose()}"))
+    rows += [(len(rows) + i, prose()) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    red = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(d)).collect()}
+    caught = sum(secret not in red[i] for i, (_, secret) in planted.items())
+    assert caught >= 0.95 * len(planted)
+    assert sum(red[i] != t for i, t in rows if i not in planted) <= 1
+
+
+def test_remainder_of_a_run():
+    assert list(secret_scan.outside(0, 10, [(2, 4, "hex"), (3, 6, "hex"), (12, 14, "hex")])) == [(0, 2), (6, 10)]
+    assert secret_scan.encoding("3f2504e0-4f89-11d3-9a0c-0305e82c3301")[0] == "hex" and secret_scan.encoding("Ab_-9")[0] == "base64"
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     words = [f"wort{chr(97 + i)}" for i in range(20)]
@@ -83,6 +153,13 @@ def test_toxicity(spark):
     bad = [(i, out[i].offending) for i in range(0, 400, 4) if out[i].predicted]
     assert all("gemein" in rows[i][1][s["start"] : s["end"]] for i, o in bad for s in o)
     assert toxicity.train(empty(spark), labels.limit(0)).score("x") < 0.5
+    model = toxicity.train(d, labels)
+    odd = spark.createDataFrame([(1, "gemein", "x"), (1, "gemein", "x"), (None, None, "y")], "doc_id long, text string, toxicity string")
+    scored = toxicity.score_documents(odd, model).collect()
+    assert len(scored) == 3 and scored[0] == scored[1] and scored[0].toxicity.score == pytest.approx(model.score("gemein"))
+    assert toxicity.score_documents(empty(spark), model).collect() == []
+    bare = toxicity.score_documents(odd, model, least=None).select("toxicity.*")
+    assert bare.columns == ["score", "predicted"] and [r.predicted for r in bare.collect()] == [r.toxicity.predicted for r in scored]
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
@@ -105,7 +182,8 @@ def test_link_in_a_large_region(spark):
     sign = lambda words: lsh_forest.signature(np.unique(hasher([w.encode() for w in words])))
     one = [f"w{i}" for i in range(60)]
     of_one, own = sign(one), hasher([w.encode() for w in one])
-    prefixes = lambda sig, depth: [np.array_equal(sig[(4 * t + np.arange(depth)) % 64], of_one[(4 * t + np.arange(depth)) % 64]) for t in range(16)]
+    prefixes = (lambda sig,
+        depth: [np.array_equal(sig[(4 * t + np.arange(depth)) % 64], of_one[(4 * t + np.arange(depth)) % 64]) for t in range(16)])
     while True:  # alike, but their signatures share four columns of a single order and no deeper prefix
         other = list(one)
         for i in rng.sample(range(60), 4):
@@ -140,22 +218,159 @@ def test_nearest(spark):
         want = sorted((dist[i], i) for i in range(300) if i != q)[:10]
         assert got == [(i, x) for x, i in want]
     assert block_search.nearest(d.limit(0), d).collect() == []
+    wide = (
+        spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 3e199]), (2, [-1e200, 0.0]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0])],
+        "vec_id long, embedding array<double>"))
+    rows = block_search.nearest(wide.filter("vec_id IN (0, 3)"), wide, k=2).collect()
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in rows}
+    assert got[0, 1] == (1, pytest.approx(3e199)) and got[0, 2][0] == 3 and got[3, 1] == (4, pytest.approx(2e-200)) and got[3, 2][0] == 0
+
+
+def brute_licenses(text, containment=0.85):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    places, labels = [], set()
+    for phrase, label in license_join.PHRASES:
+        own = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+        places += at
+        labels |= {label} if at else set()
+    base, best = ",".join(sorted(labels)), 0.0
+    for label, template in license_join.TEMPLATES:
+        own, width = set(template.lower().split()), math.ceil(len(template.split()) / containment)
+        share = max((len(own & set(words[i : i + width])) for i in range(len(words))), default=0)
+        if share >= math.ceil(containment * len(own) - 1e-9):
+            labels.add(label)
+            best = max(best, share / len(own))
+    score = 1.0 if places else best
+    return len(words), len(places), min(places, default=None), max(places, default=None), base, ",".join(sorted(labels)), round(score, 9)
 
 
 def test_licenses(spark, docs):
-    extra = spark.createDataFrame([(200, "Released under the MIT License.\ncc by CC-BY cc by"), (201, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files")], "doc_id long, text string")
-    rows = {(r.doc_id, r.n_words): r for r in license_join.scan_licenses(docs.select("doc_id", "text").unionByName(extra)).collect()}
-    mit = next(r for k, r in rows.items() if k[0] == 200)
-    assert (mit.n_base, mit.first_word, mit.last_word, mit.base_labels) == (4, 3, 9, "cc-by,mit")
-    assert next(r for k, r in rows.items() if k[0] == 201).labels == "text-mit"
-    assert all(r.n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x.text or "").lower())) for x in docs.filter("doc_id < 30").collect() for k, r in rows.items() if k[0] == x.doc_id)
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated\n "
+        "documentation files")
+    more = ["Released under the MIT License.\ncc by CC-BY cc by", mit, f"x {mit.replace('granted', 'given')} y",
+        mit.replace("free of charge", "x " * 30)]
+    more += ["Licensed\nunder the Apache\tLicense Version 2", "this software is provided", "permission " * 300,
+        "GNU general public license" + " gnu" * 50]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(200 + i, t) for i, t in enumerate(more)] + [(201, mit), (None, mit)]
+    d = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, labels string, near long")
+    out = license_join.scan_licenses(d).collect()
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    got = [(str(r.doc_id), *(round(r[n], 9) if n == "score" else r[n] for n in names)) for r in out]
+    assert sorted(got, key=str) == sorted([(str(i), *brute_licenses(t)) for i, t in rows], key=str)
+    assert sum("text-mit" in r.labels for r in out) == 4
     assert license_join.scan_licenses(empty(spark)).collect() == []
 
 
 def test_main_text():
-    page = '<html><body><nav><a href="/">x</a></nav><div class="sidebar">s</div><article><h1>T &amp; u</h1><p>one <b>two</b><br>three<p>four</article><section class="comments"><p>no</p></section><footer>f</footer></body></html>'
+    page = ('<html><body><nav><a href="/">x</a></nav><div class="sidebar">s</div><article><h1>T &amp; u</h1><p>one '
+        '<b>two</b><br>three<p>four</article><section class="comments"><p>no</p></section><footer>f</footer></body></html>')
     assert text_density.extract(page) == "T & u one two three four"
     assert text_density.extract("") == "" and text_density.extract("<p>just a line of text</p>") == "just a line of text"
+    long, more = "word " * 80, "more " * 60
+    teaser = (f'<main><article><h1>T</h1><p>{long}<p>{more}</article><article><h3>Read</h3><a href=x>next '
+        f'one</a><p>short</p></article></main>')
+    assert text_density.extract(teaser) == f"T {long}{more}".strip()
+    split = (f"<body><div><h1>T</h1><p>{long}</p></div><div><p>{more}</p><p>end</p></div><ul><li><a href=x>one</a><li><a "
+        f"href=y>two</a></ul></body>")
+    assert text_density.extract(split) == f"T {long}{more}end"
+    assert text_density.extract(f'<div class="content-sidebar-wrap"><h1>T</h1><p>{long}</p></div>') == f"T {long}".strip()
+
+
+def brute_densities(page):
+    """Density and density sum of each element, by plain recursion over a tree of nested lists."""
+    def build(tokens):
+        out = []
+        while tokens:
+            t = tokens.pop(0)
+            if t.startswith("</"):
+                return out
+            out.append((t.strip("<>"), build(tokens)) if t.startswith("<") else t)
+        return out
+
+    def sums(node, linked):
+        name, children = node
+        c = t = links = k = 0
+        for x in children:
+            if isinstance(x, str):
+                c += len(x.strip())
+                links += len(x.strip()) if linked or name == "a" else 0
+            else:
+                a = sums(x, linked or x[0] == "a")
+                c, t, links, k = c + a[0], t + a[1] + 1, links + a[2], k + a[3] + (x[0] == "a")
+        return c, t, links, k
+
+    tree = build(re.findall(r"</?\w+>|[^<]+", page))[0]
+    body = sums(tree, False)
+    share, out = body[2] / max(1, body[0]), []
+
+    def walk(node, linked):
+        name, children = node
+        linked = linked or name == "a"
+        c, t, links, k = sums(node, linked)
+        t, links_, k = max(1, t), max(1, links), max(1, k)
+        d = 0.0
+        if c:
+            d = c / t * math.log(c / links_ * t / k, math.log(c / max(1, c - links) * links_ + share * c + math.e))
+        at = len(out)
+        out.append([name, max(0.0, d), 0.0])
+        for x in children:
+            if not isinstance(x, str):
+                out[at][2] += walk(x, linked)
+        return out[at][1]
+
+    walk(tree, False)
+    return out
+
+
+def test_densities():
+    rng = random.Random(4)
+    text = lambda n: " ".join("wort" for _ in range(n))
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return text(rng.randint(1, 40))
+        name = rng.choice(("div", "section", "span", "a") if depth < 3 else ("div", "section"))
+        return f"<{name}>{''.join(element(depth - 1) for _ in range(rng.randint(1, 4)))}</{name}>"
+
+    for _ in range(30):
+        page = f"<body>{''.join(element(4) for _ in range(3))}</body>"
+        nodes = text_density.parse(page)
+        body, _ = text_density.measure(nodes, set())
+        want = brute_densities(page)
+        assert [n.name for n in nodes[1:]] == [x[0] for x in want]
+        assert np.allclose([n.density for n in nodes[1:]], [x[1] for x in want]) and np.allclose([n.total for n in nodes[1:]],
+            [x[2] for x in want])
+        assert body.best.total == max(n.total for n in nodes[1:] if n.chars)
+
+
+def test_pages(spark):
+    page = "<article><h1>A</h1><p>one two three</p></article>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (2, "u", None, "x"), (3, None, "", "x"), (None, "u", "<p>" + "long " * 50_000, "x")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = text_density.extract_pages(d).collect()
+    assert sorted((str(r.page_id), r.text) for r in out) == sorted(
+        [("1", "A one two three")] * 2 + [("2", ""), ("3", ""), ("None", ("long " * 50_000).strip())]
+    )
+    assert text_density.extract_pages(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page",
+    ["<div>" * 50_000 + "x", "<p>x" + "</div>" * 50_000, "<b>" * 25_000 + "<h1>x</h1>" * 25_000,
+    "<p><td>" + "<b>" * 25_000 + "<h1>x</h1>" * 25_000])
+def test_hostile_pages(page):
+    began = time.time()
+    text_density.extract(page)
+    assert time.time() - began < 5
+
+
+def test_renamed_articles():
+    """The given pages' text doesn't hang on the names of their elements."""
+    import duckdb
+
+    pages = duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    for (page,) in pages:
+        assert text_density.extract(re.sub(r"<(/?)(article|main)\b", r"<\1div", page)) == text_density.extract(page)
 
 
 def test_backward_search():
@@ -208,7 +423,8 @@ def test_repeats(spark, docs):
 
 def test_hot_passage(spark, monkeypatch, tmp_path):
     passage = [f"p{i}" for i in range(24)]
-    rows = [(i, " ".join([f"a{i}", f"b{i}", *passage, f"c{i}", f"d{i}"])) for i in range(150)] + [(i, " ".join([*passage[:21], f"e{i}"])) for i in range(150, 160)]
+    rows = ([(i, " ".join([f"a{i}", f"b{i}", *passage, f"c{i}", f"d{i}"])) for i in range(150)]
+        + [(i, " ".join([*passage[:21], f"e{i}"])) for i in range(150, 160)])
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     usual, folder = fm_dedup._shards, str(tmp_path)
 
@@ -250,14 +466,19 @@ def test_byte_pairs(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, v = tokenizers.Tokenizer.from_file(path), byte_pairs.read_vocabulary(path)
     odd = spark.createDataFrame([(300, "a <|endoftext|>  b\n\n'll 🙂 aaaaaaa"), (301, None)], "doc_id long, text string")
-    rows = byte_pairs.encode(docs.select("doc_id", "text").unionByName(odd), v, decoded_col="together")
+    clash = docs.select("doc_id", "text").unionByName(odd).withColumns({"ids": F.lit("x"), "together": F.lit(1)})
+    rows = byte_pairs.encode(clash, v, decoded_col="together")
+    assert rows.columns == ["doc_id", "text", "ids", "together"]
     for r in byte_pairs.decode(rows, v).collect():
         want = t.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == r.together == t.decode(want, skip_special_tokens=False)
 
 
 def test_containment(spark, docs):
-    items = spark.createDataFrame([(1, " ".join(texts()[25].split()[:25])), (2, "x"), (3, None), (None, "x"), (4, ""), (5, "not there at all really")], "item_id long, text string")
+    items = (
+        spark.createDataFrame(
+        [(1, " ".join(texts()[25].split()[:25])), (2, "x"), (3, None), (None, "x"), (4, ""), (5, "not there at all really"), (2, "x"),
+        (2, "a b a b a b")], "item_id long, text string"))
     want = set()
     for d in docs.collect():
         own = set(containment.shingles(lower_words(d.text), 5))
@@ -267,17 +488,98 @@ def test_containment(spark, docs):
                 want.add((d.doc_id, r.item_id))
     out = containment.find_items(docs, items)
     assert {(r.doc_id, r.item_id) for r in out.collect()} == want and want
+    texts_of_2 = [r for r in out.collect() if r.item_id == 2 and r.doc_id == 31]
+    assert [r.n_shingles for r in texts_of_2] == [2]
     assert containment.find_items(empty(spark), items).collect() == [] and containment.find_items(docs, items.limit(0)).collect() == []
 
 
+def brute_groups(rows, k, percent):
+    """The ids of which one stays: the least of each group of linked texts."""
+    sets = {i: set(containment.shingles(lower_words(t), k)) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    where = {}
+    for i, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        shared = Counter(j for g in s for j in where[g] if j < i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                comp[max(a, b)] = min(a, b)
+    return {i for i in sets if root(i) == i}
+
+
 def test_pipeline(spark):
+    """Each stage against brute force on its own input, on the smallest given tables."""
     import corpus_pipeline as P
 
+    tokenizers = pytest.importorskip("tokenizers")
     sf = "/root/testdata/sf0.001"
-    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), None
-    for name, stage in P.STAGES[:-1]:
-        kept = stage(spark, docs if kept is None else kept, sf)
-        assert kept.columns == list(P.COLUMNS), name
-        kept = kept.cache()
-    out = P.STAGES[-1][1](spark, kept, sf)
-    assert out.filter(F.col("decoded") != F.col("text")).count() == 0 and 0 < out.count() <= docs.count()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = (
+        spark.createDataFrame([(None, "no id", None, None, None), (90_001, None, "en", "a", 0), (90_002, "", None, "a", 0)], docs.schema))
+    docs = docs.unionByName(odd).cache()
+    stages = dict(P.STAGES)
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+
+    model = toxicity.train(docs, labels)
+    kept = stages["toxicity"](spark, docs, sf).cache()
+    assert kept.columns == list(P.COLUMNS)
+    assert sorted(rows(kept), key=str) == sorted([(i, t) for i, t in rows(docs) if model.score(t or "") < 0.5], key=str)
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
+    clean, left = {r.doc_id for r in labels.filter("toxic = 0").collect()}, {i for i, _ in rows(kept)}
+    assert len(clean & left) >= 0.98 * len(clean) and len(toxic & left) <= 0.5 * len(toxic), (len(clean), len(clean & left), len(toxic), len(toxic & left))
+
+    once = stages["near_dedup"](spark, kept, sf).cache()
+    stay = brute_groups([(i, t) for i, t in rows(kept) if i is not None], 5, 80)
+    assert once.columns == list(P.COLUMNS) and sorted(i for i, _ in rows(once) if i is not None) == sorted(stay)
+
+    clean = stages["decontamination"](spark, once, sf).cache()
+    items = [set(containment.shingles(lower_words(r.text), 5)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = (lambda t: any(q and len(q & own) >= 0.8 * len(q) for own in [set(containment.shingles(lower_words(t), 5))] for q in items))
+    assert sorted(rows(clean), key=str) == sorted([(i, t) for i, t in rows(once) if not held(t)], key=str)
+
+    red = stages["secret_scan"](spark, clean, sf).cache()
+    before = dict(rows(clean))
+    assert red.columns == list(P.COLUMNS) and {i for i, _ in rows(red)} == set(before)
+    for r in red.collect():
+        t = before[r.doc_id]
+        assert (r.text is None) == (t is None) and (t is None or not brute_spans(r.text.replace("[SECRET]", " ")))
+        assert t is None or brute_spans(t) or r.text == t or "[SECRET]" in r.text
+        assert r.n_chars == (None if t is None else len(r.text))
+
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = stages["byte_pairs"](spark, red, sf).collect()
+    assert len(out) == red.count() and all(r.ids == t.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+        for r in out)
+    whole = {r.doc_id for r in P.run(spark, sf).select("doc_id").collect()}
+    assert whole == {r.doc_id for r in out} - {None, 90_001, 90_002} | (whole & {90_001, 90_002})
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.count() == 0
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from perispark.llm.common import shared_folder
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(fake)
