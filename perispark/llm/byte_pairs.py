@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perispark.llm.common import small_batches
+
 #: The pieces that byte-level vocabularies of this family merge within.
 PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces kept from one batch for the next ones of a task, and the characters taken together.
@@ -202,6 +204,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", decoded_
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded_col is not None:
         schema = schema.add(decoded_col, "string")
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda it: _encoded(it, sent.value, at, decoded_col), schema)

@@ -19,6 +19,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The setting that bounds what Spark hands to Python at a time, its default, and what texts need.
+BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python 8 MB at a time instead of 64, so that neither side of a task holds
+    several times 64 MB of texts; a session that sets another size keeps it."""
+    if spark.conf.get(BATCH, f"{USUAL}b") == f"{USUAL}b":
+        spark.conf.set(BATCH, SMALL)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir). Where none is
     named, a temporary one is set on a local master, as in tests; on a cluster that is an error."""
@@ -37,6 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
+        small_batches(spark)
 
     def written(self, df: DataFrame, label: str) -> DataFrame:
         """Write df as a table and read it again: cuts the lineage, so that a lost executor

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import Scratch, lower_words
+from perispark.llm.common import Scratch, lower_words, small_batches
 
 #: Words hashed at a time.
 TOGETHER = 50_000
@@ -191,6 +191,7 @@ def find_items(
     of the documents for each block); documents are never shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND text != ''"))

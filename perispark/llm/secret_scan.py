@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import list_array, slices
+from perispark.llm.common import list_array, slices, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -217,6 +217,7 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", alpha: float = 1e-3
     Scale: three scans of the text and no shuffle of it; what is shuffled and brought to
     the driver is a table of letter pairs and one of bins, of fixed size.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     pairs = np.zeros(SIZE * SIZE)
     for r in text.mapInArrow(_pair_counts, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():

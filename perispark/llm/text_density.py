@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from perispark.llm.common import small_batches
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -299,6 +301,8 @@ def extract_pages(pages: DataFrame, *, html_col: str = "html", out_col: str = "t
     An existing column out_col is replaced. One scan, no shuffle.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def texts(html: pd.Series) -> pd.Series:
         return html.map(lambda x: extract(x or ""))

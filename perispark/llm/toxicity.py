@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import Scratch, held_out, list_array, slices
+from perispark.llm.common import Scratch, held_out, list_array, slices, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 WORD = re.compile(r"[^\W_]+")
@@ -220,6 +220,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", le
     Scale: one scan, no shuffle; only the text goes to Python, about 1 MB of it at a time
     as strings, and only results come back.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = "score double, predicted int" + (f", offending {OFFENDING}" if least is not None else "")
 
