@@ -73,6 +73,81 @@ def test_suffix_tree(spark, docs):
     assert suffix_tree.score_documents(empty(spark)).collect() == []
 
 
+def brute_scores(rows, held, share, floor, divergence, prior):
+    """log10 probabilities by a tree of depth one over common words, and states of the other words."""
+    train = [[*lower_words(t), None] for i, t in rows if not held(i)]
+    count = Counter(w for t in train for w in t)
+    total = sum(count.values())
+    common = {w for w, n in count.items() if w is not None and n > share * total}
+    symbol = lambda w: w if w is None or w in common else "other"
+    rare = {w: n for w, n in count.items() if w is not None and w not in common}
+    root = Counter({x: prior for x in (None, "other", *common)})
+    for w, n in count.items():
+        root[symbol(w)] += n
+    size = sum(root.values())
+    root = {x: n / size for x, n in root.items()}
+    after, after_word = {}, {}
+    for t in train:
+        for a, b in zip(["start", *t], t):
+            if a is not None:
+                after.setdefault(symbol(a) if a != "start" else a, Counter())[symbol(b)] += 1
+            if a in rare:
+                after_word.setdefault(a, Counter())[symbol(b)] += 1
+
+    def state(counts, lower, least):
+        """The distribution after a context, or None where it isn't a state."""
+        n, kept = sum(counts.values()), {x: k for x, k in counts.items() if k >= least}
+        if not kept:
+            return None
+        rest, mass = n - sum(kept.values()), max(1 - sum(map(lower, kept)), 1e-12)
+        gain = sum(k * math.log(k / n / lower(x)) for x, k in kept.items()) + (rest * math.log(rest / n / mass) if rest else 0)
+        back = (rest + prior) / (n + prior)
+        return (lambda low: lambda x: kept.get(x, 0) / (n + prior) + back * low(x)) if gain >= divergence else None
+
+    first = {s: p(root.get) for s, c in after.items() if (p := state(c, root.get, floor))}
+    of_class = first.get("other", root.get)
+    words = {w: p for w, c in after_word.items() if (p := state(c, of_class, 2))}
+    once, twice = (sum(n == k for n in count.values()) - (count[None] == k) for k in (1, 2))
+    discount = min(0.999, (once + 0.5) / (once + 2 * twice + 1))
+    rare_n = sum(rare.values())
+    left = (discount * len(rare) + 0.5) / (rare_n + 0.5)
+
+    def score(text):
+        out, last = 0.0, "start"
+        for w in [*lower_words(text), None]:
+            lower = first.get(last if last == "start" else symbol(last), root.get)
+            p = words[last](lower) if last in words else lower
+            out += math.log10(p(symbol(w)))
+            if w is not None and w not in common:
+                out += math.log10((rare[w] - discount) / (rare_n + 0.5) if w in rare else left)
+            last = w
+        return out
+
+    return score, len(words)
+
+
+def test_states_of_other_words(spark):
+    """Words that aren't common are contexts of their own: by brute force."""
+    rng = random.Random(8)
+    usual, names = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(40)]
+
+    def text():
+        out = []
+        for _ in range(30):
+            w = rng.choice(names)
+            out += [w, usual[hash_of(w) % 6]] if rng.random() < 0.8 else [rng.choice(usual)]
+        return " ".join(out)
+
+    hash_of = lambda w: zlib.crc32(w.encode())
+    rows = [(i, text()) for i in range(60)] + [(60, None), (61, "new r1 words"), (61, "r2 c1"), (None, "r3")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    score, states = brute_scores([(i, t or "") for i, t in rows], held, 0.03, 5, 8.0, 1.0)
+    assert states > 10
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffix_tree.score_documents(d, depth=1, p_min=1e-9, divergence=8.0, common_share=0.03, least=5).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in out) == sorted((str(i), round(score(t), 6)) for i, t in rows)
+
+
 def test_suffix_tree_sums_to_one():
     root = np.array([0, 0, 0.2, 0.3, 0.5])
     tree = suffix_tree.Tree(2, root)
