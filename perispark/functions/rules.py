@@ -10,7 +10,8 @@ SERVICES = {
 BANNER_PORTS = (21, 22, 23, 25, 587, 3306, 5900, 6379, 9200, 11211, 27017, 2375, 6443, 389, 636, 1433, 161)
 LEGACY_PORTS = (80, 443, 22, 21, 25, 587, 3306, 5432, 6379, 8080, 8443)
 
-EU = ("AT", "BE", "BG", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "PL", "PT", "RO", "SE", "SI", "SK")
+EU = ("AT", "BE", "BG", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "PL",
+    "PT", "RO", "SE", "SI", "SK")
 
 # nameserver host suffix -> operator, in order
 OPERATORS = (
@@ -44,12 +45,14 @@ SECTORS = (
     ("gemeinde", "government", "", 0.8), ("kanton", "government", "", 0.8), ("admin.ch", "government", "", 0.95),
 )
 
-KEV_VENDORS = ("wordpress", "drupal", "joomla", "apache", "nginx", "openssl", "php", "typo3", "craft cms", "tomcat", "litespeed", "mysql", "mariadb", "proftpd", "openssh", "iis", "exchange", "magento", "prestashop", "roundcube", "mssql", "sql server")
+KEV_VENDORS = ("wordpress", "drupal", "joomla", "apache", "nginx", "openssl", "php", "typo3", "craft cms", "tomcat", "litespeed", "mysql",
+    "mariadb", "proftpd", "openssh", "iis", "exchange", "magento", "prestashop", "roundcube", "mssql", "sql server")
 
 # port, text in the banner (none: presence alone), technology
 PORT_RULES = (
     (3306, "mysql", "mysql"), (21, "proftpd", "proftpd"), (21, "vsftpd", "vsftpd"), (22, "openssh", "openssh"), (3389, None, "rdp"),
-    (6379, "redis", "redis"), (9200, "elasticsearch", "elasticsearch"), (11211, "memcached", "memcached"), (2375, None, "docker"), (1433, "mssql", "mssql"),
+    (6379, "redis", "redis"), (9200, "elasticsearch", "elasticsearch"), (11211, "memcached", "memcached"), (2375, None, "docker"),
+        (1433, "mssql", "mssql"),
 )
 # the same for the inventory, first hit wins
 INVENTORY = (
@@ -61,7 +64,8 @@ INVENTORY = (
 
 KEY_OIDS = {"1.2.840.113549.1.1.1": "RSA", "1.3.101.112": "Ed25519", "1.3.101.113": "Ed448"}
 KEY_SIZES = {"1.3.101.112": 256, "1.3.101.113": 448}
-EC_OID, CURVES = "1.2.840.10045.2.1", {"1.2.840.10045.3.1.7": ("P-256", 256), "1.3.132.0.34": ("P-384", 384), "1.3.132.0.35": ("P-521", 521)}
+EC_OID, CURVES = "1.2.840.10045.2.1", {"1.2.840.10045.3.1.7": ("P-256", 256), "1.3.132.0.34": ("P-384", 384),
+    "1.3.132.0.35": ("P-521", 521)}
 SIGNATURE_OIDS = {
     "1.2.840.113549.1.1.11": "SHA256withRSA", "1.2.840.113549.1.1.12": "SHA384withRSA", "1.2.840.113549.1.1.13": "SHA512withRSA",
     "1.2.840.10045.4.3.2": "SHA256withECDSA", "1.2.840.10045.4.3.3": "SHA384withECDSA", "1.2.840.10045.4.3.4": "SHA512withECDSA",

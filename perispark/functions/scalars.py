@@ -42,7 +42,8 @@ def should_try_www(c: Column) -> Column:
 
 def candidate_urls(c: Column) -> Column:
     www = should_try_www(c)
-    every = F.array(F.concat(F.lit("https://"), c), F.when(www, F.concat(F.lit("https://www."), c)), F.concat(F.lit("http://"), c), F.when(www, F.concat(F.lit("http://www."), c)))
+    every = F.array(F.concat(F.lit("https://"), c), F.when(www, F.concat(F.lit("https://www."), c)), F.concat(F.lit("http://"), c),
+        F.when(www, F.concat(F.lit("http://www."), c)))
     return F.array_compact(every)
 
 
@@ -64,7 +65,8 @@ def body_hash(html: Column) -> Column:
 
 
 CMS = (("wordpress", "WordPress"), ("drupal", "Drupal"), ("joomla", "Joomla"), ("typo3", "TYPO3"), ("wix", "Wix"))
-BODY_MARKS = ((("wp-content/", "wp-includes/"), "WordPress"), (("drupal.settings", "/sites/default/files/"), "Drupal"), (("/components/com_",), "Joomla"), (("typo3conf/", "typo3temp/"), "TYPO3"))
+BODY_MARKS = ((("wp-content/", "wp-includes/"), "WordPress"), (("drupal.settings", "/sites/default/files/"), "Drupal"),
+    (("/components/com_",), "Joomla"), (("typo3conf/", "typo3temp/"), "TYPO3"))
 
 
 def detect_cms(powered_by: Column, html: Column, server: Column) -> Column:
@@ -102,18 +104,23 @@ def parse_spf(c: Column) -> Column:
 def parse_dmarc(c: Column) -> Column:
     """struct(present, policy, subdomain_policy, has_reporting, pct)."""
     tags = F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda t: F.trim(t))
-    value = lambda name: F.regexp_replace(F.try_element_at(F.filter(tags, lambda t: F.startswith(F.lower(t), F.lit(f"{name}="))), F.lit(-1)), "^[^=]*=", "")
+    value = (
+        lambda name: F.regexp_replace(F.try_element_at(F.filter(tags, lambda t: F.startswith(F.lower(t), F.lit(f"{name}="))), F.lit(-1)),
+        "^[^=]*=", ""))
     present = F.startswith(F.lower(F.coalesce(c, F.lit(""))), F.lit("v=dmarc1"))
     inside = lambda x: F.when(present, x)
     return F.struct(
-        present.alias("present"), inside(F.lower(F.trim(value("p")))).alias("policy"), inside(F.lower(F.trim(value("sp")))).alias("subdomain_policy"),
-        (present & F.exists(tags, lambda t: F.startswith(F.lower(t), F.lit("rua=")))).alias("has_reporting"), inside(F.trim(value("pct")).try_cast("int")).alias("pct"),
+        present.alias("present"), inside(F.lower(F.trim(value("p")))).alias("policy"),
+            inside(F.lower(F.trim(value("sp")))).alias("subdomain_policy"),
+        (present & F.exists(tags, lambda t: F.startswith(F.lower(t), F.lit("rua=")))).alias("has_reporting"),
+            inside(F.trim(value("pct")).try_cast("int")).alias("pct"),
     )
 
 
 def dkim_flags(default: Column, google: Column) -> Column:
     has = lambda a: F.coalesce(F.exists(a, lambda x: F.contains(x, F.lit("v=DKIM1"))), F.lit(False))
-    return F.struct(has(default).alias("dkim_default"), has(google).alias("dkim_google"), (has(default) | has(google)).alias("dkim_found"))
+    return F.struct(has(default).alias("dkim_default"), has(google).alias("dkim_google"),
+        (has(default) | has(google)).alias("dkim_found"))
 
 
 def parse_whois(text: Column) -> Column:
@@ -123,20 +130,24 @@ def parse_whois(text: Column) -> Column:
     date = lambda s: F.coalesce(F.try_to_date(s, "yyyy-MM-dd"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
     dnssec = F.lower(found("dnssec:"))
     return F.struct(
-        found("registrar:").alias("registrar"), date(F.trim(F.regexp_replace(found("first registration date:"), "^(before)+", ""))).alias("created"),
+        found("registrar:").alias("registrar"),
+            date(F.trim(F.regexp_replace(found("first registration date:"), "^(before)+", ""))).alias("created"),
         date(found("expiration date:|expires:|expiry date:")).alias("expires"), found("state:|status:").alias("status"),
         ((dnssec == "y") | F.startswith(dnssec, F.lit("yes")) | F.startswith(dnssec, F.lit("signed"))).alias("dnssec_delegated"),
     )
 
 
 def cert_status(valid_to: Column, issuer: Column, subject: Column, as_of: Column) -> Column:
-    return F.struct(F.datediff(valid_to, as_of).alias("days_remaining"), (valid_to < as_of).alias("expired"), (issuer == subject).alias("self_signed"))
+    return F.struct(F.datediff(valid_to, as_of).alias("days_remaining"), (valid_to < as_of).alias("expired"),
+        (issuer == subject).alias("self_signed"))
 
 
 def key_alg(oid: Column, curve: Column, rsa_bits: Column) -> Column:
     """struct(algorithm, size)."""
-    names = [(oid == k, F.lit(v)) for k, v in rules.KEY_OIDS.items()] + [((oid == rules.EC_OID) & (curve == k), F.lit(v[0])) for k, v in rules.CURVES.items()] + [(oid == rules.EC_OID, F.lit("EC"))]
-    sizes = [(oid == "1.2.840.113549.1.1.1", rsa_bits.cast("int"))] + [(oid == k, F.lit(v)) for k, v in rules.KEY_SIZES.items()] + [((oid == rules.EC_OID) & (curve == k), F.lit(v[1])) for k, v in rules.CURVES.items()]
+    names = ([(oid == k, F.lit(v)) for k, v in rules.KEY_OIDS.items()]
+        + [((oid == rules.EC_OID) & (curve == k), F.lit(v[0])) for k, v in rules.CURVES.items()] + [(oid == rules.EC_OID, F.lit("EC"))])
+    sizes = ([(oid == "1.2.840.113549.1.1.1", rsa_bits.cast("int"))] + [(oid == k, F.lit(v)) for k, v in rules.KEY_SIZES.items()]
+        + [((oid == rules.EC_OID) & (curve == k), F.lit(v[1])) for k, v in rules.CURVES.items()])
     return F.struct(_first(names).alias("algorithm"), _first(sizes).alias("size"))
 
 
@@ -147,7 +158,8 @@ def sig_alg(oid: Column) -> Column:
 def cert_ext_flags(exts: Column) -> Column:
     """exts: array<struct<oid, value: hex text>>. struct(ct_logged, must_staple)."""
     feature = F.filter(exts, lambda e: e["oid"] == rules.TLS_FEATURE_OID)
-    return F.struct(F.exists(exts, lambda e: e["oid"] == rules.SCT_OID).alias("ct_logged"), F.when(F.size(feature) > 0, F.contains(F.lower(F.get(feature, F.lit(0))["value"]), F.lit("020105"))).alias("must_staple"))
+    return F.struct(F.exists(exts, lambda e: e["oid"] == rules.SCT_OID).alias("ct_logged"),
+        F.when(F.size(feature) > 0, F.contains(F.lower(F.get(feature, F.lit(0))["value"]), F.lit("020105"))).alias("must_staple"))
 
 
 def asn1_date(epoch: Column) -> Column:
@@ -162,22 +174,30 @@ def is_public_ip(c: Column) -> Column:
     octets = F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
     a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
     v4 = c.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    inner = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (c == "255.255.255.255")
+    inner = (a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+        | (c == "255.255.255.255"))
     return F.when(v4, ~inner).when(F.contains(c, F.lit(":")), ~c.rlike(r"^[0:]*:[0:]*[01]?$")).otherwise(F.lit(False))
 
 
 def classify_http_error(msg: Column, is_timeout: Column, is_connect: Column) -> Column:
     low = F.lower(msg)
-    return _first([(is_timeout, F.lit("timeout")), (_any_word(low, rules.TLS_WORDS), F.lit("tls_failed")), (is_connect & _any_word(low, ("dns", *rules.LOOKUP_WORDS)), F.lit("dns")), (is_connect & F.contains(low, F.lit("refused")), F.lit("refused"))], F.lit("other"))
+    return _first(
+        [(is_timeout, F.lit("timeout")), (_any_word(low, rules.TLS_WORDS), F.lit("tls_failed")),
+        (is_connect & _any_word(low, ("dns", *rules.LOOKUP_WORDS)), F.lit("dns")),
+        (is_connect & F.contains(low, F.lit("refused")), F.lit("refused"))], F.lit("other"))
 
 
 def classify_dns_error(msg: Column, no_records: Column) -> Column:
     low = F.lower(msg)
-    return _first([(no_records, F.lit("not_found")), (_any_word(low, ("timed out", "timeout")), F.lit("timeout")), (F.contains(low, F.lit("refused")), F.lit("refused"))], F.lit("dns"))
+    return _first(
+        [(no_records, F.lit("not_found")), (_any_word(low, ("timed out", "timeout")), F.lit("timeout")),
+        (F.contains(low, F.lit("refused")), F.lit("refused"))], F.lit("dns"))
 
 
 def classify_io_error(msg: Column, kind: Column) -> Column:
-    return _first([(kind == "timed_out", F.lit("timeout")), (kind == "connection_refused", F.lit("refused")), (_any_word(F.lower(msg), rules.LOOKUP_WORDS), F.lit("dns"))], F.lit("other"))
+    return _first(
+        [(kind == "timed_out", F.lit("timeout")), (kind == "connection_refused", F.lit("refused")),
+        (_any_word(F.lower(msg), rules.LOOKUP_WORDS), F.lit("dns"))], F.lit("other"))
 
 
 def dns_status(errors: Column) -> Column:
@@ -203,8 +223,13 @@ def extract_version(banner: Column, tech: Column) -> Column:
     ssh = find(r"openssh_[^0-9]*([0-9][0-9.p]*)")
     build = find(r" build ([0-9]+)")
     mssql = find(r"mssql " + DIGITS)
-    plain = [(tech == t, find(mark + DIGITS)) for t, mark in (("proftpd", "proftpd"), ("vsftpd", "vsftpd"), ("redis", "redis "), ("elasticsearch", "elasticsearch "), ("memcached", "version "))]
-    return _first([(tech == "mysql", F.nullif(F.regexp_extract(mysql, r"^[0-9.]*", 0), F.lit(""))), (tech == "openssh", F.regexp_replace(ssh, r"p[0-9].*$", "")), (tech == "mssql", F.coalesce(F.concat_ws(".", mssql, F.when(mssql.isNotNull(), build)), mssql)), *plain])
+    plain = [(tech == t, find(mark + DIGITS))
+        for t, mark in (("proftpd", "proftpd"), ("vsftpd", "vsftpd"), ("redis", "redis "), ("elasticsearch", "elasticsearch "),
+        ("memcached", "version "))]
+    return _first(
+        [(tech == "mysql", F.nullif(F.regexp_extract(mysql, r"^[0-9.]*", 0), F.lit(""))),
+        (tech == "openssh", F.regexp_replace(ssh, r"p[0-9].*$", "")),
+        (tech == "mssql", F.coalesce(F.concat_ws(".", mssql, F.when(mssql.isNotNull(), build)), mssql)), *plain])
 
 
 def server_version(server: Column, tech: Column) -> Column:
@@ -216,7 +241,8 @@ def server_version(server: Column, tech: Column) -> Column:
 
 def version_key(c: Column) -> Column:
     """Six numbers: the leading digits of each dotted part, 0 where there are none."""
-    parts = F.transform(F.split(c, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^[0-9]+", 0), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint")))
+    parts = F.transform(F.split(c, r"\."),
+        lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^[0-9]+", 0), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint")))
     return F.slice(F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), 6)), 1, 6)
 
 
@@ -262,7 +288,10 @@ def sector(domain: Column, title: Column) -> Column:
     """struct(sector, subsector, confidence), null without a match."""
     d = F.lower(domain)
     both = F.concat(d, F.lit(" "), F.lower(F.coalesce(title, F.lit(""))))
-    value = lambda s, sub, c: F.struct(F.lit(s).alias("sector"), F.lit(sub).alias("subsector"), F.lit(c).alias("confidence"))
-    cases = [((d == "admin.ch") | F.endswith(d, F.lit(".admin.ch")), value("government", "", 0.95)), (d.rlike(rf"(^|\.)({'|'.join(rules.CANTONS)})\.ch$"), value("government", "", 0.9))]
+    value = (lambda s, sub, c: F.struct(F.lit(s).alias("sector"), F.lit(sub).alias("subsector"), F.lit(c).alias("confidence")))
+    cases = [((d == "admin.ch") | F.endswith(d, F.lit(".admin.ch")), value("government", "", 0.95)),
+        (d.rlike(rf"(^|\.)({'|'.join(rules.CANTONS)})\.ch$"), value("government", "", 0.9))]
     rule = _first_rule(rules.SECTORS, ("word", "sector", "subsector", "confidence"), lambda r: F.contains(both, r["word"]))
-    return _first(cases, F.when(rule.isNotNull(), F.struct(rule["sector"].alias("sector"), rule["subsector"].alias("subsector"), rule["confidence"].alias("confidence"))))
+    return _first(cases,
+        F.when(rule.isNotNull(),
+        F.struct(rule["sector"].alias("sector"), rule["subsector"].alias("subsector"), rule["confidence"].alias("confidence"))))

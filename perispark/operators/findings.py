@@ -19,9 +19,12 @@ from perispark.operators.risk import ns_concentration
 Tables = dict[str, DataFrame]
 KEY = "k"
 
-RISK_PORTS = {445: "critical", 3389: "critical", 23: "critical", 2375: "critical", 3306: "high", 5432: "high", 6379: "high", 9200: "high", 27017: "high", 11211: "high", 1433: "high", 21: "medium", 5900: "high"}
+RISK_PORTS = {445: "critical", 3389: "critical", 23: "critical", 2375: "critical", 3306: "high", 5432: "high", 6379: "high", 9200: "high",
+    27017: "high", 11211: "high", 1433: "high", 21: "medium", 5900: "high"}
 WEAK_COUNTRIES = ("RU", "BY", "IR", "CN", "SY")
-CONTINENTS = {"CH": "Europe", "DE": "Europe", "FR": "Europe", "GB": "Europe", "AT": "Europe", "IT": "Europe", "NL": "Europe", "RU": "Europe", "US": "North America", "CA": "North America", "SG": "Asia", "CN": "Asia", "JP": "Asia", "AU": "Oceania", "BR": "South America", "ZA": "Africa"}
+CONTINENTS = {"CH": "Europe", "DE": "Europe", "FR": "Europe", "GB": "Europe", "AT": "Europe", "IT": "Europe", "NL": "Europe",
+    "RU": "Europe", "US": "North America", "CA": "North America", "SG": "Asia", "CN": "Asia", "JP": "Asia", "AU": "Oceania",
+    "BR": "South America", "ZA": "Africa"}
 #: Titles, in lower case, of pages that nobody has written; callers name their own.
 GENERIC_TITLES = ("index of /", "home", "domain parking", "coming soon", "under construction", "default web page", "welcome")
 CLOUD_MARKS = (("cloudflare", "cloudflare"), ("microsoft", "microsoft"), ("pepyaka", "wix"), ("awselb", "aws"), ("google", "google"))
@@ -54,8 +57,10 @@ def first_of(c: Column, marks: tuple[tuple[str, str], ...], other: str) -> Colum
     return out.otherwise(F.lit(other))
 
 
-SERVERS = (("apache", "apache"), ("nginx", "nginx"), ("openresty", "nginx"), ("cloudflare", "cloudflare"), ("pepyaka", "pepyaka"), ("litespeed", "litespeed"), ("squarespace", "squarespace"), ("iis", "iis"), ("vercel", "vercel"))
-ISSUERS = (("let's encrypt", "letsencrypt"), ("digicert", "digicert"), ("sectigo", "sectigo"), ("swisssign", "swisssign"), ("globalsign", "globalsign"))
+SERVERS = (("apache", "apache"), ("nginx", "nginx"), ("openresty", "nginx"), ("cloudflare", "cloudflare"), ("pepyaka", "pepyaka"),
+    ("litespeed", "litespeed"), ("squarespace", "squarespace"), ("iis", "iis"), ("vercel", "vercel"))
+ISSUERS = (("let's encrypt", "letsencrypt"), ("digicert", "digicert"), ("sectigo", "sectigo"), ("swisssign", "swisssign"),
+    ("globalsign", "globalsign"))
 
 live = lambda t: t["domains"].filter("status = 'ok'")
 sectored = lambda t, name="domains": t[name].join(t["classes"].select(KEY, "sector"), KEY)
@@ -65,10 +70,13 @@ empty_list = lambda c: F.size(S.parse_json_array(F.col(c))) == 0
 def g0(t: Tables) -> DataFrame:
     """Each domain's state in the four scans, a row for each scan."""
     d = t["domains"]
-    ports = t["ports"].groupBy(KEY).agg(F.array_join(F.transform(F.sort_array(F.collect_set("port")), lambda p: p.cast("string")), ",").alias("detail"))
+    ports = t["ports"].groupBy(KEY).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_set("port")), lambda p: p.cast("string")), ",").alias("detail"))
     return (
-        d.filter("status IS NOT NULL").select(KEY, F.lit("http").alias("scan"), F.coalesce(F.col("status_code").cast("string"), "error_kind").alias("detail"))
-        .unionByName(t["dns"].select(KEY, F.lit("dns").alias("scan"), F.size(S.parse_json_array(F.col("ns"))).cast("string").alias("detail")))
+        d.filter("status IS NOT NULL").select(KEY, F.lit("http").alias("scan"),
+            F.coalesce(F.col("status_code").cast("string"), "error_kind").alias("detail"))
+        .unionByName(
+            t["dns"].select(KEY, F.lit("dns").alias("scan"), F.size(S.parse_json_array(F.col("ns"))).cast("string").alias("detail")))
         .unionByName(t["tls"].select(KEY, F.lit("tls").alias("scan"), F.col("tls_version").alias("detail")))
         .unionByName(ports.select(KEY, F.lit("ports").alias("scan"), "detail"))
     )
@@ -78,7 +86,9 @@ def g6(t: Tables, n: int = 10) -> DataFrame:
     """(kind, value, n): PHP by branch with their total, and the n most frequent versions."""
     p = F.col("powered_by")
     major, minor = F.regexp_extract(p, r"PHP/(\d+)", 1).try_cast("int"), F.regexp_extract(p, r"PHP/\d+\.(\d+)", 1).try_cast("int")
-    branch = F.when(major == 5, "5.x").when((major == 7) & (minor <= 3), "7.0-7.3").when((major == 7) & (minor == 4), "7.4").when(major == 8, "8.x")
+    branch = (
+        F.when(major == 5, "5.x").when((major == 7) & (minor <= 3), "7.0-7.3").when((major == 7) & (minor == 4), "7.4").when(major == 8,
+        "8.x"))
     php = t["domains"].select(branch.alias("branch")).filter("branch IS NOT NULL")
     branches = php.rollup("branch").agg(F.count("*").alias("n"))
     versions = top(t["domains"].filter("powered_by IS NOT NULL").groupBy("powered_by").agg(F.count("*").alias("n")), n, "powered_by")
@@ -88,8 +98,10 @@ def g6(t: Tables, n: int = 10) -> DataFrame:
 
 
 def g7(t: Tables) -> DataFrame:
-    e = live(t).agg(F.percentile("elapsed_ms", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99)))).alias("q"), F.min("elapsed_ms").alias("min"), F.max("elapsed_ms").alias("max"), F.avg("elapsed_ms").alias("mean"))
-    return e.select("min", "max", F.round("mean", 4).alias("mean"), *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99"))])
+    e = live(t).agg(F.percentile("elapsed_ms", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95, 0.99)))).alias("q"),
+        F.min("elapsed_ms").alias("min"), F.max("elapsed_ms").alias("max"), F.avg("elapsed_ms").alias("mean"))
+    return e.select("min", "max", F.round("mean", 4).alias("mean"),
+        *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75", "p95", "p99"))])
 
 
 def g8(t: Tables) -> DataFrame:
@@ -131,7 +143,8 @@ def g14(t: Tables) -> DataFrame:
 
 def g20(t: Tables) -> DataFrame:
     m = F.create_map(*[x for k, v in CONTINENTS.items() for x in (F.lit(k), F.lit(v))])
-    c = live(t).filter("country_code IS NOT NULL").select("country_code", F.coalesce(F.try_element_at(m, F.col("country_code")), F.lit("Other")).alias("continent"))
+    c = live(t).filter("country_code IS NOT NULL").select("country_code",
+        F.coalesce(F.try_element_at(m, F.col("country_code")), F.lit("Other")).alias("continent"))
     return c.rollup("continent", "country_code").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
@@ -139,8 +152,10 @@ def g29(t: Tables, n: int = 10) -> DataFrame:
     """(kind, name, n, parents): subdomains by source, those that zone transfers leak, and the n parents that leak most."""
     s, leaked = t["subdomains"], F.col("source") == "axfr"
     parents = F.countDistinct(KEY).alias("parents")
-    by_source = s.groupBy("source").agg(F.count("*").alias("n"), parents).select(F.lit("source").alias("kind"), F.col("source").alias("name"), "n", "parents")
-    leaks = s.filter(leaked).agg(F.count("*").alias("n"), parents).select(F.lit("leaking").alias("kind"), F.lit("axfr").alias("name"), "n", "parents")
+    by_source = s.groupBy("source").agg(F.count("*").alias("n"), parents).select(F.lit("source").alias("kind"),
+        F.col("source").alias("name"), "n", "parents")
+    leaks = s.filter(leaked).agg(F.count("*").alias("n"), parents).select(F.lit("leaking").alias("kind"), F.lit("axfr").alias("name"),
+        "n", "parents")
     most = top(s.filter(leaked).groupBy(KEY).agg(F.countDistinct("subdomain").alias("n")), n, KEY)
     one = most.select(F.lit("leak").alias("kind"), F.col(KEY).cast("string").alias("name"), "n", F.lit(1).cast("long").alias("parents"))
     return by_source.unionByName(leaks).unionByName(one)
@@ -160,7 +175,8 @@ def by_technology(m: DataFrame) -> DataFrame:
 
 def g32(t: Tables) -> DataFrame:
     of = lambda s: F.countDistinct(F.when(F.col("severity") == s, F.col("cve_id")))
-    return t["matches"].groupBy("technology").agg(F.countDistinct(KEY).alias("domains"), of("CRITICAL").alias("critical"), of("HIGH").alias("high"))
+    return t["matches"].groupBy("technology").agg(F.countDistinct(KEY).alias("domains"), of("CRITICAL").alias("critical"),
+        of("HIGH").alias("high"))
 
 
 def g34(t: Tables) -> DataFrame:
@@ -170,7 +186,8 @@ def g34(t: Tables) -> DataFrame:
     counts = n.groupBy("pairs").agg(F.count("*").alias("operators"))
     more = Window.partitionBy(F.lit(1)).orderBy(F.col("pairs").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sums = F.sum(F.col("pairs") * F.col("operators"))
-    before = counts.select("pairs", F.coalesce(sums.over(more), F.lit(0)).alias("before"), sums.over(Window.partitionBy(F.lit(1))).alias("total"))
+    before = counts.select("pairs", F.coalesce(sums.over(more), F.lit(0)).alias("before"),
+        sums.over(Window.partitionBy(F.lit(1))).alias("total"))
     placed = numbered(n, "operator", ["pairs"]).join(before, "pairs")
     up_to = F.col("before") + (F.col("idx") + 1) * F.col("pairs")
     return placed.select("operator", "pairs", pct(up_to, F.col("total")).alias("cumulative"))
@@ -183,13 +200,16 @@ def g35(t: Tables) -> DataFrame:
 
 def sector_share(df: DataFrame, **conditions: Column) -> DataFrame:
     """For each sector its rows and the share of each condition (null counts as not met)."""
-    return df.groupBy("sector").agg(F.count("*").alias("n"), *[F.round(F.avg(F.when(c, 100.0).otherwise(0.0)), 1).alias(k) for k, c in conditions.items()])
+    return df.groupBy("sector").agg(F.count("*").alias("n"),
+        *[F.round(F.avg(F.when(c, 100.0).otherwise(0.0)), 1).alias(k) for k, c in conditions.items()])
 
 
 def g38(t: Tables) -> DataFrame:
     wanted = (3306, 5432, 6379, 9200, 27017, 11211)
     p = sectored(t, "ports").filter(F.col("port").isin(*wanted))
-    return p.groupBy("sector").pivot("port", list(wanted)).agg(F.countDistinct(KEY)).na.fill(0).select("sector", *[F.col(str(x)).alias(f"p{x}") for x in wanted])
+    return (
+        p.groupBy("sector").pivot("port", list(wanted)).agg(F.countDistinct(KEY)).na.fill(0).select("sector",
+        *[F.col(str(x)).alias(f"p{x}") for x in wanted]))
 
 
 def g40(t: Tables) -> DataFrame:
@@ -205,7 +225,8 @@ def g43(t: Tables) -> DataFrame:
 
 def g45(t: Tables) -> DataFrame:
     names = ["missing_hsts", "missing_csp", "weak_tls", "no_dnssec", "dmarc_weak", "exposed_db_port"]
-    f = sectored(t, "flags").filter("sector IN ('government', 'retail')").select("sector", *[F.when(F.col(c), 100.0).otherwise(0.0).alias(c) for c in names])
+    f = sectored(t, "flags").filter("sector IN ('government', 'retail')").select("sector",
+        *[F.when(F.col(c), 100.0).otherwise(0.0).alias(c) for c in names])
     long = f.unpivot(["sector"], names, "flag", "v")
     return long.groupBy("flag").pivot("sector", ["government", "retail"]).agg(F.round(F.avg("v"), 1))
 
@@ -243,52 +264,78 @@ FINDINGS: dict[str, Callable[[Tables], DataFrame]] = {
     "g7_response_times": g7,
     "g8_cross_domain": g8,
     "g9_parked": g9,
-    "g10_addresses": lambda t: live(t).agg(F.countDistinct("ip").alias("ips"), F.count("ip").alias("domains"), F.round(F.count("ip") / F.countDistinct("ip").cast("double"), 4).alias("per_ip")),
+    "g10_addresses": lambda t: live(t).agg(F.countDistinct("ip").alias("ips"), F.count("ip").alias("domains"),
+        F.round(F.count("ip") / F.countDistinct("ip").cast("double"), 4).alias("per_ip")),
     "g11_top_ips": g11,
     "g12_clones": g12,
-    "g13_schemes": lambda t: flags(live(t), https=F.startswith("final_url", F.lit("https://")), http=F.startswith("final_url", F.lit("http://"))),
+    "g13_schemes": lambda t: flags(live(t), https=F.startswith("final_url", F.lit("https://")),
+        http=F.startswith("final_url", F.lit("http://"))),
     "g14_countries": g14,
-    "g15_headers": lambda t: flags(t["headers"], hsts=has("hsts"), csp=has("csp"), frame=has("x_frame_options"), sniff=has("x_content_type_options"), none=~(has("hsts") | has("csp") | has("x_frame_options") | has("x_content_type_options"))),
-    "g16_tls": lambda t: t["tls"].groupBy("tls_version", first_of(c("cert_issuer"), ISSUERS, "other").alias("issuer")).agg(F.count("*").alias("n"), F.count_if(F.datediff("valid_to", t["as_of"]).between(0, 29)).alias("expiring")),
-    "g17_email": lambda t: t["email"].groupBy("dmarc_policy").agg(F.count("*").alias("n"), F.count_if("spf_present").alias("spf"), F.count_if("dmarc_present").alias("dmarc"), F.count_if("dkim_found").alias("dkim")),
-    "g18_risky_ports": lambda t: t["ports"].filter(c("port").isin(*RISK_PORTS)).groupBy("port").agg(F.countDistinct(KEY).alias("domains")).withColumn("risk", F.create_map(*[x for k, v in RISK_PORTS.items() for x in (F.lit(k), F.lit(v))])[c("port")]),
+    "g15_headers": lambda t: flags(t["headers"], hsts=has("hsts"), csp=has("csp"), frame=has("x_frame_options"),
+        sniff=has("x_content_type_options"), none=~(has("hsts") | has("csp") | has("x_frame_options") | has("x_content_type_options"))),
+    "g16_tls": lambda t: t["tls"].groupBy("tls_version",
+        first_of(c("cert_issuer"), ISSUERS, "other").alias("issuer")).agg(F.count("*").alias("n"),
+        F.count_if(F.datediff("valid_to", t["as_of"]).between(0, 29)).alias("expiring")),
+    "g17_email": lambda t: t["email"].groupBy("dmarc_policy").agg(F.count("*").alias("n"), F.count_if("spf_present").alias("spf"),
+        F.count_if("dmarc_present").alias("dmarc"), F.count_if("dkim_found").alias("dkim")),
+    "g18_risky_ports": lambda t: t["ports"].filter(c("port").isin(*RISK_PORTS)).groupBy("port").agg(
+        F.countDistinct(KEY).alias("domains")).withColumn("risk",
+        F.create_map(*[x for k, v in RISK_PORTS.items() for x in (F.lit(k), F.lit(v))])[c("port")]),
     "g19_dnssec": lambda t: flags(t["dns"], signed=c("dnssec_signed"), unknown=c("dnssec_signed").isNull()),
     "g20_continents": g20,
-    "g21_domestic_ips": lambda t: top(live(t).filter("country_code = 'CH' AND ip IS NOT NULL").groupBy("ip").agg(F.count("*").alias("n")), 10, "ip"),
-    "g22_foreign_ips": lambda t: top(live(t).filter("country_code != 'CH' AND ip IS NOT NULL").groupBy("ip", "country_code").agg(F.count("*").alias("n")), 10, "ip", "country_code"),
-    "g23_weak_countries": lambda t: live(t).filter(c("country_code").isin(*WEAK_COUNTRIES)).rollup("country_code").agg(F.count("*").alias("n")).select(F.coalesce("country_code", F.lit("total")).alias("country"), "n"),
-    "g24_clouds": lambda t: live(t).withColumn("cloud", first_of(c("server"), CLOUD_MARKS, "none")).filter("cloud != 'none'").rollup("cloud").agg(F.count("*").alias("n")).select(F.coalesce("cloud", F.lit("total")).alias("cloud"), "n"),
-    "g25_keys": lambda t: t["tls"].groupBy("key_oid", "key_size").agg(F.count("*").alias("n"), F.count_if(F.datediff("valid_to", t["as_of"]).between(0, 6)).alias("within_week")),
+    "g21_domestic_ips": lambda t: top(live(t).filter("country_code = 'CH' AND ip IS NOT NULL").groupBy("ip").agg(F.count("*").alias("n")),
+        10, "ip"),
+    "g22_foreign_ips": lambda t: top(
+        live(t).filter("country_code != 'CH' AND ip IS NOT NULL").groupBy("ip", "country_code").agg(F.count("*").alias("n")), 10, "ip",
+        "country_code"),
+    "g23_weak_countries": lambda t: live(t).filter(c("country_code").isin(*WEAK_COUNTRIES)).rollup("country_code").agg(
+        F.count("*").alias("n")).select(F.coalesce("country_code", F.lit("total")).alias("country"), "n"),
+    "g24_clouds": lambda t: live(t).withColumn("cloud",
+        first_of(c("server"), CLOUD_MARKS, "none")).filter("cloud != 'none'").rollup("cloud").agg(F.count("*").alias("n")).select(
+        F.coalesce("cloud", F.lit("total")).alias("cloud"), "n"),
+    "g25_keys": lambda t: t["tls"].groupBy("key_oid", "key_size").agg(F.count("*").alias("n"),
+        F.count_if(F.datediff("valid_to", t["as_of"]).between(0, 6)).alias("within_week")),
     "g26_spoofable": weak_email,
     "g27_open_cors": lambda t: flags(t["headers"], open=c("cors_origin") == "*"),
-    "g28_dns_hygiene": lambda t: flags(t["dns"], wildcard=c("wildcard"), no_caa=empty_list("caa"), spf_without_mx=has("txt_spf") & empty_list("mx")),
+    "g28_dns_hygiene": lambda t: flags(t["dns"], wildcard=c("wildcard"), no_caa=empty_list("caa"),
+        spf_without_mx=has("txt_spf") & empty_list("mx")),
     "g29_subdomains": g29,
     "g30_other_ports": lambda t: t["ports"].filter("port NOT IN (80, 443)").groupBy("port").agg(F.count("*").alias("n")),
     "g31_version_bands": g31,
     "g32_exposure": g32,
-    "g33_sector_metrics": lambda t: t["bench"].groupBy("sector").pivot("metric", ["dmarc_weak_pct", "dnssec_adoption", "hsts_adoption", "risk_score"]).agg(F.round(F.max("mean"), 2)),
+    "g33_sector_metrics": lambda t: t["bench"].groupBy("sector").pivot("metric",
+        ["dmarc_weak_pct", "dnssec_adoption", "hsts_adoption", "risk_score"]).agg(F.round(F.max("mean"), 2)),
     "g34_operator_pairs": g34,
     "g35_offshored": g35,
     "g36_hosting_by_sector": lambda t: sector_share(sectored(t), ch=c("country_code") == "CH", us=c("country_code") == "US"),
-    "g37_cloud_by_sector": lambda t: sectored(t).filter("sector IN ('government', 'healthcare', 'finance')").groupBy("sector").agg(*[F.count_if(first_of(c("server"), CLOUD_MARKS, "none") == n).alias(n) for n in ("cloudflare", "microsoft", "wix")]),
+    "g37_cloud_by_sector": lambda t: sectored(t).filter("sector IN ('government', 'healthcare', 'finance')").groupBy("sector").agg(
+        *[F.count_if(first_of(c("server"), CLOUD_MARKS, "none") == n).alias(n) for n in ("cloudflare", "microsoft", "wix")]),
     "g38_db_ports_by_sector": g38,
-    "g39_email_by_sector": lambda t: sector_share(sectored(t, "email"), spf=c("spf_present"), dmarc=c("dmarc_present"), dkim=c("dkim_found")),
+    "g39_email_by_sector": lambda t: sector_share(sectored(t, "email"), spf=c("spf_present"), dmarc=c("dmarc_present"),
+        dkim=c("dkim_found")),
     "g40_kev": g40,
     "g41_cve_exposure": lambda t: by_technology(t["matches"]),
-    "g42_critical_by_sector": lambda t: sectored(t, "matches").filter("severity = 'CRITICAL' AND sector IN ('finance', 'healthcare')").groupBy("sector", "technology").agg(F.countDistinct(KEY).alias("domains")),
+    "g42_critical_by_sector": lambda t: sectored(t,
+        "matches").filter("severity = 'CRITICAL' AND sector IN ('finance', 'healthcare')").groupBy("sector",
+        "technology").agg(F.countDistinct(KEY).alias("domains")),
     "g43_most_cves": g43,
     "g44_low_scores": lambda t: sector_share(sectored(t, "flags"), low=c("score") < 50),
     "g45_two_sectors": g45,
-    "g46_headers_by_sector": lambda t: sector_share(sectored(t, "headers"), hsts=has("hsts"), csp=has("csp"), frame=has("x_frame_options")),
+    "g46_headers_by_sector": lambda t: sector_share(sectored(t, "headers"), hsts=has("hsts"), csp=has("csp"),
+        frame=has("x_frame_options")),
     "g47_cms_by_sector": g47,
-    "g48_key_inventory": lambda t: t["tls"].groupBy("key_size").agg(F.count("*").alias("n"), F.count_if((c("key_oid") == "1.2.840.113549.1.1.1") & (c("key_size") < 2048)).alias("weak_rsa")),
+    "g48_key_inventory": lambda t: t["tls"].groupBy("key_size").agg(F.count("*").alias("n"),
+        F.count_if((c("key_oid") == "1.2.840.113549.1.1.1") & (c("key_size") < 2048)).alias("weak_rsa")),
     "g49_caa": g49,
     "g50_kev_critical": lambda t: t["matches"].filter("in_kev AND severity = 'CRITICAL'").select(KEY, "cve_id", "technology"),
     "g51_permissive_spf": lambda t: t["email"].filter("spf_too_permissive").select(KEY),
     "g52_weak_dmarc": lambda t: t["email"].filter("dmarc_policy = 'none' OR NOT dmarc_present").select(KEY, "dmarc_policy"),
-    "g53_spf_over_limit": lambda t: t["dns"].select(KEY, S.parse_spf(c("txt_spf")).alias("s")).filter("s.over_limit").select(KEY, "s.dns_lookups"),
+    "g53_spf_over_limit": lambda t: t["dns"].select(KEY, S.parse_spf(c("txt_spf")).alias("s")).filter("s.over_limit").select(KEY,
+        "s.dns_lookups"),
     "g54_sectors": lambda t: shares(t["classes"], "sector"),
-    "g55_risk_by_sector": lambda t: t["bench"].filter("metric = 'risk_score'").select("sector", F.round("mean", 4).alias("mean"), "median"),
+    "g55_risk_by_sector": lambda t: t["bench"].filter("metric = 'risk_score'").select("sector", F.round("mean", 4).alias("mean"),
+        "median"),
     "g56_large_operators": lambda t: ns_concentration(t["staging"], t["domains"], KEY).filter("percent > 10"),
-    "g57_non_domestic": lambda t: t["sovereign"].agg(F.count("sovereignty_score").alias("n"), pct(F.count_if(c("sovereignty_score") > 0), F.count("sovereignty_score")).alias("share")),
+    "g57_non_domestic": lambda t: t["sovereign"].agg(F.count("sovereignty_score").alias("n"),
+        pct(F.count_if(c("sovereignty_score") > 0), F.count("sovereignty_score")).alias("share")),
 }

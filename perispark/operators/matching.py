@@ -31,7 +31,8 @@ def range_lookup(df: DataFrame, ranges: DataFrame, ip_col: str, cols: dict[str,
     filtered; ranges don't overlap, so each address meets one range at most.
     """
     size = 1 << bits
-    blocks = ranges.select("start", "end", *[F.col(c).alias(f"_{n}") for n, c in cols.items()], F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("_block"))
+    blocks = ranges.select("start", "end", *[F.col(c).alias(f"_{n}") for n, c in cols.items()],
+        F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("_block"))
     n = df.withColumn("_n", ip_number(F.col(ip_col))).withColumn("_block", F.floor(F.col("_n") / size))
     joined = n.join(blocks, (n["_block"] == blocks["_block"]) & F.col("_n").between(F.col("start"), F.col("end")), "left")
     keep = [F.col(c) for c in df.columns if c not in cols]
@@ -40,7 +41,8 @@ def range_lookup(df: DataFrame, ranges: DataFrame, ip_col: str, cols: dict[str,
 
 def octet_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges by first octets as address numbers."""
-    return ranges.withColumns({"start": F.col("lo_octet").cast("bigint") * 16777216, "end": F.col("hi_octet").cast("bigint") * 16777216 + 16777215})
+    return ranges.withColumns(
+        {"start": F.col("lo_octet").cast("bigint") * 16777216, "end": F.col("hi_octet").cast("bigint") * 16777216 + 16777215})
 
 
 def geocode(domains: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -59,7 +61,8 @@ def match_cves_http(domains: DataFrame, catalog: DataFrame, key: str = "domain")
     hit = lambda t: (low["cms"] == t) | F.contains(low["server"], F.lit(t)) | F.contains(low["powered_by"], F.lit(t))
     techs = F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in names]))
     each = domains.select(key, "server", F.explode(techs).alias("technology"))
-    return each.join(catalog, "technology").select(key, "technology", S.server_version(F.col("server"), F.col("technology")).alias("version"), *MATCH[2:])
+    return each.join(catalog, "technology").select(key, "technology",
+        S.server_version(F.col("server"), F.col("technology")).alias("version"), *MATCH[2:])
 
 
 def match_cves_ports(ports: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
@@ -80,8 +83,11 @@ def port_versions(ports: DataFrame, key: str = "domain") -> DataFrame:
     low = F.lower(F.coalesce("banner", F.lit("")))
     marks = {"memcached": "version "}
     cases = [F.when((F.col("port") == p) & F.contains(low, F.lit(marks.get(t, w))), F.lit(t)) for p, w, t in rules.PORT_RULES if w]
-    each = ports.select(key, "banner", F.explode(F.array_compact(F.array(*cases))).alias("technology")).select(key, "technology", S.extract_version(F.col("banner"), F.col("technology")).alias("found"))
-    return each.filter("found IS NOT NULL").groupBy(key, "technology").agg(F.max_by("found", F.struct(S.version_key(F.col("found")).alias("k"), F.col("found"))).alias("found"))
+    each = (
+        ports.select(key, "banner", F.explode(F.array_compact(F.array(*cases))).alias("technology")).select(key, "technology",
+        S.extract_version(F.col("banner"), F.col("technology")).alias("found")))
+    return each.filter("found IS NOT NULL").groupBy(key,
+        "technology").agg(F.max_by("found", F.struct(S.version_key(F.col("found")).alias("k"), F.col("found"))).alias("found"))
 
 
 def apply_port_versions(matches: DataFrame, ports: DataFrame, key: str = "domain") -> DataFrame:
@@ -109,7 +115,8 @@ def merge_kev(catalog: DataFrame, kev: DataFrame) -> DataFrame:
     pick = {"cve_id": F.coalesce("c.cve_id", "k.cve_id"), "technology": F.coalesce("c.technology", "k.technology")}
     for name in ("severity", "in_kev", "summary", "published_at"):
         pick[name] = F.when(hit, F.col(f"k.{name}")).otherwise(F.col(f"c.{name}"))
-    return c.join(k, F.col("c.cve_id") == F.col("k.cve_id"), "full_outer").select(*[pick.get(n, F.col(f"c.{n}")).alias(n) for n in catalog.columns])
+    return c.join(k, F.col("c.cve_id") == F.col("k.cve_id"),
+        "full_outer").select(*[pick.get(n, F.col(f"c.{n}")).alias(n) for n in catalog.columns])
 
 
 def ns_hosts(dns: DataFrame, key: str = "domain") -> DataFrame:
@@ -145,7 +152,8 @@ def registrable(df: DataFrame, host: str, suffixes: DataFrame, out: str = "regis
     """
     labels = F.split(F.lower(F.rtrim(F.col(host), F.lit("."))), r"\.")
     n = F.size("_labels")
-    ending = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("from"), F.array_join(F.slice("_labels", i, n - i + 1), ".").alias("suffix")))
+    ending = F.transform(F.sequence(F.lit(1), n),
+        lambda i: F.struct(i.alias("from"), F.array_join(F.slice("_labels", i, n - i + 1), ".").alias("suffix")))
     hosts = df.select(host).filter(F.col(host).isNotNull()).distinct().withColumn("_labels", labels)
     found = hosts.select(host, "_labels", F.inline(ending)).join(suffixes.select("suffix").distinct(), "suffix")
     longest = found.groupBy(host).agg(F.min("from").alias("_from"))
@@ -158,7 +166,10 @@ def registrable(df: DataFrame, host: str, suffixes: DataFrame, out: str = "regis
 def harvest_subdomains(dns: DataFrame) -> DataFrame:
     """Nameserver and mail hosts below the domain itself: domain, subdomain, source."""
     host = F.lower(F.regexp_replace(F.col("host"), r"\.+$", ""))
-    each = dns.select("domain", F.explode(F.concat(S.parse_json_array(F.col("ns")), S.parse_json_array(F.col("mx")))).alias("host")).select("domain", host.alias("subdomain"))
+    each = (
+        dns.select("domain",
+        F.explode(F.concat(S.parse_json_array(F.col("ns")), S.parse_json_array(F.col("mx")))).alias("host")).select("domain",
+        host.alias("subdomain")))
     return each.filter(F.endswith("subdomain", F.concat(F.lit("."), F.col("domain")))).distinct().withColumn("source", F.lit("mx_ns"))
 
 

@@ -37,8 +37,9 @@ def merge_coalesce(cur: DataFrame, new: DataFrame, keys: Sequence[str], keep: Se
     other = [c for c in cur.columns if c not in keys]
     there = F.col("_n").isNotNull()
     joined = cur.alias("c").join(new.withColumn("_n", F.lit(1)).alias("n"), _same(keys), "full_outer")
-    value = lambda c: F.coalesce(f"n.{c}", f"c.{c}") if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"c.{c}"))
-    return joined.select(*[F.coalesce(f"c.{k}", f"n.{k}").alias(k) for k in keys], *[value(c).alias(c) for c in other]).select(*cur.columns)
+    value = (lambda c: F.coalesce(f"n.{c}", f"c.{c}") if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"c.{c}")))
+    return (
+        joined.select(*[F.coalesce(f"c.{k}", f"n.{k}").alias(k) for k in keys], *[value(c).alias(c) for c in other]).select(*cur.columns))
 
 
 def merge_ignore(cur: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,7 +59,9 @@ def merge_abort(cur: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 def merge_update(cur: DataFrame, new: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """The given columns of known keys take the new values; unknown keys are ignored."""
     n = new.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_hit"))
-    return cur.join(n, key, "left").select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in cur.columns])
+    return cur.join(n, key,
+        "left").select(
+        *[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in cur.columns])
 
 
 def usable_ip(c: Column) -> Column:
@@ -74,7 +77,8 @@ def backfill_port_ip(ports: DataFrame, domains: DataFrame, key: str = "domain")
 def unpivot_ports(legacy: DataFrame, key: str = "domain") -> DataFrame:
     """One row for each set flag of the wide table: key, port, service."""
     cols = [f"p{p}" for p in LEGACY_PORTS if f"p{p}" in legacy.columns]
-    long = legacy.select(key, *[F.col(c).cast("int").alias(c) for c in cols]).unpivot([key], cols, "flag", "is_open").filter("is_open = 1")
+    long = (
+        legacy.select(key, *[F.col(c).cast("int").alias(c) for c in cols]).unpivot([key], cols, "flag", "is_open").filter("is_open = 1"))
     port = F.substring("flag", 2, 9).cast("int")
     names = F.create_map(*[x for p in LEGACY_PORTS for x in (F.lit(p), F.lit(SERVICES[p]))])
     return long.select(key, port.alias("port"), names[port].alias("service"))

@@ -129,23 +129,29 @@ def risk_alerts(snapshots: DataFrame, key: str = KEY, high: int = 20) -> DataFra
 def trend(snapshots: DataFrame, key: str = KEY) -> DataFrame:
     """Score changes and the mean of up to three snapshots, for rows (key, seen, score)."""
     w = Window.partitionBy(key).orderBy("seen")
-    return snapshots.select(key, "seen", "score", (F.col("score") - F.lag("score").over(w)).alias("change"), F.round(F.avg("score").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
+    return snapshots.select(key, "seen", "score", (F.col("score") - F.lag("score").over(w)).alias("change"),
+        F.round(F.avg("score").over(w.rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 def deletions(name: str = "name"):  # noqa: ANN201
     """Keys that names at most one substitution, insertion or deletion apart share."""
     n = F.col(name)
-    return F.concat(F.array(n), F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n)))))
+    return F.concat(F.array(n),
+        F.transform(F.sequence(F.lit(1), F.length(n)),
+        lambda i: F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n)))))
 
 
 def typosquats(names: DataFrame) -> DataFrame:
     """Pairs (a, b) one edit or one swap of neighbours apart, or alike once 1 is l and 0 is o."""
     plain = F.translate(F.col("name"), "10", "lo")
     keyed = names.select("name", F.explode(F.array_distinct(F.concat(deletions(), F.array(plain)))).alias("key"))
-    pairs = keyed.select("key", F.col("name").alias("a")).join(keyed.select("key", F.col("name").alias("b")), "key").filter("a < b").select("a", "b").distinct()
+    pairs = (
+        keyed.select("key", F.col("name").alias("a")).join(keyed.select("key", F.col("name").alias("b")),
+        "key").filter("a < b").select("a", "b").distinct())
     p, q = F.translate(F.col("a"), "10", "lo"), F.translate(F.col("b"), "10", "lo")
     i = F.length(F.regexp_extract(F.concat_ws(" ", "a", "b"), r"^(.*).* \1", 1)) + 1
-    swapped = F.concat(F.substring(F.col("a"), F.lit(1), i - 1), F.substring(F.col("a"), i + 1, F.lit(1)), F.substring(F.col("a"), i, F.lit(1)), F.substring(F.col("a"), i + 2, F.length("a")))
+    swapped = F.concat(F.substring(F.col("a"), F.lit(1), i - 1), F.substring(F.col("a"), i + 1, F.lit(1)),
+        F.substring(F.col("a"), i, F.lit(1)), F.substring(F.col("a"), i + 2, F.length("a")))
     return pairs.filter((F.levenshtein("a", "b") <= 1) | (p == q) | (swapped == F.col("b")))
 
 

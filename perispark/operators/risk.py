@@ -40,9 +40,11 @@ def risk_flags(tables: dict[str, DataFrame], as_of: str, key: str = "domain") ->
         exists(port == 21).alias("ftp"), exists(port == 2375).alias("docker"),
     )
     matches = tables["matches"].groupBy(key).agg(exists(F.col("severity") == "CRITICAL").alias("critical"))
-    email = tables["email"].select(key, "spf_too_permissive", "dmarc_present", "dmarc_policy", "dkim_found", F.lit(True).alias("has_email"))
+    email = tables["email"].select(key, "spf_too_permissive", "dmarc_present", "dmarc_policy", "dkim_found",
+        F.lit(True).alias("has_email"))
     df = tables["domains"]
-    for t in (tables["headers"].select(key, "hsts", "csp"), tables["dns"].select(key, "caa", "dnssec_signed", "txt_dmarc"), tables["tls"].select(key, "tls_version", "valid_to"), tables["whois"].select(key, "expires_at"), email, ports, matches):
+    for t in (tables["headers"].select(key, "hsts", "csp"), tables["dns"].select(key, "caa", "dnssec_signed", "txt_dmarc"),
+        tables["tls"].select(key, "tls_version", "valid_to"), tables["whois"].select(key, "expires_at"), email, ports, matches):
         df = df.join(t, key, "left")
     no = F.lit(False)
     day, code = F.lit(as_of).cast("date"), F.col("status_code")
@@ -55,9 +57,12 @@ def risk_flags(tables: dict[str, DataFrame], as_of: str, key: str = "domain") ->
         (version.isin("TLSv1.0", "TLSv1.1") | (F.col("valid_to") < day)).alias("weak_tls"),
         (F.col("valid_to") < day).alias("cert_expired"), left.between(0, 29).alias("cert_expiring"),
         (~F.coalesce("dnssec_signed", no)).alias("no_dnssec"),
-        F.when(F.col("has_email"), F.coalesce(F.col("dmarc_policy") == "none", no) | ~F.coalesce("dmarc_present", no)).otherwise(F.col("txt_dmarc").isNull()).alias("dmarc_weak"),
+        F.when(F.col("has_email"),
+            F.coalesce(F.col("dmarc_policy") == "none", no) | ~F.coalesce("dmarc_present", no)).otherwise(
+            F.col("txt_dmarc").isNull()).alias("dmarc_weak"),
         (F.col("expires_at") < F.date_add(day, 30)).alias("domain_expiring"),
-        F.coalesce("db", no).alias("exposed_db_port"), F.coalesce("risky", no).alias("exposed_risky_port"), F.coalesce("ftp", no).alias("exposed_ftp"),
+        F.coalesce("db", no).alias("exposed_db_port"), F.coalesce("risky", no).alias("exposed_risky_port"),
+            F.coalesce("ftp", no).alias("exposed_ftp"),
         F.coalesce("docker", no).alias("exposed_docker_api"), F.coalesce("critical", no).alias("has_critical_cve"),
         F.coalesce("spf_too_permissive", no).alias("spf_permissive"), (~F.coalesce("dkim_found", no)).alias("no_dkim"),
     )
@@ -73,15 +78,19 @@ def risk_score(flags: DataFrame) -> DataFrame:
     return flags.withColumn("score", F.greatest(F.lit(0), F.lit(100) - lost - sovereignty_penalty(F.col("sovereignty_score"))))
 
 
-METRICS = {"risk_score": ("score", 1.0), "hsts_adoption": ("has_hsts", 100.0), "dnssec_adoption": ("has_dnssec", 100.0), "dmarc_weak_pct": ("weak_dmarc", 100.0)}
+METRICS = {"risk_score": ("score", 1.0), "hsts_adoption": ("has_hsts", 100.0), "dnssec_adoption": ("has_dnssec", 100.0),
+    "dmarc_weak_pct": ("weak_dmarc", 100.0)}
 
 
 def benchmark(df: DataFrame, by: str, metric: str, value: str, quantiles: str = "exact") -> DataFrame:
     """Count, mean, median, quartiles and extremes of a number by sector. quantiles: exact, approx,
     or mean_compat (the mean in their places)."""
-    q = {"exact": lambda p: F.percentile(value, p), "approx": lambda p: F.approx_percentile(value, F.lit(p)).cast("double"), "mean_compat": lambda p: F.avg(value)}[quantiles]
+    q = (
+        {"exact": lambda p: F.percentile(value, p), "approx": lambda p: F.approx_percentile(value, F.lit(p)).cast("double"),
+        "mean_compat": lambda p: F.avg(value)}[quantiles])
     return df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by).agg(
-        F.lit(metric).alias("metric"), F.count("*").alias("domain_count"), F.avg(value).alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"),
+        F.lit(metric).alias("metric"), F.count("*").alias("domain_count"), F.avg(value).alias("mean"), q(0.5).alias("median"),
+            q(0.25).alias("p25"), q(0.75).alias("p75"),
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
     )
 
@@ -98,9 +107,12 @@ def sector_benchmarks(scores: DataFrame, classes: DataFrame, key: str = "domain"
         flag(~F.col("no_dnssec")).alias("dnssec_adoption"), flag(F.col("dmarc_weak")).alias("dmarc_weak_pct"),
     )
     long = v.unpivot(["sector"], list(METRICS), "metric", "value").filter("sector IS NOT NULL")
-    q = {"exact": lambda p: F.percentile("value", p), "approx": lambda p: F.approx_percentile("value", F.lit(p)), "mean_compat": lambda p: F.avg("value")}[quantiles]
+    q = (
+        {"exact": lambda p: F.percentile("value", p), "approx": lambda p: F.approx_percentile("value", F.lit(p)),
+        "mean_compat": lambda p: F.avg("value")}[quantiles])
     return long.groupBy("sector", "metric").agg(
-        F.count("*").alias("domain_count"), F.avg("value").alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count("*").alias("domain_count"), F.avg("value").alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"),
+            q(0.75).alias("p75"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
 
 
@@ -159,13 +171,15 @@ def sovereignty_histogram(scored: DataFrame) -> DataFrame:
 def ns_concentration(staging: DataFrame, domains: DataFrame, key: str = "domain") -> DataFrame:
     total = domains.filter("status = 'ok'").agg(F.count("*").alias("total"))
     n = staging.groupBy("operator").agg(F.countDistinct(key).alias("domains"))
-    return n.crossJoin(F.broadcast(total)).select("operator", "domains", F.round(F.col("domains") * 100.0 / F.col("total").cast("double"), 4).alias("percent"))
+    return n.crossJoin(F.broadcast(total)).select("operator", "domains",
+        F.round(F.col("domains") * 100.0 / F.col("total").cast("double"), 4).alias("percent"))
 
 
 def list_services(ports: DataFrame, key: str = "domain") -> DataFrame:
     tech = S.banner_technology(F.col("port"), F.col("banner"))
     each = ports.select(key, "port", tech.alias("technology"), S.extract_version(F.col("banner"), tech).alias("version"))
-    return each.groupBy("port", "technology").agg(F.countDistinct(key).alias("domains"), F.array_join(F.sort_array(F.collect_set("version")), ",").alias("versions"))
+    return each.groupBy("port", "technology").agg(F.countDistinct(key).alias("domains"),
+        F.array_join(F.sort_array(F.collect_set("version")), ",").alias("versions"))
 
 
 def error_rate_guard(results: DataFrame, threshold: float = 0.5, min_samples: int = 100) -> DataFrame:

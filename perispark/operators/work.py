@@ -28,7 +28,8 @@ def pending_ports(domains: DataFrame, targeted: bool = False) -> DataFrame:
 
 def banner_backlog(ports: DataFrame, key: str = "domain") -> DataFrame:
     """Open ports with a usable address and no banner yet, as one sorted list for each domain."""
-    todo = ports.filter(F.col("banner").isNull() & F.col("ip").isNotNull() & (F.col("ip") != "127.0.0.1") & F.col("port").isin(*BANNER_PORTS))
+    todo = ports.filter(F.col("banner").isNull() & F.col("ip").isNotNull() & (F.col("ip") != "127.0.0.1")
+        & F.col("port").isin(*BANNER_PORTS))
     return todo.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("port", "ip"))).alias("targets"))
 
 

@@ -83,7 +83,8 @@ def read_ns_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def seed_catalog(spark: SparkSession, current: DataFrame | None = None) -> DataFrame:
     """The built-in catalogue; over a current one, in_kev and published_at stay."""
-    kinds = "technology string, cve_id string, severity string, cvss_score double, affected_from string, affected_to string, summary string"
+    kinds = ("technology string, cve_id string, severity string, cvss_score double, affected_from string, affected_to string, summary "
+        "string")
     seed = spark.createDataFrame(list(catalogue.SEED), kinds)
     seed = seed.withColumns({"in_kev": F.lit(False), "published_at": F.lit(None).cast("string")})
     if current is None:

@@ -15,7 +15,8 @@ from perispark.operators.merge import latest
 
 def progress(results: DataFrame, every: str = "1 hour") -> DataFrame:
     """Results, errors and mean time for each interval; on a stream, with a watermark set before."""
-    n = results.groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("completed"), F.count("error_kind").alias("errors"), F.round(F.avg("elapsed"), 4).alias("mean_elapsed"))
+    n = results.groupBy(F.window("ts", every).alias("w")).agg(F.count("*").alias("completed"), F.count("error_kind").alias("errors"),
+        F.round(F.avg("elapsed"), 4).alias("mean_elapsed"))
     return n.select(F.col("w.start").alias("start"), "completed", "errors", "mean_elapsed")
 
 
@@ -97,7 +98,8 @@ def _guard(threshold: float, least: int) -> Callable:
 
 def stream_error_guard(results: DataFrame, threshold: float = 0.5, min_samples: int = 100) -> DataFrame:
     """A row for each module once its error rate passes the threshold; state is two counts a module."""
-    return results.groupBy("module").applyInPandasWithState(_guard(threshold, min_samples), "module string, completed long, errors long", "completed long, errors long, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return results.groupBy("module").applyInPandasWithState(_guard(threshold, min_samples), "module string, completed long, errors long",
+        "completed long, errors long, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def _changes(cols: list[str]) -> Callable:
@@ -120,4 +122,5 @@ def _changes(cols: list[str]) -> Callable:
 def stream_changelog(results: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Added and changed values of each key as its rows arrive; state is the key's last row."""
     schema = "key long, change string, column string, before string, after string"
-    return results.groupBy(key).applyInPandasWithState(_changes(cols), schema, ", ".join(f"`{c}` string" for c in cols), "append", GroupStateTimeout.NoTimeout)
+    return results.groupBy(key).applyInPandasWithState(_changes(cols), schema, ", ".join(f"`{c}` string" for c in cols), "append",
+        GroupStateTimeout.NoTimeout)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from perispark.functions import rules
 from perispark.functions import scalars as S
 
 
@@ -52,3 +53,15 @@ def test_operators_classes_dates(spark):
     w = one(spark, S.parse_whois(F.lit("Registrar:\nABC\nFirst registration date: before 1999-01-01\nDNSSEC:Y")))
     assert (w.registrar, str(w.created), w.dnssec_delegated, w.status) == ("ABC", "1999-01-01", True, None)
     assert one(spark, S.detect_cms(F.lit(None).cast("string"), F.lit("x /wp-content/"), F.lit(None).cast("string"))) == "WordPress"
+
+
+def test_operator_rules(spark):
+    """The one pattern names the operator that the rules, tried in order, name."""
+    suffixes = [s for s, _ in rules.OPERATORS]
+    hosts = [p + s + d for s in suffixes for p in ("", "ns1.", "x", "NS.") for d in ("", ".", "..")]
+    hosts += [a + "." + b for a in suffixes for b in suffixes] + ["ns.awsdns-07.org", "a.b.example.ch", "solo", ""]
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", S.ns_operator(F.col("h")).alias("o")).collect()
+    for r in got:
+        h = r.h.rstrip(".").lower()
+        name = next((n for s, n in rules.OPERATORS if h.endswith(s)), None)
+        assert r.o == (name or ("AWS Route53" if "awsdns" in h else ".".join(r.h.rstrip(".").split(".")[-2:]))), r.h
