@@ -247,7 +247,12 @@ def version_key(c: Column) -> Column:
 
 
 def version_in_range(v: Column, low: Column, high: Column) -> Column:
-    inside = F.coalesce(version_key(v) >= version_key(low), F.lit(True)) & F.coalesce(version_key(v) <= version_key(high), F.lit(True))
+    return version_key_in_range(v, version_key(low), version_key(high))
+
+
+def version_key_in_range(v: Column, low: Column, high: Column) -> Column:
+    """version_in_range() with the ends as version_key()."""
+    inside = F.coalesce(version_key(v) >= low, F.lit(True)) & F.coalesce(version_key(v) <= high, F.lit(True))
     return F.when(~v.rlike("[0-9]"), F.lit(True)).otherwise(inside)
 
 

@@ -96,9 +96,10 @@ def apply_port_versions(matches: DataFrame, ports: DataFrame, key: str = "domain
 
 
 def filter_versions(matches: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Matches without a version, or with one in the affected range."""
-    bounds = catalog.select("cve_id", "affected_from", "affected_to")
-    inside = F.col("version").isNull() | S.version_in_range(F.col("version"), F.col("affected_from"), F.col("affected_to"))
+    """Matches without a version, or with one in the affected range, whose ends are taken apart once for each entry."""
+    ends = (S.version_key(F.col(c)).alias(n) for c, n in (("affected_from", "_low"), ("affected_to", "_high")))
+    inside = F.col("version").isNull() | S.version_key_in_range(F.col("version"), F.col("_low"), F.col("_high"))
+    bounds = catalog.select("cve_id", *ends)
     return matches.join(bounds, "cve_id").filter(inside).select(*matches.columns)
 
 
