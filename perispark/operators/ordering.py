@@ -4,32 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perispark.sources.scratch import written
 
-def numbered(df: DataFrame, name: str, within: Sequence[str] = (), out: str = "idx", prefixes: Sequence[int] = (4, 8, 12)) -> DataFrame:
-    """df with the column ``out``: each row's place, from 0, in order of the text ``name`` (unique, not null)
-    within the groups of ``within`` (not null).
+#: How monotonically_increasing_id() puts a partition's number above its rows' numbers.
+_LOCAL = 33
 
-    Beginnings of growing length divide the names into ever smaller parts. The rows before a part are those
-    before the part of its shorter beginning, and those of smaller parts with the same shorter beginning;
-    these sums run over counts only. The names of one longest beginning are sorted together. The same on
-    every run, so a task that runs again gives the same numbers.
+
+def sorted_ranges(df: DataFrame, order: Sequence[Column | str], label: str = "ranges") -> DataFrame:
+    """df with the columns ``_range`` and ``_at``: rows are dealt to ranges of about one size by ``order``,
+    sorted there, and numbered within their range from 0. Written once as a table, so that the numbers hold
+    when a task runs again.
+
+    order must tell rows apart for ranges of one size: rows that are equal in it share a range.
+    """
+    at = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", at)
+    below = F.lit((1 << _LOCAL) - 1)
+    table = written(dealt, label)
+    return table.withColumns({"_range": F.shiftright("_id", _LOCAL).cast("int"), "_at": F.col("_id").bitwiseAND(below)}).drop("_id")
+
+
+def numbered(df: DataFrame, order: str | Sequence[Column | str], within: Sequence[str] = (), out: str = "idx") -> DataFrame:
+    """df with the column ``out``: each row's place, from 0, in ``order`` (a column or a list of them that
+    tells the rows apart) within the groups of ``within`` (not null).
+
+    One range-partitioned sort, written once; a row's place is its place in its range and the rows of its
+    group in the ranges before. Only the counts of ranges and groups are added up, never rows, so names with
+    a common beginning, one large group or many small ones spread evenly over the tasks.
     """
-    within = list(within)
-    parts = df.withColumn("_part", F.substring(name, 1, prefixes[-1]))
-    counts = parts.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
-    offsets, shorter = None, 0
-    for length in prefixes:
-        up = F.substring("_part", 1, shorter) if shorter else F.lit("")
-        level = counts.groupBy(*within, up.alias("_up"), F.substring("_part", 1, length).alias("_part")).agg(F.sum("_n").alias("_n"))
-        smaller = Window.partitionBy(*within, "_up").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        level = level.select(*within, "_up", "_part", F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_before"))
-        if offsets is not None:
-            above = offsets.select(*within, F.col("_part").alias("_up"), F.col("_before").alias("_above"))
-            level = level.join(above, [*within, "_up"]).withColumn("_before", F.col("_before") + F.col("_above"))
-        offsets, shorter = level.select(*within, "_part", "_before"), length
-    here = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(name)) - 1
-    placed = parts.withColumn("_here", here).join(offsets, [*within, "_part"])
-    return placed.select(*df.columns, (F.col("_before") + F.col("_here")).cast("long").alias(out))
+    order, within = [order] if isinstance(order, (str, Column)) else list(order), list(within)
+    rows = sorted_ranges(df, [*within, *order])
+    counts = rows.groupBy(*within, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*within, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    if not within:
+        offsets = F.broadcast(offsets)  # a row for each range, as many as tasks
+    return rows.join(offsets, [*within, "_range"]).select(*df.columns, (F.col("_at") + F.col("_offset")).cast("long").alias(out))

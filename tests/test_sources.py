@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from perispark.functions import catalogue
 from perispark.operators import graph, matching, risk, work
-from perispark.operators.ordering import numbered
+from perispark.operators.ordering import numbered, sorted_ranges
 from perispark.sources import tables as T
 from perispark.streaming import results as R
 
@@ -130,7 +130,7 @@ def test_public_suffixes(spark):
 def test_numbering(spark):
     names = [f"{a}{b}" for a in ("site", "www", "é", "a") for b in range(300)]
     df = spark.createDataFrame([(n, i % 3) for i, n in enumerate(names)], "name string, g int")
-    got = {r.name: r.idx for r in numbered(df, "name", prefixes=(1, 3, 5)).collect()}
+    got = {r.name: r.idx for r in numbered(df, "name").collect()}
     assert got == {n: i for i, n in enumerate(sorted(names, key=lambda x: x.encode()))}
     within = {(r.g, r.name): r.idx for r in numbered(df, "name", ["g"]).collect()}
     for g in range(3):
@@ -138,6 +138,30 @@ def test_numbering(spark):
         assert [within[g, n] for n in of_g] == list(range(len(of_g)))
 
 
+def test_ranges_of_names_with_one_beginning(spark):
+    """No range holds over twice the mean, the numbers are the names' places, and a task that runs again gives the same."""
+    df = spark.range(40_000).select(F.concat(F.lit("https://www.kantonal"), F.md5(F.col("id").cast("string"))).alias("name"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        sizes = [r["count"] for r in sorted_ranges(df, ["name"]).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    out = numbered(df, "name")
+    once = {r.name: r.idx for r in out.collect()}
+    assert once == {n: i for i, n in enumerate(sorted(once))} and len(once) == 40_000
+    assert once == {r.name: r.idx for r in out.repartition(7).collect()}
+
+
+def test_numbering_in_descending_order(spark):
+    rows = [(i % 5, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "score int, id int")
+    got = {(r.score, r.id): r.idx for r in numbered(df, [F.col("score").desc(), "id"], out="idx").collect()}
+    assert got == {x: i for i, x in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])))}
+    assert numbered(df.limit(0), "id").collect() == []
+
+
 def results(spark, rows):
     return spark.createDataFrame(rows, "event_id long, target long, ts timestamp, error_kind string, elapsed double")
 
