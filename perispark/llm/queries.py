@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perispark.llm import block_search, byte_pairs, containment, fm_dedup, license_join, lsh_forest, secret_scan, suffix_tree, text_density, toxicity
+from perispark.llm import block_search, byte_pairs, containment, fm_dedup, importance, license_join, lsh_forest, secret_scan, suffix_tree, text_density, toxicity
 from perispark.llm.common import held_out, read
 
 
@@ -67,9 +67,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_tree_score, op2_secret_scan, op3_toxicity, op4_near_dedup, op5_block_search,
     op6_license_scan, op7_main_text, op8_substring_dedup, op9_byte_pairs, op10_decontamination,
+    op11_importance_resampling,
 )}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,6 +115,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
 
+def _resampled(buckets: int = 10_000, share: int = 25, seed: int = 7) -> str:
+    """SQL of the importance resampling, with CRC32 bit by bit."""
+    words = f"regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
+    return f"""
+WITH w AS (SELECT true AS raw, doc_id AS id, {words} FROM documents UNION ALL SELECT false, item_id, {words} FROM benchmark),
+f AS (SELECT raw, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+c AS (SELECT g, xor(list_reduce(list_transform(range(octet_length(encode(g))),
+    lambda i: CAST('0x' || substr(hex(encode(g)), 2 * i + 1, 2) AS BIGINT)), lambda c, x: list_reduce(range(8),
+    lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x)), 4294967295), 4294967295) % {buckets} AS b
+  FROM (SELECT DISTINCT g FROM f)),
+h AS (SELECT b, CAST(count(*) FILTER (WHERE raw) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE NOT raw) AS DOUBLE) AS t
+  FROM f JOIN c USING (g) GROUP BY b),
+gains AS (SELECT b, CAST(floor(1000 * ln((t + 1) * (total_s + {buckets}) / ((s + 1) * (total_t + {buckets})))) AS BIGINT) AS gain
+  FROM h, (SELECT sum(s) AS total_s, sum(t) AS total_t FROM h)),
+m AS (SELECT id, count(*) AS n, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight
+  FROM f JOIN c USING (g) JOIN gains USING (b) WHERE raw GROUP BY id),
+e AS (SELECT id, len(w) >= 20 AS enough, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+    / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN m USING (id) WHERE raw),
+r AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, id) AS place, count(*) FILTER (WHERE enough) OVER () AS n FROM e)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN enough AND place <= {share} * n // 100 THEN place END AS rank FROM r"""
+
+
 ORACLE_SQL = {
     "op4_near_dedup": f"""
 WITH RECURSIVE sets AS ({_sets(3, "documents", "doc_id")}),
@@ -136,6 +164,7 @@ gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS p FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(list_filter(w, lambda x, j: p IS NULL OR NOT list_contains(p, j)), ' '), '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
+    "op11_importance_resampling": _resampled(),
     "op10_decontamination": f"""
 WITH sets AS ({_sets(5, "documents", "doc_id")}), items AS ({_sets(5, "benchmark", "item_id")}),
 sizes AS (SELECT item_id, count(*) AS n FROM items GROUP BY item_id)
