@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perispark.llm import block_search, byte_pairs, containment, fm_dedup, importance, license_join, lsh_forest, secret_scan, suffix_tree, text_density, toxicity
+from perispark.llm import alignment, block_search, byte_pairs, containment, fm_dedup, importance, license_join, lsh_forest, quality, secret_scan, suffix_tree, text_density, toxicity
 from perispark.llm.common import held_out, read
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,22 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "quality.score", "quality.predicted")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        second = f.read()
+    return alignment.align(read(spark, sf_dir, "documents"), byte_pairs.read_vocabulary(tokenizer_path()), second)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_tree_score, op2_secret_scan, op3_toxicity, op4_near_dedup, op5_block_search,
     op6_license_scan, op7_main_text, op8_substring_dedup, op9_byte_pairs, op10_decontamination,
-    op11_importance_resampling,
+    op11_importance_resampling, op12_quality, op13_alignment,
 )}
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
