@@ -11,11 +11,11 @@ the hash of any stretch of a text's words by a subtraction and a product.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,17 +130,17 @@ class Model:
         return out
 
 
-def _descended(
-    batches: Iterator[pa.RecordBatch], vectors: np.ndarray, output: np.ndarray, rates: list[float], seed: int
-) -> Iterator[pa.RecordBatch]:
-    """One walk over the task's bags for each rate; yields both layers and the number of bags."""
+WALKED = "vectors binary, output binary, bags bigint"
+
+
+def _descended(table: pa.Table, vectors: np.ndarray, output: np.ndarray, rates: list[float], seed: int) -> pa.Table:
+    """One walk over a share's bags for each rate: both layers, and the number of bags."""
     bags = []
-    for batch in batches:
-        for y, h, ids, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if len(ids.values):
-                times = n.values.to_numpy()
-                bags.append((h, int(y), ids.values.to_numpy(), times / times.sum()))
-    bags.sort(key=lambda x: x[0])  # the same walk in whatever order files are read
+    for y, h, ids, n in zip(table["label"].to_pylist(), table["h"].to_pylist(), table["features"], table["times"], strict=True):
+        if len(ids.values):
+            times = n.values.to_numpy()
+            bags.append((h, int(y), ids.values.to_numpy(), times / times.sum()))
+    bags.sort(key=lambda x: x[0])  # the same walk in whatever order rows come
     vectors, output = vectors.copy(), output.copy()
     rng = np.random.default_rng(seed)
     for rate in rates:
@@ -152,10 +152,12 @@ def _descended(
             back = error @ output[:, :-1]
             output -= rate * np.outer(error, x)
             vectors[ids] -= rate * np.outer(share, back)
-    if bags:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([vectors.tobytes()], pa.binary()), pa.array([output.tobytes()], pa.binary()), pa.array([len(bags)], pa.int64())],
-            ["vectors", "output", "bags"])
+    columns = [pa.array([vectors.tobytes()], pa.binary()), pa.array([output.tobytes()], pa.binary()), pa.array([len(bags)], pa.int64())]
+    return pa.Table.from_arrays(columns, ["vectors", "output", "bags"])
+
+
+def _walk(sent: Broadcast, rates: list[float], seed: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda share: _descended(share, *sent.value, rates, seed)
 
 
 def train(
@@ -178,9 +180,7 @@ def train(
     scratch = Scratch(docs.sparkSession)
     numbered = rows.select("_text", "_y", F.xxhash64("_id").alias("_h"))
     bags = scratch.written(numbered.mapInArrow(_bags, "label int, h bigint, features array<int>, times array<float>"), "quality-bags")
-    # the sample in shares of one task each, wherever its files lie
-    part = lambda k: bags.filter(F.pmod("h", F.lit(shares)) == k).coalesce(1)
-    dealt = functools.reduce(DataFrame.unionByName, map(part, range(shares)))
+    dealt = bags.groupBy(F.pmod("h", F.lit(shares)).alias("share"))  # at most the whole sample in one share
     there = {r.label: r.n for r in bags.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32)
@@ -193,9 +193,9 @@ def train(
     for at in range(rounds):
         rates = [rate * (1 - (at * walks + i) / steps) for i in range(walks)]
         sent = docs.sparkSession.sparkContext.broadcast((vectors, output))
-        walk = lambda it, sent=sent, rates=rates, at=at: _descended(it, *sent.value, rates, seed + at)
-        parts = dealt.mapInArrow(walk, "vectors binary, output binary, bags bigint").collect()
-        total = sum(p.bags for p in parts)
+        parts = dealt.applyInArrow(_walk(sent, rates, seed + at), WALKED).collect()
+        parts.sort(key=lambda p: (p.bags, p.output))  # sums don't depend on which share ends first
+        total = max(1, sum(p.bags for p in parts))
         mean = lambda name, like: (sum(np.frombuffer(p[name], np.float32).astype(np.float64) * p.bags for p in parts) / total).astype(np.float32).reshape(like.shape)
         vectors, output = mean("vectors", vectors), mean("output", output)
         sent.unpersist()
