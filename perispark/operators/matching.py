@@ -6,52 +6,31 @@ prefixes, so no nested loop arises; Spark broadcasts them while they are small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perispark.functions import rules
 from perispark.functions import scalars as S
+from perispark.operators.addresses import network_lookup, network_table
 from perispark.operators.merge import merge_replace
 
 MATCH = ("technology", "version", "cve_id", "severity", "cvss_score", "in_kev")
 
 
-def ip_number(c: Column) -> Column:
-    """The 32-bit number of a dotted IPv4 address, null for anything else."""
-    parts = F.split(c, r"\.")
-    whole = c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda x: x.try_cast("int") <= 255)
-    part = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
-    return F.when(whole, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
-
-
-def range_lookup(df: DataFrame, ranges: DataFrame, ip_col: str, cols: dict[str, str], bits: int = 16) -> DataFrame:
-    """df with columns of the range (start, end; inclusive) that holds the address.
-
-    Ranges are cut at multiples of 2**bits and joined by equality on the block, then
-    filtered; ranges don't overlap, so each address meets one range at most.
-    """
-    size = 1 << bits
-    blocks = ranges.select("start", "end", *[F.col(c).alias(f"_{n}") for n, c in cols.items()],
-        F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.col("end") / size))).alias("_block"))
-    n = df.withColumn("_n", ip_number(F.col(ip_col))).withColumn("_block", F.floor(F.col("_n") / size))
-    joined = n.join(blocks, (n["_block"] == blocks["_block"]) & F.col("_n").between(F.col("start"), F.col("end")), "left")
-    keep = [F.col(c) for c in df.columns if c not in cols]
-    return joined.select(*keep, *[F.col(f"_{c}").alias(c) for c in cols])
-
-
 def octet_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges by first octets as address numbers."""
     return ranges.withColumns(
         {"start": F.col("lo_octet").cast("bigint") * 16777216, "end": F.col("hi_octet").cast("bigint") * 16777216 + 16777215})
 
 
-def geocode(domains: DataFrame, ranges: DataFrame) -> DataFrame:
-    return range_lookup(domains, ranges, "ip", {"country_code": "country_code"}, bits=24)
+def geocode(domains: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
+    """domains with country_code, that of the innermost range (start, end: address texts or IPv4 numbers)."""
+    return network_lookup(domains, network_table(ranges, ["country_code"]), ip_col, {"country_code": "country_code"})
 
 
 def asn_lookup(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
     named = ranges.withColumn("asn", F.concat(F.lit("AS"), F.col("asn").cast("string")))
-    return range_lookup(df, named, ip_col, {"asn": "asn", "asn_org": "asn_org"}, bits=24)
+    return network_lookup(df, network_table(named, ["asn", "asn_org"]), ip_col, {"asn": "asn", "asn_org": "asn_org"})
 
 
 def match_cves_http(domains: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
@@ -136,7 +115,7 @@ def operator_samples(dns: DataFrame, key: str = "domain") -> DataFrame:
 def enrich_operators(samples: DataFrame, host_ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """operator, sample_ns, resolved_ip, asn, asn_org, country_code, jurisdiction."""
     known = samples.join(host_ips.select(F.col("host").alias("sample_ns"), F.col("ip").alias("resolved_ip")), "sample_ns", "left")
-    placed = range_lookup(asn_lookup(known, ranges, "resolved_ip"), ranges, "resolved_ip", {"country_code": "country_code"}, bits=24)
+    placed = geocode(asn_lookup(known, ranges, "resolved_ip"), ranges, "resolved_ip")
     return placed.withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit(""))))
 
 

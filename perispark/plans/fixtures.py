@@ -172,6 +172,40 @@ SELECT * FROM (VALUES ('ch'), ('net'), ('com'), ('admin.ch'), ('zh.ch')) AS t(su
 SELECT * FROM (VALUES (11,40,'CH',65001,'Org A'), (41,80,'DE',65002,'Org B'), (81,110,'US',65003,'Org C'),
   (111,140,'FR',65004,'Org D'), (141,160,'GB',65005,'Org E'),
   (161,185,'CH',65006,'Org F')) AS t(lo_octet, hi_octet, country_code, asn, asn_org)
+""",
+    # address ranges that nest but never cross: wide ones, one inside each 512 addresses, a few addresses inside that
+    "fx_slots": r"""
+SELECT (l_orderkey * 8 + l_linenumber) % 8388608 AS slot, min(l_partkey) AS p FROM lineitem GROUP BY 1
+""",
+    "fx_network_numbers": r"""
+SELECT 4 AS family, slot AS place, slot * 512 + 1 + p % 100 AS low, slot * 512 + 300 + p % 200 AS high, p FROM fx_slots
+UNION ALL SELECT 4, slot, slot * 512 + 150 + p % 100, slot * 512 + 150 + p % 100 + p % 4, p + 1 FROM fx_slots
+UNION ALL SELECT 4, min(slot), (slot >> 9) * 262144, (slot >> 9) * 262144 + 262143, (slot >> 9) + 2 FROM fx_slots GROUP BY slot >> 9
+UNION ALL SELECT 6, slot, 1 + p % 100, 65000 + p % 500, p + 3 FROM fx_slots
+UNION ALL SELECT 6, slot, 200 + p % 100, 200 + p % 100 + p % 4, p + 4 FROM fx_slots
+""",
+    "fx_networks": r"""
+SELECT CASE family WHEN 4 THEN CAST(low >> 24 AS STRING) || '.' || CAST((low >> 16) & 255 AS STRING) || '.' || CAST((low >> 8) & 255 AS STRING)
+   || '.' || CAST(low & 255 AS STRING) ELSE '2001:DB8:' || hex(place >> 16) || ':' || hex(place & 65535) || '::' || hex(low) END AS start,
+ CASE family WHEN 4 THEN CAST(high >> 24 AS STRING) || '.' || CAST((high >> 16) & 255 AS STRING) || '.' || CAST((high >> 8) & 255 AS STRING)
+   || '.' || CAST(high & 255 AS STRING) ELSE '2001:db8:' || hex(place >> 16) || ':' || hex(place & 65535) || ':0:0:0:' || hex(high) END AS stop,
+ CASE family WHEN 4 THEN '4' || lpad(hex(low), 8, '0') ELSE '6' || lpad(hex(place), 12, '0') || lpad(hex(low), 4, '0') END AS start_key,
+ CASE family WHEN 4 THEN '4' || lpad(hex(high), 8, '0') ELSE '6' || lpad(hex(place), 12, '0') || lpad(hex(high), 4, '0') END AS stop_key,
+ CASE p % 5 WHEN 0 THEN 'CH' WHEN 1 THEN 'US' WHEN 2 THEN 'DE' WHEN 3 THEN 'FR' ELSE 'JP' END AS country_code,
+ 64512 + p % 1000 AS asn, 'Org ' || CAST(p % 1000 AS STRING) AS asn_org
+FROM fx_network_numbers
+""",
+    "fx_addresses": r"""
+SELECT k, CASE k % 6 WHEN 1 THEN '2001:DB8:' || hex(slot >> 16) || ':' || hex(slot & 65535) || '::' || hex(off)
+  WHEN 2 THEN '2001:0db8:' || hex(slot >> 16) || ':' || lpad(hex(slot & 65535), 4, '0') || ':0:0:0:' || hex(off)
+  WHEN 3 THEN '::ffff:' || v4 WHEN 4 THEN '2001:db8:' || hex(slot >> 16) || ':' || hex(slot & 65535) || '::0.0.' || CAST(off >> 8 AS STRING)
+   || '.' || CAST(off & 255 AS STRING)
+  WHEN 5 THEN CASE k % 4 WHEN 0 THEN '300.1.1.1' WHEN 1 THEN 'none' WHEN 2 THEN '1::2::3' END ELSE v4 END AS ip,
+ CASE k % 6 WHEN 5 THEN NULL WHEN 0 THEN '4' || lpad(hex(n), 8, '0') WHEN 3 THEN '4' || lpad(hex(n), 8, '0')
+  ELSE '6' || lpad(hex(slot), 12, '0') || lpad(hex(off), 4, '0') END AS ip_key
+FROM (SELECT *, CAST(n >> 24 AS STRING) || '.' || CAST((n >> 16) & 255 AS STRING) || '.' || CAST((n >> 8) & 255 AS STRING) || '.'
+  || CAST(n & 255 AS STRING) AS v4 FROM (SELECT *, slot * 512 + off AS n FROM (
+  SELECT o_orderkey AS k, (o_orderkey * 8 + 1 + o_orderkey % 7) % 8388608 AS slot, (o_orderkey * 37) % 512 AS off FROM orders)))
 """,
     "fx_operator_country": r"""
 SELECT * FROM (VALUES ('Hostpoint','CH'), ('Infomaniak','CH'), ('Cloudflare','US'), ('GoDaddy','US'), ('AWS Route53','US'),
@@ -215,7 +249,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the given tables, read from sf_dir."""
+    """sql over the given tables, read from sf_dir, and over derived tables that stand after FROM."""
+    while of := re.search(r"FROM (fx_\w+)", sql):
+        sql = sql.replace(of.group(), f"FROM ({FIXTURES[of.group(1)]})")
     for table in SOURCES:
         sql = re.sub(rf"FROM {table}\b", f"FROM parquet.`{sf_dir}/{table}.parquet`", sql)
     return spark.sql(sql)

@@ -407,6 +407,13 @@ register("e1_geocode", lambda t: matching.geocode(t["domains"].select(K, "ip", "
     f"SELECT d.k, d.ip, r.country_code FROM fx_domains d {_geo}")
 register("e2_asn", lambda t: matching.asn_lookup(t["domains"].select(K, "ip"), matching.octet_ranges(t["ip_ranges"])), f"SELECT d.k, "
     f"d.ip, 'AS' || r.asn AS asn, r.asn_org FROM fx_domains d {_geo}")
+_networks = (lambda t: t["networks"].withColumnRenamed("stop", "end"))
+# ranges nest, so of those around an address the one that starts last is the innermost
+_inside = "FROM fx_addresses a LEFT JOIN fx_networks r ON a.ip_key BETWEEN r.start_key AND r.stop_key GROUP BY a.k"
+register("e1_networks", lambda t: matching.geocode(t["addresses"].select(K, "ip"), _networks(t)).select(K, "country_code"),
+    f"SELECT a.k, arg_max(r.country_code, r.start_key) AS country_code {_inside}")
+register("e2_networks", lambda t: matching.asn_lookup(t["addresses"].select(K, "ip"), _networks(t)).select(K, "asn", "asn_org"),
+    f"SELECT a.k, 'AS' || arg_max(r.asn, r.start_key) AS asn, arg_max(r.asn_org, r.start_key) AS asn_org {_inside}")
 register("e3_http_matches", lambda t: matching.match_cves_http(t["domains"], t["catalog"], K), "SELECT * FROM v_http_matches")
 register("e4_port_matches", lambda t: matching.match_cves_ports(t["ports"], t["catalog"], K), "SELECT * FROM v_port_matches")
 register("e5_combined",
