@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from perispark.operators import findings, graph, matching, merge, module_risk, r
 from perispark.plans.fixtures import AS_OF, FIXTURES, derived, fixture
 from perispark.plans.views import JURISDICTION, KEY_OF, LIST, with_views
 from perispark.sources import tables as sources
+from perispark.sources import versions
+from perispark.sources.scratch import shared_folder
 from perispark.streaming import results as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +312,18 @@ register("b10_unresolved", lambda t: work.unresolved_operators(matching.operator
 _cur = lambda t: t["domains"].select(K, "status", "server")
 register("c1_replace", lambda t: merge.merge_replace(_cur(t), t["snapshot_2"], [K]), "SELECT k, status, server FROM fx_snapshot_2 UNION "
     "ALL SELECT k, status, server FROM fx_domains WHERE k NOT IN (SELECT k FROM fx_snapshot_2)")
+
+
+def _bucketed(t: Tables) -> DataFrame:
+    """The merge into a table of hash buckets, its first version being the current rows."""
+    table = versions.BucketTable(t.spark, f"{shared_folder(t.spark)}/c1-{uuid.uuid4().hex}", [K], buckets=16)
+    table.merge(_cur(t))
+    table.merge(t["snapshot_2"].select("k", "status", "server"))
+    return table.read()
+
+
+register("c1_bucketed", _bucketed, "SELECT k, status, server FROM fx_snapshot_2 UNION "
+    "ALL SELECT k, status, server FROM fx_domains WHERE k NOT IN (SELECT k FROM fx_snapshot_2)")
 register("c2_coalesce", lambda t: merge.merge_coalesce(_cur(t), t["snapshot_2"], [K], ["server"]), "SELECT coalesce(n.k, c.k) AS k, CASE "
     "WHEN n.k IS NOT NULL THEN n.status ELSE c.status END AS status, coalesce(n.server, c.server) AS server FROM fx_domains c FULL JOIN "
     "fx_snapshot_2 n ON n.k = c.k")
@@ -468,6 +483,17 @@ register("f1_classify", lambda t: t["classes"], "SELECT * FROM v_classes")
 register("f2_incremental", lambda t: risk.sector_counts(risk.classify_incremental(t["domains"], t["classes"].filter("k % 2 = 0"), K)),
     "SELECT sector, count(*) AS n FROM v_classes GROUP BY sector")
 register("f3_risk_flags", lambda t: t["raw_flags"], "SELECT * FROM v_raw_flags")
+SATELLITES = ("headers", "dns", "tls", "whois", "email", "ports", "matches")
+
+
+def _over_buckets(t: Tables) -> DataFrame:
+    """The score over tables that were saved in buckets of the key, so that the seven joins need no shuffle."""
+    tables = {n: t[n] for n in SATELLITES} | {"domains": t["sovereign"]}
+    saved = versions.save_bucketed(tables, K, 8, f"satellites_{uuid.uuid4().hex}", shared_folder(t.spark))
+    return risk.risk_score(risk.risk_flags(saved, AS_OF, K)).select(K, "score")
+
+
+register("f4_bucketed", _over_buckets, "SELECT k, score FROM v_flags")
 register("f4_risk_score", lambda t: t["flags"].select(K, "score"), "SELECT k, score FROM v_flags")
 register("f5_penalty", lambda t: t["sovereign"].select(K, risk.sovereignty_penalty(c("sovereignty_score")).alias("penalty")), "SELECT k, "
     "CASE sovereignty_score WHEN 3 THEN 5 WHEN 2 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS penalty FROM v_sovereign")

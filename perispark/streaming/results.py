@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from perispark.operators.merge import latest
+from perispark.sources.versions import BucketTable
 
 
 def progress(results: DataFrame, every: str = "1 hour") -> DataFrame:
@@ -28,59 +29,29 @@ def stream_dedupe(results: DataFrame, keys: list[str], late: str = "10 minutes")
     return results.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_upsert(results: DataFrame, folder: str, keys: list[str], seq: str, compact: int = 20) -> DataStreamWriter:
-    """Keep the latest row of each key under folder, which upserted() reads.
+def stream_upsert(results: DataFrame, folder: str, keys: list[str], seq: str, buckets: int = 64, tidy: int = 20) -> DataStreamWriter:
+    """Keep the latest row of each key in a table of hash buckets under folder, which upserted() reads.
 
-    A micro-batch writes only its own rows, the latest of each key, to folder/delta/v=<batch id>. Every ``compact``
-    batches the table is written whole to folder/base/v=<batch id>, and what it covers is deleted. A batch that runs
-    again rewrites its own, so nothing counts twice.
+    A micro-batch reads and writes only the buckets that its keys fall in, as the version of its number: a batch
+    that runs again replaces its own version, so nothing counts twice. Every ``tidy`` batches, files that no bucket
+    is at any more are deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        latest(batch, keys, seq).write.mode("overwrite").parquet(f"{folder}/delta/v={batch_id}")
-        if batch_id % compact == compact - 1:
-            now = upserted(spark, folder, keys, batch_id)
-            now.write.mode("overwrite").parquet(f"{folder}/base/v={batch_id}.part")
-            files, path = _files(spark, folder)
-            files.delete(path(f"{folder}/base/v={batch_id}"), True)
-            files.rename(path(f"{folder}/base/v={batch_id}.part"), path(f"{folder}/base/v={batch_id}"))
-            for kind, ids in _versions(spark, folder).items():
-                for i in ids:
-                    if i < batch_id or (i == batch_id and kind == "delta"):
-                        files.delete(path(f"{folder}/{kind}/v={i}"), True)
+        table = BucketTable(batch.sparkSession, folder, keys, buckets)
+        table.merge(latest(batch, keys, seq), version=batch_id)
+        if batch_id % tidy == tidy - 1:
+            table.vacuum()
 
     return results.writeStream.foreachBatch(merge)
 
 
-def _files(spark: SparkSession, folder: str) -> tuple:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def _versions(spark: SparkSession, folder: str) -> dict[str, list[int]]:
-    files, path = _files(spark, folder)
-    out: dict[str, list[int]] = {}
-    for kind in ("base", "delta"):
-        where = path(f"{folder}/{kind}")
-        names = [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
-        out[kind] = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-    return out
-
-
-def upserted(spark: SparkSession, folder: str, keys: list[str], up_to: int | None = None) -> DataFrame:
-    """The table that stream_upsert() keeps: the last base and the batches after it, the latest batch's row of each key."""
-    have = _versions(spark, folder)
-    base = max((i for i in have["base"] if up_to is None or i <= up_to), default=None)
-    parts = [] if base is None else [(base, "base")]
-    parts += [(i, "delta") for i in have["delta"] if (base is None or i > base) and (up_to is None or i <= up_to)]
-    every = None
-    for i, kind in parts:
-        df = spark.read.parquet(f"{folder}/{kind}/v={i}").withColumn("_batch", F.lit(i))
-        every = df if every is None else every.unionByName(df)
-    if every is None:
+def upserted(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The table that stream_upsert() keeps."""
+    rows = BucketTable(spark, folder, keys).read()
+    if rows is None:
         raise ValueError(f"no batch under {folder}")
-    return latest(every, keys, "_batch").drop("_batch")
+    return rows
 
 
 def _guard(threshold: float, least: int) -> Callable:

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from perispark.functions import catalogue
-from perispark.operators import graph, matching, risk, work
+from perispark.operators import graph, matching, merge, risk, work
 from perispark.operators.ordering import numbered, sorted_ranges
 from perispark.sources import tables as T
+from perispark.sources import versions
+from perispark.sources.versions import BucketTable
 from perispark.streaming import results as R
 
 
@@ -175,12 +177,83 @@ def test_two_batches_of_upserts(spark, tmp_path):
     for rows in batches:
         results(spark, rows).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(results(spark, []).schema).parquet(source)
-        R.stream_upsert(stream, folder, ["target"], "ts", compact=2).option("checkpointLocation",
+        R.stream_upsert(stream, folder, ["target"], "ts", buckets=16, tidy=2).option("checkpointLocation",
             state).trigger(availableNow=True).start().awaitTermination()
         for e, target, *_ in sorted(rows, key=lambda r: r[2]):
             want[target] = e
         assert {r.target: r.event_id for r in R.upserted(spark, folder, ["target"]).collect()} == want
-    assert R._versions(spark, folder) == {"base": [1], "delta": [2]}
+    table = BucketTable(spark, folder, ["target"])
+    assert table.versions() == [0, 1, 2] and table.manifest()["n"] == 16
+    assert sorted(table.manifest()["buckets"].values()) == [1, 2, 2]
+
+
+def kept(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    table = BucketTable(spark, folder, ["k"], buckets=32)
+    assert table.read() is None and table.merge(spark.createDataFrame([], "k long, v string")) == []
+    rows = [(i, f"old{i}") for i in range(400)] + [(None, "none")]
+    make = lambda x: spark.createDataFrame(x, "k long, v string")
+    assert len(table.merge(make(rows))) == 32
+    hit = table.merge(make([(3, "new"), (1000, "more"), (7, None)]))
+    assert 1 <= len(hit) <= 3
+    written = {p.name for p in (tmp_path / "table" / "data" / "v=1").iterdir() if p.name.startswith("bucket=")}
+    assert written == {f"bucket={b}" for b in hit}
+    want = {**dict(rows), 3: "new", 1000: "more", 7: None}
+    assert kept(table.read()) == sorted(want.items(), key=str) and kept(table.read(0)) == sorted(rows, key=str)
+    table.merge(make([(5, "x"), (2000, "y")]), lambda cur, new: merge.merge_ignore(cur, new, ["k"]))
+    assert kept(table.read()) == sorted({**want, 2000: "y"}.items(), key=str)
+
+
+def test_killed_merge_leaves_the_version_before(spark, tmp_path):
+    make = lambda x: spark.createDataFrame(x, "k long, v string")
+    table = BucketTable(spark, str(tmp_path / "table"), ["k"], buckets=8)
+    table.merge(make([(i, "a") for i in range(50)]))
+    before = kept(table.read())
+
+    def broken(cur, new):
+        bad = F.when(F.col("k") == 49, F.raise_error(F.lit("lost"))).otherwise(F.col("v"))
+        return merge.merge_replace(cur, new, ["k"]).withColumn("v", bad)
+
+    every = make([(i, "b") for i in range(50)])
+    with pytest.raises(Exception, match="lost"):
+        table.merge(every, broken)
+    assert kept(table.read()) == before and table.versions() == [0]
+    table.merge(every)
+    table.merge(make([(1, "c")]))
+    table.merge(make([(1, "c")]), version=2)  # the same batch again
+    assert kept(table.read()) == sorted([(i, "c" if i == 1 else "b") for i in range(50)], key=str)
+    table.vacuum()
+    assert table.versions() == [1, 2] and kept(table.read(1)) == [(i, "b") for i in sorted(range(50), key=lambda i: str((i, "b")))]
+    table.vacuum(keep=1)
+    assert not [p for p in (tmp_path / "table" / "data" / "v=0").iterdir() if p.name.startswith("bucket=")]
+    assert kept(table.read()) == sorted([(i, "c" if i == 1 else "b") for i in range(50)], key=str)
+
+
+def test_bucketed_satellites_meet_without_a_shuffle(spark):
+    """No exchange on the key anywhere in the plan of the risk flags, and the same rows."""
+    from perispark.plans import queries as Q
+
+    t = Q.Tables(spark, "/root/testdata/sf0.001")
+    tables = {n: t[n] for n in Q.SATELLITES}
+    want = kept(risk.risk_flags(tables | {"domains": t["sovereign"]}, Q.AS_OF, "k"))
+    prefix, off = "test_satellites", {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    saved = versions.save_bucketed(tables | {"domains": t["sovereign"]}, "k", 4, prefix)
+    old = {c: spark.conf.get(c) for c in off}
+    try:
+        for c, v in off.items():
+            spark.conf.set(c, v)
+        flags = risk.risk_flags(saved, Q.AS_OF, "k")
+        plan = flags._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 7 and "Exchange" not in plan
+        assert kept(flags) == want
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+        versions.drop_bucketed(spark, list(saved), prefix)
 
 
 def test_progress_and_dedupe(spark, tmp_path):
