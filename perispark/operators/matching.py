@@ -125,21 +125,29 @@ def upsert_operators(current: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def registrable(df: DataFrame, host: str, suffixes: DataFrame, out: str = "registrable") -> DataFrame:
-    """df with the host's registrable domain: the longest public suffix (column ``suffix``) it ends in and one label
-    more; without a suffix its last two labels, and null where the host is a suffix itself.
+    """df with the host's registrable domain: its public suffix and one label more, else its last two labels.
 
-    Each host is joined with the list by equality on its own endings, so no rule is tried in turn.
+    The column ``suffix`` lists rules: ``x`` is a suffix, ``*.x`` makes any label before x one, ``!y.x`` says that y.x
+    isn't one although another rule does. An exception goes first, else the rule of most labels. A host without a rule,
+    or that is a suffix itself, gives its last two labels, or its only one.
+
+    Each distinct host is joined with the list by equality on its own endings, so no rule is tried in turn.
     """
     labels = F.split(F.lower(F.rtrim(F.col(host), F.lit("."))), r"\.")
     n = F.size("_labels")
-    ending = F.transform(F.sequence(F.lit(1), n),
-        lambda i: F.struct(i.alias("from"), F.array_join(F.slice("_labels", i, n - i + 1), ".").alias("suffix")))
+    last = lambda i: F.array_join(F.slice("_labels", i, n - i + 1), ".")
+    rule = lambda text, first, kind: F.struct(text.alias("suffix"), first.alias("from"), F.lit(kind).alias("kind"))
+    # the ending from label i on may be a rule, an exception, or any label before a rule
+    ending = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(
+        rule(last(i), i, 1), rule(F.concat(F.lit("!"), last(i)), i + 1, 0), rule(F.concat(F.lit("*."), last(i + 1)), i, 1))))
     hosts = df.select(host).filter(F.col(host).isNotNull()).distinct().withColumn("_labels", labels)
-    found = hosts.select(host, "_labels", F.inline(ending)).join(suffixes.select("suffix").distinct(), "suffix")
-    longest = found.groupBy(host).agg(F.min("from").alias("_from"))
-    first = F.coalesce(F.col("_from") - 1, F.greatest(n - 1, F.lit(1)))
-    name = F.when(first >= 1, F.array_join(F.slice("_labels", F.greatest(first, F.lit(1)), n - first + 1), "."))
-    named = hosts.join(longest, host, "left").select(host, name.alias(out))
+    rules_ = suffixes.select(F.lower("suffix").alias("suffix")).distinct()
+    found = hosts.select(host, F.inline(ending)).join(rules_, "suffix")
+    best = found.groupBy(host).agg(F.min(F.struct("kind", "from")).alias("_best"))
+    first = F.col("_best.from") - 1
+    two = F.greatest(n - 1, F.lit(1))
+    name = last(F.when(first >= 1, first).otherwise(two))
+    named = hosts.join(best, host, "left").select(host, name.alias(out))
     return df.join(named, host, "left").select(*df.columns, out)
 
 

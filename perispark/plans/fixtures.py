@@ -172,6 +172,14 @@ SELECT * FROM (VALUES ('ch'), ('net'), ('com'), ('admin.ch'), ('zh.ch')) AS t(su
 SELECT * FROM (VALUES (11,40,'CH',65001,'Org A'), (41,80,'DE',65002,'Org B'), (81,110,'US',65003,'Org C'),
   (111,140,'FR',65004,'Org D'), (141,160,'GB',65005,'Org E'),
   (161,185,'CH',65006,'Org F')) AS t(lo_octet, hi_octet, country_code, asn, asn_org)
+""",
+    "fx_suffix_rules": r"""
+SELECT * FROM (VALUES ('ch'), ('uk'), ('co.uk'), ('ck'), ('*.ck'), ('!www.ck'), ('jp'), ('*.kawasaki.jp'), ('!city.kawasaki.jp')) AS t(suffix)
+""",
+    "fx_rule_hosts": r"""
+SELECT o_orderkey AS k, CASE o_orderkey % 11 WHEN 0 THEN 'A' || CAST(o_orderkey AS STRING) || '.b.ck' WHEN 1 THEN 'x.www.ck' WHEN 2 THEN 'www.ck'
+  WHEN 3 THEN 'b.ck' WHEN 4 THEN 'a.s' || CAST(o_orderkey AS STRING) || '.co.uk.' WHEN 5 THEN 'co.uk' WHEN 6 THEN 'l.m.n.kawasaki.jp'
+  WHEN 7 THEN 'q.City.kawasaki.jp' WHEN 8 THEN 'solo' WHEN 9 THEN NULL ELSE 'p.q' || CAST(o_orderkey % 50 AS STRING) || '.test' END AS host FROM orders
 """,
     # address ranges that nest but never cross: wide ones, one inside each 512 addresses, a few addresses inside that
     "fx_slots": r"""

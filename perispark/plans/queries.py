@@ -263,6 +263,14 @@ register("d33_registrable",
 register("d33_public_suffix",
     lambda t: matching.registrable(t["domains"].select(K, F.concat(F.lit("a.b."), F.col("domain"), F.lit(".")).alias("host")), "host",
     t["suffixes"]).select(K, "registrable"), "SELECT k, domain AS registrable FROM fx_domains")
+register("d33_suffix_rules", lambda t: matching.registrable(t["rule_hosts"], "host", t["suffix_rules"]).select(K, "registrable"), r"""
+WITH h AS (SELECT DISTINCT host, lower(rtrim(host, '.')) AS low FROM fx_rule_hosts WHERE host IS NOT NULL),
+m AS (SELECT host, low, suffix LIKE '!%' AS exception, len(string_split(suffix, '.')) - CAST(suffix LIKE '!%' AS INT) AS n
+  FROM h JOIN fx_suffix_rules ON regexp_matches(low, '(^|\.)' || replace(replace(replace(suffix, '!', ''), '.', '\.'), '*', '[^.]+') || '$')),
+b AS (SELECT host, max({'e': exception, 'n': n}) AS best FROM m GROUP BY host),
+r AS (SELECT host, string_split(low, '.') AS labels, best['n'] AS n FROM h LEFT JOIN b USING (host))
+SELECT k, array_to_string(CASE WHEN len(labels) > n THEN labels[-(n + 1):] ELSE labels[-2:] END, '.') AS registrable
+FROM fx_rule_hosts LEFT JOIN r USING (host)""")
 register("d34_technology", lambda t: t["ports"].select(K, "port", S.banner_technology(c("port"), c("banner")).alias("technology")),
     "SELECT k, port, technology FROM v_services")
 OWN = ("SELECT 'op' || CAST(o_orderkey % 37 AS STRING) || '.net' AS domain, '[\"ns1.op' || CAST(o_orderkey % 37 AS STRING) || "
@@ -827,7 +835,7 @@ register("j6_neighbours", lambda t: graph.neighbours(t["indexed"], 3), "SELECT D
 
 # ---- K: batch twins of the streams
 register("k2_progress", lambda t: streams.progress(t["scan_results"]), "SELECT date_trunc('hour', ts) AS start, count(*) AS completed, "
-    "count(error_kind) AS errors, round(avg(elapsed), 4) AS mean_elapsed FROM fx_scan_results GROUP BY 1")
+    "count(*) FILTER (WHERE error_kind IS NULL) AS ok, round(count(*) / 3600.0, 4) AS rate, count(error_kind) AS errors, round(avg(elapsed), 4) AS mean_elapsed FROM fx_scan_results GROUP BY 1")
 register("k3_guard_batch", lambda t: risk.error_rate_guard(t["scan_results"], 0.3, 50), "SELECT module, count(*) AS completed, "
     "count(error_kind) AS errors FROM fx_scan_results GROUP BY module HAVING count(*) >= 50 AND count(error_kind) / CAST(count(*) AS "
     "DOUBLE) > 0.3")
@@ -839,5 +847,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         t["flags"].join(t["classes"].select(K, "sector"), K).groupBy("sector").agg(F.count("*").alias("domains"),
         F.avg("score").alias("mean_score")))
-
-
+_lagged = ", ".join(f"lag({x}) OVER w AS b_{x}" for x in ("ts", "module", "error_kind"))
+_changed = ", ".join(f"CASE WHEN {x} IS DISTINCT FROM b_{x} THEN {{'change': 'changed', 'column': '{x}', 'before': b_{x}, 'after': {x}}} END"
+    for x in ("module", "error_kind"))
+register("k4_changelog_batch", lambda t: streams.changelog(t["scan_results"], "target", ["module", "error_kind"], forget=86400), f"""
+SELECT key, e.change, e.column, e.before, e.after FROM (SELECT target AS key, unnest(CASE WHEN b_ts IS NULL OR ts - b_ts > INTERVAL 86400 SECONDS
+  THEN [{{'change': 'added', 'column': CAST(NULL AS VARCHAR), 'before': CAST(NULL AS VARCHAR), 'after': CAST(NULL AS VARCHAR)}}]
+  ELSE list_filter([{_changed}], lambda x: x IS NOT NULL) END) AS e FROM (SELECT *, {_lagged} FROM fx_scan_results WHERE target IS NOT NULL
+  WINDOW w AS (PARTITION BY target ORDER BY ts, module NULLS FIRST, error_kind NULLS FIRST)))""")

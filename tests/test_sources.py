@@ -122,9 +122,11 @@ def test_incremental_classes(spark):
 
 
 def test_public_suffixes(spark):
-    hosts = [("A.b.co.uk.", "b.co.uk"), ("co.uk", None), ("x.ch", "x.ch"), ("a.b.unknown", "b.unknown"), ("solo", "solo"), (None, None)]
+    hosts = [("A.b.co.uk.", "b.co.uk"), ("co.uk", "co.uk"), ("x.ch", "x.ch"), ("a.b.unknown", "b.unknown"), ("solo", "solo"), (None, None)]
     df = spark.createDataFrame([(h,) for h, _ in hosts], "host string")
-    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("ch",)], "suffix string")
+    hosts += [("a.b.ck", "a.b.ck"), ("x.a.b.ck", "a.b.ck"), ("b.ck", "b.ck"), ("x.www.ck", "www.ck"), ("www.ck", "www.ck"), ("ck", "ck"), ("ch", "ch")]
+    df = spark.createDataFrame([(h,) for h, _ in hosts], "host string")
+    suffixes = spark.createDataFrame([("uk",), ("co.uk",), ("ch",), ("ck",), ("*.ck",), ("!www.ck",)], "suffix string")
     got = {r.host: r.registrable for r in matching.registrable(df, "host", suffixes).collect()}
     assert got == dict(hosts)
 
@@ -272,3 +274,44 @@ def test_progress_and_dedupe(spark, tmp_path):
     assert sorted(r.event_id for r in once.collect()) == list(range(24))
     seen = run(R.stream_progress(stream()), "seen", "complete")
     assert sorted(seen.collect()) == sorted(R.progress(df).collect())
+
+
+def streamed(spark, tmp_path, make, batches, schema, name):
+    """What a stream over the batches, one micro-batch after another with its state kept, gives."""
+    source, out, state = (str(tmp_path / f"{name}-{x}") for x in ("in", "out", "state"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = make(spark.readStream.schema(schema).parquet(source))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def test_state_of_silent_keys_ends(spark, tmp_path):
+    """A key silent for over a day is added anew, whether or not its timer has come; late and older rows say nothing."""
+    at = lambda h: __import__("datetime").datetime(2024, 1, 1 + h // 24, h % 24)
+    schema = "target long, ts timestamp, module string, error_kind string"
+    batches = [
+        [(1, at(0), "a", None), (2, at(1), "a", "dns"), (None, at(1), "x", "y"), (1, at(2), "b", None)],
+        [(1, at(3), "b", "dns"), (2, at(30), "a", "dns")],  # 2 comes back before its timer
+        [(3, at(60), "c", None)],  # the watermark passes the end of 1
+        [(3, at(61), "c", None), (1, at(62), "b", "dns"), (2, at(2), "late", None)],
+        [(1, at(61), "old", None), (1, at(63), "b", None)],
+    ]
+    make = lambda s: R.stream_changelog(s, "target", ["module", "error_kind"], late="2 hours", forget=86400)
+    got = kept(streamed(spark, tmp_path, make, batches, schema, "log"))
+    told = [row for b in batches for row in b if row[2] not in ("late", "old")]
+    want = kept(R.changelog(spark.createDataFrame(told, schema), "target", ["module", "error_kind"], forget=86400))
+    assert got == want
+    assert [x[0] for x in got if x[1] == "added"] == [1, 1, 2, 2, 3]
+
+
+def test_guard_forgets(spark, tmp_path):
+    at = lambda h: __import__("datetime").datetime(2024, 1, 1 + h // 24, h % 24)
+    schema = "module string, ts timestamp, error_kind string"
+    batches = [[("m", at(0), "dns")] * 3, [("m", at(1), None)], [("n", at(80), None)], [("n", at(81), None), ("m", at(81), "dns")],
+        [("m", at(82), "dns")] * 4]
+    make = lambda s: R.stream_error_guard(s, 0.5, 4, late="1 hour", forget=86400)
+    assert kept(streamed(spark, tmp_path, make, batches, schema, "guard")) == [("m", 4, 3), ("m", 5, 5)]
+    forever = lambda s: R.stream_error_guard(s, 0.5, 4, late="1 hour", forget=10**6)
+    assert kept(streamed(spark, tmp_path, forever, batches, schema, "keeps")) == [("m", 4, 3)]
