@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from perispark.functions import scalars as S
 from perispark.functions.catalogue import SEED
 from perispark.functions.rules import BANNER_PORTS, KEV_VENDORS, LOOKUP_WORDS, SCT_OID, SERVICES, SIGNATURE_OIDS, TLS_FEATURE_OID, TLS_WORDS
-from perispark.operators import findings, graph, matching, merge, module_risk, research, risk, work
+from perispark.operators import findings, graph, matching, merge, module_risk, research, risk, sketches, work
 from perispark.plans.fixtures import AS_OF, FIXTURES, derived, fixture
 from perispark.plans.views import JURISDICTION, KEY_OF, LIST, with_views
 from perispark.sources import tables as sources
 from perispark.sources import versions
-from perispark.sources.scratch import shared_folder
+from perispark.sources.scratch import shared_folder, written
 from perispark.streaming import results as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,6 +833,36 @@ register("j5_degrees", lambda t: graph.degrees(t["index"], t["indexed"]), "SELEC
 register("j6_neighbours", lambda t: graph.neighbours(t["indexed"], 3), "SELECT DISTINCT CASE WHEN sourceidx = 3 THEN targetidx ELSE "
     "sourceidx END AS idx FROM v_indexed WHERE sourceidx = 3 OR targetidx = 3")
 
+# ---- sketches of each day, merged; what they estimate is held against exact values here
+_marks = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+def _days(t: Tables) -> DataFrame:
+    """The stored form: a row a day of live domains, with a sketch of addresses and one of response times."""
+    day = F.to_date("updated_at").alias("day")
+    return written(sketches.sketched(findings.live(t).select(day, "ip", "elapsed_ms"), ["day"], {"ips": "ip"}, {"elapsed": "elapsed_ms"}), "days")
+
+
+def _g10_sketched(t: Tables) -> DataFrame:
+    days = _days(t)
+    whole = sketches.estimates(sketches.merged(days).select("n", "ips_hll")).crossJoin(days.agg(F.count("*").alias("days")))  # a row each
+    exact = findings.live(t).agg(F.countDistinct("ip").alias("exact"))
+    near = F.abs(F.col("ips") - F.col("exact")) <= sketches.COUNT_ERROR * F.col("exact") + 1
+    return whole.crossJoin(exact).select("days", "n", "exact", near.alias("near"))
+
+
+def _g7_sketched(t: Tables) -> DataFrame:
+    whole = sketches.estimates(sketches.merged(_days(t)).select("elapsed_kll"), _marks)
+    rows = findings.live(t).filter("elapsed_ms IS NOT NULL").select("elapsed_ms").crossJoin(F.broadcast(whole))  # whole is one row
+    share = lambda c: F.count_if(c) / F.count("*")
+    marks = [F.struct(F.lit(n).alias("mark"), (share(F.col("elapsed_ms") < F.col(f"elapsed_{n}")) - sketches.RANK_ERROR <= q).alias("low"),
+        (share(F.col("elapsed_ms") <= F.col(f"elapsed_{n}")) + sketches.RANK_ERROR >= q).alias("high")) for n, q in _marks.items()]
+    return rows.agg(F.array(*marks).alias("m"), F.count("*").alias("n")).select("n", F.inline("m")).select("n", "mark", (F.col("low") & F.col("high")).alias("near"))
+
+
+register("g10_sketched", _g10_sketched, f"SELECT count(DISTINCT updated_at) AS days, count(*) AS n, count(DISTINCT ip) AS exact, true AS near FROM {LIVE}")
+register("g7_sketched", _g7_sketched, f"SELECT n, unnest({list(_marks)}) AS mark, true AS near FROM (SELECT count(elapsed_ms) AS n FROM {LIVE})")
+
 # ---- K: batch twins of the streams
 register("k2_progress", lambda t: streams.progress(t["scan_results"]), "SELECT date_trunc('hour', ts) AS start, count(*) AS completed, "
     "count(*) FILTER (WHERE error_kind IS NULL) AS ok, round(count(*) / 3600.0, 4) AS rate, count(error_kind) AS errors, round(avg(elapsed), 4) AS mean_elapsed FROM fx_scan_results GROUP BY 1")
