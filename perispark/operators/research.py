@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perispark.operators.findings import pct
+from perispark.sources.scratch import written
 
 KEY = "k"
 
@@ -64,31 +68,53 @@ def cascade(staging: DataFrame, down: DataFrame, classes: DataFrame) -> DataFram
     return fallen.join(classes.select(KEY, "sector"), KEY, "left").groupBy("sector").agg(F.count("*").alias("n"))
 
 
-def hub_removal(staging: DataFrame, share: float, most: int = 50) -> DataFrame:
-    """(step, operator, fallen, reached): operators, taken one by one, until the share of domains has none left up.
+SHARES = (0.10, 0.25, 0.50)
+
+
+def operator_sets(staging: DataFrame) -> DataFrame:
+    """(operators, n): each set of operators that domains hang on, and how many do. A domain has few operators, and many
+    domains the same ones, so this is small beside staging; it is written once as a table."""
+    each = staging.groupBy(KEY).agg(F.array_sort(F.collect_set("operator")).alias("operators"))
+    return written(each.groupBy("operators").agg(F.count("*").alias("n")), "operator-sets")
+
+
+def hub_removals(staging: DataFrame, shares: Sequence[float] = SHARES, most: int = 50) -> DataFrame:
+    """(step, operator, fallen, share, least): operators taken one by one until the largest share of domains has none left up.
 
-    Each step takes the operator that is the last one up for most domains, ties by reach and then name, which
-    is greedy, not the smallest set. fallen counts the domains down after the step, reached says whether they are
-    the share. Ends after ``most`` steps even if no step reached it. Each step is one aggregation over what is
-    left; every few steps that is written to the checkpoint folder, if one is set.
+    Each step takes the operator that is the last one up for most domains, ties by reach and then name: greedy, as
+    the smallest set is a hard problem. fallen counts the domains down after the step; share is the largest of
+    shares that they make up, null before the first. least is what no smaller set of operators can do: a set
+    brings down no more domains than it has of their weight, a domain's weight being dealt evenly to its operators.
+    Ends after ``most`` steps even if a share isn't reached.
+
+    A step is one aggregation over the sets of operators, which are a table, and names the operators taken
+    before: plans don't grow from step to step, and all shares come from one run.
     """
-    spark = staging.sparkSession
-    total = staging.select(KEY).distinct().count()
-    left, gone, taken = staging, 0, []
-    for step in range(1, most + 1):
-        alone = left.groupBy(KEY).agg(F.count("*").alias("n"))
-        sums = left.join(alone, KEY).groupBy("operator").agg(F.count_if(F.col("n") == 1).alias("fall"), F.count("*").alias("reach"))
+    spark, sets = staging.sparkSession, operator_sets(staging)
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    weight = sets.select(F.explode("operators").alias("operator"), (F.col("n") / F.size("operators")).alias("w"))
+    largest = [r.w for r in weight.groupBy("operator").agg(F.sum("w").alias("w")).orderBy(F.col("w").desc()).limit(most).collect()]
+    could, taken, out = list(itertools.accumulate(largest)), [], []
+    gone = 0
+    while len(out) < most and gone < max(shares) * total:
+        up = F.array_except("operators", F.array(*map(F.lit, taken)).cast("array<string>"))
+        each = sets.select("n", up.alias("up")).select("n", F.explode("up").alias("operator"), (F.size("up") == 1).alias("last"))
+        sums = each.groupBy("operator").agg(F.sum(F.when(F.col("last"), F.col("n")).otherwise(0)).alias("fall"), F.sum("n").alias("reach"))
         best = sums.orderBy(F.col("fall").desc(), F.col("reach").desc(), "operator").first()
         if best is None:
             break
         gone += best.fall
-        taken.append((step, best.operator, gone, gone >= share * total))
-        if gone >= share * total:
-            break
-        left = left.filter(F.col("operator") != best.operator)
-        if step % 5 == 0 and (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-            left = left.checkpoint()
-    return spark.createDataFrame(taken, "step int, operator string, fallen long, reached boolean")
+        taken.append(best.operator)
+        reached = max((s for s in shares if gone >= s * total), default=None)
+        enough = [k + 1 for k, w in enumerate(could) if w >= gone - 1e-6]
+        out.append((len(out) + 1, best.operator, gone, reached, min(enough, default=most)))
+    return spark.createDataFrame(out, "step int, operator string, fallen long, share double, least int")
+
+
+def hub_removal(staging: DataFrame, share: float, most: int = 50) -> DataFrame:
+    """(step, operator, fallen, reached): the steps of hub_removals() for one share."""
+    steps = hub_removals(staging, (share,), most)
+    return steps.select("step", "operator", "fallen", F.col("share").isNotNull().alias("reached"))
 
 
 def change_log(old: DataFrame, new: DataFrame, cols: list[str], key: str = KEY) -> DataFrame:

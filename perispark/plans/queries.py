@@ -712,7 +712,19 @@ register("h7_dnssec", lambda t: research.registrar_dnssec(t["whois"]), "SELECT r
     "dnssec_delegated) AS delegated FROM fx_whois_info GROUP BY 1")
 NAMES = "SELECT DISTINCT 'old' || CAST(o_orderkey % 40 AS STRING) || '.app.example.com' AS name FROM orders"
 register("h8_orphans", lambda t: t["orphans"].select(K, "cname"), "SELECT k, cname FROM v_orphans")
-register("h9_hub_removal", lambda t: research.hub_removal(t["staging"], 0.25))
+# every step's sets of operators still up are rows; the next step takes the operator that is the last one of most domains
+_removals = """
+WITH RECURSIVE sets AS (SELECT operators, count(*) AS n FROM (SELECT k, list_sort(list(DISTINCT operator)) AS operators FROM v_staging GROUP BY k) GROUP BY 1),
+total AS (SELECT sum(n) AS total FROM sets),
+r(step, operator, up, n) AS (SELECT 0, CAST(NULL AS VARCHAR), operators, n FROM sets UNION ALL
+  SELECT step + 1, b.operator, list_filter(up, lambda x: x <> b.operator), n FROM r, (
+    SELECT operator FROM (SELECT unnest(up) AS operator, n, len(up) = 1 AS last FROM r) GROUP BY operator
+    ORDER BY sum(CASE WHEN last THEN n ELSE 0 END) DESC, sum(n) DESC, operator LIMIT 1) b
+  WHERE step < 50 AND (SELECT coalesce(sum(n) FILTER (WHERE len(up) = 0), 0) FROM r) < 0.5 * (SELECT total FROM total))
+SELECT step, operator, fallen, CASE WHEN fallen >= 0.5 * total THEN 0.5::DOUBLE WHEN fallen >= 0.25 * total THEN 0.25::DOUBLE
+  WHEN fallen >= 0.1 * total THEN 0.1::DOUBLE END AS share
+FROM (SELECT step, any_value(operator) AS operator, coalesce(sum(n) FILTER (WHERE len(up) = 0), 0) AS fallen FROM r WHERE step > 0 GROUP BY step), total"""
+register("h9_hub_removal", lambda t: research.hub_removals(t["staging"]).drop("least"), _removals)
 _down = "('Hostpoint', 'Cloudflare', 'UltraDNS')"
 register("h10_cascade",
     lambda t: research.cascade(t["staging"], t["staging"].filter(f"operator IN {_down}").select("operator").distinct(), t["classes"]),

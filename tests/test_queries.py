@@ -1,5 +1,6 @@
 """A spread of registered queries against their SQL twins, and invariants; the driver runs them all."""
 
+import itertools
 import math
 import os
 
@@ -72,6 +73,25 @@ def test_hub_removal(spark, share):
     assert not Q.research.hub_removal(staging, 1.0, most=2).agg({"reached": "max"}).first()[0]
 
 
+def test_three_shares_in_one_run(spark):
+    """All shares come from one run of steps, and no smaller set than least brings down as many (by trying all sets)."""
+    rows = [(k, o) for k in range(60) for o in {f"o{k % 5}", f"o{(k * k) % 7}"}] + [(100 + k, "big") for k in range(25)]
+    staging = spark.createDataFrame(rows, "k int, operator string")
+    steps = Q.research.hub_removals(staging).orderBy("step").collect()
+    total, names = len({k for k, _ in rows}), sorted({o for _, o in rows})
+    needs = {}
+    for k, o in rows:
+        needs.setdefault(k, set()).add(o)
+    fallen = lambda s: sum(ops <= set(s) for ops in needs.values())
+    for r in steps:
+        assert r.fallen == fallen([x.operator for x in steps[: r.step]])
+        assert r.share == max((s for s in Q.research.SHARES if r.fallen >= s * total), default=None)
+        best = next(n for n in range(len(names) + 1) if any(fallen(s) >= r.fallen for s in itertools.combinations(names, n)))
+        assert r.least <= best <= r.step
+    assert steps[-1].share == 0.5
+    assert Q.research.hub_removals(staging.limit(0)).collect() == []
+
+
 def test_abort_on_duplicates(spark):
     cur, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b")], "k int, v string")
     with pytest.raises(Exception, match="duplicate key"):
