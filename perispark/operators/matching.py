@@ -33,13 +33,32 @@ def asn_lookup(df: DataFrame, ranges: DataFrame, ip_col: str = "ip") -> DataFram
     return network_lookup(df, network_table(named, ["asn", "asn_org"]), ip_col, {"asn": "asn", "asn_org": "asn_org"})
 
 
+def technologies_in(texts: DataFrame, technologies: DataFrame) -> DataFrame:
+    """(text, found): for each distinct text of ``text`` the sorted technologies (column ``technology``) that stand anywhere in it.
+
+    A text's stretches of every length that technologies have are joined with them by equality: the work is that
+    of the distinct texts times the lengths, however many technologies there are. Texts without any have no row.
+    """
+    names = technologies.select("technology").filter("technology != ''").distinct()
+    lengths = names.agg(F.collect_set(F.length("technology")).alias("_lengths"))  # one row
+    each = texts.select("text").filter("text IS NOT NULL").distinct().crossJoin(F.broadcast(lengths))
+    cut = each.select("text", F.length("text").alias("_size"), F.explode("_lengths").alias("_n")).filter("_n <= _size")
+    at = F.explode(F.sequence(F.lit(1), F.col("_size") - F.col("_n") + 1))
+    stretches = cut.select("text", "_n", at.alias("_at")).select("text", F.substring("text", F.col("_at"), F.col("_n")).alias("technology"))
+    return stretches.join(names, "technology").groupBy("text").agg(F.array_sort(F.collect_set("technology")).alias("found"))
+
+
 def match_cves_http(domains: DataFrame, catalog: DataFrame, key: str = "domain") -> DataFrame:
     """Catalogue rows whose technology is the CMS, or stands in the server or powered-by header."""
-    names = [r.technology for r in catalog.select("technology").distinct().orderBy("technology").collect()]
-    low = {c: F.lower(F.coalesce(c, F.lit(""))) for c in ("cms", "server", "powered_by")}
-    hit = lambda t: (low["cms"] == t) | F.contains(low["server"], F.lit(t)) | F.contains(low["powered_by"], F.lit(t))
-    techs = F.array_compact(F.array(*[F.when(hit(t), F.lit(t)) for t in names]))
-    each = domains.select(key, "server", F.explode(techs).alias("technology"))
+    low = domains.select(key, "server", F.lower("cms").alias("_cms"), F.lower("server").alias("_server"), F.lower("powered_by").alias("_powered"))
+    texts = low.select(F.explode(F.array("_server", "_powered")).alias("text"))
+    hits = technologies_in(texts, catalog)
+    for c in ("_server", "_powered"):
+        low = low.join(hits.select(F.col("text").alias(c), F.col("found").alias(f"{c}_found")), c, "left")
+    none = F.array().cast("array<string>")
+    found = [F.coalesce(f"{c}_found", none) for c in ("_server", "_powered")]
+    techs = F.array_union(F.array_union(*found), F.when(F.col("_cms").isNotNull(), F.array("_cms")).otherwise(none))
+    each = low.select(key, "server", F.explode(techs).alias("technology"))
     return each.join(catalog, "technology").select(key, "technology",
         S.server_version(F.col("server"), F.col("technology")).alias("version"), *MATCH[2:])
 
