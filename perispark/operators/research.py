@@ -167,18 +167,28 @@ def deletions(name: str = "name"):  # noqa: ANN201
         lambda i: F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n)))))
 
 
+#: Names of one key that meet in one task; a key of more is split into parts, each of which meets all of the key's names.
+TOGETHER = 500
+
+
 def typosquats(names: DataFrame) -> DataFrame:
-    """Pairs (a, b) one edit or one swap of neighbours apart, or alike once 1 is l and 0 is o."""
+    """Pairs (a, b) one edit or one swap of neighbours apart, or alike once 1 is l and 0 is o.
+
+    Names that may be such a pair share a key, what is left of them after a deletion or that folding. Keys of a
+    single name go before anything meets, and a key of very many is spread over parts of TOGETHER names.
+    """
     plain = F.translate(F.col("name"), "10", "lo")
     keyed = names.select("name", F.explode(F.array_distinct(F.concat(deletions(), F.array(plain)))).alias("key"))
-    pairs = (
-        keyed.select("key", F.col("name").alias("a")).join(keyed.select("key", F.col("name").alias("b")),
-        "key").filter("a < b").select("a", "b").distinct())
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = keyed.join(sizes.select("key", F.ceil(F.col("_n") / TOGETHER).cast("int").alias("_parts")), "key")
+    left = shared.select("key", F.pmod(F.xxhash64("name"), F.col("_parts")).cast("int").alias("_part"), F.col("name").alias("a"))
+    right = shared.select("key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("name").alias("b"))
     p, q = F.translate(F.col("a"), "10", "lo"), F.translate(F.col("b"), "10", "lo")
     i = F.length(F.regexp_extract(F.concat_ws(" ", "a", "b"), r"^(.*).* \1", 1)) + 1
     swapped = F.concat(F.substring(F.col("a"), F.lit(1), i - 1), F.substring(F.col("a"), i + 1, F.lit(1)),
         F.substring(F.col("a"), i, F.lit(1)), F.substring(F.col("a"), i + 2, F.length("a")))
-    return pairs.filter((F.levenshtein("a", "b") <= 1) | (p == q) | (swapped == F.col("b")))
+    near = (F.levenshtein("a", "b") <= 1) | (p == q) | (swapped == F.col("b"))
+    return left.join(right, ["key", "_part"]).filter("a < b").filter(near).select("a", "b").distinct()
 
 
 CONFUSABLE = ("асеорхуі01", "aceopxyiol")

@@ -1,8 +1,9 @@
 """Technologies in header texts against a plain search, and look-alike names against all pairs."""
 
+import itertools
 import random
 
-from perispark.operators import matching
+from perispark.operators import matching, research
 
 
 def test_technologies_anywhere_in_a_text(spark):
@@ -16,3 +17,25 @@ def test_technologies_anywhere_in_a_text(spark):
     want = {t: sorted(n for n in names if n in t) for t in texts if t and any(n in t for n in names)}
     assert {t: sorted(f) for t, f in got.items()} == want
     assert matching.technologies_in(df.limit(0), catalog).collect() == [] == matching.technologies_in(df, catalog.limit(0)).collect()
+
+
+def alike(a, b):
+    fold = lambda x: x.replace("1", "l").replace("0", "o")
+    if fold(a) == fold(b):
+        return True
+    if len(a) == len(b):
+        at = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(at) == 1 or (len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]])
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_a_key_of_many_names_is_spread(spark, monkeypatch):
+    """All pairs, though one key holds most names and its parts are of seven."""
+    monkeypatch.setattr(research, "TOGETHER", 7)
+    rng = random.Random(6)
+    names = {"".join(rng.choice(x) for x in ("l1", "o0", "l1", "o0", "l1", "l1")) for _ in range(200)}
+    names |= {f"bank{c}" for c in "abcdefghijklmnop"} | {"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(60)} | {"abcd", "abdc", "x"}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = sorted(map(tuple, research.typosquats(df).collect()))
+    assert got == sorted(tuple(sorted(p)) for p in itertools.combinations(sorted(names), 2) if alike(*p))
