@@ -37,10 +37,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-#: Never part of an article.
+#: Never part of an article; a form may also be wrapped around a whole page.
 DROPPED = RAW | frozenset(
     (
-        "head nav footer aside form button select option menu dialog svg canvas object video audio map label fieldset"
+        "head nav footer aside button select option menu dialog svg canvas object video audio map label fieldset"
     ).split()
 )
 BLOCK = frozenset(
@@ -51,11 +51,13 @@ BLOCK = frozenset(
 )
 #: Words of a class, id or role that name what isn't the article.
 ASIDE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead"
-    r"|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|disqus|respond|replies|related"
-    r"|recommended|widget|toolbar|search|login|signup|pagination|pager|complementary|contentinfo|alert)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer"
+    r"|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|comments?|disqus|respond|replies"
+    r"|widget|toolbar|search|login|signup|pagination|pager|complementary|contentinfo|alert)(?:$|[-_\s])",
     re.I,
 )
+#: Words that also name an article's own parts: within article and main they say nothing of an element that isn't mostly links.
+PARTS = re.compile(r"(?:^|[-_\s])(?:header|masthead|related|recommended)(?:$|[-_\s])", re.I)
 #: An opening tag that ends an open element of these names.
 ENDS = {
     "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -75,12 +77,12 @@ CONTAINERS = frozenset("address article body center details div figure header ma
 
 class Node:
     __slots__ = (
-        "name", "parent", "children", "depth", "scope", "dropped", "named", "inside", "linked", "out",
+        "name", "parent", "children", "depth", "scope", "dropped", "named", "part", "inside", "linked", "out",
         "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "marks",
     )
 
-    def __init__(self, name: str, parent: Node | None, named: bool):
-        self.name, self.parent, self.named = name, parent, named
+    def __init__(self, name: str, parent: Node | None, named: bool = False, part: bool = False):
+        self.name, self.parent, self.named, self.part = name, parent, named, part
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
         #: the depth of the nearest element, itself included, that keeps list items and cells in
@@ -90,10 +92,30 @@ class Node:
         self.dropped = name in DROPPED or (name == "header" and not self.inside) or (parent is not None and parent.dropped)
 
 
+def settle(nodes: list[Node]) -> None:
+    """Leave forms out, but for one that holds over half of the page's text; let words that name parts of an article
+    weigh where they don't do that."""
+    for n in nodes:
+        n.chars = n.link_chars = 0
+    for n in reversed(nodes):
+        if n.dropped:
+            continue
+        own = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        n.chars += own
+        n.link_chars += own * n.linked
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.link_chars += n.link_chars
+    for n in nodes:
+        up = n.parent
+        n.dropped = n.dropped or (n.name == "form" and 2 * n.chars <= nodes[0].chars) or (up is not None and up.dropped)
+        n.named = n.named or (n.part and not (up is not None and up.inside and n.chars and n.chars >= 2 * n.link_chars))
+
+
 def parse(page: str) -> list[Node]:
     """The page's nodes in order, the root first; unclosed and stray tags are borne. Linear in
     the page: elements are popped once, and open ones of a name are known."""
-    root = Node("", None, False)
+    root = Node("", None)
     nodes, node, at = [root], root, 0
     open_: defaultdict[str, list[Node]] = defaultdict(list)
     low = None
@@ -121,8 +143,8 @@ def parse(page: str) -> list[Node]:
             if ended and (last := max((open_[x][-1] for x in ended if open_[x]), key=lambda n: n.depth, default=None)):
                 if last.depth >= node.scope:
                     node = close(last, node)
-        named = name not in ("html", "body") and any(ASIDE.search(x) for g in NAMED.findall(m[3] or "") for x in g if x)
-        child = Node(name, node, named)
+        words = [x for g in NAMED.findall(m[3] or "") for x in g if x] if name not in ("html", "body") else []
+        child = Node(name, node, any(map(ASIDE.search, words)), any(map(PARTS.search, words)))
         node.children.append(child)
         nodes.append(child)
         if name in RAW:
@@ -135,6 +157,7 @@ def parse(page: str) -> list[Node]:
             node = child
     if at < len(page):
         node.children.append(page[at:])
+    settle(nodes)
     return nodes
 
 

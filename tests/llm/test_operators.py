@@ -658,3 +658,23 @@ def test_shared_folder(spark):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(fake)
+
+
+LONG = "Some words of a long paragraph that goes on, and on, as articles do. " * 6
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    # a form around the whole page is no form of it; its controls are
+    (f'<body><form id="aspnetForm"><nav><a href=x>Home</a></nav><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><input><label>Search</label>'
+     "<button>Go</button></form></body>", f"T {LONG}{LONG}"),
+    # parts of an article that are named like parts of a page
+    (f'<body><article><div class="entry-header"><h1>T</h1></div><p>{LONG}</p><p>{LONG}</p></article></body>', f"T {LONG}{LONG}"),
+    (f'<body><article><h1>T</h1><p>{LONG}</p><section class="related-work"><h2>R</h2><p>{LONG}</p><p>end</p></section></article></body>',
+     f"T {LONG}R {LONG}end"),
+    # what isn't the article's goes as before: mostly links, readers' comments, a form to reply
+    (f'<body><article><h1>T</h1><p>{LONG}</p><div class="related"><a href=x>One more story</a> <a href=y>Another one</a></div>'
+     "<div class='comments'><p>Nice, says a reader.</p></div><form><p>Leave a reply</p><input></form></article></body>", f"T {LONG}"),
+    (f'<body><div class="related"><p>{LONG}</p></div><main><h1>T</h1><p>{LONG}</p><p>{LONG}</p></main></body>', f"T {LONG}{LONG}"),
+])
+def test_forms_and_parts_of_articles(page, want):
+    assert text_density.extract(page) == want.strip()
