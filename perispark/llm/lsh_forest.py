@@ -41,7 +41,7 @@ _RANDOM = np.random.default_rng(20_240_601)
 FACTORS = (_RANDOM.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64)
 SKETCH = "doc_id bigint, n_shingles bigint, class bigint, signature binary"
-PLACES = "class bigint, key bigint, upper bigint, lower bigint"
+PLACES = "class bigint, key bigint, upper bigint, lower bigint, n bigint"
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ def _places(batches: Iterator[pa.RecordBatch], orders: int, depth: int) -> Itera
             low = sig[:, at[depth:]] & np.uint64(0xFFFF)
             halves = [low[:, h : h + 4] << np.uint64(16) * np.arange(4, dtype=np.uint64)[::-1] for h in (0, 4)]
             below = [pa.array(np.bitwise_or.reduce(h, axis=1).view(np.int64)) for h in halves]
-            columns = [batch.column(0), pa.array(_mixed(sig[:, at[:depth]], t)), *below]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "key", "upper", "lower"])
+            columns = [batch.column(0), pa.array(_mixed(sig[:, at[:depth]], t)), *below, batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "key", "upper", "lower", "n"])
 
 
 def common_prefix(key: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int, alike: int) -> Itera
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85,
-    orders: int = 16, depth: int = 4, block: int = 256,
+    orders: int = 16, depth: int = 4, block: int = 256, block_bytes: int = 4_000_000, grid: int = 16,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row.
 
@@ -250,6 +250,10 @@ def near_duplicates(
     have none and are their own component. Rows with a null id link with nothing: their
     component is null and they are kept. Repeated rows share a component, and each row of
     the smallest id is kept. An empty table gives no rows; other columns aren't read.
+
+    A block of a region holds about ``block`` classes and ``block_bytes`` of their sets, a
+    class of more alone. Pairs of blocks are dealt to cells of ``grid`` by ``grid`` blocks,
+    so that no join key carries more of a region than a cell.
     """
     scratch = Scratch(docs.sparkSession)
     spread = math.sqrt(64 * percent / 100 * (1 - percent / 100))
@@ -259,9 +263,9 @@ def near_duplicates(
     least = (F.min(x).alias(y) for x, y in (("doc_id", "doc_id"), ("n_shingles", "n"), ("signature", "signature")))
     classes = scratch.written(sketch.filter("class IS NOT NULL").groupBy("class").agg(*least), "near-classes")
     signs = classes.select("class", "signature", "n")
-    places = classes.select("class", "signature").mapInArrow(lambda it: _places(it, orders, depth), PLACES)
+    places = signs.mapInArrow(lambda it: _places(it, orders, depth), PLACES)
     shared = places.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    met = scratch.written(places.join(shared, "key").select("class", "key", "upper", "lower"), "near-places")
+    met = scratch.written(places.join(shared, "key").select("class", "key", "upper", "lower", "n"), "near-places")
 
     # neighbours of longest common prefix in the sorted orders, and a region's first class by a hash
     # with the region, so that orders have different ones
@@ -284,20 +288,19 @@ def near_duplicates(
 
     # where components meet: those outside a region's largest component with all others
     named = met.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = scratch.written(named.select("class", "component", "key"), "near-named")
-    counted = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    biggest = F.max_by("component", F.struct("n", "component")).alias("largest")
-    largest = counted.groupBy("key").agg(biggest, F.sum("n").alias("members"), F.count("*").alias("parts"))
-    largest = largest.filter("parts > 1").select("key", "largest", "members")
-    block_of = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / block)).alias("block")
+    named = scratch.written(named.select("class", "component", "key", "n"), "near-named")
+    counted = named.groupBy("key", "component").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    biggest = F.max_by("component", F.struct("classes", "component")).alias("largest")
+    n_blocks = F.ceil(F.greatest(F.sum("classes") / block, 8 * F.sum("shingles") / block_bytes)).alias("n_blocks")
+    largest = counted.groupBy("key").agg(biggest, n_blocks, F.count("*").alias("parts"))
+    largest = largest.filter("parts > 1").select("key", "largest", "n_blocks")
+    block_of = F.pmod(F.xxhash64("class"), "n_blocks").alias("block")
     outside = (F.col("component") != F.col("largest")).alias("outside")
     one = F.struct("class", "component", outside, "n", "signature", "own").alias("one")
-    mixed = named.join(largest, "key").join(sets.join(signs, "class"), "class").select("key", block_of, one)
+    mixed = named.join(largest, "key").join(sets.join(signs.select("class", "signature"), "class"), "class").select("key", block_of, one)
     parts = mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some"))
     blocks = scratch.written(parts, "near-blocks")
-    left = blocks.filter("some").select("key", F.col("part").alias("left"))
-    tiles = left.join(blocks.select("key", F.col("part").alias("right")), "key").select("left", "right")
-    meetings = scratch.written(tiles.mapInArrow(lambda it: _tiles(it, percent, alike), "a bigint, b bigint"), "near-meetings")
+    meetings = scratch.written(_cells(blocks, grid).mapInArrow(lambda it: _tiles(it, percent, alike), "a bigint, b bigint"), "near-meetings")
 
     whole = components(meetings, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = classes.select("class", "doc_id").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -310,6 +313,17 @@ def near_duplicates(
     return scratch.result(out.select("doc_id", "n_shingles", component.alias("component_id"), kept), "near-result")
 
 
+def _cells(blocks: DataFrame, grid: int) -> DataFrame:
+    """(left, right): each block with outside classes with all blocks of its region. The pairs of a region
+    form cells of grid by grid blocks; a block goes to all cells of its row, or of its column."""
+    sizes = blocks.groupBy("key").agg(F.count_if("some").alias("n_left"), F.count("*").alias("n_right"))
+    placed = blocks.join(sizes.select("key", *(F.ceil(F.col(x) / grid).alias(y) for x, y in (("n_left", "rows"), ("n_right", "cols")))), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.filter("some").select("key", F.pmod("block", "rows").alias("row"), every("cols").alias("col"), F.col("part").alias("left"))
+    right = placed.filter("rows > 0").select("key", every("rows").alias("row"), F.pmod("block", "cols").alias("col"), F.col("part").alias("right"))
+    return left.join(right, ["key", "row", "col"]).select("left", "right")
+
+
 def _with_agreement(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """(a, b, first, agree) of the pairs whose sizes allow a link; agree: equal signature values."""
     side = lambda x: signs.select(F.col("class").alias(x), F.col("signature").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
