@@ -7,6 +7,10 @@ size, so an item of the class lies within a window. A signature is one permutati
 hashing: the shingle's hash picks one of ``bins`` bins, each bin keeps its least hash.
 An item and a window that share a bin's value are candidates (items of few shingles
 compare all theirs); the document's full shingle set then decides exactly.
+
+Documents are read and hashed once, whatever the number of items. A filter of fixed size
+leaves of a document's shingles those that some item may hold; these are joined to the
+items' signatures by value, and of the candidates' shingles the common ones are counted.
 """
 
 from __future__ import annotations
@@ -19,12 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perispark.llm.common import Scratch, lower_words, small_batches
+from perispark.llm.common import Scratch, lower_words
 
 #: Words hashed at a time.
 TOGETHER = 50_000
 #: Items of up to so many shingles are looked up by all of them.
 SMALL = 8
+#: Bits of the filter of the items' shingles, whatever their number: 16 MB.
+FILTER_BITS = 1 << 27
+#: Parts over which a value's or an item's documents are spread.
+SALTS = 16
+#: No hash in a bin.
+EMPTY = np.iinfo(np.uint64).max
 
 
 def shingles(tokens: list[bytes], k: int) -> list[bytes]:
@@ -95,88 +105,81 @@ def size_class(n: int) -> int:
     return max(SMALL, 1 << (n - 1).bit_length())
 
 
-class Items:
-    """The items' shingle sets, and for each size class the bin values of their signatures."""
+def signature(own: np.ndarray, bins: int) -> np.ndarray:
+    """The least hash of each bin that isn't empty."""
+    least = np.full(bins, EMPTY)
+    np.minimum.at(least, (own % np.uint64(bins)).astype(np.int64), own)
+    return least[least != EMPTY]
+
+
+def window_values(h: np.ndarray, size: int, bins: int) -> np.ndarray:
+    """The values of the signatures of all windows of twice the size, at every multiple of it."""
+    last = max(0, (len(h) - 1) // size - 1)
+    block = np.arange(len(h)) // size
+    least = np.full((last + 2, bins), EMPTY)
+    np.minimum.at(least.ravel(), block * bins + (h % np.uint64(bins)).astype(np.int64), h)  # blocks of the size
+    windows = np.unique(np.minimum(least[:-1], least[1:]))  # two blocks make a window
+    return windows[windows != EMPTY]
+
 
-    def __init__(self, rows: list[tuple[int, str]], k: int, bins: int):
-        self.k, self.bins = k, bins
-        hasher = Hasher(k)
-        self.sets: dict[int, np.ndarray] = {}
-        found: dict[int, list[tuple[int, int]]] = {}
-        for item, text in rows:
+def _item_sets(batches: Iterator[pa.RecordBatch], k: int, bins: int) -> Iterator[pa.RecordBatch]:
+    """item_id, level (of its size class), its shingles, and those it is looked up by; items without shingles go."""
+    hasher = Hasher(k)
+    for batch in batches:
+        out = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.unique(hasher(lower_words(text)))
             if len(own):
-                self.sets[item] = own
                 size = size_class(len(own))
-                for value in own.tolist() if size == SMALL else {int(v) for v in self.signature(own)}:
-                    found.setdefault(size, []).append((value, item))
-        self.classes = {}
-        for size, pairs in found.items():
-            pairs.sort()
-            self.classes[size] = (np.array([v for v, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
-
-    def signature(self, own: np.ndarray) -> np.ndarray:
-        least = np.full(self.bins, np.iinfo(np.uint64).max)
-        np.minimum.at(least, (own % np.uint64(self.bins)).astype(np.int64), own)
-        return least[least != np.iinfo(np.uint64).max]
-
-    def candidates(self, h: np.ndarray) -> set[int]:
-        """Items whose signature shares a value with that of a window of their class."""
-        out: set[int] = set()
-        for size in self.classes:
-            if size == SMALL:
-                out.update(self.named(size, h))
+                by = own if size == SMALL else np.unique(signature(own, bins))
+                out.append((item, (size // SMALL).bit_length() - 1, own.view(np.int64), by.view(np.int64)))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        columns = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "level", "own", "by"])
+
+
+def value_filter(values: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits of which those are set that the values' low bits name: never more than
+    FILTER_BITS / 8 bytes, put together by Spark in buckets of 4 KB."""
+    place = (F.pmod("value", F.lit(FILTER_BITS)) + 1).alias("place")
+    buckets = values.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in buckets.collect():  # FILTER_BITS / 32768 rows at most
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _held(batches: Iterator[pa.RecordBatch], bits: np.ndarray, levels: list[int], k: int, bins: int) -> Iterator[pa.RecordBatch]:
+    """For each document's distinct shingles that pass the filter: row, doc_id, value, and at: the levels
+    (as bits) in one of whose windows it is a signature's value."""
+    hasher = Hasher(k)
+    for batch in batches:
+        rows, ids, values, marks = [], [], [], []
+        for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = hasher(lower_words(text))
+            place = (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            mine = np.unique(h[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1])
+            if not len(mine):
                 continue
-            last = max(0, (len(h) - 1) // size - 1)
-            block = np.arange(len(h)) // size
-            at = (h % np.uint64(self.bins)).astype(np.int64)
-            least = np.full((last + 2, self.bins), np.iinfo(np.uint64).max)
-            np.minimum.at(least.ravel(), block * self.bins + at, h)  # blocks of the size
-            windows = np.minimum(least[:-1], least[1:]) if last + 2 > 1 else least  # two blocks make a window
-            out.update(self.named(size, windows[windows != np.iinfo(np.uint64).max]))
-        return out
-
-    def named(self, size: int, wanted: np.ndarray) -> set[int]:
-        """The class's items that have one of the wanted values."""
-        values, items = self.classes[size]
-        i = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-        out: set[int] = set()
-        for v in np.unique(wanted[values[i] == wanted]):
-            lo, hi = np.searchsorted(values, v), np.searchsorted(values, v, side="right")
-            out.update(items[lo:hi].tolist())
-        return out
-
-    def search(self, h: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-        """item, its shingles in the document, its shingles: those of containment ``least`` and above."""
-        if not len(h):
-            return []
-        found, own = [], None
-        for item in sorted(self.candidates(h)):
-            own = np.unique(h) if own is None else own
-            mine = self.sets[item]
-            i = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-            shared = int((own[i] == mine).sum())
-            if shared >= least * len(mine) - 1e-9:
-                found.append((item, shared, len(mine)))
-        return found
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            at = np.zeros(len(mine), np.int64)
+            for level in levels:
+                found = True if level == 0 else np.isin(mine, window_values(h, SMALL << level, bins), assume_unique=True)
+                at |= np.where(found, np.int64(1) << level, 0)
+            rows.append(pa.array(np.full(len(mine), row)))
+            ids.append(pa.array([doc_id] * len(mine), pa.int64()))
+            values.append(mine.view(np.int64))
+            marks.append(at)
+        if rows:
+            columns = [pa.concat_arrays(rows), pa.concat_arrays(ids), pa.array(np.concatenate(values)), pa.array(np.concatenate(marks))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "value", "at"])
 
 
 def find_items(
     docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
         item_text_col: str = "text",
-    k: int = 5, containment: float = 0.8, bins: int = 64, block_bytes: int = 16_000_000,
+    k: int = 5, containment: float = 0.8, bins: int = 64,
 ) -> DataFrame:
     """Rows (doc_id, item_id, n_shared, n_shingles, containment): items whose distinct k-word
     shingles lie in the document's to the share ``containment`` at least.
@@ -187,41 +190,33 @@ def find_items(
     it. Repeated documents give repeated rows, repeated item ids count once for each text.
     An empty table gives no rows; other columns aren't read.
 
-    Scale: items are sent to the tasks in blocks of at most block_bytes of text (one scan
-    of the documents for each block); documents are never shuffled.
+    Scale: one scan of the documents, which are never shuffled; only shingles that pass a
+    filter of FILTER_BITS are. A value or an item that very many documents hold is spread
+    over SALTS parts. Nothing that grows with the items or documents reaches the driver.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND text != ''"))
-    wanted = (
-        items.select(F.col(item_col).cast("long").alias("item_id"),
-        F.col(item_text_col).cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy(
-        "item_id", "text"))
-    schema = "doc_id bigint, item_id bigint, n_shared bigint, n_shingles bigint"
-    found = None
-    for block in _blocks(wanted, block_bytes):
-        texts = dict(enumerate(block))
-        sent = (
-            spark.sparkContext.broadcast(
-            (Items([(i, text) for i, (_, text) in texts.items()], k, bins), {i: item for i, (item, _) in texts.items()})))
-
-        def search(batches, sent=sent):  # noqa: ANN001, ANN202
-            index, names = sent.value
-            hasher = Hasher(k)
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    out += [(doc_id, names[i], a, b) for i, a, b in index.search(hasher(lower_words(text)), containment)]
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_shingles"])
-
-        part = rows.mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles").cast("double"))
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL AND text != ''")
+    wanted = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    wanted = wanted.filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    sets = wanted.mapInArrow(lambda it: _item_sets(it, k, bins), "item_id bigint, level int, own array<bigint>, by array<bigint>")
+    sets = scratch.written(sets.withColumn("entry", F.monotonically_increasing_id()), "items")
+    levels = sorted(r.level for r in sets.select("level").distinct().collect())  # one for each power of two
+    sent = docs.sparkSession.sparkContext.broadcast(value_filter(sets.select(F.explode("own").alias("value"))))
+    held = rows.mapInArrow(lambda it: _held(it, sent.value, levels, k, bins), "row bigint, doc_id bigint, value bigint, at bigint")
+    held = scratch.written(held, "held")
+
+    salt, salts = F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = sets.select("entry", "level", F.explode("by").alias("value")).select("*", salts)
+    meets = F.expr("shiftright(at, level) & 1 = 1")
+    near = held.select("row", "value", "at", salt).join(named, ["value", "salt"]).filter(meets).select("row", "entry").distinct()
+    asked = near.select("*", salt).join(sets.select("entry", "item_id", F.size("own").cast("long").alias("n_shingles"), "own", salts), ["entry", "salt"])
+    asked = asked.select("row", "entry", "item_id", "n_shingles", F.explode("own").alias("value"))
+    found = asked.join(held.select("row", "doc_id", "value"), ["row", "value"]).groupBy("row", "entry", "item_id", "n_shingles").agg(
+        F.max("doc_id").alias("doc_id"), F.count("*").alias("n_shared"))
+    found = found.filter(F.col("n_shared") >= containment * F.col("n_shingles") - 1e-9)
+    share = (F.col("n_shared") / F.col("n_shingles").cast("double")).alias("containment")
+    return scratch.result(found.select("doc_id", "item_id", "n_shared", "n_shingles", share), "found-items")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003

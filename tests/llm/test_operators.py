@@ -274,8 +274,17 @@ def test_link_in_a_large_region(spark):
         if np.array_equal(sign(words)[cols], of_one[cols]):
             rows.append(words)
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
-    out = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(d, percent=60).collect()}
-    assert out == {i: i if i != 1 else 0 for i in range(302)}
+    for how in ({}, {"block": 16, "grid": 3}, {"block_bytes": 9000, "grid": 2}):  # one block, and cells of many
+        out = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(d, percent=60, **how).collect()}
+        assert out == {i: i if i != 1 else 0 for i in range(302)}
+
+
+def test_cells_hold_each_pair_of_blocks_once(spark):
+    rows = [(1, b, [b], b % 3 == 0) for b in range(11)] + [(2, 0, [100], True), (2, 1, [101], False), (3, 0, [200], False)]
+    blocks = spark.createDataFrame(rows, "key long, block long, part array<long>, some boolean")
+    cells = lsh_forest._cells(blocks, 2)
+    got = sorted((r.left[0], r.right[0]) for r in cells.collect())
+    assert got == sorted([(a, b) for a in range(0, 11, 3) for b in range(11)] + [(100, 100), (100, 101)])
 
 
 def test_nearest(spark):
@@ -568,6 +577,36 @@ def test_containment(spark, docs):
     assert containment.find_items(empty(spark), items).collect() == [] and containment.find_items(docs, items.limit(0)).collect() == []
 
 
+def test_containment_of_planted_items(spark):
+    """Items of each size class, whole or in pieces far apart, of which a fifth of the shingles at most is spoilt."""
+    rng = random.Random(5)
+    make = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    items, docs, want = [], [], set()
+    for i, n in enumerate((3, 6, 12, 15, 30, 60, 100, 200, 400, 900) * 20):
+        words = make(n)
+        items.append((i, " ".join(words)))
+        own = list(words)
+        if n >= 60:  # each changed word spoils five shingles
+            for at in rng.sample(range(n), n // 30):
+                own[at] = "changed"
+        docs.append((i, " ".join(make(rng.randrange(300)) + own + make(rng.randrange(300)))))
+        q, held = (set(containment.shingles(lower_words(t), 5)) for t in (items[-1][1], docs[-1][1]))
+        if len(q & held) >= 0.8 * len(q):
+            want.add((i, i))
+    docs.append((1000, " ".join(make(100_000) + items[8][1].split() + make(100_000))))
+    out = containment.find_items(spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == want | {(1000, 8)} and len(out) == len(want) + 1 > 170
+    assert all(r.containment == r.n_shared / r.n_shingles for r in out)
+
+
+def test_filter_of_values_sets_their_bits(spark):
+    values = [0, 1, -1, 1 << 27, (1 << 27) - 1, 32767, 32768, 5_000_000_000, -(1 << 63)]
+    bits = containment.value_filter(spark.createDataFrame([(v,) for v in values], "value long"))
+    wanted = sorted({v & (containment.FILTER_BITS - 1) for v in values})
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == wanted
+
+
 def brute_groups(rows, k, percent):
     """The ids of which one stays: the least of each group of linked texts."""
     sets = {i: set(containment.shingles(lower_words(t), k)) for i, t in rows}
