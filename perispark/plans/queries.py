@@ -423,6 +423,65 @@ _of = {"domains": "fx_domains", "headers": "fx_http_headers", "dns": "fx_dns_inf
 register("a8_show", _shown,
     " UNION ALL ".join(f"SELECT '{n}' AS table, count(*) AS n FROM {v} WHERE k IN {_k12}" for n, v in _of.items()))
 register("a10_markdown", lambda t: sources.pages_to_markdown(t["pages"]))
+PLAIN = """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN 404 ELSE 200 END AS status_code, CASE WHEN o_orderkey % 11 > 0 THEN
+ '<html><head><title>t</title></head><body><h2>Order ' || CAST(o_orderkey AS STRING) || ' &amp; more</h2><p>Status  ' || chr(10)
+ || o_orderstatus || ', <a href="/o/' || CAST(o_orderkey AS STRING) || '">its page</a>.</p><script>no()</script><ul><li>one</li><li>two</li></ul></body></html>'
+ ELSE '' END AS html FROM orders"""
+register("a10_plain", lambda t: (lambda pages: sources.pages_to_markdown(pages, pages.filter("page_id % 7 = 0")))(derived(t.spark, t.sf_dir, PLAIN)),
+    "SELECT o_orderkey AS page_id, '## Order ' || o_orderkey || ' & more' || repeat(chr(10), 2) || 'Status ' || o_orderstatus || ', [its page](/o/' "
+    "|| o_orderkey || ').' || repeat(chr(10), 2) || '- one' || chr(10) || '- two' AS markdown FROM orders WHERE o_orderkey % 5 > 0 AND "
+    "o_orderkey % 7 > 0 AND o_orderkey % 11 > 0")
+
+
+def _place(t: Tables, label: str) -> str:
+    return f"{shared_folder(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _listed(t: Tables) -> DataFrame:
+    """The lines written as a text file and loaded as a domain list."""
+    path = _place(t, "list")
+    derived(t.spark, t.sf_dir, LINES).select("line").filter("line IS NOT NULL").write.text(path)
+    return sources.load_domain_list(t.spark, path)
+
+
+EXPORTED = ("domains", "dns", "ports")
+
+
+def _exported(t: Tables) -> DataFrame:
+    """Rows and keys of the tables that an export wrote, one of them excluded."""
+    folder, out = _place(t, "export"), None
+    for name in sources.export_tables({n: t[n] for n in (*EXPORTED, "tls")}, folder, ("tls",)):
+        one = t.spark.read.parquet(f"{folder}/{name}.parquet").agg(F.count("*").alias("n"), F.sum(F.col(K).cast("long")).alias("keys"))
+        one = one.select(F.lit(name).alias("table"), "n", "keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+CELLS = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'Dominio,ns' WHEN o_orderkey % 3 = 0 THEN 'd' || CAST(o_orderkey AS STRING) || '.ch,'
+ WHEN o_orderkey % 3 = 1 THEN '"d' || CAST(o_orderkey AS STRING) || ', x.ch","n""s' || CAST(o_orderkey % 7 AS STRING) || '"'
+ ELSE 'd' || CAST(o_orderkey AS STRING) || '.ch,ns' || CAST(o_orderkey % 7 AS STRING) || '.net' END AS value FROM orders"""
+
+
+def _cells(t: Tables) -> DataFrame:
+    """Lines with and without quotes, hosts and headers, written as a file and read as nameserver CSV."""
+    path = _place(t, "cells")
+    derived(t.spark, t.sf_dir, CELLS).write.text(path)
+    return sources.read_ns_csv(t.spark, path)
+
+
+def _graph_file(t: Tables, name: str) -> DataFrame:
+    folder = _place(t, "graph")
+    sources.write_graph(t["nodes"], t["edges"], folder)
+    return t.spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+register("a1_domain_list", _listed, f"SELECT DISTINCT domain FROM ({ORACLE['d1_sanitize']}) WHERE domain IS NOT NULL")
+register("a2_export", _exported, " UNION ALL ".join(f"SELECT '{n}' AS table, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM {v}"
+    for n, v in zip(EXPORTED, ("fx_domains", "fx_dns_info", "fx_ports_info"), strict=True)))
+register("a6_ns_csv", _cells, "SELECT CASE o_orderkey % 3 WHEN 1 THEN 'd' || o_orderkey || ', x.ch' ELSE 'd' || o_orderkey || '.ch' END AS domain, "
+    "CASE o_orderkey % 3 WHEN 1 THEN 'n\"s' || o_orderkey % 7 WHEN 2 THEN 'ns' || o_orderkey % 7 || '.net' END AS host FROM orders WHERE o_orderkey % 50 > 0")
+register("a9_graph_nodes", lambda t: _graph_file(t, "nodes"), "SELECT * FROM v_nodes")
+register("a9_graph_edges", lambda t: _graph_file(t, "edges"), "SELECT * FROM v_edges")
 
 # ---- E: matching
 _geo = "LEFT JOIN fx_ip_ranges r ON CAST(split_part(ip, '.', 1) AS INT) BETWEEN lo_octet AND hi_octet"
@@ -545,11 +604,6 @@ _share = (lambda by, source, where="true": f"SELECT {by}, count(*) AS n, round(c
     f"1) AS share FROM {source} WHERE {where} GROUP BY ALL")
 _case = (lambda col, marks, other: f"CASE "
     f"{' '.join(f'WHEN contains(lower(coalesce({col}, {chr(39)}{chr(39)})), {chr(39)}{m.replace(chr(39), chr(39) * 2)}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for m, n in marks)} "
-        f""
-        f""
-        f""
-        f""
-        f""
     f"ELSE '{other}' END")
 _flags = (lambda source, **kw: f"SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {e}) AS {k}' for k, e in kw.items())} FROM "
     f"{source}")
@@ -580,11 +634,6 @@ _gsql = {
         "powered_by IS NOT NULL GROUP BY powered_by ORDER BY n DESC, powered_by LIMIT 10)",
     "g7_response_times": f"SELECT min(elapsed_ms) AS min, max(elapsed_ms) AS max, round(avg(elapsed_ms), 4) AS mean, "
         f"{', '.join(f'quantile_cont(CAST(elapsed_ms AS DOUBLE), {q}) AS {n}' for q, n in ((0.25, 'p25'), (0.5, 'p50'), (0.75, 'p75'), (0.95, 'p95'), (0.99, 'p99')))} "
-            f""
-            f""
-            f""
-            f""
-            f""
         f"FROM {LIVE}",
     "g8_cross_domain": _flags(LIVE, cross_domain="regexp_replace(regexp_extract(final_url, '^https?://([^/]*)', 1), '^www\\.', '') <> "
         "domain"),
@@ -629,11 +678,6 @@ _gsql = {
         f"within_week FROM fx_tls_info GROUP BY 1, 2",
     "g26_spoofable": f"SELECT * FROM "
         f"({_flags("fx_email_security", neither="NOT spf_present AND NOT dmarc_present", spoofable="(NOT spf_present OR spf_too_permissive) AND (NOT dmarc_present OR coalesce(dmarc_policy = 'none', false))")}) "
-            f""
-            f""
-            f""
-            f""
-            f""
         f"CROSS JOIN (SELECT count(*) FILTER (WHERE {_look} > 10) AS over_limit FROM fx_dns_info)",
     "g27_open_cors": _flags("fx_http_headers", open="cors_origin = '*'"),
     "g28_dns_hygiene": _flags("fx_dns_info", wildcard="wildcard", no_caa=_caa0,
@@ -883,6 +927,21 @@ register("k3_guard_batch", lambda t: risk.error_rate_guard(t["scan_results"], 0.
     "DOUBLE) > 0.3")
 
 
+def _resent(t: Tables) -> DataFrame:
+    """Results sent twice, in files that a stream reads one after another, each once."""
+    source, out, state = (_place(t, x) for x in ("sent", "once", "once-state"))
+    results = t["scan_results"].select("target", "module", F.col("ts").cast("timestamp").alias("ts")).filter("ts IS NOT NULL")
+    results.repartition(4).write.parquet(source)
+    results.repartition(2).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    once = streams.stream_dedupe(stream, ["target", "module", "ts"], "36500 days")  # files come in any order
+    once.writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return t.spark.read.schema(results.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+register("k5_dedupe_stream", _resent, "SELECT DISTINCT target, module, ts FROM fx_scan_results WHERE ts IS NOT NULL")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean risk score by sector."""
     t = Tables(spark, sf_dir)
