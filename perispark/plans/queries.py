@@ -498,9 +498,7 @@ register("e2_networks", lambda t: matching.asn_lookup(t["addresses"].select(K, "
     f"SELECT a.k, 'AS' || arg_max(r.asn, r.start_key) AS asn, arg_max(r.asn_org, r.start_key) AS asn_org {_inside}")
 register("e3_http_matches", lambda t: matching.match_cves_http(t["domains"], t["catalog"], K), "SELECT * FROM v_http_matches")
 register("e4_port_matches", lambda t: matching.match_cves_ports(t["ports"], t["catalog"], K), "SELECT * FROM v_port_matches")
-register("e5_combined",
-    lambda t: matching.combine_matches(matching.match_cves_http(t["domains"], t["catalog"], K),
-    matching.match_cves_ports(t["ports"], t["catalog"], K), K), "SELECT * FROM v_combined")
+register("e5_combined", lambda t: matching.combined_matches(t["domains"], t["ports"], t["catalog"], K), "SELECT * FROM v_combined")
 register("e6_port_versions",
     lambda t: matching.apply_port_versions(matching.match_cves_ports(t["ports"], t["catalog"], K), t["ports"], K), "SELECT k, "
     "technology, coalesce(found, version) AS version, cve_id, severity, cvss_score, in_kev FROM v_port_matches LEFT JOIN v_port_versions "

@@ -39,3 +39,25 @@ def test_a_key_of_many_names_is_spread(spark, monkeypatch):
     df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
     got = sorted(map(tuple, research.typosquats(df).collect()))
     assert got == sorted(tuple(sorted(p)) for p in itertools.combinations(sorted(names), 2) if alike(*p))
+
+
+def test_matches_of_one_key_are_chosen_without_sorting_rows(spark):
+    """A cve_id under several technologies gives a key one row: with a version first, then the least version and name."""
+    entries = [("c1", "apache", "1.0", "3.0"), ("c1", "redis", "1.0", "3.0"), ("c2", "redis", "6.0", "7.0"), ("c3", "php", None, None), ("c3", "apache", None, None),
+        ("c4", "memcached", "1.0", "1.5"), ("c5", "openssh", None, "9.1")]
+    catalog = spark.createDataFrame([(*e, "HIGH", 5.0, True) for e in entries],
+        "cve_id string, technology string, affected_from string, affected_to string, severity string, cvss_score double, in_kev boolean")
+    hosts = [(1, "Apache/2.4 (Unix)", "PHP/8", None), (2, None, None, "Redis"), (3, "apache", "php", "memcached"), (4, "Apache/9", None, None)]
+    domains = spark.createDataFrame(hosts, "k int, server string, powered_by string, cms string")
+    open_ = [(1, 6379, "Redis 6.2.1"), (2, 6379, "Redis 5"), (3, 11211, "VERSION 1.6.9"), (5, 22, "SSH-2.0-OpenSSH_9.3p1"), (5, 22, "SSH-2.0-OpenSSH_8.10p1"), (5, 443, None)]
+    ports = spark.createDataFrame(open_, "k int, port int, banner string")
+    combined = {(r.k, r.cve_id): (r.technology, r.version) for r in matching.combined_matches(domains, ports, catalog, "k").collect()}
+    assert combined == {(1, "c1"): ("apache", "2.4"), (1, "c2"): ("redis", None), (1, "c3"): ("apache", "2.4"), (2, "c1"): ("redis", None),
+        (2, "c2"): ("redis", None), (3, "c1"): ("apache", None), (3, "c3"): ("apache", None), (3, "c4"): ("memcached", None),
+        (4, "c1"): ("apache", "9"), (4, "c3"): ("apache", "9"), (5, "c5"): ("openssh", None)}
+    found = matching.match_cves(domains, ports, catalog, "k")
+    rows = sorted({(r.k, r.cve_id, r.technology, r.version) for r in found.collect()})
+    # redis 5 is below c2's range, memcached 1.6.9 above c4's, openssh 9.3 (the greatest) above c5's, apache 9 above c1's
+    assert rows == [(1, "c1", "apache", "2.4"), (1, "c2", "redis", "6.2.1"), (1, "c3", "apache", "2.4"), (3, "c1", "apache", None),
+        (3, "c3", "apache", None), (4, "c3", "apache", "9")]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
