@@ -18,12 +18,6 @@ def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None)
     return out if otherwise is None else out.otherwise(otherwise)
 
 
-def _first_rule(rows: tuple[tuple, ...], names: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
-    """The first row of a rule table that passes, as a struct: one small expression however long the table."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])
-    return F.get(F.filter(table, test), F.lit(0))
-
-
 def _any_word(c: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
@@ -296,7 +290,5 @@ def sector(domain: Column, title: Column) -> Column:
     value = (lambda s, sub, c: F.struct(F.lit(s).alias("sector"), F.lit(sub).alias("subsector"), F.lit(c).alias("confidence")))
     cases = [((d == "admin.ch") | F.endswith(d, F.lit(".admin.ch")), value("government", "", 0.95)),
         (d.rlike(rf"(^|\.)({'|'.join(rules.CANTONS)})\.ch$"), value("government", "", 0.9))]
-    rule = _first_rule(rules.SECTORS, ("word", "sector", "subsector", "confidence"), lambda r: F.contains(both, r["word"]))
-    return _first(cases,
-        F.when(rule.isNotNull(),
-        F.struct(rule["sector"].alias("sector"), rule["subsector"].alias("subsector"), rule["confidence"].alias("confidence"))))
+    named = [(F.contains(both, F.lit(word)), value(s, sub, c)) for word, s, sub, c in rules.SECTORS]
+    return _first([*cases, *named])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,9 @@ from perispark.operators.work import unclassified
 
 
 def classify(domains: DataFrame, key: str = "domain") -> DataFrame:
-    found = domains.select(key, S.sector(F.col("domain"), F.col("title")).alias("s")).filter("s IS NOT NULL")
-    return found.select(key, "s.*")
+    """(key, sector, subsector, confidence) of the domains that a rule names. As a generator's rows, so that the rules
+    are gone through once for each domain, not again for the filter and for each column."""
+    return domains.select(key, F.inline(F.array_compact(F.array(S.sector(F.col("domain"), F.col("title"))))))
 
 
 def classify_incremental(domains: DataFrame, classes: DataFrame, key: str = "domain") -> DataFrame:
@@ -40,26 +42,27 @@ def risk_flags(tables: dict[str, DataFrame], as_of: str, key: str = "domain") ->
         exists(port == 21).alias("ftp"), exists(port == 2375).alias("docker"),
     )
     matches = tables["matches"].groupBy(key).agg(exists(F.col("severity") == "CRITICAL").alias("critical"))
-    email = tables["email"].select(key, "spf_too_permissive", "dmarc_present", "dmarc_policy", "dkim_found",
-        F.lit(True).alias("has_email"))
-    df = tables["domains"]
-    for t in (tables["headers"].select(key, "hsts", "csp"), tables["dns"].select(key, "caa", "dnssec_signed", "txt_dmarc"),
-        tables["tls"].select(key, "tls_version", "valid_to"), tables["whois"].select(key, "expires_at"), email, ports, matches):
-        df = df.join(t, key, "left")
     no = F.lit(False)
+    # what the joins sort are flags and dates, not texts
+    headers = tables["headers"].select(key, F.col("hsts").isNotNull().alias("hsts"), F.col("csp").isNotNull().alias("csp"))
+    dns = tables["dns"].select(key, (F.size(S.parse_json_array(F.col("caa"))) == 0).alias("no_caa"), "dnssec_signed", F.col("txt_dmarc").isNotNull().alias("dmarc"))
+    tls = tables["tls"].select(key, F.replace("tls_version", F.lit("_"), F.lit(".")).isin("TLSv1.0", "TLSv1.1").alias("old_tls"), "valid_to")
+    email = tables["email"].select(key, "spf_too_permissive", "dkim_found", (F.coalesce(F.col("dmarc_policy") == "none", no)
+        | ~F.coalesce("dmarc_present", no)).alias("weak_policy"))
+    df = tables["domains"].select(key, "status_code", "sovereignty_score")
+    for t in (headers, dns, tls, tables["whois"].select(key, "expires_at"), email, ports, matches):
+        # every side has about a row for each domain: the size of well packed files is no reason to collect it in the driver
+        df = df.join(t.hint("merge"), key, "left")
     day, code = F.lit(as_of).cast("date"), F.col("status_code")
     left = F.datediff("valid_to", day)
-    version = F.replace("tls_version", F.lit("_"), F.lit("."))
+    without = lambda c: ~F.coalesce(c, no)
     return df.select(
         key, F.coalesce("sovereignty_score", F.lit(0)).alias("sovereignty_score"),
-        (F.col("hsts").isNull() & (code == 200)).alias("missing_hsts"), (F.col("csp").isNull() & (code == 200)).alias("missing_csp"),
-        (F.size(S.parse_json_array(F.col("caa"))) == 0).alias("missing_caa"),
-        (version.isin("TLSv1.0", "TLSv1.1") | (F.col("valid_to") < day)).alias("weak_tls"),
+        (without("hsts") & (code == 200)).alias("missing_hsts"), (without("csp") & (code == 200)).alias("missing_csp"),
+        F.coalesce("no_caa", F.lit(True)).alias("missing_caa"),
+        (F.col("old_tls") | (F.col("valid_to") < day)).alias("weak_tls"),
         (F.col("valid_to") < day).alias("cert_expired"), left.between(0, 29).alias("cert_expiring"),
-        (~F.coalesce("dnssec_signed", no)).alias("no_dnssec"),
-        F.when(F.col("has_email"),
-            F.coalesce(F.col("dmarc_policy") == "none", no) | ~F.coalesce("dmarc_present", no)).otherwise(
-            F.col("txt_dmarc").isNull()).alias("dmarc_weak"),
+        without("dnssec_signed").alias("no_dnssec"), F.coalesce(F.col("weak_policy"), without("dmarc")).alias("dmarc_weak"),
         (F.col("expires_at") < F.date_add(day, 30)).alias("domain_expiring"),
         F.coalesce("db", no).alias("exposed_db_port"), F.coalesce("risky", no).alias("exposed_risky_port"),
             F.coalesce("ftp", no).alias("exposed_ftp"),
@@ -106,13 +109,21 @@ def sector_benchmarks(scores: DataFrame, classes: DataFrame, key: str = "domain"
         "sector", F.col("score").cast("double").alias("risk_score"), flag(~F.col("missing_hsts")).alias("hsts_adoption"),
         flag(~F.col("no_dnssec")).alias("dnssec_adoption"), flag(F.col("dmarc_weak")).alias("dmarc_weak_pct"),
     )
-    long = v.unpivot(["sector"], list(METRICS), "metric", "value").filter("sector IS NOT NULL")
-    q = (
-        {"exact": lambda p: F.percentile("value", p), "approx": lambda p: F.approx_percentile("value", F.lit(p)),
-        "mean_compat": lambda p: F.avg("value")}[quantiles])
-    return long.groupBy("sector", "metric").agg(
-        F.count("*").alias("domain_count"), F.avg("value").alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"),
-            q(0.75).alias("p75"), F.min("value").alias("min"), F.max("value").alias("max"),
+    # few values occur in a sector, so they are counted first and the quantiles taken over counts
+    long = v.groupBy(*v.columns).agg(F.count("*").alias("n")).unpivot(["sector", "n"], list(METRICS), "metric", "value")
+    counts = long.filter("sector IS NOT NULL").groupBy("sector", "metric", "value").agg(F.sum("n").alias("n"))
+    mean = F.sum(F.col("value") * F.col("n")) / F.sum("n")
+    q = {"exact": lambda p: F.percentile("value", p, F.col("n")), "mean_compat": lambda p: mean}
+    if quantiles == "approx":
+        return _metric_stats(v.unpivot(["sector"], list(METRICS), "metric", "value").filter("sector IS NOT NULL"), F.count("*"), F.avg("value"),
+            lambda p: F.approx_percentile("value", F.lit(p)))
+    return _metric_stats(counts, F.sum("n"), mean, q[quantiles])
+
+
+def _metric_stats(values: DataFrame, n: Column, mean: Column, q: Callable[[float], Column]) -> DataFrame:
+    return values.groupBy("sector", "metric").agg(
+        n.alias("domain_count"), mean.alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
     )
 
 

@@ -13,6 +13,7 @@ from perispark.functions import scalars as S
 from perispark.functions.catalogue import SEED
 from perispark.functions.rules import BANNER_PORTS, KEV_VENDORS, LOOKUP_WORDS, SCT_OID, SERVICES, SIGNATURE_OIDS, TLS_FEATURE_OID, TLS_WORDS
 from perispark.operators import findings, graph, matching, merge, module_risk, research, risk, sketches, work
+from perispark.operators.dealing import dealt, parts
 from perispark.plans.fixtures import AS_OF, FIXTURES, derived, fixture
 from perispark.plans.views import JURISDICTION, KEY_OF, LIST, with_views
 from perispark.sources import tables as sources
@@ -44,7 +45,7 @@ class Tables(dict):
             "classes": lambda: risk.classify(self["domains"], K), "staging": lambda: matching.ns_staging(self["dns"], K),
             "operators": lambda: matching.operator_samples(self["dns"], K).select("operator").join(fx("operator_country"), "operator",
                 "left").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))),
-            "sovereign": lambda: risk.sovereignty_score(self["domains"], self["staging"],
+            "sovereign": lambda: risk.sovereignty_score(dealt(self["domains"], K, parts(self["domains"])), self["staging"],
                 fx("operator_country").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))), K),
             "matches": lambda: matching.match_cves(self["domains"], self["ports"], self["catalog"], K),
             "raw_flags": lambda: risk.risk_flags(
@@ -554,7 +555,7 @@ SATELLITES = ("headers", "dns", "tls", "whois", "email", "ports", "matches")
 def _over_buckets(t: Tables) -> DataFrame:
     """The score over tables that were saved in buckets of the key, so that the seven joins need no shuffle."""
     tables = {n: t[n] for n in SATELLITES} | {"domains": t["sovereign"]}
-    saved = versions.save_bucketed(tables, K, 8, f"satellites_{uuid.uuid4().hex}", shared_folder(t.spark))
+    saved = versions.save_bucketed(tables, K, parts(t["domains"]), f"satellites_{uuid.uuid4().hex}", shared_folder(t.spark))
     return risk.risk_score(risk.risk_flags(saved, AS_OF, K)).select(K, "score")
 
 
