@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from perispark.functions import catalogue
+from perispark.operators.dealing import parts
 
 AS_OF = "2001-08-01"
 
@@ -249,17 +250,29 @@ SELECT page_id, url, html || CASE page_id % 8 WHEN 0 THEN '<link href="/wp-conte
 }
 
 SOURCES = ("orders", "lineitem", "events", "pages")
+#: Derived tables that make rows of lineitem distinct: those are dealt by this column before, over a part for each LINES.
+DEALT, LINES = {"fx_ports_info": "l_orderkey", "fx_subdomains": "l_orderkey"}, 1_000_000
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table over the tables of sf_dir."""
-    return derived(spark, sf_dir, FIXTURES[name])
+    return derived(spark, sf_dir, _text(name))
+
+
+def _text(name: str) -> str:
+    text = FIXTURES[name]
+    return re.sub(r"FROM lineitem\b", f"FROM dealt_{DEALT[name]}", text) if name in DEALT else text
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the given tables, read from sf_dir, and over derived tables that stand after FROM."""
     while of := re.search(r"FROM (fx_\w+)", sql):
-        sql = sql.replace(of.group(), f"FROM ({FIXTURES[of.group(1)]})")
+        sql = sql.replace(of.group(), f"FROM ({_text(of.group(1))})")
+    for column in set(DEALT.values()):
+        if f"FROM dealt_{column}" in sql:
+            lines = f"FROM parquet.`{sf_dir}/lineitem.parquet`"
+            n = parts(spark.sql(f"SELECT 1 {lines}"), LINES)
+            sql = sql.replace(f"FROM dealt_{column}", f"FROM (SELECT /*+ REPARTITION({n}, {column}) */ * {lines})")
     for table in SOURCES:
         sql = re.sub(rf"FROM {table}\b", f"FROM parquet.`{sf_dir}/{table}.parquet`", sql)
     return spark.sql(sql)

@@ -51,3 +51,15 @@ def test_sector_rules_are_gone_through_once(spark):
     classes = risk.classify(domains, "k")
     assert sorted(map(tuple, classes.collect())) == [(1, "healthcare", "", 0.75), (3, "government", "", 0.95)]
     assert classes._jdf.queryExecution().optimizedPlan().toString().count("klinik") == 1
+
+
+def test_lines_are_dealt_before_they_are_distinct(spark, monkeypatch):
+    """Ports were made distinct in the session's partitions, however many lines there are."""
+    from perispark.plans import fixtures
+
+    few = fixtures.fixture(spark, "/root/testdata/sf0.001", "fx_ports_info")
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    many = fixtures.fixture(spark, "/root/testdata/sf0.001", "fx_ports_info")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert many.groupBy("k").count().rdd.getNumPartitions() == -(-lines // 500) > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
