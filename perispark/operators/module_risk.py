@@ -81,13 +81,14 @@ def port_class(port: Column) -> Column:
         "HIGH").when(port.isin(80, 443), "LOW").otherwise("MEDIUM"))
 
 
-def port_risk(ports: DataFrame, matches: DataFrame) -> DataFrame:
+def port_risk(ports: DataFrame, critical: DataFrame) -> DataFrame:
+    """critical: the keys that have a critical match."""
     p = c("port")
     each = (
         F.when(p.isin(3306, 5432, 6379, 9200, 27017, 11211, 1433), 30).when(p.isin(22, 3389, 445, 23), 30).when(p == 21,
         25).when((p == 8080) | p.between(8081, 8099) | p.between(9000, 9999), 15).otherwise(0))
     open_ = ports.groupBy(KEY).agg(F.sum(each).alias("open"))
-    critical = matches.filter("severity = 'CRITICAL'").select(KEY).distinct().withColumn("critical", F.lit(10))
+    critical = critical.select(KEY).distinct().withColumn("critical", F.lit(10))
     return open_.join(critical, KEY, "left").select(KEY,
         F.least(F.lit(150), 25 + c("open") + F.coalesce("critical", F.lit(0))).cast("int").alias("points"))
 
@@ -104,14 +105,14 @@ def email_risk(dns: DataFrame, email: DataFrame) -> DataFrame:
     ).alias("points"))
 
 
-def technology_risk(matches: DataFrame, supported: DataFrame) -> DataFrame:
+def technology_risk(matches: DataFrame, supported: DataFrame, key: str = KEY) -> DataFrame:
     """supported: (technology, least), the least version that still gets fixes; older ones count as ended."""
     s, n = F.col("cvss_score"), lambda when, k: F.when(when, k).otherwise(0)
     band = F.when(s >= 9, 30).when(s >= 7, 20).when(s >= 4, 10).when(s.isNotNull(), 3).otherwise(0)
     ended = S.version_key(c("version")) < S.version_key(c("least"))
     each = band + n(c("in_kev"), 20) + n(c("version").isNotNull(), 5) + n(ended, 10)
     known = matches.join(supported.select("technology", "least"), "technology", "left")
-    return known.groupBy(KEY).agg(F.least(F.lit(150), 10 + F.sum(each)).cast("int").alias("points"))
+    return known.groupBy(key).agg(F.least(F.lit(150), 10 + F.sum(each)).cast("int").alias("points"))
 
 
 def domain_risk(whois: DataFrame, as_of: str, orphans: DataFrame, lookalikes: DataFrame) -> DataFrame:

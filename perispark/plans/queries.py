@@ -48,9 +48,13 @@ class Tables(dict):
             "sovereign": lambda: risk.sovereignty_score(dealt(self["domains"], K, parts(self["domains"])), self["staging"],
                 fx("operator_country").withColumn("jurisdiction", S.jurisdiction(F.coalesce("country_code", F.lit("")))), K),
             "matches": lambda: matching.match_cves(self["domains"], self["ports"], self["catalog"], K),
+            # a key's technologies; every query over counts of matches reads them more than once
+            "shown": lambda: written(matching.shown(self["domains"], self["ports"], self["catalog"], K), "shown"),
+            "critical": lambda: matching.over_matches(self["shown"], self["catalog"], lambda m: m.filter("severity = 'CRITICAL'").select(
+                "_set", "severity").distinct()),
             "raw_flags": lambda: risk.risk_flags(
                 {"domains": self["sovereign"], "headers": self["headers"], "dns": self["dns"], "tls": self["tls"], "whois": self["whois"],
-                "email": self["email"], "ports": self["ports"], "matches": self["matches"]}, AS_OF, K),
+                "email": self["email"], "ports": self["ports"], "matches": self["critical"]}, AS_OF, K),
             "orphans": lambda: research.orphans(self["dns"], derived(self.spark, self.sf_dir, NAMES)),
             "lookalikes": lambda: (lambda names,
                 pairs: names.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi"))(
@@ -554,7 +558,7 @@ SATELLITES = ("headers", "dns", "tls", "whois", "email", "ports", "matches")
 
 def _over_buckets(t: Tables) -> DataFrame:
     """The score over tables that were saved in buckets of the key, so that the seven joins need no shuffle."""
-    tables = {n: t[n] for n in SATELLITES} | {"domains": t["sovereign"]}
+    tables = {n: t[n] for n in SATELLITES if n != "matches"} | {"domains": t["sovereign"], "matches": t["critical"]}
     saved = versions.save_bucketed(tables, K, parts(t["domains"]), f"satellites_{uuid.uuid4().hex}", shared_folder(t.spark))
     return risk.risk_score(risk.risk_flags(saved, AS_OF, K)).select(K, "score")
 
@@ -838,8 +842,8 @@ _isql = {
 _models = {
     "i1": lambda t: module_risk.tls_risk(t["tls"], AS_OF), "i2": lambda t: module_risk.dns_risk(t["dns"], t["orphans"]),
         "i3": lambda t: module_risk.header_risk(t["headers"]),
-    "i4": lambda t: module_risk.port_risk(t["ports"], t["matches"]), "i5": lambda t: module_risk.email_risk(t["dns"], t["email"]),
-    "i6": lambda t: module_risk.technology_risk(t["matches"], t["supported"]),
+    "i4": lambda t: module_risk.port_risk(t["ports"], t["critical"]), "i5": lambda t: module_risk.email_risk(t["dns"], t["email"]),
+    "i6": lambda t: matching.over_matches(t["shown"], t["catalog"], lambda m: module_risk.technology_risk(m, t["supported"], "_set")),
         "i7": lambda t: module_risk.domain_risk(t["whois"], AS_OF, t["orphans"], t["lookalikes"]),
 }
 for _n, _label in (("i1", "tls"), ("i2", "dns"), ("i3", "headers"), ("i4", "ports"), ("i5", "email"), ("i6", "technology"),

@@ -61,3 +61,26 @@ def test_matches_of_one_key_are_chosen_without_sorting_rows(spark):
     assert rows == [(1, "c1", "apache", "2.4"), (1, "c2", "redis", "6.2.1"), (1, "c3", "apache", "2.4"), (3, "c1", "apache", None),
         (3, "c3", "apache", None), (4, "c3", "apache", "9")]
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_over_lists_are_those_over_matches(spark):
+    """Keys that show the same are counted, and the catalogue is joined once for each different list."""
+    rng = random.Random(8)
+    entries = [("c1", "apache", "1.0", "3.0"), ("c1", "redis", "1.0", "9.0"), ("c2", "redis", "6.0", "7.0"), ("c3", "php", None, None), ("c4", "openssh", None, "9.1")]
+    catalog = spark.createDataFrame([(*e, rng.choice(["CRITICAL", "HIGH"]), 5.0, True) for e in entries],
+        "cve_id string, technology string, affected_from string, affected_to string, severity string, cvss_score double, in_kev boolean")
+    domains = spark.createDataFrame([(k, rng.choice(["Apache/2.4", "apache/9", None]), rng.choice(["PHP/8", None]), None) for k in range(90)],
+        "k int, server string, powered_by string, cms string")
+    ports = spark.createDataFrame([(rng.randrange(100), *rng.choice([(6379, "Redis 6.2"), (6379, "redis"), (22, "SSH-2.0-OpenSSH_9.0"), (443, None)])) for _ in range(120)],
+        "k int, port int, banner string")
+    rows = matching.match_cves(domains, ports, catalog, "k").collect()
+    items = matching.shown(domains, ports, catalog, "k")
+    counted = matching.counted_matches(items, catalog)
+    got = {r.technology: r.domains for r in matching.keys_of(counted, "technology").collect()}
+    assert got == {t: len({r.k for r in rows if r.technology == t}) for t in {r.technology for r in rows}}
+    assert [r.domains for r in matching.keys_of(counted).collect()] == [len({r.k for r in rows})]
+    each = matching.over_matches(items, catalog, lambda m: m.groupBy("_set").count())
+    assert dict(map(tuple, each.collect())) == {k: sum(r.k == k for r in rows) for k in {r.k for r in rows}}
+    sets = counted.select("_set").distinct().count()
+    assert counted.count() < len(rows) and 0 < sets < len({r.k for r in rows})
+    assert matching.counted_matches(items.limit(0), catalog).collect() == []
