@@ -191,6 +191,33 @@ def typosquats(names: DataFrame) -> DataFrame:
     return left.join(right, ["key", "_part"]).filter("a < b").filter(near).select("a", "b").distinct()
 
 
+def with_lookalike(names: DataFrame) -> DataFrame:
+    """The names that are in any pair of typosquats(), without the pairs, whose number grows faster than that of the names.
+
+    What is left of a name without its i-th letter, and the whole name at place 0, are its rows. Names that share the
+    rest are one edit apart if one of them is the rest or their letters stood at the same place, and one swap apart if
+    the same letter stood at neighbouring places. A rest has no more names than it has places and letters there are.
+    """
+    n = F.col("name")
+    own = F.struct(n.alias("rest"), F.lit(0).alias("at"), F.lit("").alias("letter"))
+    without = F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: F.struct(
+        F.concat(F.substring(n, F.lit(1), i - 1), F.substring(n, i + 1, F.length(n))).alias("rest"), i.alias("at"), F.substring(n, i, F.lit(1)).alias("letter")))
+    each = names.select(F.inline(F.concat(F.array(own), F.when(F.length(n) > 0, without).otherwise(F.array().cast(
+        "array<struct<rest:string,at:int,letter:string>>")))))
+    sharing = each.groupBy("rest").agg(F.collect_set(F.struct("at", "letter")).alias("of")).filter(F.size("of") > 1)
+    # the letters of rest between two neighbouring places: the same letter there makes it one name, not a swap
+    between = lambda x, y: F.substring("rest", F.least(x["at"], y["at"]), F.lit(1))
+    near = lambda x, y: (((x["at"] == y["at"]) & (x["letter"] != y["letter"]))
+        | ((F.abs(x["at"] - y["at"]) == 1) & (x["letter"] == y["letter"]) & (between(x, y) != x["letter"])))
+    whole = F.exists("of", lambda x: x["at"] == 0)
+    found = F.when(whole, F.col("of")).otherwise(F.filter("of", lambda x: F.exists("of", lambda y: near(x, y))))
+    edited = sharing.select("rest", F.inline(found)).select(F.when(F.col("at") == 0, F.col("rest")).otherwise(F.concat(
+        F.substring("rest", F.lit(1), F.col("at") - 1), "letter", F.substring("rest", F.col("at"), F.length("rest")))).alias("name"))
+    folded = names.select("name").distinct().withColumn("plain", F.translate("name", "10", "lo"))
+    alike = folded.groupBy("plain").agg(F.count("*").alias("n")).filter("n > 1")
+    return edited.unionByName(folded.join(alike, "plain").select("name")).distinct()
+
+
 CONFUSABLE = ("асеорхуі01", "aceopxyiol")
 
 

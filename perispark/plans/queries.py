@@ -56,9 +56,7 @@ class Tables(dict):
                 {"domains": self["sovereign"], "headers": self["headers"], "dns": self["dns"], "tls": self["tls"], "whois": self["whois"],
                 "email": self["email"], "ports": self["ports"], "matches": self["critical"]}, AS_OF, K),
             "orphans": lambda: research.orphans(self["dns"], derived(self.spark, self.sf_dir, NAMES)),
-            "lookalikes": lambda: (lambda names,
-                pairs: names.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi"))(
-                self["names"], research.typosquats(self["names"].select("name").distinct())),
+            "lookalikes": lambda: self["names"].join(research.with_lookalike(self["names"].select("name").distinct()), "name", "left_semi"),
             "flags": lambda: risk.risk_score(self["raw_flags"]),
                 "bench": lambda: risk.sector_benchmarks(self["flags"], self["classes"], K),
             "pairs": lambda: self["dns"].join(self["domains"].select(K, "domain"),

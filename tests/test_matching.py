@@ -84,3 +84,17 @@ def test_counts_over_lists_are_those_over_matches(spark):
     sets = counted.select("_set").distinct().count()
     assert counted.count() < len(rows) and 0 < sets < len({r.k for r in rows})
     assert matching.counted_matches(items.limit(0), catalog).collect() == []
+
+
+def test_names_with_a_look_alike(spark):
+    """The names of all pairs, found without the pairs."""
+    rng = random.Random(3)
+    names = {"".join(rng.choice("ab1l0") for _ in range(rng.randint(0, 7))) for _ in range(300)} | {"aab", "aba", "baa", "zzzzzz", "xyxyxy", "yxyxyx", "é\U0001f600", "\U0001f600é"}
+    names |= {"".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    want = sorted({n for p in itertools.combinations(names, 2) if alike(*p) for n in p})
+    found = research.with_lookalike(df)
+    assert sorted(r.name for r in found.collect()) == want and want != sorted(names)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan
+    assert research.with_lookalike(df.limit(0)).collect() == []
