@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from perispark.llm.common import Scratch, lower_words
 from perispark.llm.components import components
-from perispark.llm.containment import Hasher
+from perispark.llm.containment import FILTER_BITS, Hasher, value_filter
 
 _RANDOM = np.random.default_rng(20_240_601)
 FACTORS = (_RANDOM.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -140,10 +140,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [names[-1:], *(x[-1:] for x in where)], leaders
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Classes and sets of the texts whose place is set in the filter."""
     hasher = Hasher(k)
     for batch in batches:
-        sets = [np.unique(hasher(lower_words(t))) for t in batch.column(0).to_pylist()]
+        place = batch.column(1).to_numpy()
+        wanted = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        sets = [np.unique(hasher(lower_words(t))) for t in batch.column(0).filter(pa.array(wanted)).to_pylist()]
         columns = [pa.array([class_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["class", "own"])
 
@@ -279,10 +282,12 @@ def near_duplicates(
     # the first ones of prefixes before the class next to it, so that groups hang on one class instead of falling into pairs
     first = scratch.written(scored.groupBy("a").agg(F.max_by("b", F.struct("first", "agree", "b")).alias("b")), "near-first")
 
-    needed = met.select("class").distinct().join(classes.select("class", "doc_id"), "class").select("doc_id").distinct()
-    texts = rows.filter("doc_id IS NOT NULL").join(needed, "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(lambda it: _sets(it, k), "class bigint, own binary").groupBy("class").agg(F.min("own").alias("own"))
-    sets = scratch.written(sets, "near-sets")
+    # texts are read once more where they lie: a filter of fixed size leaves those of the ids needed, and a few others
+    needed = met.select("class").distinct().join(classes.select("class", "doc_id"), "class")
+    sent = docs.sparkSession.sparkContext.broadcast(value_filter(needed.select(F.xxhash64("doc_id").alias("value"))))
+    texts = rows.filter("doc_id IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    sets = texts.mapInArrow(lambda it: _sets(it, sent.value, k), "class bigint, own binary")
+    sets = scratch.written(sets.groupBy("class").agg(F.min("own").alias("own")), "near-sets")
     links = scratch.written(_verified(first, sets, percent), "near-links")
     joined = components(links, scratch).withColumnRenamed("node", "class")
 
@@ -297,10 +302,12 @@ def near_duplicates(
     block_of = F.pmod(F.xxhash64("class"), "n_blocks").alias("block")
     outside = (F.col("component") != F.col("largest")).alias("outside")
     one = F.struct("class", "component", outside, "n", "signature", "own").alias("one")
-    mixed = named.join(largest, "key").join(sets.join(signs.select("class", "signature"), "class"), "class").select("key", block_of, one)
-    parts = mixed.groupBy("key", "block").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some"))
+    mixed = named.join(largest, "key").join(sets.join(signs.select("class", "signature"), "class"), "class").select("key", block_of, (F.col("n_blocks") == 1).alias("alone"), one)
+    parts = mixed.groupBy("key", "block", "alone").agg(F.collect_list("one").alias("part"), F.max("one.outside").alias("some"))
     blocks = scratch.written(parts, "near-blocks")
-    meetings = scratch.written(_cells(blocks, grid).mapInArrow(lambda it: _tiles(it, percent, alike), "a bigint, b bigint"), "near-meetings")
+    # a region of one block, as most are, meets itself where it lies
+    pairs = blocks.filter("alone").select(F.col("part").alias("left"), F.col("part").alias("right")).union(_cells(blocks.filter("NOT alone"), grid))
+    meetings = scratch.written(pairs.mapInArrow(lambda it: _tiles(it, percent, alike), "a bigint, b bigint"), "near-meetings")
 
     whole = components(meetings, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     ids = classes.select("class", "doc_id").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,26 @@ def test_cells_hold_each_pair_of_blocks_once(spark):
     assert got == sorted([(a, b) for a in range(0, 11, 3) for b in range(11)] + [(100, 100), (100, 101)])
 
 
+def test_regions_of_one_block_are_not_dealt(spark, monkeypatch):
+    given, cells = [], lsh_forest._cells
+    monkeypatch.setattr(lsh_forest, "_cells", lambda blocks, grid: given.append(blocks.count()) or cells(blocks, grid))
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [" ".join(rng.choice(base[i : i + 2]) if rng.random() < 0.2 else w for i, w in enumerate(base)) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    one = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(d, percent=60).collect()}
+    many = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(d, percent=60, block=4, grid=2).collect()}
+    assert given[0] == 0 < given[1] and one == many
+
+
+def test_sets_only_of_texts_in_the_filter(spark):
+    bits = containment.value_filter(spark.createDataFrame([(5,)], "value long"))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c", "d e f"]), pa.array([5, 6])], ["text", "place"])
+    [out] = lsh_forest._sets(iter([batch]), bits, 3)
+    own = np.unique(containment.Hasher(3)([b"a", b"b", b"c"]))
+    assert out.to_pylist() == [{"class": lsh_forest.class_of(own), "own": own.tobytes()}]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).astype(np.float32)
