@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perispark.llm.common import Scratch, lower_words
@@ -31,6 +31,8 @@ TOGETHER = 50_000
 SMALL = 8
 #: Bits of the filter of the items' shingles, whatever their number: 16 MB.
 FILTER_BITS = 1 << 27
+#: Bits of a filter of ids for each of them, as long as that isn't more than FILTER_BITS.
+BITS_PER_ID = 256
 #: Parts over which a value's or an item's documents are spread.
 SALTS = 16
 #: No hash in a bin.
@@ -139,18 +141,66 @@ def _item_sets(batches: Iterator[pa.RecordBatch], k: int, bins: int) -> Iterator
         yield pa.RecordBatch.from_arrays(columns, ["item_id", "level", "own", "by"])
 
 
-def value_filter(values: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits of which those are set that the values' low bits name: never more than
-    FILTER_BITS / 8 bytes, put together by Spark in buckets of 4 KB."""
+def filter_buckets(values: DataFrame) -> DataFrame:
+    """(bucket, bits): the filter of FILTER_BITS bits of which those are set that the values' low bits
+    name, in buckets of 4 KB; buckets without a set bit are left out."""
     place = (F.pmod("value", F.lit(FILTER_BITS)) + 1).alias("place")
-    buckets = values.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+    return values.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+
+
+def value_filter(values: DataFrame) -> np.ndarray:
+    """filter_buckets() as one array: never more than FILTER_BITS / 8 bytes."""
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in buckets.collect():  # FILTER_BITS / 32768 rows at most
+    for r in filter_buckets(values).collect():  # FILTER_BITS / 32768 rows at most
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _id_place(seed: int, size: int) -> Column:
+    return F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(size))
+
+
+def _id_filter(ids: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The filter of the ids, as a table (_slice, _bits) without slices of no bit, and its size: BITS_PER_ID
+    for each id, FILTER_BITS at most."""
+    size = min(FILTER_BITS, 1 << max(15, (BITS_PER_ID * ids.count()).bit_length()))
+    part = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("part")  # a bucket has 32 slices of 128 bytes
+    parts = filter_buckets(ids.select(_id_place(seed, size).alias("value"))).select("bucket", "bits", part)
+    number = ((F.col("bucket") - 1) * 32 + F.col("part")).alias("_slice")
+    slices = parts.select(number, F.substring("bits", F.col("part") * 128 + 1, F.lit(128)).alias("_bits"))
+    return scratch.written(slices.filter(F.col("_bits") != F.lit(bytes(128))), "id-filter"), size
+
+
+def _marked(rows: DataFrame, ids: tuple[DataFrame, int], seed: int) -> DataFrame:
+    """rows, and in ``_in<seed>`` whether the filter of ids has a bit for theirs; a null id has none."""
+    place = _id_place(seed, ids[1])
+    at = F.shiftright(place.bitwiseAND(F.lit(1023)), 3).cast("int") + 1
+    byte = F.conv(F.hex(F.substring("_bits", at, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    met = rows.join(F.broadcast(ids[0]), F.shiftright(place, 10) == F.col("_slice"), "left")
+    return met.withColumn(f"_in{seed}", F.col("_id").isNotNull() & found).drop("_slice", "_bits")
+
+
+def without(docs: DataFrame, gone: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id ``gone`` holds in doc_id; rows with a null id stay.
+
+    Rows stay where they lie, whatever the number of ids: a first filter has the ids that go, a
+    second one those ids of docs that stay though the first has them. Both are of bounded size. A
+    row that the first lacks stays, one that only the first has goes; the few rows that both
+    have are joined with the ids.
+    """
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.written(gone.select(F.col("doc_id").cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    first = _id_filter(gone, 1, scratch)
+    spared = _marked(rows.select("_id"), first, 1).filter("_in1").select("_id").join(gone, "_id", "left_anti").distinct()
+    second = _id_filter(scratch.written(spared, "spared"), 2, scratch)
+    sure = _marked(rows, first, 1).filter("NOT _in1")
+    both = _marked(_marked(rows, first, 1).filter("_in1"), second, 2).filter("_in2").join(gone, "_id", "left_anti")
+    return sure.select("_row.*").union(both.select("_row.*"))
+
+
 def _held(batches: Iterator[pa.RecordBatch], bits: np.ndarray, levels: list[int], k: int, bins: int) -> Iterator[pa.RecordBatch]:
     """For each document's distinct shingles that pass the filter: row, doc_id, value, and at: the levels
     (as bits) in one of whose windows it is a signature's value."""
@@ -221,5 +271,4 @@ def find_items(
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003
     """docs without the documents that hold an item; documents with a null id stay."""
-    hits = Scratch(docs.sparkSession).written(find_items(docs, items, id_col=id_col, **how).select("doc_id").distinct(), "contaminated")
-    return docs.join(hits.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
+    return without(docs, find_items(docs, items, id_col=id_col, **how), id_col=id_col)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from perispark.llm.common import Scratch, lower_words
 from perispark.llm.components import components
-from perispark.llm.containment import FILTER_BITS, Hasher, value_filter
+from perispark.llm.containment import FILTER_BITS, Hasher, value_filter, without
 
 _RANDOM = np.random.default_rng(20_240_601)
 FACTORS = (_RANDOM.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -349,5 +349,4 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:  # noqa: ANN003
     """docs without the documents that near_duplicates() doesn't keep. Of repeated rows of
     a kept id each stays; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")), id_col=id_col)

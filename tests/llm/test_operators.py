@@ -628,6 +628,54 @@ def test_filter_of_values_sets_their_bits(spark):
     assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == wanted
 
 
+def shuffled(spark, df):
+    """The rows of df, and the bytes that making them shuffled."""
+    context = spark.sparkContext
+
+    def so_far():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = so_far()
+    return df.collect(), so_far() - before
+
+
+@pytest.mark.parametrize("operator", ["keep_one", "remove_contaminated"])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, operator):
+    """However many ids go: broadcasts are off, as they are for a large table of ids."""
+    random_text = lambda i: random.Random(i).randbytes(5000).hex()
+    spread = spark.range(400).withColumnRenamed("id", "doc_id").repartition(4)
+    docs = spread.withColumn("text", F.udf(random_text)("doc_id")).withColumn("_id", F.lit("own")).cache()
+    gone = spark.range(0, 400, 3).select(F.col("id").alias("doc_id"), F.lit(False).alias("kept"))
+    monkeypatch.setattr(lsh_forest, "near_duplicates", lambda *a, **k: gone)
+    monkeypatch.setattr(containment, "find_items", lambda *a, **k: gone)
+    docs.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = lsh_forest.keep_one(docs) if operator == "keep_one" else containment.remove_contaminated(docs, None)
+        rows, moved = shuffled(spark, out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, rows)) == [(i, random_text(i), "own") for i in range(400) if i % 3]
+    assert moved < 100_000  # the texts are 2.7 MB
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 10, 1 << 16, 1 << 27])
+def test_ids_that_share_bits_stay(spark, monkeypatch, bits):
+    """Exact, however full the filters are: null and repeated ids, and ids that docs doesn't hold."""
+    monkeypatch.setattr(containment, "FILTER_BITS", bits)
+    rows = [(i, f"t{i}") for i in range(-500, 500)] + [(None, "no id"), (None, None), (7, "again"), (8, "again")]
+    docs = spark.createDataFrame(rows, "name int, text string")
+    gone = [i for i in range(-500, 2000) if i % 4 == 3]
+    table = spark.createDataFrame([(i,) for i in [*gone, 7, None]], "doc_id long")
+    out = containment.without(docs, table, id_col="name")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([r for r in rows if r[0] is None or r[0] % 4 != 3], key=str)
+    assert containment.without(docs.limit(0), table, id_col="name").collect() == []
+    assert containment.without(docs, table.limit(0), id_col="name").count() == len(rows)
+
+
 def brute_groups(rows, k, percent):
     """The ids of which one stays: the least of each group of linked texts."""
     sets = {i: set(containment.shingles(lower_words(t), k)) for i, t in rows}
